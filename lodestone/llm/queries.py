@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.chat import maximal_conversations
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.language import language_of
+from lodestone.llm.packing import pack
+from lodestone.llm.pages import main_texts
+from lodestone.llm.pii import KINDS, find_personal_data, span_string
 from lodestone.llm.simhash import simhash_groups
 from lodestone.llm.token_counts import token_counts
 
@@ -30,22 +35,62 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(_table(spark, sf_dir, "documents"))
+
+
+def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op6_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, KINDS), F.sha2(span_string(base), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
+    "op4_chat_collapse": op4_chat_collapse,
+    "op6_bestfit_packing": op6_bestfit_packing,
     "op7_simhash_neardup": op7_simhash_neardup,
+    "op8_pii_weak": op8_pii_weak,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_consensus": op10_html_consensus,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_collapse": """
+        WITH t AS (
+            SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l
+            FROM conversations GROUP BY conv_id),
+        g AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies FROM t GROUP BY l),
+        p AS (SELECT DISTINCT l[1:i] AS l FROM (SELECT l, unnest(generate_series(1, len(l) - 1)) AS i FROM t))
+        SELECT conv_id, len(l) AS n_turns, n_copies, array_to_string(list_transform(l, lambda x:
+            '<|' || coalesce(x.role, '') || '|>' || chr(10) || coalesce(x.text, '') || '<|end|>' || chr(10)), '') AS rendered
+        FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = g.l)""",
     "op9_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
