@@ -5,15 +5,17 @@ found by sorting the distinct blocks; then adjacent pairs of names are named in
 round by round, until one name is left for each document. A name stands for one content and
 never for two, so two documents have the same identity exactly if their texts are equal.
 
-Only blocks that may have an equal elsewhere have to be sorted: a block whose 128-bit digest
-occurs once has no equal, and its document none either. The digest only rules blocks out, it
-never makes two of them equal.
+Only documents all of whose blocks occur again can have an equal one, so only these are named.
+Which blocks occur again is looked up by digest in a bitmap of a fixed size: it may say yes too
+often, which costs work, and never no for a block that does. Digests rule documents out; they
+never make two of them equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import stage
 
 BLOCK_BYTES = 4096
+BITMAP_BITS = 1 << 26
 
 
 def _normalised(text: str | None) -> bytes:
@@ -47,20 +50,30 @@ def _digests(block_bytes: int):
     return run
 
 
-def _contents(block_bytes: int):
+def _slot(digest: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(digest, 42) & (BITMAP_BITS - 1)  # as xxhash64() gives it
+
+
+def _contents(block_bytes: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        import xxhash
+
+        bits = bitmap.value
         for batch in batches:
             doc, sha, pos, block = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = _normalised(text)
-                digest = hashlib.sha256(raw).hexdigest()
-                for n, k in enumerate(range(0, max(1, len(raw)), block_bytes)):
-                    doc.append(doc_id)
-                    sha.append(digest)
-                    pos.append(n)
-                    block.append(raw[k : k + block_bytes])
+                blocks = [raw[k : k + block_bytes] for k in range(0, max(1, len(raw)), block_bytes)]
+                slots = (_slot(xxhash.xxh3_128_digest(b)) for b in blocks)
+                if all(bits[s >> 3] >> (s & 7) & 1 for s in slots):
+                    doc += [doc_id] * len(blocks)
+                    sha += [hashlib.sha256(raw).hexdigest()] * len(blocks)
+                    pos += range(len(blocks))
+                    block += blocks
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(sha, pa.string()), pa.array(pos, pa.int64()), pa.array(block, pa.binary())],
                 names=["doc_id", "text_sha256", "pos", "block"],
@@ -69,13 +82,23 @@ def _contents(block_bytes: int):
     return run
 
 
-def _named(distinct: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """distinct with an integer name that follows the order of its columns.
+def _bitmap(digests: DataFrame) -> np.ndarray:
+    """The slots of digests as BITMAP_BITS bits, least bit first; gathered as words of 64."""
+    slot = F.xxhash64("digest").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(xxhash64(digest) & 63 as int))")
+    words = digests.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
 
-    The rows are dealt out by range and sorted, so names ascend over the whole table; the
-    written table fixes them.
+def _named(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """The distinct values of columns, each with an integer name.
+
+    distinct() deals equal values to one task; there they are sorted and numbered, from another
+    start in each task. The written table fixes the names.
     """
-    ordered = distinct.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    ordered = rows.select(*columns).distinct().sortWithinPartitions(*columns)
     return stage(ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
 
@@ -83,53 +106,33 @@ def identities(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[Da
     """Two tables: all rows (doc_id, text_sha256), and (doc_id, text_sha256, size, name) of
     documents that may have an equal one.
 
-    size and name together identify a text. A row of documents that the second table lacks
-    has no equal row. Rows that are repeated as a whole stand there once.
+    size (blocks) and name together identify a text. A row of documents that the second table
+    lacks has no equal row. Rows that are repeated as a whole stand there once.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = stage(
-        texts.mapInArrow(_digests(block_bytes), "doc_id long, text_sha256 string, blocks array<binary>"), "digests"
-    )
-    repeated = (
-        digests.select(F.explode("blocks").alias("digest"))
-        .groupBy("digest")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("digest")
-    )
-    # a document can have an equal one only if each of its blocks occurs again
-    all_blocks = digests.select("doc_id", "text_sha256", F.size("blocks").alias("size"), F.explode("blocks").alias("digest"))
-    candidates = stage(
-        all_blocks.join(repeated, "digest", "left_semi")
-        .groupBy("doc_id", "text_sha256", "size")
-        .agg(F.count("*").alias("n"))
-        .filter("n % size = 0")
-        .select("doc_id", "text_sha256", F.col("size").cast("long").alias("size")),
-        "candidates",
-    )
-    same_row = [F.col("b.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("b.text_sha256") == F.col("c.text_sha256")]
+    digests = stage(texts.mapInArrow(_digests(block_bytes), "doc_id long, text_sha256 string, blocks array<binary>"), "digests")
+    counts = digests.select(F.explode("blocks").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
+    bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(counts.filter("n > 1")))
     blocks = stage(
-        texts.alias("b")
-        .join(candidates.select("doc_id").distinct().alias("c"), F.col("b.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
-        .mapInArrow(_contents(block_bytes), "doc_id long, text_sha256 string, pos long, block binary")
-        .alias("b")
-        .join(candidates.alias("c"), same_row)
-        .select("b.doc_id", "b.text_sha256", "c.size", "b.pos", "b.block"),
-        "blocks",
+        texts.mapInArrow(_contents(block_bytes, bitmap), "doc_id long, text_sha256 string, pos long, block binary"), "blocks"
+    )
+    level = stage(
+        blocks.join(_named(blocks, ["block"], "block-names"), "block").select("doc_id", "text_sha256", "pos", "name").distinct(), "level"
     )
-    names = _named(blocks.select("block").distinct(), ["block"], "block-names")
-    level = stage(blocks.join(names, "block").select("doc_id", "text_sha256", "size", "pos", "name").distinct(), "level")
+    sizes = level.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("size"))
     rounds = 0
     while not level.filter("pos > 0").isEmpty():
-        pairs = level.groupBy("doc_id", "text_sha256", "size", F.floor(F.col("pos") / 2).alias("pos")).agg(
+        pairs = level.groupBy("doc_id", "text_sha256", F.floor(F.col("pos") / 2).alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
         )
         pairs = stage(pairs, "pairs")
-        names = _named(pairs.select("left", "right").distinct(), ["left", "right"], f"pair-names-{rounds}")
-        level = stage(pairs.join(names, ["left", "right"]).select("doc_id", "text_sha256", "size", "pos", "name"), "level")
+        names = _named(pairs, ["left", "right"], f"pair-names-{rounds}")
+        level = stage(pairs.join(names, ["left", "right"]).select("doc_id", "text_sha256", "pos", "name"), "level")
         rounds += 1
-    return digests.select("doc_id", "text_sha256"), level.select("doc_id", "text_sha256", "size", "name")
+    same_row = [F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("l.text_sha256") == F.col("s.text_sha256")]
+    named = level.alias("l").join(sizes.alias("s"), same_row).select("l.doc_id", "l.text_sha256", "s.size", "l.name")
+    return digests.select("doc_id", "text_sha256"), named
 
 
 def exact_dedup(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
