@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1 << 16
-_KEPT = 1 << 19
+_ROWS = 256
+#: What a worker keeps: fields, states and pairs of tokens. Beyond it starts anew.
+_FIELDS, _STATES, _PAIRS = 1 << 17, 1 << 17, 1 << 16
 _POINTS = ".,;:!?*$%&#|"
 #: White space as the tokenizer's patterns take it.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -55,8 +57,9 @@ class Transducer:
         #: state: (recent text, last tokens at its positions, counts there relative to now)
         self.states: dict[tuple, int] = {}
         self.of: list[tuple] = []
-        #: transitions by state << 8 | byte, and those at the end of a word
-        self.next: dict[int, tuple[int, int]] = {}
+        #: transitions by state << 8 | byte, each the next state << 8 | change of the count + 128; and
+        #: the changes at the end of a word
+        self.next: dict[int, int] = {}
         self.final: dict[int, int] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.start = self._state(("", ("",), (0,)))
@@ -85,12 +88,12 @@ class Transducer:
     def _fit(self, left: str, right: str) -> bool:
         """Whether left and right stay two tokens when their bytes are tokenized together."""
         if (key := (left, right)) not in self.fits:
-            if len(self.fits) > _KEPT:
+            if len(self.fits) > _PAIRS:
                 self.fits.clear()
             self.fits[key] = not left or self._merged(self._split(left) + self._split(right)) == [left, right]
         return self.fits[key]
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
+    def _step(self, state: int, byte: int) -> int:
         text, tokens, counts = self.of[state]
         text += self.symbols[byte]
         for k in range(len(text)):  # the longest last token first; position k is before text[k]
@@ -102,9 +105,9 @@ class Transducer:
             raise ValueError(f"no token for byte {byte}")
         tokens, counts = (*tokens, piece), (*(c - delta for c in counts), 0)
         keep = next((k for k in range(len(text)) if text[k:] in self.open), len(text))
-        return self._state((text[keep:], tokens[keep:], counts[keep:])), delta
+        return self._state((text[keep:], tokens[keep:], counts[keep:])) << 8 | delta + 128
 
-    @lru_cache(maxsize=_KEPT)  # noqa: B019  one transducer for each process
+    @lru_cache(maxsize=_PAIRS)  # noqa: B019  one transducer for each process
     def _whole(self, token: str) -> bool:
         """Whether the merges make token out of its own bytes."""
         return self._merged(self._split(token)) == [token]
@@ -119,7 +122,7 @@ class Transducer:
 
     def count(self, word: bytes) -> int:
         """The number of tokens of one word."""
-        if len(self.of) > _KEPT:
+        if len(self.of) > _STATES:
             self.__dict__.update(states={}, of=[], next={}, final={})
             self.start = self._state(("", ("",), (0,)))
         total, at, known = 0, self.start, self.next
@@ -127,7 +130,7 @@ class Transducer:
             key = at << 8 | byte
             if key not in known:
                 known[key] = self._step(at, byte)
-            at, change = known[key]
+            at, change = known[key] >> 8, (known[key] & 255) - 128
             total += change
         key = at << 8 | word[-1]
         if key not in self.final:
@@ -172,7 +175,7 @@ class Counter:
     def field(self, text: str) -> int:
         """Tokens of a text without white space; kept for the next time."""
         if (n := self.fields.get(text)) is None:
-            if len(self.fields) > _KEPT:
+            if len(self.fields) > _FIELDS:
                 self.fields.clear()
             word = text.rstrip(_POINTS)
             low = word.lower()
@@ -236,7 +239,8 @@ def _mapped(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            maps = [c.chunk(t) for t in batch.column("chunk").to_pylist()]
+            chunks = batch.column("chunk")
+            maps = [c.chunk(t) for k in range(0, len(chunks), _ROWS) for t in chunks.slice(k, _ROWS).to_pylist()]
             # a text of one chunk is counted at once, those of more go on with what waits at their edges
             done = [c.total(m) if one else None for m, one in zip(maps, batch.column("one").to_pylist(), strict=True)]
             keep = [(m.head, m.count, m.tail, m.broken) if n is None else ("", 0, "", False) for m, n in zip(maps, done, strict=True)]
@@ -251,11 +255,11 @@ def _mapped(path: str):
 
 def _composed(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
         for batch in batches:
             totals = []
             for known, maps in zip(batch.column("n_tokens").to_pylist(), batch.column("maps").to_pylist(), strict=True):
                 if known is None:
+                    c = counter(path)
                     ordered = sorted(maps, key=lambda m: m["pos"])
                     known = c.total(c.scan([ChunkMap(m["head"], m["count"], m["tail"], m["broken"]) for m in ordered])[-1])
                 totals.append(known)
