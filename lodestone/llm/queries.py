@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.chat import maximal_conversations
+from lodestone.llm.embedding_dedup import embedding_links
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.language import language_of
 from lodestone.llm.packing import pack
 from lodestone.llm.pages import main_texts
 from lodestone.llm.pii import KINDS, find_personal_data, span_string
+from lodestone.llm.sentencepiece import round_trip
 from lodestone.llm.simhash import simhash_groups
 from lodestone.llm.token_counts import token_counts
 
@@ -30,6 +32,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -43,6 +49,10 @@ def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maximal_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -71,9 +81,11 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op4_chat_collapse": op4_chat_collapse,
+    "op5_embedding_neardup": op5_embedding_neardup,
     "op6_bestfit_packing": op6_bestfit_packing,
     "op7_simhash_neardup": op7_simhash_neardup,
     "op8_pii_weak": op8_pii_weak,
