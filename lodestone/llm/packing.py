@@ -28,8 +28,11 @@ from lodestone.llm.common import stage
 
 CAPACITY = 2048
 END_ID = 0
-_KEPT = 1 << 19
-_GROUP_CHARS = 1 << 20
+#: Fields that a worker keeps, characters looked up at once and fields tokenized at once.
+_KEPT = 1 << 18
+_GROUP_CHARS = 1 << 17
+_BATCH = 1 << 10
+_ROWS = 256
 #: White space other than space and line feed; with any of it a text is tokenized as a whole.
 _ODD_SPACE = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -37,9 +40,10 @@ _ODD_SPACE = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers.
 
-    The byte-level pattern starts a new word at each single space between two words, so a text is
-    tokenized field by field and fields seen before are looked up. Texts with runs of white space
-    or special strings go to the tokenizer as a whole.
+    The byte-level pattern starts a new word at each single space and around each single line
+    feed between two words, so a text is tokenized word by word and words seen before are looked
+    up. New words are given to the tokenizer together, one a line. Texts with runs of white
+    space or special strings go to it as a whole.
     """
 
     def __init__(self, path: str):
@@ -47,34 +51,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line = self._ids("\n")
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        if len(self.line) != 4 or self._ids("a\n b\nc") != self._ids("a") + self.line + self._ids(" b") + self.line + self._ids("c"):
+            raise ValueError("a byte-level tokenizer is asked for, which has a token for a line feed")
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def _whole(self, text: str) -> bool:
-        if "  " in text or "\n " in text or " \n" in text or any(m in text for m in self.marks):
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(m in text for m in self.marks):
             return True
-        return any(c in text for c in _ODD_SPACE) and re.search(r"\s | \s", text) is not None
+        return any(c in text for c in _ODD_SPACE) and re.search(r"\s\s", text) is not None
+
+    def _learn(self, kept: dict[str, bytes], words: set[str], lead: str) -> None:
+        new = [w for w in words if w not in kept]
+        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        for k in range(0, len(plain), _BATCH):
+            some = plain[k : k + _BATCH]
+            ids = np.frombuffer(self._ids("\n".join([lead + w for w in some])), "<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            kept.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, starts, ends, strict=True))
+        if len(plain) < len(new):
+            kept.update((w, self._ids(lead + w)) for w in set(new) - set(plain))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.rest) > _KEPT:
             self.first.clear()
             self.rest.clear()
         whole = [self._whole(t) for t in texts]
-        fields = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        lines = [None if w else [line.split(" ") for line in t.split("\n")] for t, w in zip(texts, whole, strict=True)]
         first, rest = set(), set()
-        for parts in fields:
-            if parts:
-                first.add(parts[0])
-                rest.update(parts[1:])
-        for kept, new, lead in ((self.first, first, ""), (self.rest, rest, " ")):
-            new = [f for f in new if f not in kept]
-            kept.update(zip(new, self._batch([lead + f for f in new]), strict=True))
-        found = iter(self._batch([t for t, w in zip(texts, whole, strict=True) if w]))
-        of, begin = self.rest, self.first
-        return [next(found) if w else begin[p[0]] + b"".join([of[f] for f in p[1:]]) for p, w in zip(fields, whole, strict=True)]
+        for parts in lines:
+            for words in parts or ():
+                first.add(words[0])
+                rest.update(words[1:])
+        self._learn(self.first, first, "")
+        self._learn(self.rest, rest, " ")
+        of, begin, line = self.rest, self.first, self.line
+        return [
+            self._ids(t) if parts is None else line.join([b"".join([begin[words[0]], *[of[w] for w in words[1:]]]) for words in parts])
+            for t, parts in zip(texts, lines, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -104,7 +124,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             out: list[list] = [[] for _ in range(7)]
             doc_ids = iter(batch.column("doc_id").to_pylist())
             for group in _grouped([t or "" for t in batch.column("text").to_pylist()]):
