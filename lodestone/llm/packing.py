@@ -14,7 +14,7 @@ task and no group ever holds all pieces of one length.
 
 from __future__ import annotations
 
-import re
+import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,76 +25,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stage
+from lodestone.llm.token_counts import byte_symbols
 
 CAPACITY = 2048
 END_ID = 0
-#: Fields that a worker keeps, characters looked up at once and fields tokenized at once.
-_KEPT = 1 << 18
-_GROUP_CHARS = 1 << 17
-_BATCH = 1 << 10
 _ROWS = 256
-#: White space other than space and line feed; with any of it a text is tokenized as a whole.
-_ODD_SPACE = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Fixed value: how byte-level tokenizers cut a text into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit numbers.
+    """Ids of whole texts by a byte-level tokenizers file, as little-endian unsigned 32-bit numbers.
 
-    The byte-level pattern starts a new word at each single space and around each single line
-    feed between two words, so a text is tokenized word by word and words seen before are looked
-    up. New words are given to the tokenizer together, one a line. Texts with runs of white
-    space or special strings go to it as a whole.
+    Texts with special strings go to the tokenizers library. For all others its ids are those of
+    the same vocabulary read as ranks, which tiktoken works out in a third of the time and
+    without keeping words; the tests compare the two on whole tables.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = self._ids("\n")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        if len(self.line) != 4 or self._ids("a\n b\nc") != self._ids("a") + self.line + self._ids(" b") + self.line + self._ids("c"):
-            raise ValueError("a byte-level tokenizer is asked for, which has a token for a line feed")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-
-    def _whole(self, text: str) -> bool:
-        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(m in text for m in self.marks):
-            return True
-        return any(c in text for c in _ODD_SPACE) and re.search(r"\s\s", text) is not None
-
-    def _learn(self, kept: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in kept]
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        for k in range(0, len(plain), _BATCH):
-            some = plain[k : k + _BATCH]
-            ids = np.frombuffer(self._ids("\n".join([lead + w for w in some])), "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            kept.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, starts, ends, strict=True))
-        if len(plain) < len(new):
-            kept.update((w, self._ids(lead + w)) for w in set(new) - set(plain))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > _KEPT:
-            self.first.clear()
-            self.rest.clear()
-        whole = [self._whole(t) for t in texts]
-        lines = [None if w else [line.split(" ") for line in t.split("\n")] for t, w in zip(texts, whole, strict=True)]
-        first, rest = set(), set()
-        for parts in lines:
-            for words in parts or ():
-                first.add(words[0])
-                rest.update(words[1:])
-        self._learn(self.first, first, "")
-        self._learn(self.rest, rest, " ")
-        of, begin, line = self.rest, self.first, self.line
-        return [
-            self._ids(t) if parts is None else line.join([b"".join([begin[words[0]], *[of[w] for w in words[1:]]]) for words in parts])
-            for t, parts in zip(texts, lines, strict=True)
-        ]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
+            raise ValueError("a byte-level tokenizer without normalisation is asked for")
+        self.marks = [t["content"] for t in spec["added_tokens"]]
+        byte_of = {c: n for n, c in enumerate(byte_symbols())}
+        ranks = {bytes(byte_of[c] for c in piece): n for piece, n in spec["model"]["vocab"].items() if piece not in self.marks}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if any(m in text for m in self.marks):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranks.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -102,42 +69,26 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _grouped(texts: list[str]) -> Iterator[list[str]]:
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= _GROUP_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import zlib
 
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             out: list[list] = [[] for _ in range(7)]
-            doc_ids = iter(batch.column("doc_id").to_pylist())
-            for group in _grouped([t or "" for t in batch.column("text").to_pylist()]):
-                for raw in enc.encode(group):
-                    raw, doc_id = raw + end, next(doc_ids)
-                    total = len(raw) // 4
-                    cuts = [0, *range(total % capacity or capacity, total + 1, capacity)]
-                    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        ids = raw[4 * a : 4 * b]
-                        row = (doc_id, n, a, b - a, zlib.crc32(ids), seen[b - a], np.frombuffer(ids, "<u4") if with_ids else None)
-                        seen[b - a] += 1
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw = enc.encode(text or "") + end
+                total = len(raw) // 4
+                cuts = [0, *range(total % capacity or capacity, total + 1, capacity)]
+                for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    ids = raw[4 * a : 4 * b]
+                    row = (doc_id, n, a, b - a, zlib.crc32(ids), seen[b - a], np.frombuffer(ids, "<u4") if with_ids else None)
+                    seen[b - a] += 1
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
             yield pa.RecordBatch.from_arrays(

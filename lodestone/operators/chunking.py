@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import chunk_id, estimated_tokens, rounded, trimmed
+from lodestone.functions.vectors import let
 
 TARGET, OVERLAP, LEAST = 320, 64, 32
 _LIST = "array<string>"
@@ -20,11 +21,13 @@ def _regrouped(paragraph: Column, target: int) -> Column:
     start = F.struct(F.lit("").alias("open"), F.array().cast(_LIST).alias("done"))
 
     def add(acc: Column, sentence: Column) -> Column:
-        both = F.concat(acc["open"], F.lit(" "), sentence)
+        both = F.when(acc["open"] == "", sentence).otherwise(F.concat(acc["open"], F.lit(" "), sentence))
         full = (acc["open"] != "") & (estimated_tokens(both) > target)
-        return F.struct(
-            F.when(full | (acc["open"] == ""), sentence).otherwise(both).alias("open"),
-            F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
+        return let(
+            full,
+            lambda cut: F.struct(
+                F.when(cut, sentence).otherwise(both).alias("open"), F.when(cut, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done")
+            ),
         )
 
     return F.aggregate(
@@ -54,7 +57,7 @@ def _spans(sizes: Column, target: int, overlap: int) -> Column:
                 fits.alias("going"),
             )
 
-        steps = F.when(at > acc["first"], F.sequence(F.lit(1), at - acc["first"])).otherwise(F.array().cast("array<int>"))
+        steps = F.when(full, F.sequence(F.lit(1), at - acc["first"])).otherwise(F.array().cast("array<int>"))
         kept = F.aggregate(steps, F.struct(at.alias("first"), F.lit(0).alias("tokens"), F.lit(True).alias("going")), back)
         return F.struct(
             F.when(full, kept["first"]).otherwise(acc["first"]).alias("first"),
@@ -76,12 +79,16 @@ def chunk_sections(sections: DataFrame, target: int = TARGET, overlap: int = OVE
     dropped if the section has a longer one, before ordinals are given; without a longer one its
     first body stays. A null or blank text has no chunks.
     """
-    cut = sections.withColumn("_units", F.coalesce(units(F.col("text"), target), F.array().cast(_LIST)))
-    sized = cut.withColumn("_sizes", F.transform("_units", estimated_tokens))
-    spans = sized.withColumn("_spans", _spans(F.col("_sizes"), target, overlap))
-    bodies = spans.withColumn("_bodies", F.transform("_spans", lambda s: F.array_join(F.slice("_units", s["first"] + 1, s["last"] - s["first"] + 1), "\n")))
-    long = F.filter("_bodies", lambda b: estimated_tokens(b) >= least)
-    kept = bodies.withColumn("_kept", F.when(F.size(long) > 0, long).otherwise(F.slice("_bodies", 1, 1)))
+
+    def bodies(listed: Column) -> Column:
+        spans = let(F.transform(listed, estimated_tokens), lambda sizes: _spans(sizes, target, overlap))
+        return F.transform(spans, lambda s: F.array_join(F.slice(listed, s["first"] + 1, s["last"] - s["first"] + 1), "\n"))
+
+    def kept_bodies(every: Column) -> Column:
+        return let(F.filter(every, lambda b: estimated_tokens(b) >= least), lambda long: F.when(F.size(long) > 0, long).otherwise(F.slice(every, 1, 1)))
+
+    listed = F.coalesce(units(F.col("text"), target), F.array().cast(_LIST))
+    kept = sections.withColumn("_kept", let(let(listed, bodies), kept_bodies))
     others = [c for c in sections.columns if c != "text"]
     out = kept.select(*others, F.size("_kept").alias("ordinal_of"), F.posexplode("_kept").alias("ordinal", "text"))
     return out.select(

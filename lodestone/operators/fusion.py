@@ -51,6 +51,19 @@ def sweep(dense: DataFrame, lexical: DataFrame, k: int = 10, weights: tuple[floa
     return best.select(F.col("w_lexical").alias("lexical_weight"), "query_id", "chunk_idx", "score", "rank")
 
 
+def configured(dense: DataFrame, lexical: DataFrame, configs: dict[str, tuple[float, float]], k: int = 10) -> DataFrame:
+    """config, query_id, chunk_idx, score, rank for all configurations in one job.
+
+    A configuration is a pair of weights; rows that no arm with weight has are left out.
+    """
+    arms = fused(dense, lexical, 1 << 30).drop("score", "rank")
+    named = [F.struct(F.lit(n).alias("config"), F.lit(a).alias("w_dense"), F.lit(b).alias("w_lexical")) for n, (a, b) in configs.items()]
+    many = arms.select("*", F.inline(F.array(*named))).withColumn("score", _score()).filter("score > 0")
+    window = Window.partitionBy("config", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"))
+    best = many.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= k)
+    return best.select("config", "query_id", "chunk_idx", "score", "rank")
+
+
 def reranked(found: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     """found (query_id, chunk_idx, rank) in the order of judged (query_id, chunk_idx, relevance).
 

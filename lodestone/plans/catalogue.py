@@ -143,14 +143,13 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "citation")
 
 
+#: Weights of the dense and the lexical arm in each configuration.
+ARM_WEIGHTS = {"bm25": (0.0, 1.0), "dense": (1.0, 0.0), "rrf_equal": (1.0, 1.0), "rrf_weighted": (0.3, 1.0)}
+
+
 def _rankings(spark: SparkSession, d: str) -> DataFrame:
-    arms = _arms(spark, d)
-    named = {"dense": arms[0], "bm25": arms[1], "rrf_equal": fusion.fused(*arms), "rrf_weighted": fusion.fused(*arms, weights=(0.3, 1.0))}
-    out = None
-    for name, rows in named.items():
-        part = rows.filter("rank <= 10").select(F.lit(name).alias("config"), "query_id", "chunk_idx", "rank")
-        out = part if out is None else out.union(part)
-    return out.join(A.corpus(spark, d).select("chunk_idx", "citation"), "chunk_idx").drop("chunk_idx")
+    found = fusion.configured(*_arms(spark, d), ARM_WEIGHTS)
+    return found.join(A.corpus(spark, d).select("chunk_idx", "citation"), "chunk_idx").select("config", "query_id", "citation", "rank")
 
 
 def _per_query(spark: SparkSession, d: str) -> DataFrame:
@@ -381,9 +380,9 @@ def ndjson_events_stream(spark: SparkSession, d: str) -> DataFrame:
     )
     lines = event_stream.event_lines(rows)
     lines.union(lines.limit(5).select(F.substring("value", 1, 9))).write.text(f"{base}/in")
-    event_stream.write_events(event_stream.read_events(spark, f"{base}/in"), f"{base}/out", f"{base}/state").processAllAvailable()
-    for running in spark.streams.active:
-        running.stop()
+    running = event_stream.write_events(event_stream.read_events(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
+    running.processAllAvailable()
+    running.stop()
     return event_stream.parsed_events(spark.read.text(f"{base}/out")).groupBy("type").agg(F.count("*").alias("n_events"), F.sum("score").alias("sum_ids"))
 
 
@@ -396,7 +395,6 @@ def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     ).write.parquet(f"{base}/in")
     calls = spark.readStream.schema("call_id long, bucket string, visitor string, at timestamp").parquet(f"{base}/in")
     limited = limit_stream.anchored_limit(calls, LIMIT, WINDOW_MS)
-    running = limited.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").start()
-    running.processAllAvailable()
-    running.stop()
+    running = limited.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("call_id", "allowed")

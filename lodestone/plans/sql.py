@@ -127,7 +127,7 @@ _SPANS = """s AS (SELECT *, CASE WHEN tokens IS NOT NULL THEN floor(tokens / 4):
         SELECT event_id, value, user_id || '-' || strftime(ts, '%Y%m%d') AS run_id, (props->>'$.k')::INT AS k,
         CASE event_type WHEN 'view' THEN 'retrieve' WHEN 'click' THEN 'embed' WHEN 'signup' THEN 'rerank' ELSE 'generate' END AS kind FROM events))),"""
 _RATE = "CASE model " + " ".join(f"WHEN '{m}' THEN (coalesce(tokens, 0) * {i}::DOUBLE + coalesce(out_tokens, 0) * {o}::DOUBLE) / 1e6" for m, (i, o) in PRICES.items()) + " END"
-_CALLS = "c AS (SELECT event_id AS call_id, event_type AS bucket, user_id::VARCHAR AS visitor, epoch_ms(ts) AS at_ms FROM events),"
+_CALLS = "c AS (SELECT event_id AS call_id, event_type AS bucket, user_id::VARCHAR AS visitor, epoch_us(ts) // 1000 AS at_ms FROM events),"
 _ANCHORED = f"""WITH RECURSIVE {_CALLS}
 n AS (SELECT *, row_number() OVER (PARTITION BY bucket, visitor ORDER BY at_ms, call_id) AS k FROM c),
 f AS (SELECT *, 1 AS count, at_ms AS opened, true AS allowed FROM n WHERE k = 1
@@ -162,7 +162,7 @@ SQL: dict[str, str] = {
     "rerank_listwise": f"""{_end(_ARMS + f"f AS ({_fused('1.0::DOUBLE', '1.0::DOUBLE', 30)}),")},
         j AS (SELECT f.query_id, f.chunk_idx, count(*) AS n, (SELECT count(*) FROM asked a WHERE a.query_id = f.query_id) AS m
             FROM f JOIN asked USING (query_id) JOIN postings p ON p.chunk_idx = f.chunk_idx AND p.term = asked.term WHERE f.chunk_idx % 2 = 1 GROUP BY f.query_id, f.chunk_idx),
-        g AS (SELECT f.query_id, f.chunk_idx, f.rank AS fused_rank, coalesce(least(3, floor(4 * n / m)), -1)::INT AS relevance FROM f LEFT JOIN j USING (query_id, chunk_idx))
+        g AS (SELECT f.query_id, f.chunk_idx, f.rank AS fused_rank, CASE WHEN n IS NULL THEN -1 ELSE least(3, floor(4 * n / m)) END::INT AS relevance FROM f LEFT JOIN j USING (query_id, chunk_idx))
         {_top('SELECT * FROM g', 10, 'relevance DESC, fused_rank')}""",
     "gold_labels": f"{_end(_CORPUS + _GOLD)} SELECT * FROM gold",
     "eval_metrics": f"{_end(_EVAL)} SELECT config, count(*) AS n, {_MEANS} FROM per GROUP BY config",
