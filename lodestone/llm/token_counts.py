@@ -285,9 +285,11 @@ def token_counts(documents: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS
         F.sequence(F.lit(0), F.floor((size - 1) / chunk_chars).cast("int")),
         lambda k: F.struct(k.alias("pos"), F.substring(text, k * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk")),
     )
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+    # numbered before they are cut: in one select the cuts would each get a number of their own
+    numbered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("row"))
+    rows = numbered.select(
+        "doc_id",
+        "row",
         F.octet_length(text).cast("long").alias("n_bytes"),
         (size <= chunk_chars).alias("one"),
         F.inline(F.when(size <= chunk_chars, whole).otherwise(cut)),
