@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+DAY_MS = 86_400_000
+
 
 def fixed_window_counts(calls: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """bucket, visitor, window, n_calls; refused calls count too. Append mode gives closed windows."""
     return calls.withWatermark("at", late).groupBy("bucket", "visitor", F.window("at", window)).agg(F.count("*").alias("n_calls"))
 
 
-def anchored_limit(calls: DataFrame, limit: int, window_ms: int) -> DataFrame:
+def anchored_limit(calls: DataFrame, limit: int, window_ms: int, late: str = "1 hour") -> DataFrame:
     """call_id, bucket, visitor, at, allowed: the window of a visitor opens at its first allowed call.
 
     calls: call_id long, bucket, visitor string, at timestamp. The state of a visitor is two
-    numbers and goes when its window has been over for as long as another window.
+    numbers and goes by event time, when its window has been over for as long as another window
+    and a day. Calls that come later than late behind the newest one may be left out.
     """
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,10 +42,11 @@ def anchored_limit(calls: DataFrame, limit: int, window_ms: int) -> DataFrame:
                 allowed.append(ok)
             yield rows.assign(allowed=allowed)[["call_id", "bucket", "visitor", "at", "allowed"]]
         state.update((count, opened))
-        state.setTimeoutDuration(2 * window_ms)
+        # a day more, as the times in frames are those of the session's zone and the watermark's are not
+        state.setTimeoutTimestamp(max(opened + 2 * window_ms + DAY_MS, state.getCurrentWatermarkMs() + 1))
 
-    return calls.groupBy("bucket", "visitor").applyInPandasWithState(
-        decide, "call_id long, bucket string, visitor string, at timestamp, allowed boolean", "count long, opened long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return calls.withWatermark("at", late).groupBy("bucket", "visitor").applyInPandasWithState(
+        decide, "call_id long, bucket string, visitor string, at timestamp, allowed boolean", "count long, opened long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
