@@ -1,18 +1,18 @@
-"""Near-duplicate embeddings by NN-descent.
+"""Near-duplicate embeddings: every pair of a label compared.
 
-A graph gives each vector its nearest neighbours of the same label. It starts from vectors that
-lie next to each other on several random orders (signs of random projections) and is refined by
-joining the neighbours of each vector with one another. An audit compares some vectors with all
-others and has the refinement go on until nearly all near neighbours are found. Edges at or over
-the threshold are links. A vector whose whole list is links is saturated; the lists of a
-component with such vectors are enlarged to the whole component, block against block, so that
-its links are counted in full without writing them down as pairs.
+Equal vectors are one vertex with a number. The vertices are cut into chunks of a bounded size,
+label by label; each chunk travels to all vertices once, and each task compares those of its own
+vertices that have the chunk's labels and come after it. What a task gives back grows with its
+vertices and not with the links: the number of links of each vertex, and edges that join what is
+linked, a spanning forest of what the task has seen.
 
-Equal vectors are one vertex with a number. All similarities are in double precision.
+Pairs are looked for in single precision, with a margin for its error, and decided in double
+precision. The comparisons grow with the square of the number of distinct vectors of a label.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import connected_components, stage
+from lodestone.llm.common import connected_components, shared_dir, stage
 
 THRESHOLD = 0.93
-NEIGHBOURS = 8
-ORDERS = 6
-SIGNS = 24
-BLOCK = 256
-STRIDE = 192
-JOIN_BLOCK = 64
-AUDITED = 256
-RECALL = 0.995
-ROUNDS = 6
-SEED = 20240229
+#: Numbers in the vectors of one chunk, about.
+VALUES = 1 << 21
+#: Vectors of a task and of the chunk that are compared at once.
+TILE = (512, 4096)
+#: Up to this many labels of a chunk are a filter on what is read.
+FILTERED = 64
 
 
 def usable(vector: Column) -> Column:
@@ -54,212 +50,148 @@ def _unit(column: pa.Array) -> list[np.ndarray]:
     return [r / np.sqrt((r * r).sum()) for r in out]
 
 
-def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Starts and ends of the runs of equal rows."""
-    if not len(columns[0]):
+def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(grp, places of its rows, their unit vectors) of rows with grp and v."""
+    if not batch.num_rows:
         return
-    change = np.zeros(len(columns[0]) - 1, dtype=bool)
-    for c in columns:
-        change |= c[1:] != c[:-1]
-    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])]
-    yield from zip(cuts, cuts[1:], strict=False)
-
-
-def _ordered(orders: int):
-    """Rows (node, grp, v) once for each order, with their code there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            vectors = _unit(batch.column("v")) if batch.num_rows else []
-            codes = np.zeros((len(vectors), orders), dtype=np.int64)
-            sizes = np.array([len(v) for v in vectors])
-            for size in set(sizes.tolist()):
-                if size not in planes:
-                    planes[size] = np.random.default_rng(SEED + size).standard_normal((size, orders * SIGNS))
-                at = np.flatnonzero(sizes == size)
-                signs = np.stack([vectors[k] for k in at]) @ planes[size] > 0
-                # Gray code: neighbours in the order differ in few signs
-                bits = np.logical_xor.accumulate(signs.reshape(len(at), orders, SIGNS), axis=2)
-                codes[at] = bits @ (1 << np.arange(SIGNS)[::-1])
-            for k in range(orders):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, k, np.int32)), batch.column("grp"), pa.array(codes[:, k]), batch.column("node"), batch.column("v")],
-                    names=["k", "grp", "code", "node", "v"],
-                )
-
-    return run
-
-
-def _edges(src: list[np.ndarray], dst: list[np.ndarray], sim: list[np.ndarray]) -> pa.RecordBatch:
-    arrays = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((src, np.int64), (dst, np.int64), (sim, np.float64))]
-    return pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["src", "dst", "sim"])
-
-
-def _best(nodes: np.ndarray, vectors: list[np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest rows of each row of a block."""
-    table = np.stack(vectors)
-    sims = table @ table.T
-    sims[nodes[:, None] == nodes[None, :]] = -2
-    keep = min(keep, len(nodes) - 1)
-    top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-    return np.repeat(nodes, keep), nodes[top].ravel(), np.take_along_axis(sims, top, axis=1).ravel()
-
-
-def _first_edges(keep: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            order, grp, node = batch.column("k").to_numpy(), batch.column("grp").to_numpy(zero_copy_only=False), batch.column("node").to_numpy()
-            vectors, out = _unit(batch.column("v")), ([], [], [])
-            for a, b in _runs(order, grp):
-                for s in range(a, b, STRIDE):
-                    e = min(b, s + BLOCK)
-                    if e - s > 1:
-                        for into, x in zip(out, _best(node[s:e], vectors[s:e], keep), strict=True):
-                            into.append(x)
-                    if e == b:
-                        break
-            found = _edges(*out)
-            yield found.filter(pa.array(found.column("sim").to_numpy() > -2))
-
-    return run
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (mid, node, least, v) sorted by mid: pairs among the neighbours of mid that improve a list."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        mid, node, least = (batch.column(c).to_numpy() for c in ("mid", "node", "least"))
-        vectors, out = _unit(batch.column("v")), ([], [], [])
-        for a, b in _runs(mid):
-            for s in range(a, b, JOIN_BLOCK):
-                e = min(b, s + JOIN_BLOCK)
-                if e - s < 2:
+    codes = batch.column("grp").dictionary_encode()
+    at, vectors = codes.indices.to_numpy(), _unit(batch.column("v"))
+    for k, g in enumerate(codes.dictionary.to_pylist()):
+        rows = np.flatnonzero(at == k)
+        yield g, rows, np.stack([vectors[r] for r in rows])
+
+
+def _joined(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """root, the smallest place of each place's set, after the sets of the roots in pairs are united."""
+    up: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while k in up:
+            if up[k] in up:
+                up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for a, b in pairs.tolist():
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    to = np.arange(len(root))
+    for k in up:
+        to[k] = top(k)
+    return to[root]
+
+
+class _Group:
+    """The vertices of a chunk in one grp, and what a task has found of them."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, table: np.ndarray):
+        self.node, self.n, self.table, self.single = node, n, table, table.astype(np.float32)
+        self.root, self.links = np.arange(len(node)), np.zeros(len(node), np.int64)
+
+    def meet(self, node: np.ndarray, n: np.ndarray, table: np.ndarray, later: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of the vertices (node, n, table), and places of an edge of each that has links: (links, from, to).
+
+        later: whether they come after the whole chunk; the others are of the chunk and meet what has a smaller node.
+        """
+        links, tied, margin = np.zeros(len(node), np.int64), np.full(len(node), -1), max(1e-3, 2e-7 * table.shape[1])
+        single = table.astype(np.float32)
+        for c in range(0, len(self.node), TILE[1]):
+            cols = slice(c, c + TILE[1])
+            for r in range(0, len(node), TILE[0]):
+                maybe = (single[r : r + TILE[0]] @ self.single[cols].T >= threshold - margin).any(axis=1)
+                rows = r + np.flatnonzero(maybe)
+                if not len(rows):
                     continue
-                src, dst, sim = _best(node[s:e], vectors[s:e], NEIGHBOURS)
-                better = sim > np.repeat(least[s:e], len(src) // (e - s))
-                for into, x in zip(out, (src[better], dst[better], sim[better]), strict=True):
-                    into.append(x)
-        yield _edges(*out)
-
-
-def _lists(edges: DataFrame, keep: int) -> DataFrame:
-    """node, near: its best (sim, dst), and least, the similarity that a better one has to pass.
-
-    Each node comes with as many edges as it was met, a small multiple of keep.
-    """
-    near = F.slice(F.sort_array(F.collect_set(F.struct("sim", "dst")), asc=False), 1, keep)
-    return edges.groupBy(F.col("src").alias("node")).agg(near.alias("near")).select(
-        "node", "near", F.when(F.size("near") < keep, F.lit(-2.0)).otherwise(F.element_at("near", F.lit(-1))["sim"]).alias("least")
-    )
-
-
-def _arcs(lists: DataFrame) -> DataFrame:
-    return lists.select(F.col("node").alias("src"), F.inline("near")).select("src", "dst", "sim")
-
-
-def refined(vertices: DataFrame, lists: DataFrame, keep: int) -> DataFrame:
-    """The lists after one join of neighbours with neighbours."""
-    arcs = _arcs(lists)
-    both = arcs.select(F.col("src").alias("mid"), F.col("dst").alias("node")).union(arcs.select(F.col("dst").alias("mid"), F.col("src").alias("node"))).distinct()
-    members = both.join(vertices.select("node", "v").join(lists.select("node", "least"), "node"), "node")
-    # sorted runs instead of groups: a vertex near to very many is dealt over tasks and blocks
-    dealt = members.withColumn("salt", F.xxhash64("node")).repartitionByRange("mid", "salt").sortWithinPartitions("mid", "salt")
-    better = dealt.select("mid", "node", "least", "v").mapInArrow(_joined, "src long, dst long, sim double")
-    return stage(_lists(arcs.union(better), keep), "lists")
-
-
-def audit(vertices: DataFrame, lists: DataFrame, keep: int, threshold: float) -> float:
-    """The share of the links of about AUDITED vertices, as far as a list can hold them, that their lists have."""
-    number = vertices.count()
-    share = F.lit(int(min(1.0, AUDITED / max(1, number)) * (1 << 40)))
-    rows = vertices.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < share).select("node", "grp", "v").toArrow()
-    if not rows.num_rows:
-        return 1.0
-    asked = [rows.column(c).combine_chunks() for c in ("node", "grp", "v")]
-    shared = vertices.sparkSession.sparkContext.broadcast((asked[0].to_numpy(), asked[1].to_numpy(zero_copy_only=False), _unit(asked[2])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, groups, vectors = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            grp, node, those, found = batch.column("grp").to_numpy(zero_copy_only=False), batch.column("node").to_numpy(), _unit(batch.column("v")), []
-            for g in set(grp.tolist()) & set(groups.tolist()):
-                mine, at = np.flatnonzero(groups == g), np.flatnonzero(grp == g)
-                sims = np.stack([vectors[k] for k in mine]) @ np.stack([those[k] for k in at]).T
-                sims[nodes[mine][:, None] == node[at][None, :]] = -2
-                found += list(zip(nodes[mine].tolist(), (sims >= threshold).sum(axis=1).tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["node", "links"])
-
-    true = vertices.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    have = lists.select("node", F.size(F.filter("near", lambda n: n["sim"] >= threshold)).alias("have"))
-    sums = true.join(have, "node", "left").agg(
-        F.sum(F.least("links", F.lit(keep))).alias("of"), F.sum(F.least(F.coalesce("have", F.lit(0)), "links", F.lit(keep))).alias("have")
-    ).first()
-    return sums["have"] / sums["of"] if sums["of"] else 1.0
-
-
-def neighbour_graph(vertices: DataFrame, keep: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
-    """node, near (sim, dst; best first), least for vertices (node, grp, v) with neighbours in grp."""
-    rows = vertices.select("node", "grp", "v").mapInArrow(_ordered(ORDERS), "k int, grp string, code long, node long, v array<float>")
-    rows = rows.repartitionByRange("k", "grp", "code", "node").sortWithinPartitions("k", "grp", "code", "node")
-    lists = stage(_lists(rows.mapInArrow(_first_edges(keep), "src long, dst long, sim double"), keep), "lists")
-    for _ in range(ROUNDS):
-        lists = refined(vertices, lists, keep)
-        if audit(vertices, lists, keep, threshold) >= RECALL:
-            break
-    return lists
-
-
-def _counted(threshold: float):
-    """Rows (a, b): lists of (node, n, v); b is null for the pairs inside a. Gives links of each node."""
+                hit = table[rows] @ self.table[cols].T >= threshold
+                hit &= later[rows][:, None] | (node[rows][:, None] > self.node[cols][None, :])
+                links[rows] += hit @ self.n[cols]
+                self.links[cols] += hit.T @ n[rows]
+                some = hit.any(axis=1)
+                rows, hit = rows[some], hit[some]
+                if not len(rows):
+                    continue
+                roots = self.root[cols]
+                low = np.where(hit, roots[None, :], len(self.root)).min(axis=1)
+                split = np.where(hit, roots[None, :], -1).max(axis=1) > low
+                old = tied[rows] >= 0
+                pairs = [np.stack([tied[rows][old], low[old]], axis=1)]
+                tied[rows] = low
+                if split.any():
+                    a, b = np.nonzero(hit[split])
+                    pairs.append(np.stack([low[split][a], roots[b]], axis=1))
+                pairs = np.concatenate(pairs)
+                pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+                if len(pairs):
+                    # an edge to a place stays right when its root moves
+                    self.root = _joined(self.root, self.root[pairs])
+        at = np.flatnonzero(tied >= 0)
+        return links, at, tied[at]
+
+
+def _found(src: list[np.ndarray], dst: list[np.ndarray | None], links: list[np.ndarray | None]) -> pa.RecordBatch:
+    def column(parts: list, others: list) -> pa.Array:
+        return pa.concat_arrays([pa.nulls(len(o), pa.int64()) if p is None else pa.array(p, pa.int64()) for p, o in zip(parts, others, strict=True)])
+
+    return pa.RecordBatch.from_arrays([column(src, src), column(dst, src), column(links, src)], names=["src", "dst", "links"])
+
+
+def _compared(shared, chunk: int, threshold: float):
+    """Rows (chunk, grp, node, n, v) against a chunk: rows (src, null, links) to be summed and (src, dst, null), edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[str, _Group] = {}
         for batch in batches:
-            node, links = [], []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x = a.values
-                xv, xn = np.stack(_unit(x.field("v"))), x.field("n").to_numpy()
-                if not b.is_valid:
-                    hit = xv @ xv.T >= threshold
-                    np.fill_diagonal(hit, False)
-                    node.append(x.field("node").to_numpy())
-                    links.append(hit @ xn)
+            out: tuple[list, list, list] = ([], [], [])
+            for g, rows, table in _by_group(batch):
+                if g not in shared.value:
                     continue
-                y = b.values
-                yv, yn = np.stack(_unit(y.field("v"))), y.field("n").to_numpy()
-                hit = xv @ yv.T >= threshold
-                node += [x.field("node").to_numpy(), y.field("node").to_numpy()]
-                links += [hit @ yn, hit.T @ xn]
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(links))], names=["node", "links"])
+                if g not in groups:
+                    groups[g] = _Group(*shared.value[g])
+                own, group = batch.take(pa.array(rows)), groups[g]
+                node, n = own.column("node").to_numpy(), own.column("n").to_numpy()
+                links, at, to = group.meet(node, n, table, own.column("chunk").to_numpy() > chunk, threshold)
+                some = np.flatnonzero(links)
+                for into, parts in zip(out, ((node[some], node[at]), (None, group.node[to]), (links[some], None)), strict=True):
+                    into.extend(parts)
+            if out[0]:
+                yield _found(*out)
+        for group in groups.values():
+            some, moved = np.flatnonzero(group.links), np.flatnonzero(group.root != np.arange(len(group.root)))
+            yield _found([group.node[some], group.node[moved]], [None, group.node[group.root[moved]]], [group.links[some], None])
 
     return run
 
 
-def enlarged(vertices: DataFrame, roots: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """node, links: linked vectors of each node of the components (node, root), all pairs compared.
-
-    Components are cut into blocks of about block nodes; what is joined are lists of that size.
-    """
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = roots.join(sizes, "root").join(vertices, "node").select(
-        "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.struct("node", "n", "v").alias("m")
-    )
-    lists = stage(members.groupBy("root", "block").agg(F.collect_list("m").alias("a")), "blocks")
-    kind = "array<struct<node:bigint,n:bigint,v:array<float>>>"
-    inside = lists.select("a", F.lit(None).cast(kind).alias("b"))
-    other = lists.select("root", F.col("block").alias("other"), F.col("a").alias("b"))
-    across = lists.join(other, "root").filter("block < other").select("a", "b")
-    counted = inside.union(across).mapInArrow(_counted(threshold), "node long, links long")
-    return counted.groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, keep: int = NEIGHBOURS) -> DataFrame:
+def compared(vertices: DataFrame, threshold: float, values: int = VALUES) -> DataFrame:
+    """(src, null, links) and (src, dst, null) for vertices (node, grp, n, v): links to be summed, and edges that join what is linked."""
+    spark, base = vertices.sparkSession, f"{shared_dir(vertices.sparkSession)}/compared-{uuid.uuid4().hex}"
+    schema = "src long, dst long, links long"
+    sizes = vertices.groupBy("grp").agg(F.count("*").alias("number"), F.sum(F.size("v")).alias("numbers"))
+    chunks = max(1, -(-(vertices.agg(F.sum(F.size("v"))).first()[0] or 0) // values))
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("numbers") / values))
+    placed = vertices.join(sizes, "grp").select(F.pmod(F.xxhash64("grp") + own, F.lit(chunks)).cast("int").alias("chunk"), "grp", "node", "n", "v")
+    # dealt by node, so that each task has its share of each label
+    placed = stage(placed.repartition("node").sortWithinPartitions("grp", "chunk"), "placed")
+    for chunk in range(chunks):
+        table = placed.filter(F.col("chunk") == chunk).select("grp", "node", "n", "v").toArrow().combine_chunks()
+        if not table.num_rows:
+            continue
+        batch = table.to_batches()[0]
+        node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+        groups = {g: (node[rows], n[rows], unit) for g, rows, unit in _by_group(batch)}
+        shared = spark.sparkContext.broadcast(groups)
+        rows = placed.filter(F.col("chunk") >= chunk)
+        if len(groups) <= FILTERED:
+            rows = rows.filter(F.col("grp").isin(*groups))
+        rows.mapInArrow(_compared(shared, chunk, threshold), schema).write.option("compression", "zstd").mode("append").parquet(base)
+        shared.destroy()
+    if not placed.isEmpty():
+        return spark.read.schema(schema).parquet(base)
+    return spark.createDataFrame([], schema)
+
+
+def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, values: int = VALUES) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of embeddings (vec_id, embedding, label).
 
     Vectors link at a cosine of threshold or more if their labels are equal and not null and
@@ -276,18 +208,11 @@ def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, keep: i
         .select(F.monotonically_increasing_id().alias("node"), F.concat_ws(":", F.size("v").cast("string"), "label").alias("grp"), "label", "v", "vec_id", "n"),
         "vertices",
     )
-    lists = neighbour_graph(vertices, keep, threshold)
-    arcs = _arcs(lists).filter(F.col("sim") >= threshold)
-    links = stage(arcs.select("src", "dst").union(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
-    roots = connected_components(links)
-    saturated = lists.filter((F.size("near") >= keep) & (F.col("least") >= threshold)).select("node")
-    dense = roots.join(saturated, "node").select("root").distinct()
-    numbers = vertices.select("node", "n", "vec_id")
-    many = enlarged(vertices.select("node", "n", "v"), roots.join(dense, "root", "left_semi"), threshold)
-    few = links.join(roots.withColumnRenamed("node", "src"), "src").join(dense, "root", "left_anti")
-    few = few.join(numbers, few.dst == numbers.node).groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("links"))
-    named = roots.join(numbers, "node").groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    linked = roots.join(named, "root").join(many.union(few), "node").select("node", "component_id", "links")
+    found = compared(vertices.select("node", "grp", "n", "v"), threshold, values)
+    roots = connected_components(found.filter("dst IS NOT NULL").select("src", "dst"))
+    counts = found.filter("links IS NOT NULL").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
+    named = roots.join(vertices.select("node", "vec_id"), "node").groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    linked = roots.join(named, "root").join(counts, "node").select("node", "component_id", "links")
     whole = (
         vertices.join(linked, "node", "left")
         .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

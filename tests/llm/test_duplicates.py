@@ -115,3 +115,18 @@ def test_embedding_links_of_odd_vectors(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, embedding_links(table).select("vec_id", "n_links", "component_id", "kept").collect())) == brute_force_links(rows)
     assert embedding_links(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("values", [1 << 21, 4000])
+def test_embedding_links_between_tight_groups(spark, values):
+    rng = np.random.default_rng(11)
+    common = rng.standard_normal(64)
+    rows = []
+    for group in range(12):
+        centre = common / np.linalg.norm(common) + 0.22 * rng.standard_normal(64) / 8
+        rows += [(100 * group + k, (centre + 0.03 * rng.standard_normal(64) / 8).astype(np.float32).tolist(), 1) for k in range(12)]
+    expected = brute_force_links(rows)
+    assert {(n, part) for _, n, part, _ in expected} == {(len(rows) - 1, 0)}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = embedding_links(table, values=values).select("vec_id", "n_links", "component_id", "kept")
+    assert sorted(map(tuple, found.collect())) == expected
