@@ -6,6 +6,8 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -130,3 +132,18 @@ def test_embedding_links_between_tight_groups(spark, values):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     found = embedding_links(table, values=values).select("vec_id", "n_links", "component_id", "kept")
     assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_embedding_links_of_few_pairs_in_a_large_label(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    vectors = rng.standard_normal((60_000, 64))
+    vectors[1:800:2] = vectors[0:800:2] + 0.37 * rng.standard_normal((400, 64))
+    vectors = vectors.astype(np.float32)
+    unit = vectors[:800].astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    expected = {(k, k + 1) for k in range(0, 800, 2) if unit[k] @ unit[k + 1] >= 0.93}
+    assert len(expected) > 150
+    columns = [pa.array(np.arange(len(vectors))), pa.array(list(vectors), pa.list_(pa.float32())), pa.array(np.ones(len(vectors), np.int32))]
+    pq.write_table(pa.table(columns, names=["vec_id", "embedding", "label"]), tmp_path / "embeddings.parquet", row_group_size=8192)
+    found = embedding_links(spark.read.parquet(str(tmp_path / "embeddings.parquet"))).filter("n_links > 0").collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == {(k, 1, a) for a, b in expected for k in (a, b)}
