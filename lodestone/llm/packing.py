@@ -15,6 +15,7 @@ task and no group ever holds all pieces of one length.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,12 +33,15 @@ END_ID = 0
 _ROWS = 256
 #: Fixed value: how byte-level tokenizers cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: tiktoken runs out of stack on a run of about a million white space characters before other text.
+LONGEST_RUN = 100_000
+_LONG_RUN = re.compile(rf"(?<!\s)\s{{{LONGEST_RUN}}}")
 
 
 class Encoder:
     """Ids of whole texts by a byte-level tokenizers file, as little-endian unsigned 32-bit numbers.
 
-    Texts with special strings go to the tokenizers library. For all others its ids are those of
+    Texts with special strings or very long runs of white space go to the tokenizers library. For all others its ids are those of
     the same vocabulary read as ranks, which tiktoken works out in a third of the time and
     without keeping words; the tests compare the two on whole tables.
     """
@@ -57,7 +61,7 @@ class Encoder:
         self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(m in text for m in self.marks):
+        if any(m in text for m in self.marks) or len(text) >= LONGEST_RUN and _LONG_RUN.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranks.encode_ordinary(text)

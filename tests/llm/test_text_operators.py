@@ -254,3 +254,9 @@ def test_personal_data_query(spark, tables):
         spans = base_spans(texts[r["doc_id"]])
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in spans) for k in pii.KINDS]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_packing_of_very_long_white_space(spark):
+    texts = {1: " " * 1_200_000 + "x", 2: "a" + "\n" * 1_200_000 + "x", 3: (" " * 99_999 + "x") * 3, 4: "short text"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    checked_packing(packing.pack(rows, queries.vocabulary("byte_bpe_50k.json")).collect(), texts)
