@@ -3,7 +3,8 @@
 Each page scores its containers by the text in them; the best ones vote, under their path of
 tags and classes with digits left out, for their host. The winning path of a host is then used
 to extract all its pages again, so one odd page does not decide alone what its article is. A
-page that lacks the path falls back on its own best container.
+page where the path holds less than half of the text that counts in the page's own best
+container, such as a page of another template, falls back on that container.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ BROADCAST_HOSTS = 50_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded".split()
 )
 _DROP = frozenset(
-    "nav footer aside form script style noscript template svg iframe button select option textarea input dialog menu object canvas audio video head title math noembed noframes xmp".split()
+    "nav footer aside form script style noscript template svg iframe button select option textarea input dialog menu object canvas audio video head title noembed noframes xmp annotation annotation-xml".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 #: Words in a class or id that mark what isn't the article.
@@ -39,6 +40,8 @@ _MARKS = frozenset(
     gdpr notice notices notification notifications alert modal popup overlay newsletter subscribe subscription signup login share sharing social
     related recommended recommendations search form feedback skip hidden""".split()
 )
+#: What else can stand in the name of such a block inside an article: share-buttons goes, share-price and article-header stay.
+_PARTS = frozenset("area bar block box btn button buttons container content entries icon icons items links list panel post posts row section title wrap wrapper".split())
 _CONTAINERS = frozenset("article main section div td body center blockquote html".split())
 #: An open element of the key is closed by the start of one of the values.
 _P_ENDS = frozenset(
@@ -72,6 +75,15 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip() else {}
 
 
+def _marked(names: list[str], inside: bool) -> bool:
+    """Whether classes and ids mark what isn't the article. Inside one, only names that say nothing else; its header is part of it."""
+    for name in names:
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & _MARKS and (not inside or words <= _MARKS | _PARTS and words - _PARTS != {"header"}):
+            return True
+    return False
+
+
 def parse(page: str) -> _Node:
     """The tree of a page: elements and pieces of text, what isn't article marked as dropped."""
     root = node = _Node("", None, "", False)
@@ -115,10 +127,10 @@ def parse(page: str) -> _Node:
             if up.tag in _ENDS_SAME[tag]:
                 node = up.parent
         attributes = _attributes(found[3])
-        names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        names = [*attributes.get("class", "").split(), *attributes.get("id", "").split()]
         drop = node.drop or tag in _DROP or tag == "header" and not inside or "hidden" in attributes
         drop = drop or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _ROLES
-        drop = drop or tag not in ("html", "body", "main") and any(w.lower() in _MARKS for w in _WORDS.findall(names))
+        drop = drop or tag not in ("html", "body", "main") and _marked(names, inside > 0)
         drop = drop or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in attributes.get("class", "").split()} - {""}))
         if not classes and attributes.get("id"):
@@ -191,6 +203,18 @@ def ballots(page: str, votes: int = VOTES) -> list[tuple[str, float]]:
     return list(out.items())
 
 
+def _size(nodes: list[_Node]) -> int:
+    """Characters of text in nodes that count for a container: what isn't dropped or in a link."""
+    size, stack = 0, list(nodes)
+    while stack:
+        for item in stack.pop().children:
+            if isinstance(item, str):
+                size += len(item.strip())
+            elif not item.drop and item.tag != "a":
+                stack.append(item)
+    return size
+
+
 def extract(page: str | None, path: str | None) -> str:
     """The main text of one page, given the winning path of its host."""
     root = parse(page or "")
@@ -204,10 +228,9 @@ def extract(page: str | None, path: str | None) -> str:
                 chosen.append(node)
             else:
                 stack.extend(n for n in reversed(node.children) if not isinstance(n, str) and not n.drop)
-    elif scored and scored[0].score > 0:
-        chosen = scored[:1]
-    else:
-        chosen = [root]
+    best = scored[:1] if scored and scored[0].score > 0 else [root]
+    if not chosen or 2 * _size(chosen) < _size(best):
+        chosen = best
     return text_of(chosen)
 
 
@@ -216,6 +239,8 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], float] = {}
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host = host_of(url)
+            if not host:
+                continue
             for path, share in ballots(page or ""):
                 sums[host, path] = sums.get((host, path), 0.0) + share
         yield pa.RecordBatch.from_arrays(
@@ -250,8 +275,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
-    Null html counts as empty and gives an empty text, as does a page without any. A null URL,
-    or one without a host, belongs to the host of empty name. Repeated rows stay repeated, other
+    Null html counts as empty and gives an empty text, as does a page without any. A page with a
+    null URL, or one without a host, goes by its own best container. Repeated rows stay repeated, other
     columns are ignored, an empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

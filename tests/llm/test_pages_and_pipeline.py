@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from lodestone.llm import queries
 from lodestone.llm.packing import pack
-from lodestone.llm.pages import main_texts
+from lodestone.llm.pages import extract, main_texts
 from tests.llm.test_duplicates import components, simhash
 from tests.llm.test_text_operators import base_spans, checked_packing
 
@@ -77,3 +77,23 @@ def test_pipeline_of_nothing(spark, tables):
     for name, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, none, tables).count() == 0
     assert pack(none, queries.vocabulary("byte_bpe_50k.json")).count() == 0
+
+
+STORY = "".join(f"<p>Paragraph {k} of the long story has quite a number of words, as a story has.</p>" for k in range(12))
+
+
+def test_pages_of_a_second_template(spark):
+    card = "<article><p>A card that tells of another page.</p></article>"
+    rows = [(k, f"https://h.example/{k}", f"<html><body><article>{STORY}</article></body></html>") for k in range(6)]
+    rows += [(6, "https://h.example/6", f"<html><body><div class='story'>{STORY}</div>{card}</body></html>")]
+    rows += [(7 + k, None, f"<html><body><article>{STORY}</article></body></html>") for k in range(3)]
+    rows += [(10, "nonsense", f"<html><body><div class='story'>{STORY}</div>{card}</body></html>")]
+    found = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = STORY.replace("<p>", "").replace("</p>", " ").strip()
+    assert {r["page_id"]: r["text"] for r in found} == dict.fromkeys(range(11), text)
+
+
+def test_blocks_inside_an_article():
+    body = "<div class='article-header'>Title</div><div class='share-price'>Price 12</div><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p>"
+    junk = "<div class='share-buttons'>Share this</div><div id='comments'>First!</div>"
+    assert extract(f"<html><body><article>{body}{junk}<p>{ARTICLE}</p></article></body></html>", None) == f"Title Price 12 Let x=1 hold. {TEXT}"
