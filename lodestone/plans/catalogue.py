@@ -356,13 +356,17 @@ def merge_concern_passages(spark: SparkSession, d: str) -> DataFrame:
     return fusion.best_per_chunk(found.select((F.col("query_id") % 4).alias("grp"), F.floor(F.col("query_id") / 4).alias("concern"), "chunk_idx", "rank"))
 
 
+def assessed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """chunk_idx, framework, citation, heading, text of every chunk; chunk_idx is the document's id and, in its last 20 bits, the ordinal."""
+    names = F.element_at(F.array(F.lit("FERPA"), F.lit("HIPAA"), F.lit("GDPR")), (F.col("chunk_idx") % 3 + 1).cast("int"))
+    chunks = chunking.chunk_sections(A.corpus(spark, d).withColumn("framework", names))
+    return chunks.select((F.shiftleft(F.col("chunk_idx").cast("long"), 20) + F.col("ordinal")).alias("chunk_idx"), "framework", "citation", "heading", "text")
+
+
 @query
 def assess_end_to_end(spark: SparkSession, d: str) -> DataFrame:
-    sources = A.corpus(spark, d)
-    names = F.element_at(F.array(F.lit("FERPA"), F.lit("HIPAA"), F.lit("GDPR")), (F.col("chunk_idx") % 3 + 1).cast("int"))
-    chunks = chunking.chunk_sections(sources.withColumn("framework", names)).filter("ordinal = 0").select("chunk_idx", "framework", "citation", "heading", "text")
     docs = A.table(spark, d, "benchmark").select(F.col("item_id").alias("document_id"), "text")
-    return search.assess(docs, chunks)
+    return search.assess(docs, assessed_chunks(spark, d))
 
 
 def _folder(spark: SparkSession) -> str:
