@@ -26,7 +26,9 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letters (null ones too); a missing lang becomes the predicted one."""
     model = train(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
-    told = predict_language(docs.select("*"), model).filter(F.col("lang_pred") != UNDETERMINED)
+    # where no language was learned, every row is undetermined
+    lettered = F.col("lang_pred") != UNDETERMINED if model.languages else F.col("text").rlike(r"\p{L}")
+    told = predict_language(docs.select("*"), model).filter(lettered)
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -97,3 +97,10 @@ def test_blocks_inside_an_article():
     body = "<div class='article-header'>Title</div><div class='share-price'>Price 12</div><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p>"
     junk = "<div class='share-buttons'>Share this</div><div id='comments'>First!</div>"
     assert extract(f"<html><body><article>{body}{junk}<p>{ARTICLE}</p></article></body></html>", None) == f"Title Price 12 Let x=1 hold. {TEXT}"
+
+
+def test_language_stage_without_any_language(spark, tables):
+    rows = [(1, "some text", None), (2, "12 !", None), (3, None, None), (4, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, tables).collect()
+    assert {r["doc_id"]: r["lang"] for r in kept} == {1: "und", 4: "und"}
