@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from lodestone.llm import packing, pii, queries
 from lodestone.llm.chat import maximal_conversations
 from lodestone.llm.language import language_of
-from lodestone.llm.sentencepiece import Pieces, decode, encode
+from lodestone.llm.sentencepiece import Pieces, decode, encode, round_trip
 from lodestone.llm.token_counts import token_counts
 
 ODD = [
@@ -260,3 +260,32 @@ def test_packing_of_very_long_white_space(spark):
     texts = {1: " " * 1_200_000 + "x", 2: "a" + "\n" * 1_200_000 + "x", 3: (" " * 99_999 + "x") * 3, 4: "short text"}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     checked_packing(packing.pack(rows, queries.vocabulary("byte_bpe_50k.json")).collect(), texts)
+
+
+def test_pieces_one_by_one_and_together():
+    """The recurrence over all words at once gives the ids of the one for each word."""
+    model = Pieces(queries.vocabulary("piece_bpe_32k.model"))
+    texts = [*ODD, "x" * 70, "a\nb\tc", "▁▁a▁b", "日本\n語 👍🏽\n", *["word %d naïve\n%d" % (k, k * k) for k in range(500)]]
+    words = [model.words.findall(model.normalised(t or "")) for t in texts]
+    assert model.encode_all(texts).to_pylist() == [[n for w in ws for n in model.best(w)] for ws in words]
+
+
+def test_pieces_query(spark, tables, documents):
+    model = Pieces(queries.vocabulary("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    rows = queries.op1_sentencepiece(spark, tables).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        ids = [n for w in model.words.findall(model.normalised(texts[r["doc_id"]])) for n in model.best(w)]
+        assert r["n_pieces"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_equal"] == (model.decode(ids) == texts[r["doc_id"]])
+
+
+def test_pieces_of_nothing_and_clashing_columns(spark, odd):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    clash = odd.withColumnsRenamed({"lang": "ids", "n_tokens": "decoded"})
+    assert decode(encode(clash, path), path).count() == len(ODD) + 1
+    rows = round_trip(clash, path).collect()
+    assert len(rows) == len(ODD) + 1 and sum(r["doc_id"] is None for r in rows) == 1
+    assert {r["n_pieces"] for r in rows if r["doc_id"] in (0, 1)} == {0}
+    assert round_trip(odd.limit(0), path).count() == decode(encode(odd.limit(0), path), path).count() == 0
