@@ -5,6 +5,15 @@ tags and classes with digits left out, for their host. The winning path of a hos
 to extract all its pages again, so one odd page does not decide alone what its article is. A
 page where the path holds less than half of the text that counts in the page's own best
 container, such as a page of another template, falls back on that container.
+
+What is left out: elements that never hold an article (navigation, footers, asides, scripts and
+so on), and elements whose class, id or role says that they are something else. A name counts
+only as a whole: "sidebar" and "left-sidebar" do, "no-sidebar" and "side-by-side" don't. Where
+such an element holds nearly all of the page's text, or more than the rest and an article, a
+main element or a first heading, its name is wrong and it stays. Beside a chosen container that
+is no article or main element, its siblings of running text and a first heading before it stay.
+
+Pages are read in one pass and every later step is linear in the page, whatever it holds.
 """
 
 from __future__ import annotations
@@ -14,14 +23,21 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stage
 
 VOTES = 3
-#: Winning paths are broadcast up to this many hosts (some 100 bytes each) and joined beyond.
+#: Winning paths are broadcast up to this many hosts (some 200 bytes each) and joined beyond.
 BROADCAST_HOSTS = 50_000
+#: Beyond, a host's pages are dealt over so many keys.
+SALTS = 32
+#: Innermost steps that a path spells out; the steps before them are in its digest.
+SPELLED = 12
+#: Characters outside links that make a sibling running text, and that a wrongly named element holds at least.
+PROSE, LEAST = 80, 200
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -29,31 +45,44 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded".split()
 )
 _DROP = frozenset(
-    "nav footer aside form script style noscript template svg iframe button select option textarea input dialog menu object canvas audio video head title noembed noframes xmp annotation annotation-xml".split()
+    "nav footer aside script style noscript template svg iframe button select option textarea input dialog menu object canvas audio video head title noembed noframes xmp annotation annotation-xml".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 #: Words in a class or id that mark what isn't the article.
 _MARKS = frozenset(
     """ad ads adbox adslot adsense advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner
     nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc sidebar side aside rail widget widgets
-    footer foot masthead topbar header comment comments commentlist disqus respond reply replies reactions cookie cookies consent
+    footer foot masthead topbar comment comments commentlist disqus respond reply replies reactions cookie cookies consent
     gdpr notice notices notification notifications alert modal popup overlay newsletter subscribe subscription signup login share sharing social
     related recommended recommendations search form feedback skip hidden""".split()
 )
-#: What else can stand in the name of such a block inside an article: share-buttons goes, share-price and article-header stay.
-_PARTS = frozenset("area bar block box btn button buttons container content entries icon icons items links list panel post posts row section title wrap wrapper".split())
-_CONTAINERS = frozenset("article main section div td body center blockquote html".split())
-#: An open element of the key is closed by the start of one of the values.
+#: What else can stand in such a name: share-buttons and left-sidebar go, share-price and comments-open stay.
+_PARTS = frozenset(
+    """area articles bar block body bottom box btn button buttons container content desktop div entries global google gpt icon icons inner
+    item items left links list main media mobile outer page panel posts primary reader readers right row secondary section site slot stories
+    text title top unit user users wrap wrapper x""".split()
+)
+#: A header of the page, not of its article.
+_HEADER = frozenset("header site page global top main bar inner outer wrap wrapper container".split())
+_CONTAINERS = frozenset("article main section div td body center blockquote form html".split())
+#: An open p is closed by the start of one of these.
 _P_ENDS = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+#: An open element among the values is closed by the start of the key, unless one of _SCOPES is opened in it.
 _ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+_SCOPES = frozenset("ul ol menu dl table select".split())
+_BOUNDS = _SCOPES | set(_ENDS_SAME)
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'=/<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Every alternative ends where the next < begins or the page ends at the latest, so nothing is read twice.
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![A-Za-z]))[^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+)(?:>|(?=<)|\Z)""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/<>]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?+""")
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in _RAW}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+_KEPT, _NAMED, _NEVER = 0, 1, 2
 
 
 def host_of(url: str | None) -> str:
@@ -63,32 +92,59 @@ def host_of(url: str | None) -> str:
 
 
 class _Node:
-    __slots__ = ("children", "drop", "links", "parent", "path", "score", "tag", "text")
+    """An element. drop: whether it stays, goes by its name, or never holds an article; step and digest:
+    its own part of a path and the whole path; para, bound: the nearest open p, and what an item may close."""
 
-    def __init__(self, tag: str, parent: _Node | None, path: str, drop: bool):
-        self.tag, self.parent, self.path, self.drop = tag, parent, path, drop
+    __slots__ = ("bound", "box", "children", "digest", "drop", "links", "para", "parent", "score", "step", "tag", "text")
+
+    def __init__(self, tag: str, parent: _Node | None, drop: int, step: str):
+        self.tag, self.parent, self.drop, self.step = tag, parent, drop, step
         self.children: list[_Node | str] = []
-        self.score = 0.0
+        self.score, self.text, self.links = 0.0, 0, 0
+        self.para = self if tag == "p" else parent.para if parent and tag in _INLINE else None
+        self.bound = self if tag in _BOUNDS else parent.bound if parent else None
+        self.box = parent if parent is None or parent.tag in _CONTAINERS else parent.box
+        above = parent.digest if parent else 0
+        self.digest = xxhash.xxh64_intdigest(f"{above:x}>{step}") if step else above
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip() else {}
 
 
-def _marked(names: list[str], inside: bool) -> bool:
-    """Whether classes and ids mark what isn't the article. Inside one, only names that say nothing else; its header is part of it."""
+def _named(names: list[str], inside: bool) -> bool:
+    """Whether a class or id says that this isn't the article; inside one, a header is part of it."""
     for name in names:
         words = {w.lower() for w in _WORDS.findall(name)}
-        if words & _MARKS and (not inside or words <= _MARKS | _PARTS and words - _PARTS != {"header"}):
+        if words & _MARKS and words <= _MARKS | _PARTS or "header" in words and words <= _HEADER and not inside:
             return True
     return False
 
 
+def _drop(tag: str, attributes: dict[str, str], names: list[str], inside: bool) -> int:
+    if tag in _DROP or tag == "header" and not inside:
+        return _NEVER
+    if tag in ("html", "body", "main"):
+        return _KEPT
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    return _NAMED if tag == "form" or hidden or attributes.get("role", "").lower() in _ROLES or _named(names, inside) else _KEPT
+
+
 def parse(page: str) -> _Node:
     """The tree of a page: elements and pieces of text, what isn't article marked as dropped."""
-    root = node = _Node("", None, "", False)
+    root = node = _Node("", None, _KEPT, "")
+    open_tags: dict[str, int] = {}
     at, end = 0, len(page)
-    inside = 0  # open article or main elements
+
+    def close(upto: _Node) -> _Node:
+        """Close all open elements up to and including this one."""
+        up = node
+        while True:
+            open_tags[up.tag] -= 1
+            if up is upto:
+                return up.parent
+            up = up.parent
+
     while at < end:
         found = _TOKEN.search(page, at)
         if found is None:
@@ -101,54 +157,91 @@ def parse(page: str) -> _Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is root:
-                if tag in ("p", "br"):  # an end tag of its own is an empty element
-                    node.children.append(_Node(tag, node, "", node.drop))
-                continue
-            while True:
-                inside -= node.tag in ("article", "main")
-                node, done = node.parent, node is up
-                if done:
-                    break
+            if open_tags.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(up)
+            elif tag in ("p", "br"):  # an end tag of its own is an empty element
+                node.children.append(_Node(tag, node, _KEPT, ""))
             continue
-        if tag in _P_ENDS:
-            up = node
-            while up.tag in _INLINE:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tag in _P_ENDS and node.para:
+            node = close(node.para)
         elif tag in _ENDS_SAME:
-            up = node
-            while up is not root and up.tag not in _ENDS_SAME[tag] and up.tag not in _SCOPES[tag]:
-                up = up.parent
-            if up.tag in _ENDS_SAME[tag]:
-                node = up.parent
+            while node.bound and node.bound.tag in _ENDS_SAME[tag]:
+                node = close(node.bound)
         attributes = _attributes(found[3])
-        names = [*attributes.get("class", "").split(), *attributes.get("id", "").split()]
-        drop = node.drop or tag in _DROP or tag == "header" and not inside or "hidden" in attributes
-        drop = drop or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _ROLES
-        drop = drop or tag not in ("html", "body", "main") and _marked(names, inside > 0)
-        drop = drop or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in attributes.get("class", "").split()} - {""}))
-        if not classes and attributes.get("id"):
-            classes = "#" + re.sub(r"\d+", "", attributes["id"])
-        child = _Node(tag, node, f"{node.path}>{tag}{'.' * bool(classes)}{classes}" if tag in _CONTAINERS else node.path, drop)
+        classes = attributes.get("class", "").split()
+        inside = open_tags.get("article", 0) + open_tags.get("main", 0) > 0
+        step = ""
+        if tag in _CONTAINERS:
+            step = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in classes} - {""})])
+            if step == tag and attributes.get("id"):
+                step += "#" + re.sub(r"\d+", "", attributes["id"])
+        child = _Node(tag, node, _drop(tag, attributes, [*classes, *attributes.get("id", "").split()], inside), step)
         node.children.append(child)
         if tag in _RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif tag not in _VOID and not found[3].rstrip().endswith("/"):
+            closing = _CLOSE[tag].search(page, at)
+            at = closing.end() if closing else end
+        elif tag not in _VOID:  # a slash at the end means nothing on other elements
             node = child
-            inside += tag in ("article", "main")
-        elif found[3].rstrip().endswith("/") and tag not in _VOID and tag not in ("svg", "path"):
-            node = child  # a slash at the end means nothing on other elements
-            inside += tag in ("article", "main")
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+    _measure(root)
     return root
 
 
+def _down(root: _Node) -> list[_Node]:
+    """All elements that can hold article text, parents first."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(n for n in node.children if not isinstance(n, str) and n.drop != _NEVER)
+    return out
+
+
+def _measure(root: _Node) -> None:
+    """Sizes and scores of all elements, without what is dropped in them; wrong names are taken back.
+
+    text: characters that count, outside links; links: those inside. A container's score is the
+    text right in it less its links, and less than the whole of what the containers in it have.
+    """
+    nodes = _down(root)
+
+    def add() -> None:
+        for node in nodes:
+            node.text, node.links, node.score = 0, 0, 0.0
+        for node in reversed(nodes):
+            size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            node.text += size
+            node.score += size
+            if node.tag == "a":
+                node.text, node.links = 0, node.text + node.links
+                node.score = -node.links
+            up = node.parent
+            if up is not None and node.drop == _KEPT:
+                up.text += node.text
+                up.links += node.links
+                up.score += node.score * (1.0 if node.tag not in _CONTAINERS else 0.85 if node.tag == "section" else 0.6)
+
+    add()
+    named = [n for n in nodes if n.drop == _NAMED]
+    if named:
+        heads = set()  # elements around an article, a main element or a first heading
+        for node in nodes:
+            if node.tag in ("article", "main", "h1") and node.drop == _KEPT:
+                up = node.parent
+                while up is not None and up not in heads:
+                    heads.add(up)
+                    up = up.parent
+        best = max(named, key=lambda n: n.text)
+        if best.text >= LEAST and best.text > (1 if best in heads else 4) * root.text:
+            while best is not None:
+                best.drop = _KEPT
+                best = best.parent
+            add()
+
+
 def text_of(nodes: list[_Node]) -> str:
     """The texts of nodes in page order, blocks joined by one space."""
     out: list[str] = []
@@ -157,7 +250,7 @@ def text_of(nodes: list[_Node]) -> str:
         item = stack.pop()
         if isinstance(item, str):
             out.append(html.unescape(item) if "&" in item else item)
-        elif not item.drop:
+        elif item.drop == _KEPT:
             block = item.tag not in _INLINE
             if block:
                 out.append(" ")
@@ -166,72 +259,105 @@ def text_of(nodes: list[_Node]) -> str:
     return " ".join("".join(out).split())
 
 
-def _scored(root: _Node) -> list[_Node]:
-    """All containers, best first. Text counts for the containers around it, less with each level."""
-    found: list[_Node] = []
-    stack: list[tuple[_Node, _Node | None, bool]] = [(root, None, False)]
+def _boxes(root: _Node) -> list[_Node]:
+    """All containers that stay, in page order."""
+    out, stack = [], [root]
     while stack:
-        node, box, link = stack.pop()
+        node = stack.pop()
         if node.tag in _CONTAINERS:
-            found.append(node)
-            box = node
-        link = link or node.tag == "a"
-        for item in node.children:
-            if not isinstance(item, str):
-                if not item.drop:
-                    stack.append((item, box, link))
-            elif box is not None and (size := len(item.strip())):
-                up, worth = box, -size if link else size
-                while up is not None:
-                    if up.tag in _CONTAINERS:
-                        up.score += worth
-                        worth *= 0.85 if up.tag == "section" else 0.6
-                    up = up.parent
-    for node in found:
-        if node.tag == "article" or node.tag == "main":
-            node.score *= 2 if node.tag == "article" else 1.5
-    return sorted(found, key=lambda n: -n.score)
+            out.append(node)
+        stack.extend(n for n in reversed(node.children) if not isinstance(n, str) and n.drop == _KEPT)
+    return out
+
+
+def _worth(node: _Node) -> float:
+    return node.score * {"article": 2.0, "main": 1.5}.get(node.tag, 1.0)
+
+
+def _whole(node: _Node) -> _Node:
+    """The article around a container, or the main element if the container is most of it."""
+    main, up = node, node
+    while up is not None:
+        if up.tag == "article":
+            return up
+        if up.tag == "main" and main is node and 2 * node.text >= up.text:
+            main = up
+        up = up.box
+    return main
+
+
+def _best(boxes: list[_Node], number: int) -> list[_Node]:
+    """The best containers, best first; of equals the first in the page."""
+    some = sorted((n for n in boxes if n.score > 0), key=lambda n: -_worth(n))[:number]
+    return list(dict.fromkeys(map(_whole, some)))
+
+
+def path_of(node: _Node) -> str:
+    """The path of a container: a digest of all its steps, then the innermost ones in words."""
+    steps, up = [], node
+    while up is not None and len(steps) < SPELLED:
+        steps.append(up.step)
+        up = up.box
+    return f"{node.digest:016x} {'>'.join(s for s in reversed(steps) if s)}"
 
 
 def ballots(page: str, votes: int = VOTES) -> list[tuple[str, float]]:
     """(path, share of a vote) of the best containers of a page."""
-    best = [n for n in _scored(parse(page))[:votes] if n.score > 0]
-    total = sum(n.score for n in best)
+    best = [n for n in _best(_boxes(parse(page)), votes) if n.score > 0]
+    total = sum(map(_worth, best))
     out: dict[str, float] = {}
     for n in best:
-        out[n.path] = out.get(n.path, 0.0) + n.score / total
+        out[path_of(n)] = out.get(path_of(n), 0.0) + _worth(n) / total
     return list(out.items())
 
 
-def _size(nodes: list[_Node]) -> int:
-    """Characters of text in nodes that count for a container: what isn't dropped or in a link."""
-    size, stack = 0, list(nodes)
-    while stack:
-        for item in stack.pop().children:
-            if isinstance(item, str):
-                size += len(item.strip())
-            elif not item.drop and item.tag != "a":
-                stack.append(item)
-    return size
+def _outermost(nodes: list[_Node]) -> list[_Node]:
+    """nodes in page order, without those inside another one."""
+    out: dict[_Node, bool] = {}
+    inside: dict[_Node | None, bool] = {None: False}
+    wanted = set(nodes)
+    for node in nodes:
+        trail, up = [], node.parent
+        while up not in inside:
+            trail.append(up)
+            up = up.parent
+        held = inside[up]
+        for n in reversed(trail):
+            held = held or n in wanted
+            inside[n] = held
+        if not held:
+            out[node] = True
+    return list(out)
+
+
+def _with_siblings(nodes: list[_Node]) -> list[_Node]:
+    """nodes and, beside each that is no article or main element, running text and a first heading before it."""
+    wanted, out, done = set(nodes), [], set()
+    for node in nodes:
+        if node.tag in ("article", "main") or node.parent is None:
+            out.append(node)
+        elif node.parent not in done:
+            done.add(node.parent)
+            before = True
+            for n in node.parent.children:
+                if isinstance(n, str) or n.drop != _KEPT:
+                    continue
+                before = before and n not in wanted
+                prose = n.text >= PROSE and n.text > 3 * n.links and n.tag not in ("ul", "ol", "table")
+                if n in wanted or prose or n.tag == "h1" and before:
+                    out.append(n)
+    return list(dict.fromkeys(out))
 
 
 def extract(page: str | None, path: str | None) -> str:
     """The main text of one page, given the winning path of its host."""
     root = parse(page or "")
-    scored = _scored(root)
-    chosen: list[_Node] = []
-    if path is not None and any(n.path == path and n.score > 0 for n in scored):
-        stack = [root]  # page order; a match inside another is part of it
-        while stack:
-            node = stack.pop()
-            if node.tag in _CONTAINERS and node.path == path and not node.drop:
-                chosen.append(node)
-            else:
-                stack.extend(n for n in reversed(node.children) if not isinstance(n, str) and not n.drop)
-    best = scored[:1] if scored and scored[0].score > 0 else [root]
-    if not chosen or 2 * _size(chosen) < _size(best):
+    boxes = _boxes(root)
+    best = _best(boxes, 1) or [root]
+    chosen = _outermost([n for n in boxes if f"{n.digest:016x}" == path[:16]]) if path else []
+    if 2 * sum(n.text for n in chosen) < best[0].text or not chosen:
         chosen = best
-    return text_of(chosen)
+    return text_of(_with_siblings(chosen))
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,16 +398,21 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
+def main_texts(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
     Null html counts as empty and gives an empty text, as does a page without any. A page with a
     null URL, or one without a host, goes by its own best container. Repeated rows stay repeated, other
-    columns are ignored, an empty table gives an empty result.
+    columns are ignored, an empty table gives an empty result. A tag that never ends ends where the
+    next one begins.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     winners = stage(host_paths(rows), "host-paths")
-    few = winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     named = rows.mapInArrow(_hosts, "page_id long, url string, html string, host string")
-    joined = named.join(F.broadcast(winners) if few else winners, "host", "left")
+    if winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
+        joined = named.join(F.broadcast(winners), "host", "left")
+    else:
+        # a host may hold a third of all pages: its pages are dealt over SALTS keys, its winner is there under each
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
+import pytest
+
 import corpus_pipeline
 from lodestone.llm import queries
 from lodestone.llm.packing import pack
-from lodestone.llm.pages import extract, main_texts
+from lodestone.llm.pages import ballots, extract, main_texts
 from tests.llm.test_duplicates import components, simhash
 from tests.llm.test_text_operators import base_spans, checked_packing
 
@@ -99,6 +103,60 @@ def test_blocks_inside_an_article():
     assert extract(f"<html><body><article>{body}{junk}<p>{ARTICLE}</p></article></body></html>", None) == f"Title Price 12 Let x=1 hold. {TEXT}"
 
 
+HEADER = "<header class='top'><a href='/'>Home</a></header><nav><ul><li><a href='/a'>Menu entry</a></ul></nav>"
+LAST = "<aside>Related links and more of them</aside><footer>All rights reserved by the owner</footer>"
+PLAIN = STORY.replace("<p>", "").replace("</p>", " ").strip()
+LEAD = "This is the lead of the story, which is a long enough sentence to be running text for sure."
+
+
+@pytest.mark.parametrize(
+    ("body", "expected"),
+    [
+        (f"<div class='layout no-sidebar'>{STORY}</div>", PLAIN),
+        (f"<article class='post comments-open'>{STORY}</article>", PLAIN),
+        (f"<div class='content-sidebar-wrap'><div class='content'>{STORY}</div></div>", PLAIN),
+        (f"<form id='whole-page'><div class='content'>{STORY}</div></form>", PLAIN),
+        (f"<article>{STORY}<table class='side-by-side'><tr><td>One<td>Two</table></article>", f"{PLAIN} One Two"),
+        (f"<article>{STORY}<p class='social-history'>Social</p><section id='related-work'>Work</section></article>", f"{PLAIN} Social Work"),
+        (f"<div class='post'><div class='entry-header'><h1>Head</h1></div>{STORY}</div>", f"Head {PLAIN}"),
+        (f"<div class='wrap'><div class='lead'><p>{LEAD}</p></div><div class='rest'>{STORY}</div></div>", f"{LEAD} {PLAIN}"),
+        (f"<article>{STORY}</article><section id='comments'>{STORY}{STORY}</section>", PLAIN),
+        (f"<div class='post'>{STORY}</div><div class='comment-list'>{STORY}<article class='comment'>{STORY}</article></div>", PLAIN),
+        (f"<article><h1>H</h1><p>{LEAD}</p><div class='a'><div class='b'>{STORY}</div></div><div class='share-buttons'>Share</div></article>", f"H {LEAD} {PLAIN}"),
+        (f"<h1>H</h1><div class='b'>{STORY}</div><div class='cookie-notice'><p>{LEAD}</p></div><div class='left-sidebar'><p>{LEAD}</p></div>", f"H {PLAIN}"),
+        (f"<article>{STORY}<form><p>{LEAD}</p></form><div class='advert'><p>{LEAD}</p></div><div class='notice'>{LEAD}</div></article>", PLAIN),
+    ],
+)
+def test_templates(body, expected):
+    whole = f"<html><body>{HEADER}{body}{LAST}</body></html>"
+    assert extract(whole, None) == expected
+    (path, _), *_ = sorted(ballots(whole), key=lambda b: -b[1])
+    assert extract(whole, path) == expected
+
+
+def test_two_hosts_and_two_templates_each(spark):
+    """Hosts vote for themselves; few hosts are broadcast, many are joined with salted keys."""
+    kinds = [f"<div class='lead'><p>{LEAD}</p></div><div class='rest'>{STORY}</div>", f"<div class='box'><p>{LEAD}</p>{STORY}</div>", f"<main><div>{STORY}</div></main>"]
+    texts = [f"{LEAD} {PLAIN}", f"{LEAD} {PLAIN}", PLAIN]
+    rows = [(k, f"https://h{k % 2}.example/{k}", f"<html><body>{HEADER}{kinds[(k % 2) + (k % 7 == 0)]}{LAST}</body></html>") for k in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    expected = {k: texts[(k % 2) + (k % 7 == 0)] for k in range(40)}
+    for hosts in (10, 1):
+        assert {r["page_id"]: r["text"] for r in main_texts(table, hosts).collect()} == expected
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 100_000, "<div>" * 50_000, "<p>" + "<b>" * 20_000 + "<hr>" * 20_000, "<ul><li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<!" * 100_000,
+     "<div>" * 20_000 + "</foo>" * 20_000, "<a x='\"" * 100_000, "<script>" * 100_000, "<div class='k'>" + "<div class='j'>some text</div>" * 20_000, "</" * 100_000],
+)
+def test_broken_pages_end_soon(page):
+    start = time.process_time()
+    extract(page, None)
+    ballots(page)
+    assert time.process_time() - start < 20
+
+
 def test_language_stage_without_any_language(spark, tables):
     rows = [(1, "some text", None), (2, "12 !", None), (3, None, None), (4, "é", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
