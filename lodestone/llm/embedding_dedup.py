@@ -1,28 +1,46 @@
-"""Near-duplicate embeddings: every pair of a label compared.
-
-Equal vectors are one vertex with a number. The vertices are cut into chunks of a bounded size,
-label by label; each chunk travels to all vertices once, and each task compares those of its own
-vertices that have the chunk's labels and come after it. What a task gives back grows with its
-vertices and not with the links: the number of links of each vertex, and edges that join what is
-linked, a spanning forest of what the task has seen.
-
-Pairs are looked for in single precision, with a margin for its error, and decided in double
-precision. The comparisons grow with the square of the number of distinct vectors of a label.
+"""Near-duplicate embeddings by NN-descent, with an exact way for what its lists can't hold or its audit doubts.
+
+Equal vectors are one vertex with a number. A graph gives each vertex its nearest neighbours of
+the same label. It starts from vectors that lie next to each other on several random orders (signs
+of random projections) and is refined by joining the neighbours of each vertex with one another,
+until a round finds no new link. A list all of whose entries are links is saturated and is
+enlarged; one that is still saturated then is enlarged to all links of its vertex, by comparing the vertex
+with its whole label. Edges at or over the threshold are links.
+
+The audit compares some vertices of each label with the whole label. A label passes if no link
+of these vertices is missing and they had enough links to tell, or were all there are; all
+vertices of the other labels are compared with one another. So no round is the last by number
+alone, and each row says what the audit found and whether its label was compared in full.
+
+Comparisons with a whole label are cut into chunks of a bounded size; each chunk travels to all
+vertices once, and each task compares its own vertices with the chunk's. What a task gives back
+grows with its vertices and not with the links: the number of links of each vertex, and edges that
+join what is linked, a spanning forest of what the task has seen. Pairs are looked for in single
+precision, with a margin for its error, and decided in double precision.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from lodestone.llm.common import connected_components, shared_dir, stage
+from lodestone.llm.common import connected_components, scratch, stage
 
 THRESHOLD = 0.93
+#: Neighbours in a list, and in one that is saturated.
+NEIGHBOURS, WIDE = 8, 32
+#: Random orders of the start and signs of each; vectors of a window on an order and its step; members of a vertex that are joined at once.
+ORDERS, SIGNS, WINDOW, STRIDE, JOINED = 6, 24, 256, 192, 64
+#: Rounds after which what isn't settled is compared in full.
+ROUNDS = 8
+#: Audited vertices of a label, expected, and links that they must have had to speak for the others.
+AUDITED, EVIDENCE = 2048, 200
+SEED = 20240229
 #: Numbers in the vectors of one chunk, about.
 VALUES = 1 << 21
 #: Vectors of a task and of the chunk that are compared at once.
@@ -50,6 +68,130 @@ def _unit(column: pa.Array) -> list[np.ndarray]:
     return [r / np.sqrt((r * r).sum()) for r in out]
 
 
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the runs of equal rows."""
+    if not len(columns[0]):
+        return
+    change = np.zeros(len(columns[0]) - 1, dtype=bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])]
+    yield from zip(cuts, cuts[1:], strict=False)
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, grp, v) once for each order, with their code there."""
+    planes: dict[int, np.ndarray] = {}
+    for batch in batches:
+        vectors = _unit(batch.column("v")) if batch.num_rows else []
+        codes, sizes = np.zeros((len(vectors), ORDERS), dtype=np.int64), np.array([len(v) for v in vectors])
+        for size in set(sizes.tolist()):
+            if size not in planes:
+                planes[size] = np.random.default_rng(SEED + size).standard_normal((size, ORDERS * SIGNS))
+            at = np.flatnonzero(sizes == size)
+            signs = np.stack([vectors[k] for k in at]) @ planes[size] > 0
+            # Gray code: neighbours in the order differ in few signs
+            bits = np.logical_xor.accumulate(signs.reshape(len(at), ORDERS, SIGNS), axis=2)
+            codes[at] = bits @ (1 << np.arange(SIGNS)[::-1])
+        for k in range(ORDERS):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(batch.num_rows, k, np.int32)), batch.column("grp"), pa.array(codes[:, k]), batch.column("node"), batch.column("v")],
+                names=["k", "grp", "code", "node", "v"],
+            )
+
+
+def _edges(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else ([np.zeros(0, t)] for t in (np.int64, np.int64, np.float64))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["src", "dst", "sim"])
+
+
+def _best(nodes: np.ndarray, vectors: list[np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, sim) of the nearest rows of each row of a block."""
+    table = np.stack(vectors)
+    sims = table @ table.T
+    sims[nodes[:, None] == nodes[None, :]] = -2
+    keep = min(keep, len(nodes) - 1)
+    top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
+    return np.repeat(nodes, keep), nodes[top].ravel(), np.take_along_axis(sims, top, axis=1).ravel()
+
+
+def _first_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order: each against those in the same windows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        order, grp, node = batch.column("k").to_numpy(), batch.column("grp").to_numpy(zero_copy_only=False), batch.column("node").to_numpy()
+        vectors, out = _unit(batch.column("v")), []
+        for a, b in _runs(order, grp):
+            for s in range(a, b, STRIDE):
+                e = min(b, s + WINDOW)
+                if e - s > 1:
+                    out.append(_best(node[s:e], vectors[s:e], NEIGHBOURS))
+                if e == b:
+                    break
+        found = _edges(out)
+        yield found.filter(pa.array(found.column("sim").to_numpy() > -2))
+
+
+def _neighbours_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (mid, node, least, v) sorted by mid: pairs among the neighbours of mid that improve a list."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mid, node, least = (batch.column(c).to_numpy() for c in ("mid", "node", "least"))
+        vectors, out = _unit(batch.column("v")), []
+        for a, b in _runs(mid):
+            for s in range(a, b, JOINED):
+                e = min(b, s + JOINED)
+                if e - s > 1:
+                    src, dst, sim = _best(node[s:e], vectors[s:e], NEIGHBOURS)
+                    better = sim > np.repeat(least[s:e], len(src) // (e - s))
+                    out.append((src[better], dst[better], sim[better]))
+        yield _edges(out)
+
+
+def _lists(edges: DataFrame, threshold: float) -> DataFrame:
+    """node, near: its best (sim, dst), least: the similarity that a better one has to pass, full: whether it is saturated.
+
+    A list of NEIGHBOURS links goes on to WIDE. Each node comes with as many edges as it was met.
+    """
+    every = F.sort_array(F.collect_set(F.struct("sim", "dst")), asc=False)
+    sorted_ = edges.groupBy(F.col("src").alias("node")).agg(every.alias("every"))
+    wide = (F.size("every") >= NEIGHBOURS) & (F.try_element_at("every", F.lit(NEIGHBOURS))["sim"] >= threshold)
+    room = F.when(wide, F.lit(WIDE)).otherwise(F.lit(NEIGHBOURS))
+    cut = sorted_.select("node", F.slice("every", F.lit(1), room).alias("near"), room.alias("room"))
+    last = F.element_at("near", F.lit(-1))["sim"]
+    return cut.select("node", "near", F.when(F.size("near") < F.col("room"), F.lit(-2.0)).otherwise(last).alias("least"), ((F.size("near") >= WIDE) & (last >= threshold)).alias("full"))
+
+
+def _arcs(lists: DataFrame) -> DataFrame:
+    return lists.select(F.col("node").alias("src"), F.inline("near")).select("src", "dst", "sim")
+
+
+def refined(vertices: DataFrame, lists: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """The lists after one join of neighbours with neighbours."""
+    arcs = _arcs(lists)
+    both = arcs.select(F.col("src").alias("mid"), F.col("dst").alias("node")).union(arcs.select(F.col("dst").alias("mid"), F.col("src").alias("node"))).distinct()
+    members = both.join(vertices.select("node", "v").join(lists.select("node", "least"), "node"), "node")
+    # sorted runs instead of groups: a vertex near to very many is dealt over tasks and blocks, others in each round
+    dealt = members.withColumn("salt", F.xxhash64("node", F.lit(turn))).repartitionByRange("mid", "salt").sortWithinPartitions("mid", "salt")
+    better = dealt.select("mid", "node", "least", "v").mapInArrow(_neighbours_joined, "src long, dst long, sim double")
+    return stage(_lists(arcs.union(better), threshold), "lists")
+
+
+def neighbour_graph(vertices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, near (sim, dst; best first), least, full for vertices (node, grp, v) with neighbours in grp."""
+    rows = vertices.select("node", "grp", "v").mapInArrow(_ordered, "k int, grp string, code long, node long, v " + vertices.schema["v"].dataType.simpleString())
+    rows = rows.repartitionByRange("k", "grp", "code", "node").sortWithinPartitions("k", "grp", "code", "node")
+    lists, before = stage(_lists(rows.mapInArrow(_first_edges, "src long, dst long, sim double"), threshold), "lists"), -1
+    for turn in range(ROUNDS):
+        links = lists.agg(F.sum(F.size(F.filter("near", lambda n: n["sim"] >= threshold)))).first()[0] or 0
+        if links == before:
+            break
+        lists, before = refined(vertices, lists, threshold, turn), links
+    return lists
+
+
 def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(grp, places of its rows, their unit vectors) of rows with grp and v."""
     if not batch.num_rows:
@@ -164,15 +306,22 @@ def _compared(shared, chunk: int, threshold: float):
 
 
 def compared(vertices: DataFrame, threshold: float, values: int = VALUES) -> DataFrame:
-    """(src, null, links) and (src, dst, null) for vertices (node, grp, n, v): links to be summed, and edges that join what is linked."""
-    spark, base = vertices.sparkSession, f"{shared_dir(vertices.sparkSession)}/compared-{uuid.uuid4().hex}"
+    """(src, null, links) and (src, dst, null) for vertices (node, grp, n, v, hot): links to be summed, and edges that join what is linked.
+
+    Each pair of a grp with a hot vertex is compared once: a hot vertex gets all of its links, any other those to hot ones.
+    """
+    spark, base = vertices.sparkSession, scratch(vertices.sparkSession, "compared")
     schema = "src long, dst long, links long"
-    sizes = vertices.groupBy("grp").agg(F.count("*").alias("number"), F.sum(F.size("v")).alias("numbers"))
-    chunks = max(1, -(-(vertices.agg(F.sum(F.size("v"))).first()[0] or 0) // values))
+    hot = vertices.filter("hot")
+    sizes = hot.groupBy("grp").agg(F.sum(F.size("v")).alias("numbers"))
+    chunks = max(1, -(-(hot.agg(F.sum(F.size("v"))).first()[0] or 0) // values))
     own = F.pmod(F.xxhash64("node"), F.ceil(F.col("numbers") / values))
-    placed = vertices.join(sizes, "grp").select(F.pmod(F.xxhash64("grp") + own, F.lit(chunks)).cast("int").alias("chunk"), "grp", "node", "n", "v")
+    # what isn't hot comes after all chunks
+    chunk = F.when(F.col("hot"), F.pmod(F.xxhash64("grp") + own, F.lit(chunks)).cast("int")).otherwise(F.lit(chunks))
+    placed = vertices.join(sizes, "grp").select(chunk.alias("chunk"), "grp", "node", "n", "v")
     # dealt by node, so that each task has its share of each label
     placed = stage(placed.repartition("node").sortWithinPartitions("grp", "chunk"), "placed")
+    written = False
     for chunk in range(chunks):
         table = placed.filter(F.col("chunk") == chunk).select("grp", "node", "n", "v").toArrow().combine_chunks()
         if not table.num_rows:
@@ -186,21 +335,61 @@ def compared(vertices: DataFrame, threshold: float, values: int = VALUES) -> Dat
             rows = rows.filter(F.col("grp").isin(*groups))
         rows.mapInArrow(_compared(shared, chunk, threshold), schema).write.option("compression", "zstd").mode("append").parquet(base)
         shared.destroy()
-    if not placed.isEmpty():
-        return spark.read.schema(schema).parquet(base)
-    return spark.createDataFrame([], schema)
+        written = True
+    return spark.read.schema(schema).parquet(base) if written else spark.createDataFrame([], schema)
+
+
+def _counts(found: DataFrame, name: str) -> DataFrame:
+    return found.filter("links IS NOT NULL").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias(name))
 
 
-def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, values: int = VALUES) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of embeddings (vec_id, embedding, label).
+def audited(vertices: DataFrame, lists: DataFrame, threshold: float, values: int, sample: int, evidence: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the lists and the comparison of saturated and audited vertices give.
+
+    (grp, recall, passed) of each label; (src, dst, null) and (src, null, links) of the
+    comparison; (node, dst, n) links in the lists between vertices that weren't compared.
+    """
+    sizes = vertices.groupBy("grp").agg(F.count("*").alias("size"))
+    share = F.lit(float(1 << 30) * sample) / F.col("size")
+    picked = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < share
+    full = lists.filter("full").select("node", F.lit(True).alias("full"))
+    marked = vertices.join(sizes, "grp").join(full, "node", "left").select("node", "grp", "n", "v", F.coalesce("full", F.lit(False)).alias("full"), picked.alias("picked"))
+    marked = stage(marked.withColumn("hot", F.col("full") | F.col("picked")), "marked")
+    found = compared(marked, threshold, values)
+    arcs = _arcs(lists).filter(F.col("sim") >= threshold).select("src", "dst")
+    arcs = arcs.union(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    ends = marked.select(F.col("node").alias("dst"), "n", F.col("hot").alias("dst_hot"))
+    arcs = stage(arcs.join(ends, "dst").join(marked.select(F.col("node").alias("src"), "hot", "picked"), "src"), "arcs")
+    have = arcs.filter("picked").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("have"))
+    judged = marked.select("node", "grp", "full", "picked").join(_counts(found, "links"), "node", "left").join(have, "node", "left")
+    true, known = F.coalesce("links", F.lit(0)), F.coalesce("have", F.lit(0))
+    asked = F.col("picked") & ~F.col("full")  # a saturated vertex has all of its links by now
+    said = judged.groupBy("grp").agg(
+        F.sum(F.when(asked, true).otherwise(0)).alias("of"), F.sum(F.when(asked, F.least(true, known)).otherwise(0)).alias("have"), F.count_if(~F.col("full") & ~F.col("picked")).alias("unseen")
+    )
+    recall = F.when(F.col("of") > 0, F.col("have") / F.col("of")).otherwise(F.lit(1.0))
+    audit = said.select("grp", recall.alias("recall"), ((F.col("have") == F.col("of")) & ((F.col("unseen") == 0) | (F.col("of") >= evidence))).alias("passed"))
+    cold = arcs.filter("not hot and not dst_hot").select(F.col("src").alias("node"), "dst", "n")
+    return stage(audit, "audit"), found, cold
+
+
+def embedding_links(
+    embeddings: DataFrame, threshold: float = THRESHOLD, values: int = VALUES, sample: int = AUDITED, evidence: int = EVIDENCE
+) -> DataFrame:
+    """vec_id, n_links, component_id, kept, audit_recall, compared_all of every row of embeddings (vec_id, embedding, label).
 
     Vectors link at a cosine of threshold or more if their labels are equal and not null and
-    their lengths are equal. Null, empty or zero vectors and those with null or non-finite
+    their lengths are equal; components are read in their own precision. Null, empty or zero vectors and those with null or non-finite
     components link with nothing: n_links 0, a component of their own, kept. Equal vectors link;
     rows repeated as a whole are vectors of their own with the same id. Other columns are
     ignored, an empty table gives an empty result.
+
+    audit_recall is the share of the audited links of the row's label that the graph had (1 where
+    there were none, null for rows that can't link); compared_all says that the label didn't pass and was compared in full.
     """
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("string").alias("label"))
+    kind = embeddings.schema["embedding"].dataType
+    precise = "array<float>" if getattr(kind, "elementType", None) == FloatType() else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(precise).alias("v"), F.col("label").cast("string").alias("label"))
     good = rows.filter(F.col("label").isNotNull() & usable(F.col("v")))
     vertices = stage(
         good.groupBy("label", "v")
@@ -208,15 +397,26 @@ def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, values:
         .select(F.monotonically_increasing_id().alias("node"), F.concat_ws(":", F.size("v").cast("string"), "label").alias("grp"), "label", "v", "vec_id", "n"),
         "vertices",
     )
-    found = compared(vertices.select("node", "grp", "n", "v"), threshold, values)
-    roots = connected_components(found.filter("dst IS NOT NULL").select("src", "dst"))
-    counts = found.filter("links IS NOT NULL").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
+    plain = vertices.select("node", "grp", "n", "v")
+    audit, found, cold = audited(plain, neighbour_graph(plain, threshold), threshold, values, sample, evidence)
+    again = compared(plain.join(audit.filter("not passed"), "grp", "left_semi").withColumn("hot", F.lit(True)), threshold, values)
+    graded = vertices.join(audit, "grp").select("node", "label", "v", "vec_id", "n", "recall", "passed")
+    good_nodes = graded.filter("passed").select("node")
+    found = found.join(good_nodes.withColumnRenamed("node", "src"), "src", "left_semi").union(again)
+    cold = cold.join(good_nodes, "node", "left_semi")
+    edges = found.filter("dst IS NOT NULL").select("src", "dst").union(cold.select(F.col("node").alias("src"), "dst"))
+    counts = _counts(found.union(cold.select("node", F.lit(None).cast("long"), "n")), "links")
+    roots = connected_components(edges)
     named = roots.join(vertices.select("node", "vec_id"), "node").groupBy("root").agg(F.min("vec_id").alias("component_id"))
     linked = roots.join(named, "root").join(counts, "node").select("node", "component_id", "links")
-    whole = (
-        vertices.join(linked, "node", "left")
-        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    whole = stage(
+        graded.join(linked, "node", "left").select(
+            "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "recall", (~F.col("passed")).alias("again")
+        ),
+        "linked",
     )
-    whole = stage(whole, "linked")
-    out = rows.join(whole, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = rows.join(whole, ["label", "v"], "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.col("recall").alias("audit_recall"), F.coalesce("again", F.lit(False)).alias("compared_all"),
+    )
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "audit_recall", "compared_all")

@@ -147,3 +147,49 @@ def test_embedding_links_of_few_pairs_in_a_large_label(spark, tmp_path):
     pq.write_table(pa.table(columns, names=["vec_id", "embedding", "label"]), tmp_path / "embeddings.parquet", row_group_size=8192)
     found = embedding_links(spark.read.parquet(str(tmp_path / "embeddings.parquet"))).filter("n_links > 0").collect()
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == {(k, 1, a) for a, b in expected for k in (a, b)}
+
+
+def planted_pairs(number: int, sigma: float, seed: int):
+    """Vectors of one label, the first two of each number linked or nearly so, and the links."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.standard_normal((2 * number, 64))
+    vectors[1::2] = vectors[0::2] + sigma * rng.standard_normal((number, 64))
+    vectors = vectors.astype(np.float32)
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    return vectors, [(2 * k, 2 * k + 1) for k in np.flatnonzero((unit[0::2] * unit[1::2]).sum(axis=1) >= 0.93).tolist()]
+
+
+def written(tmp_path, vectors):
+    columns = [pa.array(np.arange(len(vectors))), pa.array(list(vectors), pa.list_(pa.float32())), pa.array(np.ones(len(vectors), np.int32))]
+    pq.write_table(pa.table(columns, names=["vec_id", "embedding", "label"]), tmp_path / "embeddings.parquet", row_group_size=4096)
+    return str(tmp_path / "embeddings.parquet")
+
+
+def test_isolated_pairs_of_one_large_label(spark, tmp_path):
+    """8,000 pairs near the threshold: lists lose some, the audit says so, and the label is compared in full."""
+    vectors, links = planted_pairs(8_000, 0.37, 17)
+    assert len(links) > 5_000
+    rows = embedding_links(spark.read.parquet(written(tmp_path, vectors))).collect()
+    assert {(r["vec_id"], r["component_id"]) for r in rows if r["n_links"]} == {(k, a) for a, b in links for k in (a, b)}
+    assert all(r["n_links"] <= 1 for r in rows)
+    (recall, again), *others = {(r["audit_recall"], r["compared_all"]) for r in rows}
+    assert not others and 0.9 < recall <= 1 and again == (recall < 1)
+
+
+def test_a_label_that_passes_its_audit(spark, tmp_path):
+    """Groups of four, far apart: the graph alone has all links, so most vertices are never compared with the label."""
+    rng = np.random.default_rng(19)
+    centres = rng.standard_normal((1_000, 64))
+    vectors = (np.repeat(centres, 4, axis=0) + 0.05 * rng.standard_normal((4_000, 64))).astype(np.float32)
+    rows = embedding_links(spark.read.parquet(written(tmp_path, vectors)), sample=200).collect()
+    assert {(r["n_links"], r["component_id"] - r["vec_id"] // 4 * 4, r["audit_recall"], r["compared_all"]) for r in rows} == {(3, 0, 1.0, False)}
+
+
+def test_embedding_links_of_precise_vectors_and_repeated_rows(spark):
+    """Components in double precision are not rounded; equal rows are vectors of their own; other columns may be named as the operator's own."""
+    near = [1.0, 0.0, 1e-9]
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, near, 1), (2, near, 1), (3, [0.0, 1.0, 0.0], 1), (None, near, 1)]
+    table = spark.createDataFrame([(*r, 7, True) for r in rows], "vec_id long, embedding array<double>, label int, n int, hot boolean")
+    found = sorted(((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embedding_links(table).collect()))
+    assert found == [(-1, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 0, 3, True)]
