@@ -14,7 +14,7 @@ import xxhash
 from lodestone.llm import queries
 from lodestone.llm.embedding_dedup import embedding_links
 from lodestone.llm.exact_dedup import exact_dedup
-from lodestone.llm.simhash import simhash_groups
+from lodestone.llm.simhash import _linked, candidate_lists, parts, parts_for, simhash_groups, with_distances
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,6 +82,37 @@ def table_literal():
     return F.lit("clash")
 
 
+@pytest.mark.parametrize(("count", "block"), [(6, 512), (6, 8), (7, 16), (8, 512), (9, 512)])
+def test_near_fingerprints_at_every_number_of_parts(spark, count, block):
+    """Planted groups at every distance up to five bits, against all pairs."""
+    rng = np.random.default_rng(count * block)
+    centres = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    values = {int(c) for c in centres}
+    for k, c in enumerate(centres.tolist()):
+        for _ in range(3 if k else 60):
+            values.add(c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)))
+    fps = np.array(sorted(values), dtype=np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    expected = components(fps.tolist(), fps[near].tolist())
+    table = with_distances(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")).repartition(4)
+    pairs = [(r["src"] & (1 << 64) - 1, r["dst"] & (1 << 64) - 1) for r in candidate_lists(table, count, block).mapInArrow(_linked, "src long, dst long").collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    assert components(fps.tolist(), pairs) == expected
+
+
+def test_parts_grow_with_the_corpus():
+    assert [parts_for(n) for n in (0, 4_000_000, 5_000_000, 10**9, 10**11)] == [6, 6, 7, 8, 9]
+    assert all(sum(w for _, w in parts(m)) == 64 for m in range(6, 12))
+
+
+def test_near_copies_without_ids_and_repeated(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (None, "quite another text with other words in it"), (3, text), (3, text), (5, None), (None, "")]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, least long, far0 int")
+    found = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash_groups(table).collect())
+    assert found == [(-1, -1), (-1, 3), (-1, 5), (3, 3), (3, 3), (5, 5)]
+
+
 def test_near_copies_query(spark, tables):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
     for r in queries.op7_simhash_neardup(spark, tables).collect():
