@@ -6,16 +6,19 @@ of emitted tokens changes. A state keeps what later bytes can still change: for
 position from which some token of the vocabulary may go on, the last token there and the count
 relative to now. States and transitions are made when first needed and kept.
 
-A text is cut into chunks of a fixed size, at any character. A chunk maps the state before it
-to the state after it and to a count; because white space resets the tokenizer, the map is
-known from the chunk alone up to the words at its two edges. Maps compose associatively: the
-chunks of a long text are counted by different tasks and composed by a prefix scan.
+Texts up to the size of a chunk are counted where they are read. Longer ones are cut into chunks of
+a fixed size, at any character. A chunk maps the state before it to the state after it and to a
+count. The state at a chunk's edge is the field (what stands between white space) that is still open there: white space resets the
+tokenizer, so whatever the state before a chunk, only its first field depends on it, and the map
+is kept as that field, the count of the closed ones and the open one. Normalisation may join characters
+over an edge and special strings may lie across one, so states are open fields and not byte states. Maps compose
+associatively; the chunks of a text are composed in a tree, BRANCH of them in a task at each
+level, so that no task has all of them. A field as long as several chunks is open text in all of these.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -24,8 +27,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lodestone.llm.common import stage
 
 CHUNK_CHARS = 1 << 16
+#: Maps that are composed in one row at each level of the tree.
+BRANCH = 32
 _ROWS = 256
 #: What a worker keeps: fields, states and pairs of tokens. Beyond it starts anew.
 _FIELDS, _STATES, _PAIRS = 1 << 17, 1 << 17, 1 << 16
@@ -165,12 +173,17 @@ class Counter:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.space = regex.compile(SPACE + "+")
+        # the library's own normaliser and word splitter: Unicode tables differ between versions
+        whole = Tokenizer.from_str(json.dumps(spec))
+        self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
+        self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.fields: dict[str, int] = {}
 
     def _plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # one character at a time
-        return sum(self.word.count(w.encode("utf-8", "surrogatepass")) for w in self.words.findall(text))
+        if text.isascii():
+            return sum(self.word.count(w.encode()) for w in self.words.findall(text.lower()))
+        said = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return sum(self.word.count(bytes(map(self.byte_of.__getitem__, w))) for w, _ in said)
 
     def field(self, text: str) -> int:
         """Tokens of a text without white space; kept for the next time."""
@@ -178,10 +191,9 @@ class Counter:
             if len(self.fields) > _FIELDS:
                 self.fields.clear()
             word = text.rstrip(_POINTS)
-            low = word.lower()
-            if word.isalpha() and (word.isascii() or low.isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word)):
-                # letters, then points: two words at most
-                n = self.word.count(low.encode()) if len(word) == len(text) else self.field(word) + self.field(text[len(word) :])
+            if word.isalpha() and (word.isascii() or max(word) < "\u0180" and "\u0130" not in word):
+                # Latin letters, composed already, each with one small letter; then points: two words at most
+                n = self.word.count(word.lower().encode()) if len(word) == len(text) else self.field(word) + self.field(text[len(word) :])
             else:
                 n = len(self.special.findall(text)) if any(m in text for m in self.marks) else 0
                 n += sum(map(self._plain, self.special.split(text))) if n else self._plain(text)
@@ -216,6 +228,12 @@ class Counter:
             gap *= 2
         return out
 
+    def whole(self, maps: list[ChunkMap]) -> ChunkMap:
+        """The map of all chunks together: neighbours in pairs, then pairs of pairs."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0]
+
     def total(self, whole: ChunkMap) -> int:
         return (self.field(whole.head) if whole.head else 0) + whole.count + (self.field(whole.tail) if whole.tail else 0)
 
@@ -235,41 +253,97 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+_MAP = "row long, pos long, head string, count long, tail string, broken boolean"
+
+
+def _as_batch(rows: list[int], places: list[int], maps: list[ChunkMap]) -> pa.RecordBatch:
+    columns = [rows, places, *(zip(*maps, strict=True) if maps else ([], [], [], []))]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row", "pos", "head", "count", "tail", "broken"])
+
+
+def _counted(path: str):
+    """Rows (doc_id, n_bytes, text) to their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for batch in batches:
+            texts = batch.column("text")
+            counts = [c.total(c.chunk(t)) for k in range(0, len(texts), _ROWS) for t in texts.slice(k, _ROWS).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    return run
+
+
+def _cut(chunk_chars: int):
+    """Rows (row, text) to (row, pos, chunk)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("row"), batch.column("text"), strict=True):
+                text, row = text.as_py(), row.as_py()
+                for first in range(0, len(text), chunk_chars * _ROWS):  # so many chunks at a time
+                    cuts = range(first, min(len(text), first + chunk_chars * _ROWS), chunk_chars)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row] * len(cuts), pa.int64()), pa.array([k // chunk_chars for k in cuts], pa.int64()), pa.array([text[k : k + chunk_chars] for k in cuts], pa.string())],
+                        names=["row", "pos", "chunk"],
+                    )
+
+    return run
+
+
 def _mapped(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            chunks = batch.column("chunk")
-            maps = [c.chunk(t) for k in range(0, len(chunks), _ROWS) for t in chunks.slice(k, _ROWS).to_pylist()]
-            # a text of one chunk is counted at once, those of more go on with what waits at their edges
-            done = [c.total(m) if one else None for m, one in zip(maps, batch.column("one").to_pylist(), strict=True)]
-            keep = [(m.head, m.count, m.tail, m.broken) if n is None else ("", 0, "", False) for m, n in zip(maps, done, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), batch.column("n_bytes"), batch.column("pos"), pa.array(done, pa.int64())]
-                + [pa.array(v, t) for v, t in zip(zip(*keep, strict=True), (pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True)],
-                names=["doc_id", "row", "n_bytes", "pos", "n_tokens", "head", "count", "tail", "broken"],
-            )
+            maps = [c.chunk(t) for t in batch.column("chunk").to_pylist()]
+            yield _as_batch(batch.column("row").to_pylist(), batch.column("pos").to_pylist(), maps)
 
     return run
 
 
 def _composed(path: str):
+    """Rows (row, pos, maps): up to BRANCH neighbours become one map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for batch in batches:
+            ordered = [sorted(maps, key=lambda m: m["pos"]) for maps in batch.column("maps").to_pylist()]
+            whole = [c.whole([ChunkMap(m["head"], m["count"], m["tail"], m["broken"]) for m in maps]) for maps in ordered]
+            yield _as_batch(batch.column("row").to_pylist(), batch.column("pos").to_pylist(), whole)
+
+    return run
+
+
+def _closed(path: str):
+    """Rows of whole texts' maps to (row, n_tokens)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
         for batch in batches:
-            totals = []
-            for known, maps in zip(batch.column("n_tokens").to_pylist(), batch.column("maps").to_pylist(), strict=True):
-                if known is None:
-                    c = counter(path)
-                    ordered = sorted(maps, key=lambda m: m["pos"])
-                    known = c.total(c.scan([ChunkMap(m["head"], m["count"], m["tail"], m["broken"]) for m in ordered])[-1])
-                totals.append(known)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
-            )
+            columns = (batch.column(n).to_pylist() for n in ("head", "count", "tail", "broken"))
+            totals = [c.total(ChunkMap(*m)) for m in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(totals, pa.int64())], names=["row", "n_tokens"])
 
     return run
 
 
+def _long_counts(texts: DataFrame, path: str, chunk_chars: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens of texts longer than a chunk."""
+    # numbered in a written table: a task that runs again finds the same numbers
+    rows = stage(texts.withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    last = rows.agg(F.max(F.floor((F.char_length("text") - 1) / chunk_chars))).first()[0]
+    if last is None:
+        return rows.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_tokens"))
+    chunks = rows.select("row", "text").mapInArrow(_cut(chunk_chars), "row long, pos long, chunk string")
+    maps = chunks.repartition("row", "pos").mapInArrow(_mapped(path), _MAP)
+    while last > 0:
+        met = maps.groupBy("row", F.floor(F.col("pos") / BRANCH).alias("pos")).agg(F.collect_list(F.struct("pos", "head", "count", "tail", "broken")).alias("maps"))
+        maps, last = stage(met.mapInArrow(_composed(path), _MAP), "chunk-maps"), last // BRANCH
+    counts = maps.mapInArrow(_closed(path), "row long, n_tokens long")
+    return rows.select("row", "doc_id", "n_bytes").join(counts, "row").select("doc_id", "n_bytes", "n_tokens")
+
+
 def token_counts(documents: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of documents (doc_id, text).
 
@@ -279,28 +353,8 @@ def token_counts(documents: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS
     ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = F.char_length(text)
-    whole = F.array(F.struct(F.lit(0).alias("pos"), text.alias("chunk")))
-    cut = F.transform(
-        F.sequence(F.lit(0), F.floor((size - 1) / chunk_chars).cast("int")),
-        lambda k: F.struct(k.alias("pos"), F.substring(text, k * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk")),
-    )
-    # numbered before they are cut: in one select the cuts would each get a number of their own
-    numbered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("row"))
-    rows = numbered.select(
-        "doc_id",
-        "row",
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        (size <= chunk_chars).alias("one"),
-        F.inline(F.when(size <= chunk_chars, whole).otherwise(cut)),
-    )
-    maps = rows.mapInArrow(
-        _mapped(path),
-        "doc_id long, row long, n_bytes long, pos int, n_tokens long, head string, count long, tail string, broken boolean",
-    )
-    # a text of one chunk needs no partner; those of more meet by row, a few hundred bytes for each chunk
-    met = maps.groupBy("row", "doc_id", "n_bytes").agg(
-        F.max("n_tokens").alias("n_tokens"),
-        F.collect_list(F.when(F.col("n_tokens").isNull(), F.struct("pos", "head", "count", "tail", "broken"))).alias("maps"),
-    )
-    return met.select("doc_id", "n_bytes", "n_tokens", "maps").mapInArrow(_composed(path), "doc_id long, n_bytes long, n_tokens long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    # bytes first: they are known without reading the text
+    long = (F.col("n_bytes") > chunk_chars) & (F.char_length("text") > chunk_chars)
+    short = rows.filter(~long).mapInArrow(_counted(path), "doc_id long, n_bytes long, n_tokens long")
+    return short.union(_long_counts(rows.filter(long), path, chunk_chars))

@@ -16,7 +16,7 @@ from lodestone.llm import packing, pii, queries
 from lodestone.llm.chat import maximal_conversations
 from lodestone.llm.language import language_of
 from lodestone.llm.sentencepiece import Pieces, decode, encode, round_trip
-from lodestone.llm.token_counts import token_counts
+from lodestone.llm.token_counts import counter, token_counts
 
 ODD = [
     None, "", " ", "\n\t ", "word", "Word  word x", "a" * 5000, "ab " * 40_000, "naïve façade ÉCOLE", "日本語の文章", "<|endoftext|> x", "x<|startoftext|>y",
@@ -57,6 +57,32 @@ def test_token_counts_on_documents(spark, tables, documents):
     assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in found)
 
 
+def test_token_counts_of_every_character():
+    """Each code point between letters, and after a letter that it may combine with, against the library."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), counter(path)
+    texts = [f"a{chr(c)} x{chr(c)}b {chr(c).upper()}'s" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and not (0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD000 or 0x17000 <= c < 0x18D00 or c >= 0x20000)]
+    for k in range(0, len(texts), 8192):
+        expected = [len(e.ids) for e in library.encode_batch(texts[k : k + 8192], add_special_tokens=False)]
+        found = [own.total(own.chunk(t)) for t in texts[k : k + 8192]]
+        assert found == expected, [t for t, a, b in zip(texts[k : k + 8192], found, expected, strict=True) if a != b][:5]
+
+
+def test_chunk_maps_are_associative():
+    own, rng = counter(queries.vocabulary("word_bpe_49k.json")), np.random.default_rng(3)
+    text = "don't  stop <|endoftext|>it e\u0301tait 12 a<|endoftext|>b " * 20
+    expected = own.total(own.chunk(text))
+    for _ in range(50):
+        cuts = [0, *sorted(rng.integers(0, len(text), 12).tolist()), len(text)]
+        maps = [own.chunk(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert own.total(own.whole(maps)) == own.total(own.scan(maps)[-1]) == expected
+
+
+def test_token_counts_of_nothing(odd):
+    path = queries.vocabulary("word_bpe_49k.json")
+    assert token_counts(odd.limit(0), path).count() == token_counts(odd.limit(0), path, 7).count() == 0
+
+
 def test_pieces_are_the_best_segmentation():
     model = Pieces(queries.vocabulary("piece_bpe_32k.model"))
     score = {p: (s, n) for n, (p, s, k) in enumerate(zip(model.pieces, model.scores, model.kinds, strict=True)) if k in (1, 4)}
