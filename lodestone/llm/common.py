@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a small table that are broadcast, some hundred bytes each; keys that a hot one is dealt over.
+BROADCAST_ROWS, SALTS = 50_000, 32
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
@@ -53,6 +55,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined with table, which has one row for each value of key.
+
+    Up to most rows of table are broadcast, after they were counted. Beyond, the rows of one key
+    are dealt over SALTS tasks by the column spread, and table is there under each salt, so that
+    a key with a third of all rows is no single task.
+    """
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table), key, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [key, "_salt"], how).drop("_salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (src, dst); root is the smallest node reachable.
 

@@ -3,7 +3,7 @@
 Equal vectors are one vertex with a number. A graph gives each vertex its nearest neighbours of
 the same label. It starts from vectors that lie next to each other on several random orders (signs
 of random projections) and is refined by joining the neighbours of each vertex with one another,
-until a round finds no new link. A list all of whose entries are links is saturated and is
+until a round adds hardly any link. A list all of whose entries are links is saturated and is
 enlarged; one that is still saturated then is enlarged to all links of its vertex, by comparing the vertex
 with its whole label. Edges at or over the threshold are links.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from lodestone.llm.common import connected_components, scratch, stage
+from lodestone.llm.common import connected_components, looked_up, scratch, stage
 
 THRESHOLD = 0.93
 #: Neighbours in a list, and in one that is saturated.
@@ -186,7 +186,7 @@ def neighbour_graph(vertices: DataFrame, threshold: float = THRESHOLD) -> DataFr
     lists, before = stage(_lists(rows.mapInArrow(_first_edges, "src long, dst long, sim double"), threshold), "lists"), -1
     for turn in range(ROUNDS):
         links = lists.agg(F.sum(F.size(F.filter("near", lambda n: n["sim"] >= threshold)))).first()[0] or 0
-        if links == before:
+        if links <= 1.001 * before:  # the audit sees to the rest
             break
         lists, before = refined(vertices, lists, threshold, turn), links
     return lists
@@ -318,7 +318,7 @@ def compared(vertices: DataFrame, threshold: float, values: int = VALUES) -> Dat
     own = F.pmod(F.xxhash64("node"), F.ceil(F.col("numbers") / values))
     # what isn't hot comes after all chunks
     chunk = F.when(F.col("hot"), F.pmod(F.xxhash64("grp") + own, F.lit(chunks)).cast("int")).otherwise(F.lit(chunks))
-    placed = vertices.join(sizes, "grp").select(chunk.alias("chunk"), "grp", "node", "n", "v")
+    placed = looked_up(vertices, stage(sizes, "sizes"), "grp", "node").select(chunk.alias("chunk"), "grp", "node", "n", "v")
     # dealt by node, so that each task has its share of each label
     placed = stage(placed.repartition("node").sortWithinPartitions("grp", "chunk"), "placed")
     written = False
@@ -349,11 +349,11 @@ def audited(vertices: DataFrame, lists: DataFrame, threshold: float, values: int
     (grp, recall, passed) of each label; (src, dst, null) and (src, null, links) of the
     comparison; (node, dst, n) links in the lists between vertices that weren't compared.
     """
-    sizes = vertices.groupBy("grp").agg(F.count("*").alias("size"))
+    sizes = stage(vertices.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
     share = F.lit(float(1 << 30) * sample) / F.col("size")
     picked = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < share
     full = lists.filter("full").select("node", F.lit(True).alias("full"))
-    marked = vertices.join(sizes, "grp").join(full, "node", "left").select("node", "grp", "n", "v", F.coalesce("full", F.lit(False)).alias("full"), picked.alias("picked"))
+    marked = looked_up(vertices, sizes, "grp", "node").join(full, "node", "left").select("node", "grp", "n", "v", F.coalesce("full", F.lit(False)).alias("full"), picked.alias("picked"))
     marked = stage(marked.withColumn("hot", F.col("full") | F.col("picked")), "marked")
     found = compared(marked, threshold, values)
     arcs = _arcs(lists).filter(F.col("sim") >= threshold).select("src", "dst")
@@ -399,16 +399,16 @@ def embedding_links(
     )
     plain = vertices.select("node", "grp", "n", "v")
     audit, found, cold = audited(plain, neighbour_graph(plain, threshold), threshold, values, sample, evidence)
-    again = compared(plain.join(audit.filter("not passed"), "grp", "left_semi").withColumn("hot", F.lit(True)), threshold, values)
-    graded = vertices.join(audit, "grp").select("node", "label", "v", "vec_id", "n", "recall", "passed")
+    graded = looked_up(vertices, audit, "grp", "node").select("grp", "node", "label", "v", "vec_id", "n", "recall", "passed")
+    again = compared(graded.filter("not passed").select("node", "grp", "n", "v", F.lit(True).alias("hot")), threshold, values)
     good_nodes = graded.filter("passed").select("node")
     found = found.join(good_nodes.withColumnRenamed("node", "src"), "src", "left_semi").union(again)
     cold = cold.join(good_nodes, "node", "left_semi")
     edges = found.filter("dst IS NOT NULL").select("src", "dst").union(cold.select(F.col("node").alias("src"), "dst"))
     counts = _counts(found.union(cold.select("node", F.lit(None).cast("long"), "n")), "links")
     roots = connected_components(edges)
-    named = roots.join(vertices.select("node", "vec_id"), "node").groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    linked = roots.join(named, "root").join(counts, "node").select("node", "component_id", "links")
+    named = stage(roots.join(vertices.select("node", "vec_id"), "node").groupBy("root").agg(F.min("vec_id").alias("component_id")), "named")
+    linked = looked_up(roots, named, "root", "node").join(counts, "node").select("node", "component_id", "links")
     whole = stage(
         graded.join(linked, "node", "left").select(
             "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "recall", (~F.col("passed")).alias("again")

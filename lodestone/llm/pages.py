@@ -27,13 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stage
+from lodestone.llm.common import looked_up, stage
 
 VOTES = 3
 #: Winning paths are broadcast up to this many hosts (some 200 bytes each) and joined beyond.
 BROADCAST_HOSTS = 50_000
-#: Beyond, a host's pages are dealt over so many keys.
-SALTS = 32
 #: Innermost steps that a path spells out; the steps before them are in its digest.
 SPELLED = 12
 #: Characters outside links that make a sibling running text, and that a wrongly named element holds at least.
@@ -409,10 +407,5 @@ def main_texts(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> Data
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     winners = stage(host_paths(rows), "host-paths")
     named = rows.mapInArrow(_hosts, "page_id long, url string, html string, host string")
-    if winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
-        joined = named.join(F.broadcast(winners), "host", "left")
-    else:
-        # a host may hold a third of all pages: its pages are dealt over SALTS keys, its winner is there under each
-        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = looked_up(named, winners, "host", "page_id", "left", broadcast_hosts)
     return joined.select("page_id", "url", "html", "path").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import connected_components, stage
+from lodestone.llm.common import connected_components, looked_up, stage
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -226,6 +226,6 @@ def simhash_groups(documents: DataFrame) -> DataFrame:
     roots = connected_components(links)
     linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = stage(linked, "linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(linked.join(least, "root").select("fp", "component_id"), "named")
+    least = stage(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = stage(looked_up(linked, least, "root", "fp").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

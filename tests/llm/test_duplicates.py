@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from lodestone.llm import queries
+from lodestone.llm.common import looked_up
 from lodestone.llm.embedding_dedup import embedding_links
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.simhash import _linked, candidate_lists, parts, parts_for, simhash_groups, with_distances
@@ -224,3 +225,11 @@ def test_embedding_links_of_precise_vectors_and_repeated_rows(spark):
     table = spark.createDataFrame([(*r, 7, True) for r in rows], "vec_id long, embedding array<double>, label int, n int, hot boolean")
     found = sorted(((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embedding_links(table).collect()))
     assert found == [(-1, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 0, 3, True)]
+
+
+def test_lookup_of_few_and_many_keys(spark):
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, 0, id) AS key", "id")
+    table = rows.select("key").distinct().filter("key % 2 = 0").selectExpr("key", "key * 2 AS twice")
+    for how, number in (("inner", 334 + 333), ("left", 1000)):
+        few, many = (sorted(map(tuple, looked_up(rows, table, "key", "id", how, most).select("key", "id", "twice").collect()), key=str) for most in (10_000, 3))
+        assert few == many and len(few) == number
