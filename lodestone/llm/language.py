@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lodestone.llm.common import looked_up, stage
+
 #: Characters are folded to so many classes: 0 for all but letters, 1 to 26 for a to z, and the
 #: rest of the letters dealt over what is left.
 CLASSES = 128
 SPECTRUM = 3
-#: Training rows of each language (expected number, picked by a hash of doc_id), landmarks over all
-#: languages, languages (the most frequent ones): these bound what the driver gathers.
-ROWS_PER_LANGUAGE = 400
+#: Training rows of each language (expected number, picked by a hash of doc_id) and of all languages
+#: together, where each has LEAST_ROWS at least: these bound what the driver gathers.
+ROWS_PER_LANGUAGE, ROWS, LEAST_ROWS = 400, 20_000, 8
+#: Landmarks over all languages, one of each at least.
 LANDMARKS = 240
-LANGUAGES = 256
 RIDGE = 1e-3
 UNDETERMINED = "und"
 _SLICE = 1 << 20
@@ -161,24 +163,28 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """A model from labelled rows (doc_id, text, lang); rows without a language or text are left out.
+def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS) -> Model:
+    """A model of all languages in labelled rows (doc_id, text, lang); rows without a language or text are left out.
 
-    About rows_per_language rows of each language are used, those whose doc_id has the least
-    hashes. The n-gram sets of that many rows come to the driver.
+    About rows_per_language rows of each language are used, fewer where there are so many
+    languages that they would be more than rows together; those whose doc_id has the least
+    hashes. The n-gram sets of that many rows come to the driver, as one array.
     """
-    rows = labelled.filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not counts:
+    told = labelled.filter("lang is not null and text is not null")
+    counts = stage(told.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    number = counts.count()
+    if not number:
         return fit([], [])
+    each = max(LEAST_ROWS, min(rows_per_language, rows // number))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], F.lit(int(min(1.0, rows_per_language / row["n"]) * (1 << 40)))).otherwise(share)
-    picked = rows.select("text", "lang", order.alias("order")).filter(F.col("order") < share)
-    sample = picked.mapInArrow(_sampled, "lang string, order long, codes array<int>").toArrow().to_pylist()
-    sample = sorted((s for s in sample if s["codes"]), key=lambda s: (s["order"], s["lang"], len(s["codes"])))
-    return fit([np.array(s["codes"], dtype=np.int32) for s in sample], [s["lang"] for s in sample])
+    picked = looked_up(told.select("doc_id", "text", "lang", order.alias("order")), counts, "lang", "doc_id").filter(F.col("order") < F.lit(float(each << 40)) / F.col("n"))
+    sample = picked.select("lang", "order", "text").mapInArrow(_sampled, "lang string, order long, codes array<int>").toArrow().combine_chunks()
+    langs, at = sample.column("lang").to_pylist(), sample.column("order").to_pylist()
+    batch = sample.to_batches()[0].column("codes") if sample.num_rows else pa.array([], pa.list_(pa.int32()))
+    ends, codes = batch.offsets.to_numpy(), batch.values.to_numpy()
+    sets = [codes[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    chosen = sorted((k for k in range(len(sets)) if len(sets[k])), key=lambda k: (at[k], langs[k], len(sets[k]), sets[k].tobytes()))
+    return fit([sets[k] for k in chosen], [langs[k] for k in chosen])
 
 
 def _predicted(model):
@@ -197,12 +203,13 @@ def _predicted(model):
 
 
 def predict_language(documents: DataFrame, model: Model) -> DataFrame:
-    """documents (text and any other columns but lang_pred and score) with lang_pred and score.
+    """documents (text and any other columns) with lang_pred and score; columns of these names there are replaced.
 
     Whole texts are read. A text that is null or has no letter is und, with score 0; the score
     is the share of the best language and lies between 0 and 1. Repeated rows stay repeated, an
     empty table gives an empty result; without a trained language all rows are und.
     """
+    documents = documents.drop("lang_pred", "score")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return documents.mapInArrow(_predicted(shared), schema)

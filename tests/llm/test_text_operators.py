@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from lodestone.llm import packing, pii, queries
+from lodestone.llm import language, packing, pii, queries
 from lodestone.llm.chat import maximal_conversations
 from lodestone.llm.language import language_of
 from lodestone.llm.sentencepiece import Pieces, decode, encode, round_trip
@@ -315,3 +315,111 @@ def test_pieces_of_nothing_and_clashing_columns(spark, odd):
     assert len(rows) == len(ODD) + 1 and sum(r["doc_id"] is None for r in rows) == 1
     assert {r["n_pieces"] for r in rows if r["doc_id"] in (0, 1)} == {0}
     assert round_trip(odd.limit(0), path).count() == decode(encode(odd.limit(0), path), path).count() == 0
+
+
+def added(spark, texts):
+    rows = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"] if not s["base"]] for r in rows}
+
+
+def test_personal_data_adds_spans_that_its_labelers_vouch_for(spark):
+    """Spelled-out addresses and local numbers with the right words before them come beside the base spans; order numbers don't."""
+    base = [f"mail me at user{k}@example{k % 7}.org or call +1 555 010 {k:04d} now" for k in range(60)]
+    spelled = [f"write to person{k} at example dot com about it" for k in range(40)]
+    local = [f"phone (555) 010-{k:04d} in the evening" for k in range(1000, 1040)]
+    orders = [f"order no 4111 1111 1111 {k:04d} was sent" for k in range(2000, 2040) if not luhn(f"411111111111{k:04d}")]
+    found = added(spark, [*base, *spelled, *local, *orders])
+    at = len(base)
+    assert all(not found[k] for k in range(at))
+    assert all(found[at + k] == [("email", f"person{k} at example dot com")] for k in range(40))
+    assert all(found[at + 40 + k] == [("phone", f"(555) 010-{1000 + k:04d}")] for k in range(40))
+    assert all(not found[at + 80 + k] for k in range(len(orders)))
+
+
+def test_reliabilities_against_the_plain_formulas():
+    """Expectation-maximisation written out span by span gives the same probabilities."""
+    counts = {("ip", (1, 1, 0, 0)): 6, ("ip", (1, 0, 0, -1)): 3, ("ip", (1, -1, -1, 0)): 4, ("ip", (1, 1, 1, 0)): 2}
+    spans = [v for (_, v), n in counts.items() for _ in range(n)]
+    p = [1 / (1 + np.exp(-1.5 * (sum(v) - v.count(-1)))) for v in spans]
+    for _ in range(30):
+        share = (1 + sum(p)) / (2 + len(spans))
+
+        def said(labeler, vote, weights):
+            return (1 + sum(w for w, v in zip(weights, spans, strict=True) if v[labeler] == vote)) / (3 + sum(weights))
+
+        no = [1 - x for x in p]
+        table = {(j, vote): (said(j, vote, p), said(j, vote, no)) for j in range(4) for vote in (-1, 0, 1)}
+        new = []
+        for v in spans:
+            yes, not_ = share, 1 - share
+            for j, vote in enumerate(v):
+                yes, not_ = yes * table[j, vote][0], not_ * table[j, vote][1]
+            new.append(yes / (yes + not_))
+        p = new
+    found = pii.reliabilities(counts)
+    assert all(found["ip", v] == pytest.approx(q, rel=1e-6) for v, q in zip(spans, p, strict=True))
+
+
+def test_span_classifier_against_counts(spark):
+    """The log odds are those of the features' counts, each weighed by what the votes make likely."""
+    texts = [f"ip 10.0.{k}.1 and card 4111 1111 1111 1111, order 1234567890123{k % 10}" for k in range(30)]
+    judged = pii.judged_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    spans = [s for r in judged.select("found").collect() for s in r["found"]]
+    odds = pii.span_classifier(judged)
+    counts = defaultdict(float)
+    for s in spans:
+        counts[s["kind"], tuple(map(int, s["votes"].split(",")))] += 1
+    likely = pii.reliabilities(counts)
+    for kind in {s["kind"] for s in spans}:
+        mine = [(s, likely[kind, tuple(map(int, s["votes"].split(",")))]) for s in spans if s["kind"] == kind]
+        yes, no = sum(p for _, p in mine), sum(1 - p for _, p in mine)
+        assert odds[kind] == pytest.approx(np.log((yes + 0.5) / (no + 0.5)))
+        for feature in {f for s, _ in mine for f in s["features"]}:
+            a, b = sum(p for s, p in mine if feature in s["features"]), sum(1 - p for s, p in mine if feature in s["features"])
+            often = (a + b) / len(mine)
+            assert odds[f"{kind}|{feature}"] == pytest.approx(np.log((a + often) / (yes + 1)) - np.log((b + often) / (no + 1)))
+
+
+def test_personal_data_in_a_long_text_and_beside_clashing_columns(spark):
+    text = "".join(f"w a.b{k}@mail.example.org, 10.0.0.1 +1 555 010 {k:04d} x " for k in range(700))
+    table = spark.createDataFrame([(1, text, 2, "b", "r"), (2, None, 3, "c", "s")], "doc_id long, text string, email int, base string, row string")
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(table).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in rows[1]["spans"] if s["base"]] == base_spans(text)
+    assert (rows[1]["email"], rows[1]["base"], rows[1]["row"], rows[2]["spans"], rows[2]["text"]) == (2, "b", "r", [], None)
+
+
+def test_language_against_plain_kernels_and_ridge():
+    """n-gram sets, kernel, landmarks and ridge regression written out on a few texts."""
+    texts = ["the cat sat", "the dog ran to the house", "a house and a dog", "el gato y el perro", "la casa del perro", "un gato en la casa", "der hund und", "das haus und der hund"]
+    langs = ["en", "en", "en", "es", "es", "es", "de", "de"]
+
+    def plain(text):
+        folded = "".join(chr(97 + int(c)) for c in (language._classes()[[ord(x) for x in text]]).tolist())
+        padded = "a" + re.sub("a+", "a", folded.strip("a")) + "a"
+        return {padded[k : k + n] for n in (1, 2, 3) for k in range(len(padded) - n + 1)}
+
+    sets, own = [plain(t) for t in texts], [language.ngrams(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in own]
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            assert len(sets[a] & sets[b]) == len(np.intersect1d(own[a], own[b]))
+    model = language.fit(own, langs, landmarks=6, ridge=1e-3)
+    chosen = [langs.index(x) + k for x in dict.fromkeys(langs) for k in range(2)]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in (sets[k] for k in sorted(chosen))] for a in sets])
+    among, names = kernel[sorted(chosen)], sorted(set(langs))
+    targets = np.array([[1.0 if x == n else -1.0 for n in names] for x in langs])
+    weights = np.linalg.solve(kernel.T @ kernel + 1e-3 * len(texts) * among + 1e-8 * len(texts) * np.eye(6), kernel.T @ targets)
+    np.testing.assert_allclose(model.kernel(own), kernel, rtol=1e-6)
+    np.testing.assert_allclose(model.weights, weights, rtol=1e-4, atol=1e-6)
+    scores = np.clip((kernel @ weights + 1) / 2, 1e-9, 1)
+    said, share = model.predict(own)
+    assert said == [names[k] for k in scores.argmax(axis=1)] == langs
+    np.testing.assert_allclose(share, (scores / scores.sum(axis=1, keepdims=True)).max(axis=1), rtol=1e-4)
+
+
+def test_many_languages_are_all_learned(spark):
+    """300 languages of ten rows each: none is beyond a cap."""
+    letters = [chr(0x4E00 + k) for k in range(900)]
+    rows = [(k * 10 + n, " ".join([letters[3 * k], letters[3 * k + 1] + letters[3 * k + 2]] * (n + 2)), f"l{k}") for k in range(300) for n in range(10)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=1000)
+    assert len(model.languages) == 300 and len(model.sizes) == 300
