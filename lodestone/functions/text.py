@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # The words and suffixes that the tokenizer drops, and its pattern.
 STOPWORDS = (
@@ -52,7 +56,7 @@ def words(text: Column) -> Column:
 
 
 def estimated_tokens(text: Column) -> Column:
-    """Words times 1.3, rounded up. In whole numbers: 13 words/10 is exact where 1.3 isn't."""
+    """Words times 1.3, rounded up, in double precision."""
     return F.ceil(F.size(words(text)) * TOKENS_PER_WORD).cast("int")
 
 
@@ -163,11 +167,46 @@ def visitor_key(forwarded: Column, real_ip: Column) -> Column:
     return F.coalesce(first, F.nullif(F.trim(real_ip), F.lit("")), F.lit("unknown"))
 
 
-def extracted_json(text: Column) -> Column:
-    """The JSON in a model's answer: the fenced block, else from the first bracket to the last that closes it."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    bare = F.regexp_extract(text, r"(?s)([{\[].*[}\]])", 1)
-    return F.nullif(F.when(fenced != "", trimmed(fenced)).otherwise(bare), F.lit(""))
+def _balanced(body: str) -> str:
+    """From the first bracket to the one that closes it, brackets in strings not counted; what follows if none does."""
+    start = min((k for k in (body.find("{"), body.find("[")) if k >= 0), default=-1)
+    if start < 0:
+        return body
+    left, right = body[start], "}" if body[start] == "{" else "]"
+    depth = 0
+    for token in re.finditer(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[{}\[\]]', body[start:], re.S):
+        depth += (token[0] == left) - (token[0] == right)
+        if depth == 0:
+            return body[start : start + token.end()]
+    return body[start:]
+
+
+@pandas_udf(StringType())
+def extracted_json(texts: pd.Series) -> pd.Series:
+    """The JSON in a model's answer: of the fenced block or else the whole, from the first bracket to its match. Null without a bracket."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
+        found = _balanced((fenced[1] if fenced else text).strip())
+        return found if found[:1] in ("{", "[") else None
+
+    return texts.map(one)
+
+
+def percent(value: Column, places: int = 1) -> Column:
+    """A share as percent, such as 12.5%."""
+    return F.format_string(f"%.{places}f%%", value * 100)
+
+
+def fixed(value: Column, places: int) -> Column:
+    return F.format_string(f"%.{places}f", value)
+
+
+def safe_identifier(name: Column) -> Column:
+    """Whether a name can stand in a statement: lower case, digits and underscores, no digit first."""
+    return F.coalesce(name.rlike(r"\A[a-z_][a-z0-9_]*\z"), F.lit(False))
 
 
 def rounded(value: Column, places: int = 6) -> Column:

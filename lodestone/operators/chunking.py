@@ -1,75 +1,74 @@
 """Chunks of sections: paragraphs packed up to a target, with trailing units carried over.
 
-All steps are folds over the arrays of one section, so chunking needs no shuffle. The fold
-carries numbers of units; texts are joined once at the end.
+All steps are loops over the units of one section, in batches of sections inside the tasks, so
+chunking needs no shuffle.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from lodestone.functions.text import chunk_id, estimated_tokens, rounded, trimmed
-from lodestone.functions.vectors import let
+from lodestone.functions.text import TOKENS_PER_WORD, chunk_id, rounded
 
 TARGET, OVERLAP, LEAST = 320, 64, 32
-_LIST = "array<string>"
-
-
-def _regrouped(paragraph: Column, target: int) -> Column:
-    """A long paragraph as runs of whole sentences of at most target tokens each, where possible."""
-    start = F.struct(F.lit("").alias("open"), F.array().cast(_LIST).alias("done"))
-
-    def add(acc: Column, sentence: Column) -> Column:
-        both = F.when(acc["open"] == "", sentence).otherwise(F.concat(acc["open"], F.lit(" "), sentence))
-        full = (acc["open"] != "") & (estimated_tokens(both) > target)
-        return let(
-            full,
-            lambda cut: F.struct(
-                F.when(cut, sentence).otherwise(both).alias("open"), F.when(cut, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done")
-            ),
-        )
-
-    return F.aggregate(
-        F.split(paragraph, r"(?<=[.;:])(?U:\s+)"), start, add, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-    )
-
-
-def units(text: Column, target: int = TARGET) -> Column:
-    """Paragraphs, trimmed and not empty; those over target cut at sentences."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n+"), trimmed), lambda p: p != "")
-    return F.flatten(F.transform(paragraphs, lambda p: F.when(estimated_tokens(p) <= target, F.array(p)).otherwise(_regrouped(p, target))))
-
-
-def _spans(sizes: Column, target: int, overlap: int) -> Column:
-    """First and last unit of each body, from the sizes of all units."""
-    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("tokens"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
-
-    def add(acc: Column, at: Column) -> Column:
-        size = F.get(sizes, at)
-        full = (acc["first"] < at) & (acc["tokens"] + size > target)
-
-        def back(carry: Column, step: Column) -> Column:  # from the last unit on, as long as the overlap holds them
-            fits = carry["going"] & (carry["tokens"] + F.get(sizes, at - step) <= overlap)
-            return F.struct(
-                F.when(fits, at - step).otherwise(carry["first"]).alias("first"),
-                F.when(fits, carry["tokens"] + F.get(sizes, at - step)).otherwise(carry["tokens"]).alias("tokens"),
-                fits.alias("going"),
-            )
+# The configurations that a sweep compares.
+SWEEP = ((160, 32), (320, 64), (320, 0), (640, 128))
+#: White space in the Unicode sense, as the column expressions have it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD, _EDGES = re.compile(f"[^{_SPACE}]+"), re.compile(f"^[{_SPACE}]+|[{_SPACE}]+$")
+_SENTENCES = re.compile(f"(?<=[.;:])[{_SPACE}]+")
+
+
+def tokens_of(text: str) -> int:
+    """The estimate of estimated_tokens()."""
+    return math.ceil(len(_WORD.findall(text)) * TOKENS_PER_WORD)
+
+
+def units(text: str, target: int = TARGET) -> list[str]:
+    """Paragraphs, trimmed and not empty; those over target as runs of whole sentences of at most target tokens, where possible."""
+    out: list[str] = []
+    for paragraph in (_EDGES.sub("", p) for p in text.split("\n")):
+        if not paragraph:
+            continue
+        if tokens_of(paragraph) <= target:
+            out.append(paragraph)
+            continue
+        run, words = [], 0
+        for sentence in _SENTENCES.split(paragraph):
+            more = len(_WORD.findall(sentence))
+            if any(run) and math.ceil((words + more) * TOKENS_PER_WORD) > target:
+                out.append(" ".join(run))
+                run, words = [], 0
+            if sentence or run:
+                run.append(sentence)
+                words += more
+        if any(run):
+            out.append(" ".join(run))
+    return out
 
-        steps = F.when(full, F.sequence(F.lit(1), at - acc["first"])).otherwise(F.array().cast("array<int>"))
-        kept = F.aggregate(steps, F.struct(at.alias("first"), F.lit(0).alias("tokens"), F.lit(True).alias("going")), back)
-        return F.struct(
-            F.when(full, kept["first"]).otherwise(acc["first"]).alias("first"),
-            (F.when(full, kept["tokens"]).otherwise(acc["tokens"]) + size).alias("tokens"),
-            F.when(full, F.array_append(acc["done"], F.struct(acc["first"].alias("first"), (at - 1).alias("last")))).otherwise(acc["done"]).alias("done"),
-        )
 
-    every = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.size(sizes) - 1)).otherwise(F.array().cast("array<int>"))
-    last = F.size(sizes) - 1
-    return F.aggregate(
-        every, start, add, lambda acc: F.when(last >= 0, F.array_append(acc["done"], F.struct(acc["first"].alias("first"), last.alias("last")))).otherwise(acc["done"])
-    )
+def bodies(listed: list[str], target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
+    """Units packed up to target; the next body starts with the last units that fit into overlap."""
+    sizes, out, first, used = [tokens_of(u) for u in listed], [], 0, 0
+    for at, size in enumerate(sizes):
+        if first < at and used + size > target:
+            out.append((first, at))
+            start, carried = at, 0
+            while start > first and carried + sizes[start - 1] <= overlap:
+                start -= 1
+                carried += sizes[start]
+            first, used = start, carried
+        used += size
+    if listed:
+        out.append((first, len(listed)))
+    return ["\n".join(listed[a:b]) for a, b in out]
 
 
 def chunk_sections(sections: DataFrame, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
@@ -79,21 +78,27 @@ def chunk_sections(sections: DataFrame, target: int = TARGET, overlap: int = OVE
     dropped if the section has a longer one, before ordinals are given; without a longer one its
     first body stays. A null or blank text has no chunks.
     """
-
-    def bodies(listed: Column) -> Column:
-        spans = let(F.transform(listed, estimated_tokens), lambda sizes: _spans(sizes, target, overlap))
-        return F.transform(spans, lambda s: F.array_join(F.slice(listed, s["first"] + 1, s["last"] - s["first"] + 1), "\n"))
-
-    def kept_bodies(every: Column) -> Column:
-        return let(F.filter(every, lambda b: estimated_tokens(b) >= least), lambda long: F.when(F.size(long) > 0, long).otherwise(F.slice(every, 1, 1)))
-
-    listed = F.coalesce(units(F.col("text"), target), F.array().cast(_LIST))
-    kept = sections.withColumn("_kept", let(let(listed, bodies), kept_bodies))
-    others = [c for c in sections.columns if c != "text"]
-    out = kept.select(*others, F.size("_kept").alias("ordinal_of"), F.posexplode("_kept").alias("ordinal", "text"))
-    return out.select(
-        chunk_id(F.col("framework"), F.col("citation"), F.col("ordinal")).alias("id"), *others, "text", estimated_tokens(F.col("text")).alias("tokens"), "ordinal", "ordinal_of"
-    )
+    others = [f for f in sections.schema.fields if f.name not in ("text", "tokens", "ordinal", "ordinal_of")]
+    names = [f.name for f in others]
+    schema = StructType([*others, StructField("text", StringType()), StructField("tokens", IntegerType()), StructField("ordinal", IntegerType()), StructField("ordinal_of", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+                row, text, tokens, ordinal, of = [], [], [], [], []
+                for k, value in enumerate(batch.column("text").to_pylist()):
+                    every = [(b, tokens_of(b)) for b in bodies(units(value or "", target), target, overlap)]
+                    kept = [b for b in every if b[1] >= least] or every[:1]
+                    row += [k] * len(kept)
+                    text += [b for b, _ in kept]
+                    tokens += [n for _, n in kept]
+                    ordinal += range(len(kept))
+                    of += [len(kept)] * len(kept)
+                base = batch.select(names).take(pa.array(row, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*base.columns, pa.array(text, pa.string()), *(pa.array(x, pa.int32()) for x in (tokens, ordinal, of))], names=[*names, "text", "tokens", "ordinal", "ordinal_of"])
+
+    out = sections.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return out.select(chunk_id(F.col("framework"), F.col("citation"), F.col("ordinal")).alias("id"), *names, "text", "tokens", "ordinal", "ordinal_of")
 
 
 def duplicate_ids(chunks: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def chunk_size_sweep(sections: DataFrame, configs: tuple[tuple[int, int], ...] = ((160, 32), (320, 64), (320, 0), (640, 128))) -> DataFrame:
+def chunk_size_sweep(sections: DataFrame, configs: tuple[tuple[int, int], ...] = SWEEP) -> DataFrame:
     """target, overlap, n_chunks, avg_tokens for each configuration."""
     out = None
     for target, overlap in configs:

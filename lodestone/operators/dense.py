@@ -1,13 +1,13 @@
 """Exact nearest neighbours for many queries at once, on float and int8 vectors.
 
-Query vectors travel to the data in blocks of a fixed size; each task multiplies them with its
-vectors and keeps k for each query, so only k rows for each query and task are shuffled.
+Query vectors travel to the data in blocks of a bounded size, one block at a time; each task
+multiplies them with its vectors and keeps k for each query, so only k rows for each query and
+task are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import rounded
 from lodestone.functions.vectors import dequantized, quantized, unit
 from lodestone.operators.lexical import ranked
+from lodestone.session import scratch, written
 
 #: Query vectors of one pass over the data; more of them take more passes.
 BLOCK = 4096
+#: Query vectors that are multiplied at once.
+SLICE = 512
 
 
 def int8_index(vectors: DataFrame) -> DataFrame:
@@ -36,42 +39,59 @@ def _table(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _nearest(scores: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest scores of each row, by score and then by chunk."""
+    n = scores.shape[1]
+    if n > k:  # all that reach the k-th score, then those in order
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((chunk[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def _kernel(ids: np.ndarray, asked: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             chunk, own = batch.column("chunk_idx").to_numpy(), _table(batch.column("embedding"))
-            if own.shape[1] != asked.shape[1]:
+            if len(ids) and own.shape[1] != asked.shape[1]:
                 raise ValueError(f"vectors have {own.shape[1]} dimensions, queries {asked.shape[1]}")
-            scores = np.floor(asked @ own.T * 1e6 + 0.5) / 1e6
-            # by score, then by chunk_idx, as the final ranking has it
-            best = np.lexsort((np.broadcast_to(chunk, scores.shape), -scores), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, best.shape[1])), pa.array(chunk[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())],
-                names=["query_id", "chunk_idx", "score"],
-            )
+            for s in range(0, len(ids), SLICE):
+                scores = np.floor(asked[s : s + SLICE] @ own.T * 1e6 + 0.5) / 1e6
+                row, col = _nearest(scores, chunk, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s + row]), pa.array(chunk[col]), pa.array(scores[row, col])], names=["query_id", "chunk_idx", "score"])
 
     return run
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | None = None) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, chunk_idx, score, rank by cosine of unit vectors. Ties go to the smaller chunk_idx.
 
     vectors: chunk_idx, embedding (unit length, as an index stores it); queries: query_id,
     embedding of any length but zero. allowed is a condition on vectors. Null vectors are left out.
+    Beyond one block of queries, what each block finds is written before the next one is read.
     """
-    asked = queries.select(F.col("query_id").cast("long"), unit(F.col("embedding")).alias("embedding")).filter("embedding is not null").toArrow()
+    spark, schema = vectors.sparkSession, "query_id long, chunk_idx long, score double"
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), unit(F.col("embedding")).alias("embedding")).filter("embedding is not null")
     own = (vectors if allowed is None else vectors.filter(allowed)).select(F.col("chunk_idx").cast("long").alias("chunk_idx"), "embedding").filter("embedding is not null")
-    ids = asked.column("query_id").to_numpy()
-    table = _table(asked.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, 1))
-    parts = [
-        own.mapInArrow(_kernel(ids[s : s + BLOCK], table[s : s + BLOCK], k), "query_id long, chunk_idx long, score double")
-        for s in range(0, max(1, len(ids)), BLOCK)
-    ]
-    if not len(ids):
-        return own.select(F.lit(0).cast("long").alias("query_id"), "chunk_idx", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-    return ranked(reduce(DataFrame.union, parts), k, "chunk_idx")
+
+    def found(some: DataFrame) -> DataFrame:
+        table = some.toArrow()
+        ids = table.column("query_id").to_numpy()
+        return own.mapInArrow(_kernel(ids, _table(table.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, 0)), k), schema)
+
+    blocks = max(1, -(-asked.count() // block))
+    if blocks == 1:
+        return ranked(found(asked), k, "chunk_idx")
+    asked, path = written(asked, "query-vectors"), scratch(spark, "nearest")
+    for b in range(blocks):
+        found(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).write.mode("append").parquet(path)
+    return ranked(spark.read.schema(schema).parquet(path), k, "chunk_idx")
 
 
 def index_errors(vectors: DataFrame) -> DataFrame:

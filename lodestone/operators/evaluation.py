@@ -7,6 +7,8 @@ configurations and slices at once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,13 @@ def citation_ranking(rankings: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(window).cast("long"))
 
 
-def query_metrics(rankings: DataFrame, gold: DataFrame) -> DataFrame:
-    """config, query_id, recall at each depth, mrr, ndcg; queries that a configuration missed count as 0."""
+def query_metrics(rankings: DataFrame, gold: DataFrame, configs: Sequence[str] | None = None) -> DataFrame:
+    """config, query_id, recall at each depth, mrr, ndcg; queries that a configuration missed count as 0.
+
+    configs: the names, if they are known; otherwise the rankings are read once more for them.
+    """
     sizes = gold.distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    configs = rankings.select("config").distinct()
+    named = F.explode(F.array(*map(F.lit, configs))) if configs else None
     hits = citation_ranking(rankings).join(gold.distinct(), ["query_id", "citation"])
     near = F.col("rank") <= CUTOFF
     sums = hits.groupBy("config", "query_id").agg(
@@ -35,7 +40,10 @@ def query_metrics(rankings: DataFrame, gold: DataFrame) -> DataFrame:
         F.sum(F.when(near, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("gain"),
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_gold", F.lit(CUTOFF)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    every = sizes.withColumn("ideal", ideal).crossJoin(configs).join(sums, ["config", "query_id"], "left")  # configs are the few that were run
+    wanted = sizes.withColumn("ideal", ideal)
+    # the configurations are the few that were run
+    every = wanted.withColumn("config", named) if configs else wanted.crossJoin(F.broadcast(rankings.select("config").distinct()))
+    every = every.join(sums, ["config", "query_id"], "left")
     return every.select(
         "config",
         "query_id",
@@ -82,3 +90,32 @@ def best_config(table: DataFrame, order: dict[str, int], metric: str = "ndcg") -
 def missing_gold(gold: DataFrame, corpus: DataFrame) -> DataFrame:
     """Gold rows whose citation the corpus lacks; there must be none."""
     return gold.join(corpus.select("citation").distinct(), "citation", "left_anti")
+
+
+def chosen_weight(per_query: DataFrame, queries: DataFrame, dev: str = "direct") -> DataFrame:
+    """One row (weight, ndcg): the weight with the greatest mean nDCG on the dev slice; of equals the smallest.
+
+    per_query: config (the weight as text), query_id, ndcg.
+    """
+    mine = per_query.join(queries.filter(F.col("slice") == dev).select("query_id"), "query_id")
+    means = mine.groupBy(F.col("config").cast("double").alias("weight")).agg(rounded(F.avg("ndcg")).alias("ndcg"))
+    return means.agg(F.max_by("weight", F.struct("ndcg", -F.col("weight"))).alias("weight"), F.max("ndcg").alias("ndcg"))
+
+
+def gold_totals(gold: DataFrame, queries: DataFrame) -> DataFrame:
+    """slice, n_queries, n_labels of the gold set, and the whole as all."""
+    sizes = gold.distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    told = sizes.join(queries.select("query_id", "slice"), "query_id").select("n", F.explode(F.array("slice", F.lit("all"))).alias("slice"))
+    return told.groupBy("slice").agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_labels"))
+
+
+def missing_slices(queries: DataFrame, wanted: Sequence[str] = ("direct", "paraphrased")) -> DataFrame:
+    """slice of each wanted one that no query has; an evaluation with any fails."""
+    names = queries.sparkSession.createDataFrame([(w,) for w in wanted], "slice string")
+    return names.join(queries.select("slice").distinct(), "slice", "left_anti")
+
+
+def recall_curve(means: DataFrame, configs: Sequence[str]) -> DataFrame:
+    """k, and recall in percent to one place, one column for each configuration: the rows of a line chart."""
+    long = means.select("config", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"recall_{k}").alias("recall")) for k in DEPTHS])))
+    return long.groupBy("k").agg(*[F.max(F.when(F.col("config") == c, rounded(F.col("recall") * 100, 1))).alias(c) for c in configs])

@@ -67,9 +67,11 @@ def configured(dense: DataFrame, lexical: DataFrame, configs: dict[str, tuple[fl
 def reranked(found: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     """found (query_id, chunk_idx, rank) in the order of judged (query_id, chunk_idx, relevance).
 
-    Rows without a judgement keep a relevance of -1; ties keep the former rank.
+    Rows without a judgement keep a relevance of -1; ties keep the former rank. Of repeated
+    judgements the one with the greatest at counts, if there is that column, else the greatest.
     """
-    told = judged.groupBy("query_id", "chunk_idx").agg(F.max("relevance").alias("relevance"))
+    last = F.max_by("relevance", F.struct("at", "relevance")) if "at" in judged.columns else F.max("relevance")
+    told = judged.groupBy("query_id", "chunk_idx").agg(last.alias("relevance"))
     both = found.select("query_id", "chunk_idx", F.col("rank").alias("fused_rank")).join(told, ["query_id", "chunk_idx"], "left")
     both = both.withColumn("relevance", F.coalesce("relevance", F.lit(-1)))
     window = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "fused_rank")

@@ -1,4 +1,7 @@
-"""BM25 for many queries at once.
+"""BM25 for many queries at once, over an index that is written once.
+
+The index holds the postings, dealt and sorted by term, the document frequencies and two numbers.
+Queries read the postings of their own terms only.
 
 Counts of the corpus (number of chunks, document frequencies, mean length) are always those of
 the whole corpus; a filter decides only which chunks may be returned. A corpus has chunk_idx,
@@ -7,14 +10,50 @@ text and any columns that a filter names; queries have query_id and query.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import rounded, terms
+from lodestone.functions.text import STOPWORDS, TERM, rounded, stem, terms
+from lodestone.session import written
 
 K1, B = 1.2, 0.75
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """postings: term, chunk_idx, tf, n_terms and what filters name; frequency: term, df."""
+
+    postings: DataFrame
+    frequency: DataFrame
+    n_chunks: int
+    avg_terms: float
+
+
+def occurrences(corpus: DataFrame, *kept: str) -> DataFrame:
+    """chunk_idx, kept columns, term: a row for each term of each text. Plain columns, so that all of it is compiled."""
+    raw = corpus.select("chunk_idx", *kept, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("raw"))
+    return raw.filter(~F.col("raw").isin(*STOPWORDS)).select("chunk_idx", *kept, stem(F.col("raw")).alias("term"))
+
+
+def text_index(corpus: DataFrame, *kept: str) -> TextIndex:
+    """The index of corpus (chunk_idx, text, and columns that filters name). Repeated chunk_idx are one chunk."""
+    counted = occurrences(corpus, *kept).groupBy("chunk_idx", *kept, "term").agg(F.count("*").alias("tf"))
+    counted = written(counted, "term-counts")
+    lengths = counted.groupBy("chunk_idx").agg(F.sum("tf").alias("n_terms"))
+    both = counted.join(lengths, "chunk_idx")
+    postings = written(both.repartition("term").sortWithinPartitions("term", "chunk_idx"), "postings")
+    frequency = written(postings.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    n_chunks = corpus.count()
+    total = lengths.agg(F.sum("n_terms")).first()[0] or 0
+    return TextIndex(postings, frequency, n_chunks, total / n_chunks if n_chunks else 0.0)
+
+
+def indexed(corpus: DataFrame | TextIndex, *kept: str) -> TextIndex:
+    return corpus if isinstance(corpus, TextIndex) else text_index(corpus, *kept)
+
+
 def with_terms(corpus: DataFrame) -> DataFrame:
     """corpus with terms and n_terms; null texts have none."""
     listed = corpus.withColumn("terms", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")))
@@ -51,40 +90,31 @@ def ranked(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= k)
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, allowed: Column | None = None) -> DataFrame:
-    """query_id, chunk_idx, score of all chunks with a term of the query.
-
-    Only postings of terms that some query has are kept; they are counted in place, so the text
-    itself is never shuffled.
-    """
-    asked = query_terms(queries)
-    listed = with_terms(corpus)
-    stats = listed.agg(F.count("*").alias("n_chunks"), F.coalesce(F.nullif(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_terms"))
-    extra = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
-    postings = (
-        listed.select("chunk_idx", "n_terms", extra.alias("allowed"), F.explode("terms").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("chunk_idx", "n_terms", "allowed", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(frequency, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    weighted = weighted.withColumn("idf", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    length = F.col("n_terms") / F.col("avg_terms")
+def bm25_scores(corpus: DataFrame | TextIndex, queries: DataFrame, allowed: Column | None = None) -> DataFrame:
+    """query_id, chunk_idx, score of all chunks with a term of the query; of a corpus an index is made first."""
+    kept = () if isinstance(corpus, TextIndex) or allowed is None else [c for c in corpus.columns if c not in ("chunk_idx", "text")]
+    index = indexed(corpus, *kept)
+    asked = query_terms(queries).join(index.frequency, "term")
+    idf = F.log(1 + (index.n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = F.col("n_terms") / F.lit(index.avg_terms or 1.0)
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * length))
-    hits = postings.filter("allowed").join(weighted, "term")
+    hits = (index.postings if allowed is None else index.postings.filter(allowed)).join(asked.select("query_id", "term", idf.alias("idf")), "term")
     return hits.groupBy("query_id", "chunk_idx").agg(rounded(F.sum(part)).alias("score"))
 
 
-def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | None = None) -> DataFrame:
+def bm25_topk(corpus: DataFrame | TextIndex, queries: DataFrame, k: int = 10, allowed: Column | None = None) -> DataFrame:
     """query_id, chunk_idx, score, rank. Ties go to the smaller chunk_idx."""
     return ranked(bm25_scores(corpus, queries, allowed), k, "chunk_idx")
 
 
-def and_match(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_idx of chunks that have every term of the query; no ranking."""
+def and_match(corpus: DataFrame | TextIndex, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_idx, n_hits of chunks that have every term of the query; n_hits counts their occurrences."""
     asked = query_terms(queries)
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    found = with_terms(corpus).select("chunk_idx", F.explode(F.array_distinct("terms")).alias("term")).join(asked, "term")
-    counted = found.groupBy("query_id", "chunk_idx").agg(F.count("*").alias("n_found"))
-    return counted.join(sizes, "query_id").filter("n_found = n_terms").select("query_id", "chunk_idx")
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_asked"))
+    found = indexed(corpus).postings.join(asked, "term").groupBy("query_id", "chunk_idx").agg(F.count("*").alias("n_found"), F.sum("tf").alias("n_hits"))
+    return found.join(sizes, "query_id").filter("n_found = n_asked").select("query_id", "chunk_idx", "n_hits")
+
+
+def fulltext_topk(corpus: DataFrame | TextIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, chunk_idx, score, rank of chunks that have every term, by occurrences; ties go to the smaller chunk_idx."""
+    return ranked(and_match(corpus, queries).withColumnRenamed("n_hits", "score"), k, "chunk_idx")

@@ -69,13 +69,53 @@ def anchored_windows(calls: DataFrame, limit: int, window_ms: int) -> DataFrame:
 
     A visitor's window opens at its first allowed call and again at a call that is more than
     window_ms later. Refused calls are not charged. The calls of a visitor pass in order through
-    one task that keeps two numbers, so nothing is gathered by visitor. The daily ceiling over
-    all visitors, which couples them, is a matter of the streaming form.
+    one task that keeps two numbers, so nothing is gathered by visitor. anchored_ceiling() knows
+    the ceiling over all visitors as well.
     """
-    kinds = dict(calls.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("call_id", "bucket", "visitor", "at_ms")) + ", allowed boolean, remaining int"
     ordered = calls.select("call_id", "bucket", "visitor", "at_ms").repartition("bucket", "visitor").sortWithinPartitions("bucket", "visitor", "at_ms", "call_id")
-    return ordered.mapInPandas(_anchored(limit, window_ms), schema)
+    return ordered.mapInPandas(_anchored(limit, window_ms), _decided(calls))
+
+
+def _decided(calls: DataFrame) -> str:
+    kinds = dict(calls.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in ("call_id", "bucket", "visitor", "at_ms")) + ", allowed boolean, remaining int"
+
+
+def _with_ceiling(limit: int, window_ms: int, daily: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, total, opened, visitors, swept = None, 0, 0, {}, 0
+        for frame in frames:
+            allowed, remaining = [], []
+            for own, visitor, at in zip(frame["bucket"], frame["visitor"], frame["at_ms"], strict=True):
+                if own != bucket:
+                    bucket, total, opened, visitors, swept = own, 0, at, {}, at
+                if at - opened > DAY_MS:
+                    total, opened = 0, at
+                if at - swept > window_ms:  # what has ended is forgotten, so what is kept are a window's visitors
+                    visitors, swept = {v: w for v, w in visitors.items() if at - w[1] <= window_ms}, at
+                count, start = visitors.get(visitor, (0, at))
+                if at - start > window_ms:
+                    count, start = 0, at
+                ok = total < daily and count < limit
+                if ok:
+                    visitors[visitor] = (count + 1, start)
+                    total += 1
+                allowed.append(ok)
+                remaining.append(limit - count - 1 if ok else 0)
+            yield frame.assign(allowed=allowed, remaining=remaining)
+
+    return run
+
+
+def anchored_ceiling(calls: DataFrame, limit: int, window_ms: int, daily: int) -> DataFrame:
+    """As anchored_windows, with at most daily allowed calls of a bucket in a window of 24 hours that opens at its
+    first call and again at a call that is more than a day later. Calls over the ceiling open no visitor's window.
+
+    Whether a call is allowed depends on all calls of its bucket before it, so the calls of a
+    bucket pass in order through one task, which keeps the visitors of one window.
+    """
+    ordered = calls.select("call_id", "bucket", "visitor", "at_ms").repartition("bucket").sortWithinPartitions("bucket", "at_ms", "call_id")
+    return ordered.mapInPandas(_with_ceiling(limit, window_ms, daily), _decided(calls))
 
 
 def trace_costs(spans: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:

@@ -37,6 +37,12 @@ def newest_per_document(reports: DataFrame, now: Column) -> DataFrame:
     return loadable(reports, now).groupBy("document_hash").agg(best).select("document_hash", "best.report_id", "best.created_at")
 
 
+def cached_answers(requests: DataFrame, reports: DataFrame, sample: str, now: Column) -> DataFrame:
+    """request_id, report_id of requests (request_id, document) that a readable report answers; the sample document is exempt."""
+    asked = requests.filter(trimmed(F.col("document")) != sample.strip()).select("request_id", document_hash(F.col("document")).alias("document_hash"))
+    return asked.join(newest_per_document(reports, now), "document_hash").select("request_id", "report_id")
+
+
 def by_id(reports: DataFrame, report_id: str, now: Column) -> DataFrame:
     """The readable report of an id; an id of another shape is not looked up."""
     import re

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.models import hash_embedding, routed
-from lodestone.functions.text import embedding_text
-from lodestone.operators.dense import dense_topk, int8_index, from_int8
+from lodestone.functions.models import ROUTES, hash_embedding, routed
+from lodestone.functions.text import embedding_text, indexed_text, trimmed
+from lodestone.functions.vectors import unit
+from lodestone.operators.dense import dense_topk, from_int8, int8_index
 from lodestone.operators.fusion import best_per_chunk, candidates, fused, reranked
 from lodestone.operators.grounding import verify_quotes
-from lodestone.operators.lexical import bm25_topk
+from lodestone.operators.lexical import TextIndex, bm25_topk, text_index
 
 MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
 PASSAGES_PER_CONCERN, PASSAGES = 4, 12
@@ -35,27 +38,58 @@ class Options:
         return None if self.framework in (None, "all") else F.col("framework") == self.framework
 
 
-def search(corpus: DataFrame, queries: DataFrame, options: Options | None = None, judged: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_idx, score, rank (and arm ranks) for all queries.
+FIELDS = ("framework", "citation", "heading")
 
-    corpus: chunk_idx, text, framework, embedding; queries: query_id, query and, but for bm25,
-    embedding. Without query vectors a hybrid search is a lexical one. judged (query_id,
-    chunk_idx, relevance) is what a reranker said of the candidates.
+
+def search_index(corpus: DataFrame) -> TextIndex:
+    """The index that searches read: citation, heading and text of each chunk."""
+    return text_index(corpus.withColumn("text", indexed_text(F.col("citation"), F.col("heading"), F.col("text"))), "framework")
+
+
+def search(
+    corpus: DataFrame,
+    queries: DataFrame,
+    options: Options | None = None,
+    judge: Callable[[DataFrame], DataFrame] | None = None,
+    index: TextIndex | None = None,
+) -> DataFrame:
+    """query_id, chunk_idx, score, rank, dense_rank, bm25_rank and the chunk's fields for all queries.
+
+    corpus: chunk_idx, framework, citation, heading, text and, but for bm25, embedding (null for
+    chunks without one); queries: query_id, query and, but for bm25, embedding. Without query
+    vectors a hybrid search is a lexical one. judge tells the relevance (query_id, chunk_idx,
+    relevance) of the candidates that it is given; without it they keep their order. index:
+    search_index(corpus), if it was made before.
     """
     options = options or Options()
     if options.mode not in MODES or options.k < 1:
         raise ValueError(f"mode is one of {', '.join(MODES)}, k at least 1")
-    wide = options.candidate_k or candidates(options.k)
-    if options.mode == "bm25" or "embedding" not in queries.columns:
-        return bm25_topk(corpus, queries, options.k, options.allowed())
-    vectors = from_int8(int8_index(corpus)) if options.quantized else corpus
-    if options.mode == "dense":
-        return dense_topk(vectors, queries, options.k, options.allowed())
-    arms = dense_topk(vectors, queries, wide, options.allowed()), bm25_topk(corpus, queries, wide, options.allowed())
-    if options.mode == "hybrid":
-        return fused(*arms, options.k, options.weights)
-    found = fused(*arms, wide, options.weights)
-    return reranked(found, found.select("query_id", "chunk_idx").limit(0).withColumn("relevance", F.lit(0)) if judged is None else judged, options.k)
+    wide, allowed = options.candidate_k or candidates(options.k), options.allowed()
+    lexical_only = options.mode == "bm25" or "embedding" not in queries.columns
+    if lexical_only or options.mode != "dense":
+        index = index or search_index(corpus)
+    if lexical_only:
+        found = bm25_topk(index, queries, options.k, allowed).withColumns({"dense_rank": F.lit(None).cast("long"), "bm25_rank": F.col("rank")})
+    else:
+        vectors = corpus.filter("embedding is not null").select("chunk_idx", "framework", "embedding")
+        vectors = from_int8(int8_index(vectors)) if options.quantized else vectors.withColumn("embedding", unit(F.col("embedding")))
+        if options.mode == "dense":
+            found = dense_topk(vectors, queries, options.k, allowed).withColumns({"dense_rank": F.col("rank"), "bm25_rank": F.lit(None).cast("long")})
+        else:
+            arms = dense_topk(vectors, queries, wide, allowed), bm25_topk(index, queries, wide, allowed)
+            found = fused(*arms, options.k if options.mode == "hybrid" else wide, options.weights)
+    if options.mode == "hybrid_rerank" and not lexical_only:
+        none = found.select("query_id", "chunk_idx").limit(0).withColumn("relevance", F.lit(0))
+        best = reranked(found, judge(found.select("query_id", "chunk_idx")) if judge else none, options.k)
+        found = best.drop("fused_rank").join(found.drop("rank"), ["query_id", "chunk_idx"])
+    named = found.join(corpus.select("chunk_idx", *FIELDS), "chunk_idx")
+    return named.select("query_id", "chunk_idx", "score", "rank", "dense_rank", "bm25_rank", *FIELDS)
+
+
+def quote_from(text: Column) -> Column:
+    """The first sentence of 40 characters or more, else the whole text; 300 characters at most."""
+    sentences = F.transform(F.split(text, r"(?<=\.)(?U:\s+)"), trimmed)
+    return trimmed(F.substring(F.coalesce(F.get(F.filter(sentences, lambda s: F.char_length(s) >= 40), F.lit(0)), text), 1, 300))
 
 
 def assess(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -63,7 +97,7 @@ def assess(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
     documents: document_id, text; chunks: chunk_idx, framework, citation, heading, text. The
     models are the deterministic stand-ins: routing by words, hashed embeddings, and the first
-    three passages quoted. Each quote is verified against its passage.
+    three passages quoted, one sentence of each. Each quote is verified against its passage.
     """
     cut = documents.select("document_id", F.substring("text", 1, DOCUMENT_CHARS).alias("text"))
     frameworks = cut.select("document_id", F.inline(routed(F.col("text"))))
@@ -71,16 +105,12 @@ def assess(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = concerns.select("framework", "concern", "query").distinct().withColumn("embedding", hash_embedding("query"))
     numbered = asked.withColumn("query_id", F.xxhash64("framework", "concern", "query"))
     vectors = chunks.withColumn("embedding", hash_embedding(embedding_text(F.col("framework"), F.col("citation"), F.col("heading"), F.col("text"))))
-    found = None
-    for name in [r["framework"] for r in numbered.select("framework").distinct().limit(len(MODES) * 2).collect()]:  # the frameworks are a fixed few
-        part = dense_topk(vectors, numbered.filter(F.col("framework") == name), PASSAGES_PER_CONCERN, F.col("framework") == name)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = dense_topk(vectors, numbered, PASSAGES_PER_CONCERN)
+    parts = [dense_topk(vectors, numbered.filter(F.col("framework") == name), PASSAGES_PER_CONCERN, F.col("framework") == name) for name, _ in ROUTES]
+    found = reduce(DataFrame.union, parts)  # one kernel for each framework that routing knows
     named = found.join(numbered.select("query_id", "framework", "concern"), "query_id")
     passages = best_per_chunk(named.select(F.col("framework").alias("grp"), "concern", "chunk_idx", "rank"), PASSAGES)
     quoted = passages.filter("place <= 3").join(chunks, "chunk_idx").select(
-        F.col("grp").alias("framework"), "citation", "heading", "place", "text", F.trim(F.substring("text", 1, 300)).alias("quote")
+        F.col("grp").alias("framework"), "citation", "heading", "place", "text", quote_from(F.col("text")).alias("quote")
     )
     findings = frameworks.select("document_id", "framework").join(quoted, "framework")
     claims = findings.withColumn("claim_id", F.concat_ws("|", "document_id", "framework", F.col("place").cast("string")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.vectors import quantized
-from lodestone.operators import chunking, dense, evaluation, fusion, grounding, lexical, metering, reports, search
+from lodestone.operators import chunking, dense, evaluation, fusion, grounding, lexical, metering, outcomes, reports, search
 from lodestone.plans import adapters as A
+from lodestone.session import scratch
 from lodestone.sources import sections
 from lodestone.streaming import events as event_stream
 from lodestone.streaming import limits as limit_stream
@@ -20,10 +19,26 @@ from lodestone.streaming import limits as limit_stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-LIMIT, WINDOW_MS, DAILY = 2, 86_400_000, 60
+LIMIT, WINDOW_MS, DAILY, CEILING = 2, 86_400_000, 60, 50
 CONFIGS = {"bm25": 0, "dense": 1, "rrf_equal": 2, "rrf_weighted": 3}
 
 
+_INDEXES: dict[tuple[str, str, str], lexical.TextIndex] = {}
+
+
+def _kept(spark: SparkSession, d: str, name: str, make: Callable[[], lexical.TextIndex]) -> lexical.TextIndex:
+    """An index over the tables in d, made once for each application: the tables don't change."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = make()
+    return _INDEXES[key]
+
+
+def _index(spark: SparkSession, d: str) -> lexical.TextIndex:
+    """Of the texts alone."""
+    return _kept(spark, d, "text", lambda: lexical.text_index(A.corpus(spark, d), "framework"))
+
+
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
@@ -56,21 +71,22 @@ def vocabulary_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_topk(A.corpus(spark, d), A.queries(spark, d), 10)
+    return lexical.bm25_topk(_index(spark, d), A.queries(spark, d), 10)
 
 
 @query
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(A.corpus(spark, d), A.queries(spark, d), search.Options("bm25", 5, framework="en"))
+    return lexical.bm25_topk(_index(spark, d), A.queries(spark, d), 5, search.Options(framework="en").allowed())
 
 
 @query
 def fulltext_and_match(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.and_match(A.corpus(spark, d), A.queries(spark, d))
+    return lexical.and_match(_index(spark, d), A.queries(spark, d)).drop("n_hits")
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    """Every vector whose id can be divided by 20, as a query against all."""
+    return A.table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query
@@ -106,7 +122,7 @@ def index_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def _arms(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     wide = fusion.candidates(k)
-    return dense.dense_topk(A.vectors(spark, d), A.query_vectors(spark, d), wide), lexical.bm25_topk(A.corpus(spark, d), A.queries(spark, d), wide)
+    return dense.dense_topk(A.vectors(spark, d), A.query_vectors(spark, d), wide), lexical.bm25_topk(_index(spark, d), A.queries(spark, d), wide)
 
 
 @query
@@ -130,7 +146,7 @@ def rerank_listwise(spark: SparkSession, d: str) -> DataFrame:
     found = fusion.fused(*_arms(spark, d), 30)
     asked = lexical.query_terms(A.queries(spark, d))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    listed = lexical.with_terms(A.corpus(spark, d)).select("chunk_idx", F.explode(F.array_distinct("terms")).alias("term"))
+    listed = _index(spark, d).postings.select("chunk_idx", "term")
     shared = found.select("query_id", "chunk_idx").join(asked, "query_id").join(listed, ["chunk_idx", "term"]).groupBy("query_id", "chunk_idx").agg(F.count("*").alias("n"))
     judged = shared.filter("chunk_idx % 2 = 1").join(sizes, "query_id").select("query_id", "chunk_idx", F.least(F.lit(3), F.floor(4 * F.col("n") / F.col("n_terms"))).cast("int").alias("relevance"))
     return fusion.reranked(found, judged).select("query_id", "chunk_idx", "relevance", "fused_rank", "rank")
@@ -139,7 +155,7 @@ def rerank_listwise(spark: SparkSession, d: str) -> DataFrame:
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a query word for word: those with all its terms, then looked at."""
     corpus, asked = A.corpus(spark, d), A.queries(spark, d)
-    found = lexical.and_match(corpus, asked).join(asked, "query_id").join(corpus, "chunk_idx").filter(F.contains("text", "query"))
+    found = lexical.and_match(_index(spark, d), asked).join(asked, "query_id").join(corpus, "chunk_idx").filter(F.contains("text", "query"))
     return found.select("query_id", "citation")
 
 
@@ -153,7 +169,7 @@ def _rankings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _per_query(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.query_metrics(_rankings(spark, d), _gold(spark, d))
+    return evaluation.query_metrics(_rankings(spark, d), _gold(spark, d), list(ARM_WEIGHTS))
 
 
 @query
@@ -353,7 +369,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def merge_concern_passages(spark: SparkSession, d: str) -> DataFrame:
     found = dense_topk(spark, d)
-    return fusion.best_per_chunk(found.select((F.col("query_id") % 4).alias("grp"), F.floor(F.col("query_id") / 4).alias("concern"), "chunk_idx", "rank"))
+    return fusion.best_per_chunk(found.select((F.col("query_id") / 20 % 4).cast("long").alias("grp"), F.floor(F.col("query_id") / 80).alias("concern"), "chunk_idx", "rank"))
 
 
 def assessed_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -369,15 +385,10 @@ def assess_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     return search.assess(docs, assessed_chunks(spark, d))
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 @query
 def ndjson_events_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events written as lines, with some bad lines between, read as a stream, written and read again."""
-    base = _folder(spark)
+    base = scratch(spark, "stream")
     rows = A.table(spark, d, "events").select(
         F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("framework"),
         F.col("event_id").alias("score"), F.lit(None).cast("string").alias("message"), F.col("ts").cast("timestamp").alias("at"),
@@ -393,7 +404,7 @@ def ndjson_events_stream(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """The anchored limit over the calls as a stream; equal to the batch form."""
-    base = _folder(spark)
+    base = scratch(spark, "stream")
     A.table(spark, d, "events").select(
         F.col("event_id").alias("call_id"), F.col("event_type").alias("bucket"), F.col("user_id").cast("string").alias("visitor"), F.col("ts").cast("timestamp").alias("at")
     ).write.parquet(f"{base}/in")
@@ -402,3 +413,186 @@ def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     running = limited.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("call_id", "allowed")
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks with their vectors; those without one are found by their text alone."""
+    own = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_idx"), "embedding")
+    return A.corpus(spark, d).drop("source").join(own, "chunk_idx", "left")
+
+
+def _search(spark: SparkSession, d: str, options: search.Options, judge=None) -> DataFrame:
+    corpus, asked = _searched(spark, d), A.queries(spark, d).join(A.query_vectors(spark, d), "query_id")
+    index = _kept(spark, d, "search", lambda: search.search_index(corpus))
+    return search.search(corpus, asked, options, judge, index).drop("heading")
+
+
+@query
+def search_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, search.Options("bm25", 5))
+
+
+@query
+def search_dense(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, search.Options("dense", 5, framework="en"))
+
+
+@query
+def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, search.Options("hybrid", 10, framework="fr"))
+
+
+@query
+def search_hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The judge grades documents of odd id by their id modulo 4 and leaves out the others."""
+    return _search(spark, d, search.Options("hybrid_rerank", 5), lambda found: found.filter("chunk_idx % 2 = 1").withColumn("relevance", (F.col("chunk_idx") % 4).cast("int")))
+
+
+@query
+def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.fulltext_topk(_index(spark, d), A.queries(spark, d), 3)
+
+
+@query
+def fusion_weight_on_dev(spark: SparkSession, d: str) -> DataFrame:
+    found = fusion.sweep(*_arms(spark, d)).withColumn("config", F.col("lexical_weight").cast("string"))
+    named = found.join(A.corpus(spark, d).select("chunk_idx", "citation"), "chunk_idx").select("config", "query_id", "citation", "rank")
+    per = evaluation.query_metrics(named, _gold(spark, d), [str(w) for w in fusion.WEIGHTS])
+    return evaluation.chosen_weight(per, A.queries(spark, d))
+
+
+@query
+def gold_totals(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.gold_totals(_gold(spark, d), A.queries(spark, d))
+
+
+@query
+def missing_slices(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.missing_slices(A.queries(spark, d), ("direct", "paraphrased", "adversarial"))
+
+
+@query
+def recall_curve(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.recall_curve(eval_metrics(spark, d), list(CONFIGS))
+
+
+@query
+def chunk_sweep_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """target, overlap, n_chunks and the metrics of BM25 over the chunks, on the paraphrased queries."""
+    asked = A.queries(spark, d).filter("slice = 'paraphrased'")
+    gold, out = _gold(spark, d), None
+    for target, overlap in chunking.SWEEP:
+        chunks = chunking.chunk_sections(A.corpus(spark, d), target, overlap)
+        chunks = chunks.withColumn("chunk_idx", F.shiftleft(F.col("chunk_idx").cast("long"), 20) + F.col("ordinal")).select("chunk_idx", "citation", "text")
+        index = lexical.text_index(chunks)
+        found = lexical.bm25_topk(index, asked, 40).join(chunks.select("chunk_idx", "citation"), "chunk_idx").withColumn("config", F.lit("bm25"))
+        per = evaluation.query_metrics(found.select("config", "query_id", "citation", "rank"), gold.join(asked, "query_id", "left_semi"), ["bm25"])
+        row = evaluation.metrics(per).select(F.lit(target).alias("target"), F.lit(overlap).alias("overlap"), F.lit(index.n_chunks).alias("n_chunks"), "recall_1", "recall_10", "mrr", "ndcg")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query
+def failure_messages(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.public_failures(classify_failure(spark, d)).select("event_id", "kind", "status", "retryable")
+
+
+def _model_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as findings that a model wrote, some of them against the rules."""
+    lines, n = A.table(spark, d, "lineitem"), F.col("l_partkey")
+
+    def one_of(number, names):
+        return F.element_at(F.array(*map(F.lit, names)), (number % len(names) + 1).cast("int"))
+
+    return lines.select(
+        F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") - 1).alias("position"), F.concat_ws(" ", F.lit("keep"), n.cast("string")).alias("requirement"),
+        one_of(n, (*outcomes.STATUSES, "wrong")).alias("status"), one_of(F.col("l_suppkey"), (*outcomes.SEVERITIES, "none", "low", "high")).alias("severity"),
+        F.repeat(F.lit("why "), (n % 9).cast("int")).alias("explanation"), F.repeat(F.lit("says "), (n % 4).cast("int")).alias("regulation_quote"),
+        F.concat(F.lit("c"), (n % 200).cast("string")).alias("citation"),
+    )
+
+
+@query
+def finding_violations(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.violations(_model_findings(spark, d)).select("case_id", F.col("position").cast("long"), F.array_join("violations", ",").alias("violations"))
+
+
+@query
+def finding_first_issues(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.first_issues(_model_findings(spark, d))
+
+
+@query
+def answer_counters(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.answer_counters(A.table(spark, d, "events").select((F.col("event_id") % 3).alias("attempts"), (F.col("event_id") % 7 != 0).alias("valid")))
+
+
+# Fixed values of the test rows: signs that a planted instruction was obeyed.
+MARKERS = {"prompt": "says says", "rule": "why why why why"}
+
+
+@query
+def attack_tallies(spark: SparkSession, d: str) -> DataFrame:
+    written = _model_findings(spark, d)
+    verdict = F.when(F.col("position") % 3 == 0, "unsupported").when(F.col("position") % 3 == 1, "near").otherwise("exact")
+    found = written.select(
+        F.col("case_id") % 500, F.lit("FERPA").alias("framework"), "citation", F.concat_ws(" ", "explanation", "regulation_quote").alias("text"), verdict.alias("verdict"),
+        ((F.col("position") % 3 > 0) | (F.length("citation") == 2)).alias("supported"),
+    ).toDF("case_id", "framework", "citation", "text", "verdict", "supported")
+    shown = spark.range(500).select(F.col("id").alias("case_id"), F.lit("FERPA").alias("framework"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("n"))
+    return outcomes.attack_tallies(found, shown.select("case_id", "framework", F.concat(F.lit("c"), F.col("n").cast("string")).alias("citation")), MARKERS)
+
+
+@query
+def passage_blocks(spark: SparkSession, d: str) -> DataFrame:
+    found = lexical.bm25_topk(_index(spark, d), A.queries(spark, d), 3).join(A.corpus(spark, d).select("chunk_idx", "citation", "heading", "text"), "chunk_idx")
+    return outcomes.passage_blocks(found).select("query_id", F.sha2("block", 256).alias("block_sha256"))
+
+
+@query
+def health_checks(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.health(A.corpus(spark, d), A.vectors(spark, d))
+
+
+@query
+def paired_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Events in threes as the start, the end or failure of a span, and nothing."""
+    events = A.calls(spark, d).select("call_id", "at_ms")
+    phase = F.when(F.col("call_id") % 3 == 0, "start").when(F.col("call_id") % 3 == 1, F.when(F.col("call_id") % 5 == 0, "error").otherwise("end")).otherwise("progress")
+    rows = events.select((F.floor(F.col("call_id") / 30)).alias("run_id"), F.concat(F.lit("s"), F.floor(F.col("call_id") / 3).cast("string")).alias("name"), phase.alias("phase"), "at_ms")
+    return outcomes.paired_spans(rows)
+
+
+@query
+def corpus_backed(spark: SparkSession, d: str) -> DataFrame:
+    names = A.corpus(spark, d).select("framework").distinct().union(spark.createDataFrame([("xx",), ("SOC 2",)], "framework string"))
+    return outcomes.corpus_backed(names, A.corpus(spark, d))
+
+
+@query
+def framework_list(spark: SparkSession, d: str) -> DataFrame:
+    """All frameworks, sorted, in one row."""
+    return A.corpus(spark, d).agg(F.array_join(F.sort_array(F.collect_set("framework")), ",").alias("frameworks"))
+
+
+@query
+def rate_limit_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    return metering.anchored_ceiling(A.calls(spark, d), LIMIT, WINDOW_MS, CEILING).select("call_id", "allowed", F.col("remaining").cast("long"))
+
+
+@query
+def cache_lookup_exempt(spark: SparkSession, d: str) -> DataFrame:
+    """Requests by customers' numbers; the sample document, that of customer 1, is never answered from the cache."""
+    asked = A.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" ")).alias("document"))
+    return reports.cached_answers(asked, A.reports(spark, d), "1", A.latest(spark, d))
+
+
+@query
+def number_formats(spark: SparkSession, d: str) -> DataFrame:
+    value = F.col("l_extendedprice") / 100_000
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.percent(T.rounded(value, 3)).alias("pct"), T.fixed(T.rounded(value, 3), 3).alias("three"), T.safe_identifier(F.when(F.col("l_linenumber") % 2 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag"))).alias("safe"))
+
+
+@query
+def severity_tones(spark: SparkSession, d: str) -> DataFrame:
+    return A.findings(spark, d).groupBy("severity", outcomes.severity_tone(F.col("severity")).alias("tone")).agg(F.count("*").alias("n"))

@@ -7,7 +7,8 @@ from lodestone.operators.evaluation import CUTOFF, DEPTHS
 from lodestone.operators.fusion import RRF_K, WEIGHTS
 from lodestone.operators.grounding import SEVERITY, STATUS
 from lodestone.operators.metering import PRICES
-from lodestone.plans.catalogue import CONFIGS, DAILY, FILES, LIMIT, MESSAGES, WINDOW_MS
+from lodestone.operators.outcomes import FAILURES, SEVERITIES, STATUSES, TONES
+from lodestone.plans.catalogue import CEILING, CONFIGS, DAILY, FILES, LIMIT, MARKERS, MESSAGES, WINDOW_MS
 
 
 def _r(x: str, places: int = 6) -> str:
@@ -24,18 +25,23 @@ def _terms(text: str) -> str:
     return f"list_transform(list_filter(regexp_extract_all(lower({text}), '{TERM}'), lambda t: t NOT IN ({_STOP})), lambda t: {_STEM})"
 
 
-_CORPUS = f"""
-corpus AS (SELECT doc_id AS chunk_idx, lang AS framework, source || ':' || doc_id AS citation, text, {_terms('text')} AS terms FROM documents),
+def _corpus(indexed: str) -> str:
+    return f"""
+corpus AS (SELECT doc_id AS chunk_idx, lang AS framework, source || ':' || doc_id AS citation, split_part(text, chr(10), 1) AS heading, text, {_terms(indexed)} AS terms FROM documents),
 postings AS (SELECT chunk_idx, framework, len(terms) AS n_terms, term, count(*) AS tf
     FROM (SELECT chunk_idx, framework, terms, unnest(terms) AS term FROM corpus) GROUP BY ALL),
 asked AS (SELECT item_id AS query_id, unnest(list_distinct({_terms('text')})) AS term FROM benchmark),
 """
-_BM25 = _CORPUS + f"""
+
+
+_CORPUS = _corpus("text")
+_SCORED = f"""
 stats AS (SELECT count(*) AS n, avg(len(terms)) AS a FROM corpus),
 freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 bm25 AS (SELECT query_id, chunk_idx, framework, {_r("sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_terms / a)))")} AS score
     FROM asked JOIN postings USING (term) JOIN freq USING (term), stats GROUP BY ALL),
 """
+_BM25 = _CORPUS + _SCORED
 
 
 def _top(rows: str, k: int, order: str = "score DESC, chunk_idx") -> str:
@@ -56,7 +62,7 @@ def _knn(queries: str, data: str, where: str = "true") -> str:
     return f"SELECT q.query_id, d.chunk_idx, {_r('list_dot_product(q.v::DOUBLE[], d.v::DOUBLE[])')} AS score FROM {queries} q, {data} d WHERE {where}"
 
 
-_ASKED20 = "q20 AS (SELECT chunk_idx AS query_id, v FROM vectors WHERE chunk_idx < 20),"
+_ASKED20 = "q20 AS (SELECT chunk_idx AS query_id, v FROM vectors WHERE chunk_idx % 20 = 0),"
 _ARMS = f"""{_BM25} {_VECTORS}
 qv AS (SELECT item_id AS query_id, v FROM benchmark JOIN vectors ON item_id = chunk_idx),
 dense AS ({_top(_knn('qv', 'vectors'), 50)}),
@@ -88,6 +94,22 @@ per AS (SELECT c.config, s.query_id, {', '.join(f'coalesce(h{k}, 0) / n_gold AS
 _MEANS = ", ".join(f"{_r(f'avg({m})')} AS {m}" for m in [*[f"recall_{k}" for k in DEPTHS], "mrr", "ndcg"])
 
 
+_SEARCHED = _corpus("source || ':' || doc_id || chr(10) || split_part(text, chr(10), 1) || chr(10) || text") + _SCORED + _VECTORS + """
+qv AS (SELECT item_id AS query_id, v FROM benchmark JOIN vectors ON item_id = chunk_idx),
+own AS (SELECT v.chunk_idx, v.v, c.framework FROM vectors v JOIN corpus c USING (chunk_idx)),"""
+
+
+def _search(arms: str, rows: str) -> str:
+    return f"{_end(_SEARCHED + arms)} SELECT query_id, chunk_idx, score, rank, dense_rank, bm25_rank, framework, citation FROM ({rows}) JOIN corpus USING (chunk_idx)"
+
+
+def _both(where: str) -> str:
+    return f"""
+dense AS ({_top(_knn('qv', 'own', where), 50)}),
+lexical AS ({_top(f"SELECT query_id, chunk_idx, score FROM bm25 d WHERE {where}", 50)}),
+arms AS (SELECT query_id, chunk_idx, d.rank AS dense_rank, l.rank AS bm25_rank FROM dense d FULL JOIN lexical l USING (query_id, chunk_idx)),"""
+
+
 def _end(ctes: str) -> str:
     return "WITH " + ctes.strip().rstrip(",")
 
@@ -136,6 +158,12 @@ f AS (SELECT *, 1 AS count, at_ms AS opened, true AS allowed FROM n WHERE k = 1
         CASE WHEN n.at_ms - f.opened > {WINDOW_MS} THEN n.at_ms ELSE f.opened END, n.at_ms - f.opened > {WINDOW_MS} OR f.count < {LIMIT}
     FROM f JOIN n ON n.bucket = f.bucket AND n.visitor = f.visitor AND n.k = f.k + 1)"""
 
+_BROKEN = f"""SELECT case_id, position, list_filter([
+    CASE WHEN length(citation) < 3 THEN 'citation' END, CASE WHEN length(explanation) < 20 THEN 'explanation' END, CASE WHEN position >= 12 THEN 'number' END, CASE WHEN length(quote) < 10 THEN 'regulation_quote' END,
+    CASE WHEN length(requirement) < 8 THEN 'requirement' END, CASE WHEN severity NOT IN ({', '.join(f"'{x}'" for x in SEVERITIES)}) THEN 'severity' END, CASE WHEN status NOT IN ({', '.join(f"'{x}'" for x in STATUSES)}) THEN 'status' END], lambda x: x IS NOT NULL) AS v
+    FROM (SELECT l_orderkey AS case_id, l_linenumber - 1 AS position, 'keep ' || l_partkey AS requirement, {_pick((*STATUSES, 'wrong'), 'l_partkey')} AS status, {_pick((*SEVERITIES, 'none', 'low', 'high'), 'l_suppkey')} AS severity,
+        repeat('why ', (l_partkey % 9)::INT) AS explanation, repeat('says ', (l_partkey % 4)::INT) AS quote, 'c' || (l_partkey % 200) AS citation FROM lineitem)"""
+
 SQL: dict[str, str] = {
     "tokenize_terms": f"SELECT doc_id AS chunk_idx, len(t) AS n_terms, array_to_string(t, ' ') AS terms FROM (SELECT doc_id, {_terms('text')} AS t FROM documents)",
     "term_frequency": f"{_end(_CORPUS)} SELECT chunk_idx, term, tf FROM postings",
@@ -215,7 +243,56 @@ SQL: dict[str, str] = {
         FROM (SELECT page_id, {_pick([f[0] for f in FILES], 'page_id')} AS n, {_pick([f[1] for f in FILES], 'page_id')} AS m FROM pages)""",
     "index_stats": "SELECT lang AS framework, count(*) AS n_sections, count(DISTINCT source || ':' || doc_id) AS n_citations FROM documents GROUP BY lang",
     "merge_concern_passages": f"""{_end(_VECTORS + _ASKED20)}, f AS ({_top(_knn('q20', 'vectors'), 10)}),
-        b AS (SELECT query_id % 4 AS grp, chunk_idx, min((rank, query_id // 4)) AS b FROM f GROUP BY ALL),
+        b AS (SELECT query_id // 20 % 4 AS grp, chunk_idx, min((rank, query_id // 80)) AS b FROM f GROUP BY ALL),
         p AS (SELECT grp, chunk_idx, b[1] AS best_rank, row_number() OVER (PARTITION BY grp ORDER BY b, chunk_idx) AS place FROM b) SELECT * FROM p WHERE place <= 12""",
     "ndjson_events_stream": "SELECT event_type AS type, count(*) AS n_events, sum(event_id)::BIGINT AS sum_ids FROM events GROUP BY event_type",
+    "search_bm25": _search("", f"SELECT *, rank AS bm25_rank, NULL::BIGINT AS dense_rank FROM ({_top('SELECT query_id, chunk_idx, score FROM bm25', 5)})"),
+    "search_dense": _search("", f"""SELECT *, rank AS dense_rank, NULL::BIGINT AS bm25_rank FROM ({_top(_knn('qv', 'own', "d.framework = 'en'"), 5)})"""),
+    "search_hybrid": _search(_both("d.framework = 'fr'"), _fused("1.0::DOUBLE", "1.0::DOUBLE", 10)),
+    "search_hybrid_rerank": _search(_both("true") + f"f AS ({_fused('1.0::DOUBLE', '1.0::DOUBLE', 50)}), g AS (SELECT * EXCLUDE (rank), rank AS fused_rank, CASE WHEN chunk_idx % 2 = 1 THEN chunk_idx % 4 ELSE -1 END AS relevance FROM f),",
+        _top("SELECT * FROM g", 5, "relevance DESC, fused_rank")),
+    "fulltext_topk": f"""{_end(_CORPUS)} {_top("""SELECT query_id, chunk_idx, sum(tf)::BIGINT AS score FROM asked JOIN postings USING (term) GROUP BY query_id, chunk_idx
+        HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.query_id = asked.query_id)""", 3)}""",
+    "fusion_weight_on_dev": f"""{_end(_EVAL + "many AS (" + " UNION ALL ".join(f"SELECT {w}::DOUBLE AS weight, query_id, chunk_idx, rank FROM ({_fused('1.0::DOUBLE', f'{w}::DOUBLE', 10)})" for w in WEIGHTS) + "),"
+        + "got AS (SELECT weight, query_id, sum(1 / log2(rank + 1)) AS gain FROM many JOIN corpus USING (chunk_idx) JOIN gold USING (query_id, citation) GROUP BY weight, query_id),"
+        + f"means AS (SELECT w.weight, {_r(f'avg(coalesce(gain, 0) / list_sum(list_transform(generate_series(1, least(n_gold, {CUTOFF})), lambda i: 1 / log2(i + 1))))')} AS ndcg FROM sizes s CROSS JOIN (SELECT DISTINCT weight FROM many) w LEFT JOIN got USING (weight, query_id) WHERE s.query_id % 4 < 2 GROUP BY w.weight),")}
+        SELECT weight, ndcg FROM means ORDER BY ndcg DESC, weight LIMIT 1""",
+    "gold_totals": f"""{_end(_CORPUS + _GOLD)} SELECT slice, count(DISTINCT query_id) AS n_queries, count(*) AS n_labels FROM (SELECT DISTINCT query_id, citation,
+        unnest(['all', CASE query_id % 4 WHEN 2 THEN 'paraphrased' WHEN 3 THEN 'lookup' ELSE 'direct' END]) AS slice FROM gold) GROUP BY slice""",
+    "missing_slices": "SELECT 'adversarial' AS slice",
+    "recall_curve": f"""{_end(_EVAL)} SELECT k, {', '.join(f"max(round_) FILTER (config = '{c}') AS {c}" for c in CONFIGS)} FROM (
+        {' UNION ALL '.join(f"SELECT {k} AS k, config, {_r(f'm{k} * 100', 1)} AS round_ FROM (SELECT config, {_r(f'avg(recall_{k})')} AS m{k} FROM per GROUP BY config)" for k in DEPTHS)}) GROUP BY k""",
+    "failure_messages": f"""SELECT event_id, kind, CASE kind {' '.join(f"WHEN '{k}' THEN {v[0]}" for k, v in FAILURES.items())} END AS status, CASE kind {' '.join(f"WHEN '{k}' THEN {v[1]}" for k, v in FAILURES.items())} END AS retryable
+        FROM (SELECT event_id, CASE {' '.join(f"WHEN {' OR '.join(f"contains(lower(m), '{p}')" for p in parts)} THEN '{k}'" for k, parts in FAILURE_RULES)} ELSE 'unknown' END AS kind FROM (SELECT event_id, {_pick(MESSAGES, 'event_id')} AS m FROM events))""",
+    "finding_violations": f"SELECT case_id, position, array_to_string(v, ',') AS violations FROM ({_BROKEN})",
+    "finding_first_issues": f"SELECT case_id, array_to_string(list(position || ':' || rule ORDER BY position, rule)[1:6], ',') AS issues FROM (SELECT case_id, position, unnest(v) AS rule FROM ({_BROKEN})) GROUP BY case_id",
+    "answer_counters": "SELECT count(*) AS n_calls, count(*) FILTER (event_id % 7 <> 0 AND event_id % 3 <= 1) AS n_valid, count(*) FILTER (event_id % 7 <> 0 AND event_id % 3 = 2) AS n_repaired, count(*) FILTER (event_id % 7 = 0) AS n_failed FROM events",
+    "attack_tallies": f"""SELECT case_id, count(*) AS n_findings, count(*) FILTER (s) AS n_supported, count(*) FILTER (NOT s) AS n_unsupported, count(*) FILTER (p % 3 = 0) AS caught, count(*) FILTER (p % 3 = 0 AND s) AS missed,
+        count(*) FILTER (n % 200 >= 100) AS not_retrieved, concat_ws(',', {', '.join(f"CASE WHEN bool_or(contains(t, '{v}')) THEN '{k}' END" for k, v in sorted(MARKERS.items()))}) AS obeyed
+        FROM (SELECT l_orderkey % 500 AS case_id, l_linenumber - 1 AS p, l_partkey AS n, repeat('why ', (l_partkey % 9)::INT) || ' ' || repeat('says ', (l_partkey % 4)::INT) AS t,
+            (l_linenumber - 1) % 3 > 0 OR l_partkey % 200 < 10 AS s FROM lineitem) GROUP BY case_id""",
+    "passage_blocks": f"""{_end(_BM25)} SELECT query_id, sha256(string_agg('[' || rank || '] ' || citation || ' — ' || heading || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS block_sha256
+        FROM ({_top('SELECT query_id, chunk_idx, score FROM bm25', 3)}) JOIN corpus USING (chunk_idx) GROUP BY query_id""",
+    "health_checks": """SELECT 'index' AS "check", count(*) > 0 AS ok, count(*) || ' chunks from ' || count(DISTINCT source || ':' || doc_id) || ' sections' AS detail FROM documents
+        UNION ALL SELECT 'ids', count(*) = count(DISTINCT doc_id), (count(*) - count(DISTINCT doc_id)) || ' repeated' FROM documents
+        UNION ALL SELECT 'dimensions', count(DISTINCT len(embedding)) = 1, max(len(embedding)) || 'd' FROM embeddings
+        UNION ALL SELECT 'vectors', count(*) = 0, count(*) || ' without a chunk' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""",
+    "paired_spans": f"""{_end(_CALLS)} SELECT s.call_id // 30 AS run_id, 's' || (s.call_id // 3) AS name, s.at_ms AS started_ms, e.at_ms - s.at_ms AS duration_ms, coalesce(e.call_id % 5 = 0, false) AS failed
+        FROM c s LEFT JOIN c e ON e.call_id = s.call_id + 1 WHERE s.call_id % 3 = 0""",
+    "corpus_backed": "SELECT DISTINCT lang AS framework, true AS has_corpus FROM documents UNION ALL SELECT unnest(['xx', 'SOC 2']), false",
+    "framework_list": "SELECT string_agg(lang, ',' ORDER BY lang) AS frameworks FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)",
+    "rate_limit_ceiling": f"""WITH RECURSIVE {_CALLS}
+        n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY at_ms, call_id) AS k FROM c),
+        f AS (SELECT call_id, bucket, k, at_ms AS day, 1 AS total, MAP {{visitor: {{'n': 1, 'at': at_ms}}}} AS seen, true AS allowed, {LIMIT} - 1 AS remaining FROM n WHERE k = 1
+            UNION ALL
+            SELECT call_id, bucket, k, day, total + ok::INT, CASE WHEN ok THEN map_concat(seen, MAP {{visitor: {{'n': (w.n + 1)::INT, 'at': w.at}}}}) ELSE seen END, ok, CASE WHEN ok THEN {LIMIT} - w.n - 1 ELSE 0 END
+            FROM (SELECT *, total < {CEILING} AND w.n < {LIMIT} AS ok FROM (
+                SELECT n.call_id, n.bucket, n.k, n.visitor, CASE WHEN n.at_ms - f.day > 86400000 THEN n.at_ms ELSE f.day END AS day, CASE WHEN n.at_ms - f.day > 86400000 THEN 0 ELSE f.total END AS total, f.seen,
+                    CASE WHEN f.seen[n.visitor] IS NULL OR n.at_ms - f.seen[n.visitor].at > {WINDOW_MS} THEN {{'n': 0, 'at': n.at_ms}} ELSE f.seen[n.visitor] END AS w
+                FROM f JOIN n ON n.bucket = f.bucket AND n.k = f.k + 1)))
+        SELECT call_id, allowed, remaining::BIGINT AS remaining FROM f""",
+    "cache_lookup_exempt": f"""{_end(_REPORTS)} SELECT c_custkey AS request_id, report_id FROM customer JOIN r ON document_hash = sha256(c_custkey::VARCHAR) WHERE c_custkey <> 1 AND expires_at > now
+        QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY created_at DESC, report_id DESC) = 1""",
+    "number_formats": f"""SELECT l_orderkey, l_linenumber, printf('%.1f%%', {_r('l_extendedprice / 100000', 3)} * 100) AS pct, printf('%.3f', {_r('l_extendedprice / 100000', 3)}) AS three, regexp_full_match(CASE WHEN l_linenumber % 2 = 0 THEN lower(l_returnflag) ELSE l_returnflag END, '[a-z_][a-z0-9_]*') AS safe FROM lineitem""",
+    "severity_tones": f"""SELECT severity, CASE severity {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in TONES.items())} END AS tone, count(*) AS n FROM (SELECT ['critical', 'high', 'medium', 'low'][l_linenumber % 4 + 1] AS severity FROM lineitem) GROUP BY severity""",
 }

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,3 +30,31 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, removed when the program ends. A folder of this machine only where the setting is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(cleared)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def cleared() -> None:
+    """Remove what scratch() has named so far."""
+    for spark, path in _SCRATCH:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session has ended; its folder stays
+            break
+    _SCRATCH.clear()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written to scratch and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
