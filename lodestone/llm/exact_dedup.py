@@ -14,6 +14,7 @@ never make two of them equal.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -93,13 +94,17 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
 
 
 def _named(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """The distinct values of columns, each with an integer name.
+    """The distinct values of columns, each with an integer name: its place in the order of all of them.
 
-    distinct() deals equal values to one task; there they are sorted and numbered, from another
-    start in each task. The written table fixes the names.
+    Ranges of values are sorted in a task each; a value's place is its place there and the number
+    of values in the ranges before. So names don't depend on the number of tasks.
     """
-    ordered = rows.select(*columns).distinct().sortWithinPartitions(*columns)
-    return stage(ordered.withColumn("name", F.monotonically_increasing_id()), label)
+    ordered = rows.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
+    numbered = stage(ordered.withColumn("at", F.monotonically_increasing_id()), label)  # the task's number, then 33 bits
+    sizes = {r["part"]: r["n"] for r in numbered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a task
+    firsts = rows.sparkSession.createDataFrame(list(zip(sorted(sizes), accumulate((sizes[p] for p in sorted(sizes)), initial=0), strict=False)), "part long, first long")
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(firsts), "part").select(*columns, (F.col("first") + place).alias("name"))
 
 
 def identities(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ import xxhash
 from lodestone.llm import queries
 from lodestone.llm.common import looked_up
 from lodestone.llm.embedding_dedup import embedding_links
-from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.exact_dedup import _named, exact_dedup
 from lodestone.llm.simhash import _linked, candidate_lists, parts, parts_for, simhash_groups, with_distances
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,6 +50,22 @@ def test_exact_copies(spark, tables, block):
     assert exact_dedup(table.limit(0), block).count() == 0
 
 
+def test_block_names_are_places_in_the_order(spark):
+    values = sorted({bytes([k % 7, k % 11, k % 3]) for k in range(400)})
+    table = spark.createDataFrame([(bytearray(v),) for v in values] * 2, "block binary")
+    for parts in (1, 5):
+        rows = _named(table.repartition(parts), ["block"], "names").collect()
+        assert sorted((r["name"], bytes(r["block"])) for r in rows) == list(enumerate(values))
+    assert _named(table.limit(0), ["block"], "names").count() == 0
+
+
+def test_exact_copies_without_ids_and_repeated(spark):
+    rows = [(None, "A"), (None, "a"), (3, "a"), (3, "a"), (7, None), (None, ""), (None, "alone"), (8, "B"), (9, "b")]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, size int")
+    found = sorted(((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in exact_dedup(table).collect()))
+    assert found == [(-1, -1, 1, True), (-1, 3, 4, False), (-1, 3, 4, False), (-1, 7, 2, False), (3, 3, 4, True), (3, 3, 4, True), (7, 7, 2, True), (8, 9, 2, False), (9, 9, 2, True)]
+
+
 def simhash(text: str | None) -> int:
     words = [w for w in "".join(" " if c in "\x20\t\n\x0b\x0c\r" else c for c in (text or "").translate(UPPER)).split(" ") if w]
     shingles = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or ([" ".join(words)] if words else [])
