@@ -6,9 +6,9 @@ RADIUS at most in every one of these distances, so a pair is discarded by its la
 difference; what is left is verified bit by bit.
 
 Distances to far pivots can't say which fingerprints to bring together in the first place: two
-fingerprints at random are within RADIUS of each other in one coordinate with probability 0.57, and a grid
-of cells of RADIUS + 1 in k coordinates would cut the pairs by 3.3**k but write each fingerprint
-2.6**k times, with nothing lost. So pairs are met by distances inside parts of the word: cut
+fingerprints at random are within RADIUS of each other in one coordinate with probability 0.57, and a
+lossless grid of cells of RADIUS + 1 in k coordinates would leave 0.73**k of all pairs and write each
+fingerprint 2.6**k times. So pairs are met by distances inside parts of the word: cut
 into m parts, two fingerprints with at most four differing bits agree on m - 4 parts or more
 (distance zero), so each pair meets under one of the choices of m - 4 parts. m grows with the
 number of fingerprints, so that a key is met by few of them by chance at every size. Keys with
