@@ -264,7 +264,8 @@ def reliabilities(counts: dict[tuple[str, tuple[int, ...]], float], rounds: int
 
 def span_classifier(judged: DataFrame) -> dict[str, float]:
     """Log odds by "kind" (its prior) and "kind|feature", trained on the spans of judged."""
-    spans = judged.select(F.explode("found").alias("s"))
+    # outer: for a plain explode Spark would look for the spans once more in a filter below it, written out in full
+    spans = judged.select(F.explode_outer("found").alias("s")).filter("s is not null")
     votes = spans.select("s.kind", "s.votes", F.explode(F.concat(F.array(F.lit("")), "s.features")).alias("feature"))
     rows = votes.groupBy("kind", "votes", "feature").agg(F.count("*").alias("n")).collect()
     parsed = [(r["kind"], tuple(map(int, r["votes"].split(","))), r["feature"], r["n"]) for r in rows]
@@ -304,7 +305,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     spans. Texts are read whole; repeated rows stay repeated; an empty table gives an empty result.
     """
     judged = judged_spans(documents)
-    odds = span_classifier(judged_spans(documents.select("text")))
+    odds = span_classifier(judged)
     place = F.create_map(*[x for n, k in enumerate(KINDS) for x in (F.lit(k), F.lit(n))])
     kept = F.transform(
         F.filter("found", _accepted(odds)),
