@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,6 +51,17 @@ def terms(text: Column) -> Column:
     return F.transform(F.filter(found, lambda t: ~t.isin(*STOPWORDS)), stem)
 
 
+@lru_cache(maxsize=1 << 18)
+def term_of(raw: str) -> str | None:
+    """The term of one match of TERM, as terms() has it; null for a stopword."""
+    if raw in STOPWORDS:
+        return None
+    for suffix in SUFFIXES:
+        if len(raw) > 3 and raw.endswith(suffix) and len(raw) - len(suffix) >= 3:
+            return raw[: -len(suffix)] + "y" * (suffix == "ies")
+    return raw
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 

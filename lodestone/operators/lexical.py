@@ -10,15 +10,21 @@ text and any columns that a filter names; queries have query_id and query.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lodestone.functions.text import STOPWORDS, TERM, rounded, stem, terms
+from lodestone.functions.text import TERM, rounded, term_of, terms
 from lodestone.session import written
 
 K1, B = 1.2, 0.75
+_TERM = re.compile(TERM)
 
 
 @dataclass(frozen=True)
@@ -31,22 +37,39 @@ class TextIndex:
     avg_terms: float
 
 
-def occurrences(corpus: DataFrame, *kept: str) -> DataFrame:
-    """chunk_idx, kept columns, term: a row for each term of each text. Plain columns, so that all of it is compiled."""
-    raw = corpus.select("chunk_idx", *kept, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("raw"))
-    return raw.filter(~F.col("raw").isin(*STOPWORDS)).select("chunk_idx", *kept, stem(F.col("raw")).alias("term"))
+def _tallied(names: list[str]):
+    """Rows (names, text) to (names, n_terms, term, tf): each text is counted where it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            row, length, term, tf = [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                counts: dict[str, int] = {}
+                for raw, n in Counter(_TERM.findall((text or "").lower())).items():
+                    if (t := term_of(raw)) is not None:
+                        counts[t] = counts.get(t, 0) + n
+                row += [k] * len(counts)
+                length += [sum(counts.values())] * len(counts)
+                term += counts
+                tf += counts.values()
+            base = batch.select(names).take(pa.array(row, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(length, pa.int64()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], names=[*names, "n_terms", "term", "tf"])
+
+    return run
 
 
 def text_index(corpus: DataFrame, *kept: str) -> TextIndex:
-    """The index of corpus (chunk_idx, text, and columns that filters name). Repeated chunk_idx are one chunk."""
-    counted = occurrences(corpus, *kept).groupBy("chunk_idx", *kept, "term").agg(F.count("*").alias("tf"))
-    counted = written(counted, "term-counts")
-    lengths = counted.groupBy("chunk_idx").agg(F.sum("tf").alias("n_terms"))
-    both = counted.join(lengths, "chunk_idx")
-    postings = written(both.repartition("term").sortWithinPartitions("term", "chunk_idx"), "postings")
+    """The index of corpus (chunk_idx, text, and columns that filters name); each row is a chunk of its own.
+
+    Postings are dealt by ranges of term and chunk_idx, so that a term that a third of all
+    chunks have is no single task.
+    """
+    rows = corpus.select("chunk_idx", *kept, F.col("text").cast("string").alias("text"))
+    schema = StructType([*rows.drop("text").schema.fields, StructField("n_terms", LongType()), StructField("term", StringType()), StructField("tf", LongType())])
+    counted = written(rows.mapInArrow(_tallied(["chunk_idx", *kept]), schema), "term-counts")
+    postings = written(counted.repartitionByRange("term", "chunk_idx").sortWithinPartitions("term", "chunk_idx"), "postings")
     frequency = written(postings.groupBy("term").agg(F.count("*").alias("df")), "frequency")
-    n_chunks = corpus.count()
-    total = lengths.agg(F.sum("n_terms")).first()[0] or 0
+    n_chunks, total = corpus.count(), postings.agg(F.sum("tf")).first()[0] or 0
     return TextIndex(postings, frequency, n_chunks, total / n_chunks if n_chunks else 0.0)
 
 
