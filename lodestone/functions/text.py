@@ -161,14 +161,19 @@ def failure_kind(message: Column) -> Column:
     return out.otherwise("unknown")
 
 
+# Extensions of text files, and types of files by kind.
+TEXT_EXTENSIONS = r"\.(txt|md|markdown|json|csv)$"
+TEXT_TYPES = ("text/plain", "text/markdown", "text/x-markdown", "application/json", "")
+DOCX_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+
+
 def file_kind(name: Column, mime: Column) -> Column:
     """pdf, docx or text by extension, then by type; null for what can't be read."""
     low = F.lower(name)
-    docx = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
     return (
         F.when(low.endswith(".pdf") | (mime == "application/pdf"), "pdf")
-        .when(low.endswith(".docx") | (mime == docx), "docx")
-        .when(low.rlike(r"\.(txt|md|markdown|json|csv)$") | mime.isin("text/plain", "text/markdown", "text/x-markdown", "application/json", ""), "text")
+        .when(low.endswith(".docx") | (mime == DOCX_TYPE), "docx")
+        .when(low.rlike(TEXT_EXTENSIONS) | mime.isin(*TEXT_TYPES), "text")
     )
 
 

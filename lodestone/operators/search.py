@@ -20,6 +20,8 @@ from lodestone.operators.lexical import TextIndex, bm25_topk, text_index
 MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
 PASSAGES_PER_CONCERN, PASSAGES = 4, 12
 DOCUMENT_CHARS = 24_000
+# Fixed value: what the stand-in says of a passage, after its heading.
+APPLIES = " applies to the handling described here"
 
 
 @dataclass(frozen=True)
@@ -117,7 +119,7 @@ def assess(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     source = F.concat_ws("\n", "heading", "text")
     verdicts = verify_quotes(claims.select("claim_id", "quote", source.alias("source")))
     return claims.join(verdicts, "claim_id").select(
-        "document_id", "framework", "citation", F.concat(F.col("heading"), F.lit(" applies to the handling described here")).alias("requirement"),
+        "document_id", "framework", "citation", F.concat(F.col("heading"), F.lit(APPLIES)).alias("requirement"),
         F.when(F.col("place") == 1, "high").otherwise("medium").alias("severity"), F.when(F.col("place") == 1, "missing").otherwise("partial").alias("status"),
         "quote", "verdict", "similarity", (F.col("verdict") != "unsupported").alias("supported"),
     )

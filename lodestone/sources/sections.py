@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,52 +41,123 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables
 
 
-def _blocks(text, pattern: str):
-    """The first group of every match of pattern, tags stripped, empty ones left out."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), stripped), lambda p: p != "")
+class _Outline(HTMLParser):
+    """Markup as a flat list of starts (tag, attributes), ends (tag, None) and texts; names in lower case, references decoded."""
+
+    def __init__(self, markup: str):
+        super().__init__(convert_charrefs=True)
+        self.items: list[str | tuple[str, dict[str, str] | None]] = []
+        self.feed(markup)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.items.append((tag, {k: v or "" for k, v in attrs}))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.items.append((tag, None))
+
+    def handle_data(self, data: str) -> None:
+        self.items.append(data)
+
+    def parts(self, opens: Callable[[str, dict[str, str]], str | None], blocks: Callable[[str, dict[str, str]], str | None]) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+        """(name of a part, its blocks) in order. opens tells the name of the part that a start begins, or "" where one ends; blocks the kind of a block."""
+        name, found, block = None, [], None
+        for item in self.items:
+            if isinstance(item, str):
+                if block:
+                    block[2].append(item)
+                continue
+            tag, attributes = item
+            if block and attributes is None and tag == block[0]:
+                found.append((block[1], " ".join("".join(block[2]).split())))
+                block = None
+            elif block:
+                block[2].append(" ")  # a tag inside a block separates words
+            elif attributes is not None and (begun := opens(tag, attributes)):
+                if name is not None:
+                    yield name, found
+                name, found = begun, []
+            elif attributes is None and name is not None and opens(tag, {}) == "":
+                yield name, found
+                name, found = None, []
+            elif attributes is not None and name is not None and (kind := blocks(tag, attributes)):
+                block = (tag, kind, [])
+        if name is not None:
+            yield name, found
+
+
+def _said(found: list[tuple[str, str]]) -> str:
+    return "\n".join(text for kind, text in found if kind == "text" and text)
+
+
+def _rows(files: DataFrame, column: str, names: list[str], schema: str, read: Callable[[str], list[tuple]]) -> DataFrame:
+    """The rows that read finds in each file, beside the columns of names."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(*(row[n] for n in names), *found) for _, row in frame.iterrows() for found in read(row[column] or "")]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+
+    return files.select(*names, column).mapInPandas(run, schema)
+
+
+def _division(tag: str) -> Callable[[str, dict[str, str]], str | None]:
+    return lambda name, attributes: (attributes.get("n") or "") if name == tag else None
 
 
 def xml_sections(files: DataFrame, least: int = 80) -> DataFrame:
     """title, number, heading, text from eCFR XML (title, xml): one row for each DIV8 with enough text."""
-    div = r'(?s)<DIV8\b[^>]*N="([^"]+)"[^>]*>(.*?)</DIV8>'
-    both = F.arrays_zip(F.regexp_extract_all("xml", F.lit(div), F.lit(1)).alias("n"), F.regexp_extract_all("xml", F.lit(div), F.lit(2)).alias("body"))
-    rows = files.select("title", F.inline(both)).withColumnRenamed("n", "number")
-    head = stripped(F.regexp_extract("body", r"(?s)<HEAD>(.*?)</HEAD>", 1))
-    found = rows.select(
-        "title", "number",
-        F.when(F.col("body").contains("<HEAD>"), head).otherwise(F.concat(F.lit("Section "), F.col("number"))).alias("heading"),
-        F.array_join(_blocks(F.col("body"), r"(?s)<P>(.*?)</P>"), "\n").alias("text"),
-    )
-    return found.filter(F.char_length("text") >= least)
+
+    def read(xml: str) -> list[tuple]:
+        out = []
+        for number, found in _Outline(xml).parts(_division("div8"), lambda tag, _: {"head": "heading", "p": "text"}.get(tag)):
+            heading = next((t for k, t in found if k == "heading"), f"Section {number}")
+            out.append((number, heading, _said(found)))
+        return [r for r in out if len(r[2]) >= least]
+
+    return _rows(files, "xml", ["title"], "title string, number string, heading string, text string", read)
 
 
 def xml_appendices(files: DataFrame, least: int = 120) -> DataFrame:
     """title, number, heading, text: each DIV9 cut before its headings; tables of contents left out."""
-    div = r'(?s)<DIV9\b[^>]*N="([^"]+)"[^>]*>(.*?)</DIV9>'
-    both = F.arrays_zip(F.regexp_extract_all("xml", F.lit(div), F.lit(1)).alias("n"), F.regexp_extract_all("xml", F.lit(div), F.lit(2)).alias("body"))
-    pieces = files.select("title", F.inline(both)).select("title", F.col("n").alias("number"), F.explode(F.split("body", "(?=<HD1>)")).alias("piece"))
-    head = stripped(F.regexp_extract("piece", r"(?s)<HD1>(.*?)</HD1>", 1))
-    found = pieces.select(
-        "title", "number",
-        F.when(F.col("piece").contains("<HD1>"), head).otherwise(F.col("number")).alias("heading"),
-        F.array_join(_blocks(F.col("piece"), r"(?s)<(?:P|FP-2|FP-1|FP)>(.*?)</(?:P|FP-2|FP-1|FP)>"), "\n").alias("text"),
-    )
-    return found.filter(~F.col("heading").rlike("(?i)table of contents") & (F.char_length("text") >= least))
+    kinds = {"hd1": "heading", "p": "text", "fp": "text", "fp-1": "text", "fp-2": "text"}
+
+    def read(xml: str) -> list[tuple]:
+        out = []
+        for number, found in _Outline(xml).parts(_division("div9"), lambda tag, _: kinds.get(tag)):
+            pieces: list[tuple[str, list]] = [(number, [])]
+            for kind, text in found:
+                if kind == "heading":
+                    pieces.append((text, []))
+                else:
+                    pieces[-1][1].append((kind, text))
+            out += [(number, heading, _said(piece)) for heading, piece in pieces]
+        return [r for r in out if len(r[2]) >= least and "table of contents" not in r[1].lower()]
+
+    return _rows(files, "xml", ["title"], "title string, number string, heading string, text string", read)
 
 
 def article_sections(files: DataFrame, prefix: str, least: int = 120) -> DataFrame:
-    """article, heading, text from legal HTML (html): the span from each article mark to the next."""
-    mark = f'id="{prefix}\\.art_'
-    spans = files.select(F.posexplode(F.split("html", f"(?={mark}[0-9]+\")")).alias("at", "block")).filter(F.col("block").rlike(f"^{mark}"))
-    title = r'(?s)<p[^>]*class="[^"]*oj-sti-art[^"]*"[^>]*>(.*?)</p>'
-    number = F.regexp_extract("block", f"^{mark}([0-9]+)", 1)
-    body = F.regexp_replace("block", "(?s)^.*?" + title[4:], "")
-    found = spans.select(
-        number.alias("article"),
-        F.when(F.col("block").rlike(title), stripped(F.regexp_extract("block", title, 1))).otherwise(F.concat(F.lit("Article "), number)).alias("heading"),
-        F.array_join(_blocks(F.when(F.col("block").rlike(title), body).otherwise(F.col("block")), r'(?s)<p[^>]*class="[^"]*oj-normal[^"]*"[^>]*>(.*?)</p>'), "\n").alias("text"),
-    )
-    return found.filter(F.char_length("text") >= least)
+    """article, heading, text from legal HTML (html): from each article's mark to the next; what stands before its heading is left out."""
+    mark = f"{prefix}.art_"
+    kinds = {"oj-sti-art": "heading", "oj-normal": "text"}
+
+    def opens(tag: str, attributes: dict[str, str]) -> str | None:
+        number = attributes.get("id", "").removeprefix(mark)
+        return number if attributes.get("id", "").startswith(mark) and number.isdecimal() else None
+
+    def blocks(tag: str, attributes: dict[str, str]) -> str | None:
+        return next((kinds[c] for c in attributes.get("class", "").split() if c in kinds), None) if tag == "p" else None
+
+    def read(html: str) -> list[tuple]:
+        out = []
+        for number, found in _Outline(html).parts(opens, blocks):
+            at = next((k for k, b in enumerate(found) if b[0] == "heading"), None)
+            heading = f"Article {number}" if at is None else found[at][1]
+            out.append((number, heading, _said(found if at is None else found[at + 1 :])))
+        return [r for r in out if len(r[2]) >= least]
+
+    return _rows(files, "html", [], "article string, heading string, text string", read)
 
 
 def page_sections(pages: DataFrame, least: int = 80) -> DataFrame:
