@@ -94,13 +94,14 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
 
 
 def _named(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """The distinct values of columns, each with an integer name: its place in the order of all of them.
+    """The distinct values of columns, each with an integer name: its place in the order of all of them, by a hash and then by value.
 
-    Ranges of values are sorted in a task each; a value's place is its place there and the number
-    of values in the ranges before. So names don't depend on the number of tasks.
+    Ranges of the order are sorted in a task each; a value's place is its place there and the
+    number of values in the ranges before. So names don't depend on the number of tasks. By their hash
+    values make ranges of equal size, and what is sampled for the bounds is short.
     """
-    ordered = rows.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
-    numbered = stage(ordered.withColumn("at", F.monotonically_increasing_id()), label)  # the task's number, then 33 bits
+    ordered = rows.select(*columns).distinct().withColumn("key", F.xxhash64(*columns)).repartitionByRange("key").sortWithinPartitions("key", *columns)
+    numbered = stage(ordered.drop("key").withColumn("at", F.monotonically_increasing_id()), label)  # the task's number, then 33 bits
     sizes = {r["part"]: r["n"] for r in numbered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a task
     firsts = rows.sparkSession.createDataFrame(list(zip(sorted(sizes), accumulate((sizes[p] for p in sorted(sizes)), initial=0), strict=False)), "part long, first long")
     place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
