@@ -186,7 +186,7 @@ def neighbour_graph(vertices: DataFrame, threshold: float = THRESHOLD) -> DataFr
     lists, before = stage(_lists(rows.mapInArrow(_first_edges, "src long, dst long, sim double"), threshold), "lists"), -1
     for turn in range(ROUNDS):
         links = lists.agg(F.sum(F.size(F.filter("near", lambda n: n["sim"] >= threshold)))).first()[0] or 0
-        if links <= 1.001 * before:  # the audit sees to the rest
+        if links <= 1.01 * before:  # the audit sees to the rest
             break
         lists, before = refined(vertices, lists, threshold, turn), links
     return lists
