@@ -6,6 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,31 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str
     return dealt.join(salted, [key, "_salt"], how).drop("_salt")
 
 
+def task_number() -> int:
+    """The number of the partition that the running task works on."""
+    return TaskContext.get().partitionId()
+
+
+def tree_sum(parts: DataFrame, kind: str, most: int | None = None, fan: int = 32) -> DataFrame:
+    """One row (part 0, tile, numbers) for each tile: the sums of the arrays of parts (part, tile, numbers as bytes of kind).
+
+    part is the number of the task that made the array. fan tasks are added up in one group at a
+    time, round by round, so no group holds more arrays. With most, sums stay at it.
+    """
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, kind).astype(np.float64 if kind == "float64" else np.int64) for x in table.column("numbers").to_pylist())
+        total = (total if most is None else np.minimum(total, most)).astype(kind)
+        return pa.table({"part": table.column("part")[:1], "tile": table.column("tile")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
+
+    parts = stage(parts, "parts")
+    width = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while width > 1:
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("part", "tile").applyInArrow(added, "part int, tile int, numbers binary")
+        width = -(-width // fan)
+    return parts
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (src, dst); root is the smallest node reachable.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.chat import maximal_conversations
+from lodestone.llm.collocations import FIRST, LEAST, LONGEST, UNDETERMINED, collocations
 from lodestone.llm.decontamination import WINDOW, contaminated
 from lodestone.llm.embedding_dedup import embedding_links
 from lodestone.llm.exact_dedup import exact_dedup
@@ -88,6 +89,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_consensus": op10_html_consensus,
     "op11_decontamination": op11_decontamination,
+    "op12_collocations": op12_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -138,4 +144,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+    "op12_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, '{UNDETERMINED}') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        f AS (
+            SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+            FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (SELECT unnest(generate_series(1, {LONGEST})) AS m) WHERE len(w) >= m)
+            GROUP BY ALL HAVING count(*) >= {LEAST}),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+        inside AS (
+            SELECT DISTINCT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a AS outer_a
+            FROM (SELECT *, unnest(generate_series(1, m - s + 1)) AS i FROM (SELECT *, unnest(generate_series(2, m - 1)) AS s FROM c))),
+        kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = c.lang AND inside.phrase = c.phrase AND 100 * outer_a >= 100 * c.a)),
+        cuts AS (SELECT *, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM kept)),
+        scored AS (
+            SELECT cuts.lang, cuts.phrase, cuts.a, k, h.a AS l, t.a AS r, n, (1000::HUGEINT * cuts.a * n // (h.a::HUGEINT * t.a))::BIGINT AS score
+            FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail JOIN n ON n.lang = cuts.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best
+        QUALIFY rank <= {FIRST}""",
 }
