@@ -19,6 +19,7 @@ from lodestone.llm.pii import KINDS, find_personal_data, span_string
 from lodestone.llm.sentencepiece import round_trip
 from lodestone.llm.simhash import simhash_groups
 from lodestone.llm.token_counts import token_counts
+from lodestone.llm.whitening import whitened
 
 MAX_TOKENS = 2048
 
@@ -93,6 +94,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_consensus": op10_html_consensus,
     "op11_decontamination": op11_decontamination,
     "op12_collocations": op12_collocations,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
