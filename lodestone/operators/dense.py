@@ -1,14 +1,12 @@
 """Exact nearest neighbours for many queries at once, on float and int8 vectors.
 
-Query vectors travel to the data in blocks of a bounded size, one block at a time; each task
-multiplies them with its vectors and keeps k for each query, so only k rows for each query and
-task are shuffled.
+Vectors and queries are dealt into blocks of a bounded size. Each pair of blocks meets in a task,
+which multiplies them and keeps k for each query, so only k rows for each query and block of vectors
+are shuffled again. Nothing passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,12 +15,11 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import rounded
 from lodestone.functions.vectors import dequantized, quantized, unit
 from lodestone.operators.lexical import ranked
-from lodestone.session import scratch, written
 
-#: Query vectors of one pass over the data; more of them take more passes.
-BLOCK = 4096
-#: Query vectors that are multiplied at once.
-SLICE = 512
+#: Numbers in a block of vectors, of queries and in a table of scores.
+VECTOR_NUMBERS, QUERY_NUMBERS, SCORES = 1 << 22, 1 << 20, 1 << 22
+#: Vectors that are worth a task of their own.
+FEWEST = 1024
 
 
 def int8_index(vectors: DataFrame) -> DataFrame:
@@ -34,9 +31,14 @@ def from_int8(index: DataFrame) -> DataFrame:
     return index.withColumn("embedding", dequantized(F.col("embedding")))
 
 
-def _table(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Vectors as rows, and what their products are to be multiplied with: int8 vectors come as whole steps, whose products are exact."""
+    column = column.combine_chunks()
+    scale: np.ndarray | float = 1.0
+    if pa.types.is_struct(column.type):
+        scale, column = column.field("scale").to_numpy().astype(np.float64), column.field("q")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0), scale
 
 
 def _nearest(scores: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,45 +55,53 @@ def _nearest(scores: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[place < k], col[place < k]
 
 
-def _kernel(ids: np.ndarray, asked: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunk, own = batch.column("chunk_idx").to_numpy(), _table(batch.column("embedding"))
-            if len(ids) and own.shape[1] != asked.shape[1]:
-                raise ValueError(f"vectors have {own.shape[1]} dimensions, queries {asked.shape[1]}")
-            for s in range(0, len(ids), SLICE):
-                scores = np.floor(asked[s : s + SLICE] @ own.T * 1e6 + 0.5) / 1e6
-                row, col = _nearest(scores, chunk, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s + row]), pa.array(chunk[col]), pa.array(scores[row, col])], names=["query_id", "chunk_idx", "score"])
+def best_of(ids: np.ndarray, asked: np.ndarray, chunk: np.ndarray, own: np.ndarray, scale: np.ndarray | float, k: int, base: np.ndarray | None = None) -> pa.Table:
+    """query_id, chunk_idx, score of the k best vectors for each query; base: what is added to the scores of a query."""
+    if own.shape[1] != asked.shape[1]:
+        raise ValueError(f"vectors have {own.shape[1]} dimensions, queries {asked.shape[1]}")
+    parts, step = [], max(1, SCORES // len(chunk))
+    for s in range(0, len(ids), step):
+        products = asked[s : s + step] @ own.T * scale + (0.0 if base is None else base[s : s + step, None])
+        scores = np.floor(products * 1e6 + 0.5) / 1e6
+        row, col = _nearest(scores, chunk, k)
+        parts.append((ids[s + row], chunk[col], scores[row, col]))
+    return pa.table(dict(zip(("query_id", "chunk_idx", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
 
-    return run
+NEAREST = "query_id long, chunk_idx long, score double"
+NONE = pa.table({"query_id": pa.array([], pa.int64()), "chunk_idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | None = None, block: int = BLOCK) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | None = None, block: int | None = None) -> DataFrame:
     """query_id, chunk_idx, score, rank by cosine of unit vectors. Ties go to the smaller chunk_idx.
 
-    vectors: chunk_idx, embedding (unit length, as an index stores it); queries: query_id,
-    embedding of any length but zero. allowed is a condition on vectors. Null vectors are left out.
-    Beyond one block of queries, what each block finds is written before the next one is read.
+    vectors: chunk_idx, embedding (unit length, as an index stores it, or int8_index()'s struct);
+    queries: query_id, embedding of any length but zero. allowed is a condition on vectors. Null
+    vectors are left out. block: queries that meet a block of vectors at once.
     """
-    spark, schema = vectors.sparkSession, "query_id long, chunk_idx long, score double"
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), unit(F.col("embedding")).alias("embedding")).filter("embedding is not null")
     own = (vectors if allowed is None else vectors.filter(allowed)).select(F.col("chunk_idx").cast("long").alias("chunk_idx"), "embedding").filter("embedding is not null")
+    shape = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    size = max(1, shape["d"] or 1)
+    n_vectors, rows = own.count(), max(FEWEST, VECTOR_NUMBERS // size)
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    vector_blocks = max(1, -(-n_vectors // rows), min(tasks, n_vectors // FEWEST))
+    query_blocks = max(1, -(-shape["n"] // (block or max(64, QUERY_NUMBERS // size))))
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return NONE
+        table, scale = matrix(left.column("embedding"))
+        return best_of(right.column("query_id").to_numpy(), matrix(right.column("embedding"))[0], left.column("chunk_idx").to_numpy(), table, scale, k)
 
-    def found(some: DataFrame) -> DataFrame:
-        table = some.toArrow()
-        ids = table.column("query_id").to_numpy()
-        return own.mapInArrow(_kernel(ids, _table(table.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, 0)), k), schema)
+    def dealt(table: DataFrame, key: str, own_block: str, blocks: int, other_block: str, others: int) -> DataFrame:
+        placed = table.withColumn(own_block, F.pmod(F.xxhash64(key), F.lit(blocks)))
+        return placed.withColumn(other_block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
 
-    blocks = max(1, -(-asked.count() // block))
-    if blocks == 1:
-        return ranked(found(asked), k, "chunk_idx")
-    asked, path = written(asked, "query-vectors"), scratch(spark, "nearest")
-    for b in range(blocks):
-        found(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).write.mode("append").parquet(path)
-    return ranked(spark.read.schema(schema).parquet(path), k, "chunk_idx")
+    left = dealt(own, "chunk_idx", "vector_block", vector_blocks, "query_block", query_blocks)
+    right = dealt(asked, "query_id", "query_block", query_blocks, "vector_block", vector_blocks)
+    pairs = left.groupBy("vector_block", "query_block").cogroup(right.groupBy("vector_block", "query_block"))
+    return ranked(pairs.applyInArrow(found, NEAREST), k, "chunk_idx")
 
 
 def index_errors(vectors: DataFrame) -> DataFrame:
@@ -99,7 +109,7 @@ def index_errors(vectors: DataFrame) -> DataFrame:
     from lodestone.functions.vectors import norm
 
     size = norm(F.col("embedding"))
-    return vectors.withColumn("norm", rounded(size)).filter(size.isNull() | F.isnan(size) | (size == 0) | (size == float("inf"))).select("chunk_idx", "norm")
+    return vectors.withColumn("norm", F.when(F.isnan(size) | (size == float("inf")), size).otherwise(rounded(size))).filter(size.isNull() | F.isnan(size) | (size == 0) | (size == float("inf"))).select("chunk_idx", "norm")
 
 
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""BM25 for many queries at once, over an index that is written once.
+"""BM25 and cover density for many queries at once, over an index that is written once.
 
-The index holds the postings, dealt and sorted by term, the document frequencies and two numbers.
-Queries read the postings of their own terms only.
+The index holds postings in folders by block of terms, a table of the terms, and two numbers.
+Queries read the folders of their own terms only: the blocks that are asked for, at most as many
+numbers as there are blocks, become a filter on the partition column.
 
 Counts of the corpus (number of chunks, document frequencies, mean length) are always those of
 the whole corpus; a filter decides only which chunks may be returned. A corpus has chunk_idx,
@@ -10,67 +11,111 @@ text and any columns that a filter names; queries have query_id and query.
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lodestone.functions.text import TERM, rounded, term_of, terms
-from lodestone.session import written
+from lodestone.session import scratch
 
 K1, B = 1.2, 0.75
+#: Weight of an occurrence in the rank by cover density.
+COVER_WEIGHT = 0.1
+#: Chunks for which a block of terms is added, between these numbers of blocks; files that a block is dealt over.
+BLOCK_CHUNKS, FEWEST_BLOCKS, MOST_BLOCKS, BLOCK_FILES = 256, 16, 4096, 4
 _TERM = re.compile(TERM)
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings: term, chunk_idx, tf, n_terms and what filters name; frequency: term, df."""
+    """postings: block, term, chunk_idx, tf, n_terms, positions and what filters name; vocabulary: block, term, df, most_tf, least_terms."""
 
     postings: DataFrame
-    frequency: DataFrame
+    vocabulary: DataFrame
     n_chunks: int
     avg_terms: float
+    blocks: int
+
+    @property
+    def frequency(self) -> DataFrame:
+        """term, df of all terms."""
+        return self.vocabulary.select("term", "df")
+
+    def of(self, asked: DataFrame, table: DataFrame | None = None) -> DataFrame:
+        """The postings, or another table by block, of the blocks of asked's terms; other folders aren't read."""
+        blocks = asked.select(block_of(F.col("term"), self.blocks).alias("block")).distinct().collect()
+        return (self.postings if table is None else table).filter(F.col("block").isin([r["block"] for r in blocks]))
+
+
+def block_of(term: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(blocks)).cast("int")
 
 
 def _tallied(names: list[str]):
-    """Rows (names, text) to (names, n_terms, term, tf): each text is counted where it is read."""
+    """Rows (names, text) to (names, n_terms, term, tf, positions): each text is counted where it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            row, length, term, tf = [], [], [], []
+            row, length, term, places = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                counts: dict[str, int] = {}
-                for raw, n in Counter(_TERM.findall((text or "").lower())).items():
+                found: dict[str, list[int]] = {}
+                for at, raw in enumerate(_TERM.findall((text or "").lower()), 1):
                     if (t := term_of(raw)) is not None:
-                        counts[t] = counts.get(t, 0) + n
-                row += [k] * len(counts)
-                length += [sum(counts.values())] * len(counts)
-                term += counts
-                tf += counts.values()
+                        found.setdefault(t, []).append(at)
+                row += [k] * len(found)
+                length += [sum(map(len, found.values()))] * len(found)
+                term += found
+                places += found.values()
+            tf = np.fromiter(map(len, places), np.int64, len(places))
+            flat = np.fromiter((p for own in places for p in own), np.int32, int(tf.sum()))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(flat))
             base = batch.select(names).take(pa.array(row, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(length, pa.int64()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], names=[*names, "n_terms", "term", "tf"])
+            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(length, pa.int64()), pa.array(term, pa.string()), pa.array(tf), lists], names=[*names, "n_terms", "term", "tf", "positions"])
 
     return run
 
 
-def text_index(corpus: DataFrame, *kept: str) -> TextIndex:
-    """The index of corpus (chunk_idx, text, and columns that filters name); each row is a chunk of its own.
+def write_text_index(corpus: DataFrame, path: str, *kept: str) -> None:
+    """The index of corpus (chunk_idx, text, and columns that filters name) below path; each row is a chunk of its own.
 
-    Postings are dealt by ranges of term and chunk_idx, so that a term that a third of all
-    chunks have is no single task.
+    A block of terms is a folder, dealt over a few files by chunk and sorted by term in each.
     """
     rows = corpus.select("chunk_idx", *kept, F.col("text").cast("string").alias("text"))
-    schema = StructType([*rows.drop("text").schema.fields, StructField("n_terms", LongType()), StructField("term", StringType()), StructField("tf", LongType())])
-    counted = written(rows.mapInArrow(_tallied(["chunk_idx", *kept]), schema), "term-counts")
-    postings = written(counted.repartitionByRange("term", "chunk_idx").sortWithinPartitions("term", "chunk_idx"), "postings")
-    frequency = written(postings.groupBy("term").agg(F.count("*").alias("df")), "frequency")
-    n_chunks, total = corpus.count(), postings.agg(F.sum("tf")).first()[0] or 0
-    return TextIndex(postings, frequency, n_chunks, total / n_chunks if n_chunks else 0.0)
+    more = [StructField("n_terms", LongType()), StructField("term", StringType()), StructField("tf", LongType()), StructField("positions", ArrayType(IntegerType()))]
+    n_chunks = corpus.count()
+    blocks = min(MOST_BLOCKS, max(FEWEST_BLOCKS, 1 << (n_chunks // BLOCK_CHUNKS).bit_length()))
+    tallied = rows.mapInArrow(_tallied(["chunk_idx", *kept]), StructType([*rows.drop("text").schema.fields, *more]))
+    dealt = tallied.withColumn("block", block_of(F.col("term"), blocks)).repartition("block", F.pmod(F.xxhash64("chunk_idx"), F.lit(BLOCK_FILES)))
+    dealt.sortWithinPartitions("block", "term", "chunk_idx").write.mode("overwrite").partitionBy("block").parquet(f"{path}/postings")
+    spark = corpus.sparkSession
+    postings = spark.read.schema(dealt.schema).parquet(f"{path}/postings")
+    own = postings.groupBy("block", "term").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("n_terms").alias("least_terms"), F.sum("tf").alias("tf"))
+    own.write.mode("overwrite").partitionBy("block").parquet(f"{path}/vocabulary")
+    total = spark.read.schema(own.schema).parquet(f"{path}/vocabulary").agg(F.sum("tf")).first()[0] or 0
+    meta = spark.createDataFrame([(n_chunks, total / n_chunks if n_chunks else 0.0, blocks, dealt.schema.json())], "n_chunks long, avg_terms double, blocks int, schema string")
+    meta.write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def read_text_index(spark: SparkSession, path: str) -> TextIndex:
+    """The index that write_text_index() wrote."""
+    counts = spark.read.parquet(f"{path}/counts").first()
+    postings = spark.read.schema(StructType.fromJson(json.loads(counts["schema"]))).parquet(f"{path}/postings")
+    vocabulary = spark.read.schema("term string, df long, most_tf long, least_terms long, tf long, block int").parquet(f"{path}/vocabulary")
+    return TextIndex(postings, vocabulary, counts["n_chunks"], counts["avg_terms"], counts["blocks"])
+
+
+def text_index(corpus: DataFrame, *kept: str) -> TextIndex:
+    """The index of corpus in the session's scratch folder."""
+    path = scratch(corpus.sparkSession, "text-index")
+    write_text_index(corpus, path, *kept)
+    return read_text_index(corpus.sparkSession, path)
 
 
 def indexed(corpus: DataFrame | TextIndex, *kept: str) -> TextIndex:
@@ -113,16 +158,29 @@ def ranked(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= k)
 
 
+def _weighted(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """query_id, block, term, idf and bound, the most that the term can add to a score, of the queries' terms that the corpus has."""
+    asked = query_terms(queries)
+    known = asked.join(index.of(asked, index.vocabulary), "term")
+    idf = F.log(1 + (index.n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    told = known.select("query_id", "block", "term", "df", idf.alias("idf"), F.col("most_tf").alias("tf"), F.col("least_terms").alias("n_terms"))
+    return told.select("query_id", "block", "term", "df", "idf", _part(index).alias("bound"))
+
+
+def _part(index: TextIndex) -> Column:
+    """What a term adds to a chunk's score."""
+    length = F.col("n_terms") / F.lit(index.avg_terms or 1.0)
+    return F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * length))
+
+
 def bm25_scores(corpus: DataFrame | TextIndex, queries: DataFrame, allowed: Column | None = None) -> DataFrame:
     """query_id, chunk_idx, score of all chunks with a term of the query; of a corpus an index is made first."""
     kept = () if isinstance(corpus, TextIndex) or allowed is None else [c for c in corpus.columns if c not in ("chunk_idx", "text")]
     index = indexed(corpus, *kept)
-    asked = query_terms(queries).join(index.frequency, "term")
-    idf = F.log(1 + (index.n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.col("n_terms") / F.lit(index.avg_terms or 1.0)
-    part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * length))
-    hits = (index.postings if allowed is None else index.postings.filter(allowed)).join(asked.select("query_id", "term", idf.alias("idf")), "term")
-    return hits.groupBy("query_id", "chunk_idx").agg(rounded(F.sum(part)).alias("score"))
+    asked = _weighted(index, queries).select("query_id", "block", "term", "idf")
+    postings = index.of(query_terms(queries))
+    hits = (postings if allowed is None else postings.filter(allowed)).drop("positions").join(asked, ["block", "term"])
+    return hits.groupBy("query_id", "chunk_idx").agg(rounded(F.sum(_part(index))).alias("score"))
 
 
 def bm25_topk(corpus: DataFrame | TextIndex, queries: DataFrame, k: int = 10, allowed: Column | None = None) -> DataFrame:
@@ -132,12 +190,48 @@ def bm25_topk(corpus: DataFrame | TextIndex, queries: DataFrame, k: int = 10, al
 
 def and_match(corpus: DataFrame | TextIndex, queries: DataFrame) -> DataFrame:
     """query_id, chunk_idx, n_hits of chunks that have every term of the query; n_hits counts their occurrences."""
-    asked = query_terms(queries)
+    asked, index = query_terms(queries), indexed(corpus)
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_asked"))
-    found = indexed(corpus).postings.join(asked, "term").groupBy("query_id", "chunk_idx").agg(F.count("*").alias("n_found"), F.sum("tf").alias("n_hits"))
+    named = asked.withColumn("block", block_of(F.col("term"), index.blocks))
+    hits = index.of(asked).select("block", "term", "chunk_idx", "tf").join(named, ["block", "term"])
+    found = hits.groupBy("query_id", "chunk_idx").agg(F.count("*").alias("n_found"), F.sum("tf").alias("n_hits"))
     return found.join(sizes, "query_id").filter("n_found = n_asked").select("query_id", "chunk_idx", "n_hits")
 
 
+def _cover_density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of rows with the positions of each term: over all smallest spans that have every term, the weight over one more than the words between the terms in it."""
+    for batch in batches:
+        scores = []
+        for lists in batch.column("places").to_pylist():
+            last, begun, score = [-1] * len(lists), -1, 0.0
+            entries = sorted((at, t) for t, own in enumerate(lists) for at in own)
+            for k, (_, t) in enumerate(entries):
+                last[t] = k
+                if (first := min(last)) > begun:  # a span that ends here and holds no shorter one
+                    begun = first
+                    between = entries[k][0] - entries[first][0] - (k - first)
+                    score += COVER_WEIGHT / (1 + between)
+            scores.append(score)
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("chunk_idx"), pa.array(scores, pa.float64())], names=["query_id", "chunk_idx", "score"])
+
+
+def cover_density(corpus: DataFrame | TextIndex, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_idx, score of chunks that have every term of the query.
+
+    The score adds up, over the smallest spans of the chunk with all terms, a weight divided by
+    one more than the number of other words in the span: terms that stand together, and often,
+    count more. Words are all matches of a term in the text, stopwords too. Positions are read for
+    the chunks that match alone, and gathered by chunk, so they are bounded by its text.
+    """
+    index, asked = indexed(corpus), query_terms(queries)
+    matched = and_match(index, queries).select("query_id", "chunk_idx").join(asked, "query_id").withColumn("block", block_of(F.col("term"), index.blocks))
+    placed = index.of(asked).select("block", "term", "chunk_idx", "positions").join(matched, ["block", "term", "chunk_idx"])
+    gathered = placed.groupBy("query_id", "chunk_idx").agg(F.collect_list("positions").alias("places"))
+    kinds = dict(gathered.dtypes)
+    scored = gathered.mapInArrow(_cover_density, f"query_id {kinds['query_id']}, chunk_idx {kinds['chunk_idx']}, score double")
+    return scored.withColumn("score", rounded(F.col("score")))
+
+
 def fulltext_topk(corpus: DataFrame | TextIndex, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, chunk_idx, score, rank of chunks that have every term, by occurrences; ties go to the smaller chunk_idx."""
-    return ranked(and_match(corpus, queries).withColumnRenamed("n_hits", "score"), k, "chunk_idx")
+    """query_id, chunk_idx, score, rank of chunks that have every term, by cover density; ties go to the smaller chunk_idx."""
+    return ranked(cover_density(corpus, queries), k, "chunk_idx")

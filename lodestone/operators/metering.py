@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import rounded
+from lodestone.session import written
 
 # Visitor limit, visitor window in ms and daily limit of each bucket.
 BUCKETS = {
@@ -18,6 +21,8 @@ BUCKETS = {
     "rerank": (10, 3_600_000, 300),
 }
 DAY_MS = 86_400_000
+#: The slices of time that calls are counted by.
+SLICE_MS = 60_000
 # US dollars for a million tokens, in and out.
 PRICES = {"gemini-3.6-flash": (0.3, 2.5), "gemini-embedding-001": (0.15, 0.0)}
 
@@ -81,41 +86,95 @@ def _decided(calls: DataFrame) -> str:
     return ", ".join(f"{c} {kinds[c]}" for c in ("call_id", "bucket", "visitor", "at_ms")) + ", allowed boolean, remaining int"
 
 
-def _with_ceiling(limit: int, window_ms: int, daily: int):
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of a bucket in order (bucket, slice, times) to the start of the day that is open before the slice, and of one that begins in it."""
+    bucket, opened = None, None
+    for batch in batches:
+        before, begun = [], []
+        for own, times in zip(batch.column("bucket").to_pylist(), batch.column("times").to_pylist(), strict=True):
+            if own != bucket:
+                bucket, opened = own, None
+            before.append(opened)
+            at = 0 if opened is None else bisect_right(times, opened + DAY_MS)
+            begun.append(times[at] if at < len(times) else None)
+            opened = opened if begun[-1] is None else begun[-1]
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("slice"), pa.array(before, pa.int64()), pa.array(begun, pa.int64())], names=["bucket", "slice", "before", "begun"])
+
+
+def anchored_days(calls: DataFrame) -> DataFrame:
+    """calls (bucket, at_ms and others) with slice (a minute) and day_ms: the start of the 24 hours that the call belongs to.
+
+    A bucket's day opens at its first call and again at the first call more than a day later. The
+    distinct times of each minute, 60,000 at most, are walked in order, a minute at a time, so what a
+    task reads of a bucket is bounded by the time that passes and not by its calls.
+    """
+    sliced = calls.withColumn("slice", F.floor(F.col("at_ms") / SLICE_MS))
+    times = sliced.groupBy("bucket", "slice").agg(F.sort_array(F.collect_set("at_ms")).alias("times"))
+    kind = dict(times.dtypes)["bucket"]
+    ordered = times.repartition("bucket").sortWithinPartitions("bucket", "slice").select("bucket", "slice", "times")
+    days = ordered.mapInArrow(_walked, f"bucket {kind}, slice long, before long, begun long")
+    return sliced.join(days, ["bucket", "slice"]).withColumn("day_ms", F.when(F.col("at_ms") >= F.col("begun"), F.col("begun")).otherwise(F.col("before"))).drop("before", "begun")
+
+
+def _anchored_below(limit: int, window_ms: int):
+    """As _anchored, where calls that are over a ceiling are refused and change nothing."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, total, opened, visitors, swept = None, 0, 0, {}, 0
+        key, count, opened = None, 0, 0
         for frame in frames:
             allowed, remaining = [], []
-            for own, visitor, at in zip(frame["bucket"], frame["visitor"], frame["at_ms"], strict=True):
-                if own != bucket:
-                    bucket, total, opened, visitors, swept = own, 0, at, {}, at
-                if at - opened > DAY_MS:
-                    total, opened = 0, at
-                if at - swept > window_ms:  # what has ended is forgotten, so what is kept are a window's visitors
-                    visitors, swept = {v: w for v, w in visitors.items() if at - w[1] <= window_ms}, at
-                count, start = visitors.get(visitor, (0, at))
-                if at - start > window_ms:
-                    count, start = 0, at
-                ok = total < daily and count < limit
-                if ok:
-                    visitors[visitor] = (count + 1, start)
-                    total += 1
+            for bucket, visitor, at, over in zip(frame["bucket"], frame["visitor"], frame["at_ms"], frame["over"], strict=True):
+                if (bucket, visitor) != key:
+                    key, count, opened = (bucket, visitor), 0, at
+                if over:
+                    ok = False
+                elif count == 0 or at - opened > window_ms:
+                    count, opened, ok = 1, at, True
+                else:
+                    ok = count < limit
+                    count += ok
                 allowed.append(ok)
-                remaining.append(limit - count - 1 if ok else 0)
-            yield frame.assign(allowed=allowed, remaining=remaining)
+                remaining.append(limit - count if ok else 0)
+            yield frame.drop(columns="over").assign(allowed=allowed, remaining=remaining)
 
     return run
 
 
+def _cuts(decided: DataFrame, daily: int) -> DataFrame:
+    """bucket, day_ms, cut_ms, cut_id: the allowed call that fills each day; running counts by slice find its slice first."""
+    counts = decided.filter("allowed").groupBy("bucket", "day_ms", "slice").agg(F.count("*").alias("n"))
+    running = F.sum("n").over(Window.partitionBy("bucket", "day_ms").orderBy("slice"))
+    full = counts.withColumn("skip", running - F.col("n")).filter((F.col("skip") < daily) & (F.col("skip") + F.col("n") >= daily)).drop("n")
+    inside = Window.partitionBy("bucket", "day_ms", "slice").orderBy("at_ms", "call_id")
+    last = decided.filter("allowed").join(full, ["bucket", "day_ms", "slice"]).withColumn("number", F.col("skip") + F.row_number().over(inside))
+    return last.filter(F.col("number") == daily).select("bucket", "day_ms", F.col("at_ms").alias("cut_ms"), F.col("call_id").alias("cut_id"))
+
+
 def anchored_ceiling(calls: DataFrame, limit: int, window_ms: int, daily: int) -> DataFrame:
     """As anchored_windows, with at most daily allowed calls of a bucket in a window of 24 hours that opens at its
     first call and again at a call that is more than a day later. Calls over the ceiling open no visitor's window.
 
-    Whether a call is allowed depends on all calls of its bucket before it, so the calls of a
-    bucket pass in order through one task, which keeps the visitors of one window.
+    Which call fills a day depends on what visitors were allowed before, and this on the days
+    before. So visitors are decided one by one, the call that fills each day is found by
+    running counts, and both again until the filling calls stay the same: the first day is right after
+    one round, the next after two at most, and a change reaches another day only through
+    visitors whose windows go over its start.
     """
-    ordered = calls.select("call_id", "bucket", "visitor", "at_ms").repartition("bucket").sortWithinPartitions("bucket", "at_ms", "call_id")
-    return ordered.mapInPandas(_with_ceiling(limit, window_ms, daily), _decided(calls))
+    if daily < 1:
+        return anchored_windows(calls, limit, window_ms).withColumns({"allowed": F.lit(False), "remaining": F.lit(0)})
+    kinds = dict(calls.dtypes)
+    placed = written(anchored_days(calls.select("call_id", "bucket", "visitor", "at_ms")), "placed-calls")
+    cuts = calls.sparkSession.createDataFrame([], f"bucket {kinds['bucket']}, day_ms long, cut_ms long, cut_id {kinds['call_id']}")
+    while True:
+        later = (F.col("at_ms") > F.col("cut_ms")) | ((F.col("at_ms") == F.col("cut_ms")) & (F.col("call_id") > F.col("cut_id")))
+        known = placed.join(cuts, ["bucket", "day_ms"], "left").withColumn("over", F.coalesce(later, F.lit(False)))
+        ordered = known.select("call_id", "bucket", "visitor", "at_ms", "slice", "day_ms", "over").repartition("bucket", "visitor").sortWithinPartitions("bucket", "visitor", "at_ms", "call_id")
+        schema = ", ".join(f"{c} {kinds[c]}" for c in ("call_id", "bucket", "visitor", "at_ms")) + ", slice long, day_ms long, allowed boolean, remaining int"
+        decided = written(ordered.mapInPandas(_anchored_below(limit, window_ms), schema), "decided-calls")
+        found = written(_cuts(decided, daily), "cuts")
+        if found.exceptAll(cuts).isEmpty() and cuts.exceptAll(found).isEmpty():
+            return decided.drop("slice", "day_ms")
+        cuts = found
 
 
 def trace_costs(spans: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:

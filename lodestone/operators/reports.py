@@ -50,13 +50,15 @@ def by_id(reports: DataFrame, report_id: str, now: Column) -> DataFrame:
     return loadable(reports, now).filter(F.lit(bool(re.match(ID, report_id))) & (F.col("report_id") == report_id))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], at: str | None = None) -> DataFrame:
     """old with the rows of new: those of a known key replace the given columns, others are added.
 
-    If new has a key more than once, its greatest row (by the columns in order) counts.
+    If new has a key more than once, the row with the greatest at counts, the one written last; without at,
+    rows have no order, and the greatest row (by the columns in order) counts. at itself isn't kept.
     """
     rest = [c for c in old.columns if c != key]
-    last = new.groupBy(key).agg(F.max(F.struct(*columns, *[c for c in rest if c not in columns])).alias("n"))
+    ordered = F.struct(*columns, *[c for c in rest if c not in columns])
+    last = new.groupBy(key).agg((F.max_by(ordered, F.struct(at, ordered)) if at else F.max(ordered)).alias("n"))
     known, fresh = F.col("l.n").isNotNull(), F.col("_old").isNull()
     marked = old.withColumn("_old", F.lit(True)).alias("o").join(last.alias("l"), key, "full_outer")
     return marked.select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.models import ROUTES, hash_embedding, routed
 from lodestone.functions.text import embedding_text, indexed_text, trimmed
 from lodestone.functions.vectors import unit
-from lodestone.operators.dense import dense_topk, from_int8, int8_index
+from lodestone.operators.dense import dense_topk, int8_index
 from lodestone.operators.fusion import best_per_chunk, candidates, fused, reranked
 from lodestone.operators.grounding import verify_quotes
 from lodestone.operators.lexical import TextIndex, bm25_topk, text_index
@@ -74,7 +74,7 @@ def search(
         found = bm25_topk(index, queries, options.k, allowed).withColumns({"dense_rank": F.lit(None).cast("long"), "bm25_rank": F.col("rank")})
     else:
         vectors = corpus.filter("embedding is not null").select("chunk_idx", "framework", "embedding")
-        vectors = from_int8(int8_index(vectors)) if options.quantized else vectors.withColumn("embedding", unit(F.col("embedding")))
+        vectors = int8_index(vectors) if options.quantized else vectors.withColumn("embedding", unit(F.col("embedding")))
         if options.mode == "dense":
             found = dense_topk(vectors, queries, options.k, allowed).withColumns({"dense_rank": F.col("rank"), "bm25_rank": F.lit(None).cast("long")})
         else:

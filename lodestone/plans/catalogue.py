@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructType
 
 from lodestone.functions import text as T
 from lodestone.functions.vectors import quantized
-from lodestone.operators import chunking, dense, evaluation, fusion, grounding, lexical, metering, outcomes, reports, search
+from lodestone.operators import answers, approximate, chunking, dense, evaluation, fusion, grounding, lexical, metering, outcomes, reports, search, tracing
 from lodestone.plans import adapters as A
-from lodestone.session import scratch
-from lodestone.sources import sections
+from lodestone.session import ON_CLEARED, fingerprint, scratch
+from lodestone.sources import embeddings, sections
 from lodestone.streaming import events as event_stream
 from lodestone.streaming import limits as limit_stream
+from lodestone.streaming.cache import by_cache
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,12 +25,13 @@ LIMIT, WINDOW_MS, DAILY, CEILING = 2, 86_400_000, 60, 50
 CONFIGS = {"bm25": 0, "dense": 1, "rrf_equal": 2, "rrf_weighted": 3}
 
 
-_INDEXES: dict[tuple[str, str, str], lexical.TextIndex] = {}
+_INDEXES: dict[tuple, lexical.TextIndex | approximate.VectorIndex] = {}
+ON_CLEARED.append(_INDEXES.clear)
 
 
-def _kept(spark: SparkSession, d: str, name: str, make: Callable[[], lexical.TextIndex]) -> lexical.TextIndex:
-    """An index over the tables in d, made once for each application: the tables don't change."""
-    key = (spark.sparkContext.applicationId, d, name)
+def _kept(spark: SparkSession, d: str, name: str, make: Callable):
+    """An index over the documents in d, made once for each application and state of their files, until scratch is cleared."""
+    key = (spark.sparkContext.applicationId, d, name, *(fingerprint(spark, f"{d}/{t}.parquet") for t in ("documents", "embeddings")))
     if key not in _INDEXES:
         _INDEXES[key] = make()
     return _INDEXES[key]
@@ -107,7 +110,7 @@ def int8_quantize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def int8_topk(spark: SparkSession, d: str) -> DataFrame:
-    return dense.dense_topk(dense.from_int8(dense.int8_index(A.vectors(spark, d))), _asked(spark, d), 10)
+    return dense.dense_topk(dense.int8_index(A.vectors(spark, d)), _asked(spark, d), 10)
 
 
 @query
@@ -115,9 +118,28 @@ def int8_parity(spark: SparkSession, d: str) -> DataFrame:
     return dense.parity(dense_topk(spark, d), int8_topk(spark, d))
 
 
+def _vector_index(spark: SparkSession, d: str) -> approximate.VectorIndex:
+    return _kept(spark, d, "vectors", lambda: approximate.vector_index(A.vectors(spark, d)))
+
+
+@query
+def approximate_topk(spark: SparkSession, d: str) -> DataFrame:
+    return approximate.approximate_topk(_vector_index(spark, d), _asked(spark, d), 10)
+
+
+@query
+def approximate_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate search finds 0.95 of the exact one's ten, with the same scores."""
+    told = dense.parity(dense_topk(spark, d), approximate_topk(spark, d))
+    return told.select("n_queries", (F.col("mean_overlap") >= 0.95).alias("recall_reached"), (F.col("max_score_delta") <= 1e-6).alias("same_scores"))
+
+
 @query
 def index_errors(spark: SparkSession, d: str) -> DataFrame:
-    return dense.index_errors(A.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_idx"), "embedding"))
+    """Every fiftieth vector is made zero, the one after it null, and the next not a number."""
+    kind, v = F.col("vec_id") % 50, F.col("embedding")
+    spoilt = F.when(kind == 7, F.transform(v, lambda x: F.lit(0.0).cast("float"))).when(kind == 9, F.transform(v, lambda x: F.lit("NaN").cast("float"))).when(kind != 8, v)
+    return dense.index_errors(A.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_idx"), spoilt.alias("embedding"))).select("chunk_idx", F.nanvl("norm", F.lit(-1.0)).alias("norm"))
 
 
 def _arms(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +182,7 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Weights of the dense and the lexical arm in each configuration.
-ARM_WEIGHTS = {"bm25": (0.0, 1.0), "dense": (1.0, 0.0), "rrf_equal": (1.0, 1.0), "rrf_weighted": (0.3, 1.0)}
+ARM_WEIGHTS = {"bm25": (0.0, 1.0), "dense": (1.0, 0.0), "rrf_equal": (1.0, 1.0), "rrf_weighted": (1.0, 0.3)}
 
 
 def _rankings(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +222,9 @@ def eval_best_config(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gold_missing_citations(spark: SparkSession, d: str) -> DataFrame:
-    gold = A.queries(spark, d).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"), F.lit(":"), F.col("query_id").cast("string")).alias("citation"))
-    return evaluation.missing_gold(gold, A.corpus(spark, d)).select("query_id", "citation")
+    """Every fourth citation has a mark that no chunk has."""
+    name = F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"), F.lit(":"), F.col("query_id").cast("string"), F.when(F.col("query_id") % 4 == 1, "x").otherwise(""))
+    return evaluation.missing_gold(A.queries(spark, d).select("query_id", name.alias("citation")), A.corpus(spark, d)).select("query_id", "citation")
 
 
 @query
@@ -313,9 +336,10 @@ def purge_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def report_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Every second report is written twice, the second time with the smaller total, which counts."""
     old = A.reports(spark, d).filter("cast(report_id as bigint) % 3 <> 0").select("report_id", "document_hash", "total")
-    new = A.reports(spark, d).filter("cast(report_id as bigint) % 2 = 0").select("report_id", F.lit("new").alias("document_hash"), (F.col("total") * 2).alias("total"))
-    return reports.upsert(old, new, "report_id", ["total"])
+    new = A.reports(spark, d).filter("cast(report_id as bigint) % 2 = 0").select("report_id", F.lit("new").alias("document_hash"), F.inline(F.array(*[F.struct(F.lit(at).alias("at"), (F.col("total") * (4 - at)).alias("total")) for at in (1, 2)])))
+    return reports.upsert(old, new, "report_id", ["total"], "at")
 
 
 @query
@@ -401,6 +425,103 @@ def ndjson_events_stream(spark: SparkSession, d: str) -> DataFrame:
     return event_stream.parsed_events(spark.read.text(f"{base}/out")).groupBy("type").agg(F.count("*").alias("n_events"), F.sum("score").alias("sum_ids"))
 
 
+@query
+def assessment_events(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream, some triggers one after another; a document's language is what it is assessed for, every seventh for nothing."""
+    base = scratch(spark, "stream")
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "lang", "n_chars", "doc_id")
+    rows.repartition(3, "doc_id").write.parquet(f"{base}/in")
+    read = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+    def assess(documents: DataFrame) -> DataFrame:
+        found = documents.filter("doc_id % 7 > 0").select("document_id", F.explode(F.array("lang", F.lit("all"))).alias("framework"), (F.col("n_chars") % 100).alias("score"))
+        return found.filter("framework = 'all' or score > 20")
+
+    event_stream.assessed_stream(read, assess, f"{base}/out", f"{base}/state", once=True).awaitTermination()
+    return event_stream.parsed_events(spark.read.text(f"{base}/out/*")).select("document_id", "seq", "type", "framework", "score")
+
+
+@query
+def cache_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as a stream: what a report answers is not charged, the others go to the visitor's limit; a visitor is a nation."""
+    base = scratch(spark, "stream")
+    document = F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" "))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey"))
+    A.table(spark, d, "customer").select(F.col("c_custkey").alias("call_id"), document.alias("document"), F.lit("assess").alias("bucket"), F.col("c_nationkey").cast("string").alias("visitor"), at.alias("at")).write.parquet(f"{base}/in")
+    requests = spark.readStream.schema("call_id long, document string, bucket string, visitor string, at timestamp").parquet(f"{base}/in")
+    hits, misses = by_cache(requests, A.reports(spark, d), "1", A.latest(spark, d))
+    charged = limit_stream.anchored_limit(misses, LIMIT, WINDOW_MS)
+    for name, rows in (("hits", hits.select("call_id", "report_id")), ("misses", charged.select("call_id", "allowed"))):
+        rows.writeStream.format("parquet").option("path", f"{base}/{name}").option("checkpointLocation", f"{base}/state-{name}").trigger(availableNow=True).start().awaitTermination()
+    none = F.lit(None)
+    found = spark.read.schema("call_id long, report_id string").parquet(f"{base}/hits").withColumn("allowed", none.cast("boolean"))
+    left = spark.read.schema("call_id long, allowed boolean").parquet(f"{base}/misses")
+    return found.unionByName(left.withColumn("report_id", none.cast("string")))
+
+
+@query
+def embedding_store(spark: SparkSession, d: str) -> DataFrame:
+    """n_asked, n_computed, n_stored of four runs over one store: two thirds of the documents, all, all again, another model.
+
+    A text's embedding is here its number of characters and whether it is long, since what counts is how often it is asked for.
+    """
+    path, out = f"{scratch(spark, 'embedding-store')}/store", []
+    texts = A.table(spark, d, "documents").select("doc_id", "text")
+
+    def embed(missing: DataFrame) -> DataFrame:
+        computed.append(missing.count())
+        return missing.select("key", F.array(F.char_length("text"), (F.char_length("text") > 999).cast("int")).alias("embedding"))
+
+    for run, (some, model) in enumerate(((texts.filter("doc_id % 3 > 0"), "one"), (texts, "one"), (texts, "one"), (texts.filter("doc_id % 3 = 0"), "two"))):
+        computed: list[int] = []
+        asked = embeddings.embedded(some, path, model, 2, embed).filter(F.col("embedding")[0] == F.char_length("text")).count()
+        out.append((run, asked, sum(computed), embeddings.stored(spark, path).count()))
+    return spark.createDataFrame(out, "run int, n_asked long, n_computed long, n_stored long")
+
+
+#: Findings as a model has to write them.
+FINDINGS = StructType([
+    answers.field("summary", StringType(), least_chars=3), answers.field("confidence", DoubleType(), least=0, most=1), answers.field("complete", BooleanType(), optional=True),
+    answers.field("findings", ArrayType(StructType([
+        answers.field("requirement", StringType(), least_chars=8, description="what is asked for"), answers.field("status", StringType(), one_of=outcomes.STATUSES),
+        answers.field("line", LongType(), least=1), answers.field("note", StringType(), optional=True, most_chars=35),
+    ])), most_items=6),
+])
+
+
+def _model_replies(spark: SparkSession, d: str) -> DataFrame:
+    """call_id, attempt, reply: orders as answers. A seventh of them have no JSON at first, some fields break rules, and the second reply has the confidence right."""
+    lines, n = A.table(spark, d, "lineitem"), F.col("l_partkey")
+    status = F.element_at(F.array(*map(F.lit, (*outcomes.STATUSES, "wrong"))), (n % 5 + 1).cast("int"))
+    finding = F.struct(F.concat(F.lit("keep "), n.cast("string")).alias("requirement"), F.when(n % 11 > 0, F.when(n % 3 == 0, F.lit("met")).otherwise(status)).alias("status"), F.col("l_linenumber").alias("line"), F.repeat(F.lit("word "), (n % 9).cast("int")).alias("note"))
+    by = lines.groupBy(F.col("l_orderkey").alias("call_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", finding.alias("f")))), lambda x: x["f"]).alias("findings"))
+    rows = by.select("call_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), "findings")
+    confidence = F.when((F.col("call_id") % 4 == 0) & (F.col("attempt") == 1), 1.5).otherwise(0.5)
+    said = F.to_json(F.struct(F.concat(F.lit("order "), F.col("call_id").cast("string")).alias("summary"), confidence.alias("confidence"), (F.col("call_id") % 2 == 0).alias("complete"), "findings"))
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), said, F.lit("\n```"))
+    broken = (F.col("call_id") % 7 == 0) & (F.col("attempt") == 1)
+    return rows.select("call_id", "attempt", F.when(broken, F.lit("I can't say.")).when(F.col("call_id") % 3 == 0, fenced).otherwise(said).alias("reply"))
+
+
+@query
+def checked_answers(spark: SparkSession, d: str) -> DataFrame:
+    calls = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("call_id")).distinct().withColumn("prompt", F.lit("List the findings."))
+    replies = _model_replies(spark, d)
+    found = answers.answered(calls, FINDINGS, lambda made: made.join(replies, ["call_id", "attempt"]))
+    return found.select("call_id", "attempts", "valid", F.array_join("issues", ";").alias("issues"), F.size("value.findings").alias("n_findings"))
+
+
+@query
+def recorded_trace(spark: SparkSession, d: str) -> DataFrame:
+    """What a run of three queries cost, by the rows and tokens that were observed while they ran."""
+    trace, docs = tracing.Trace(spark, "run"), A.table(spark, d, "documents")
+    trace.record("read", "retrieve", lambda: docs.select("doc_id"))
+    trace.record("write", "generate", lambda: docs.select("doc_id", T.usage_estimate(F.col("text")).alias("input_tokens"), F.lit(3).alias("output_tokens")), model="gemini-3.6-flash")
+    trace.record("embed", "embed", lambda: docs.select("doc_id").filter("doc_id % 2 = 0"), model="gemini-embedding-001")
+    rows = trace.spans().groupBy("run_id").agg(F.sum("n_rows").alias("n_rows"), F.count("error").alias("n_failed"))
+    return metering.trace_costs(trace.spans()).join(rows, "run_id")
+
+
 @query
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """The anchored limit over the calls as a stream; equal to the batch form."""
@@ -453,6 +574,13 @@ def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
     return lexical.fulltext_topk(_index(spark, d), A.queries(spark, d), 3)
 
 
+@query
+def fulltext_short(spark: SparkSession, d: str) -> DataFrame:
+    """The first three words of each query, as a user would type them."""
+    asked = A.queries(spark, d).withColumn("query", F.substring_index("query", " ", 3))
+    return lexical.fulltext_topk(_index(spark, d), asked, 10)
+
+
 @query
 def fusion_weight_on_dev(spark: SparkSession, d: str) -> DataFrame:
     found = fusion.sweep(*_arms(spark, d)).withColumn("config", F.col("lexical_weight").cast("string"))
@@ -580,6 +708,25 @@ def rate_limit_ceiling(spark: SparkSession, d: str) -> DataFrame:
     return metering.anchored_ceiling(A.calls(spark, d), LIMIT, WINDOW_MS, CEILING).select("call_id", "allowed", F.col("remaining").cast("long"))
 
 
+@query
+def rate_limit_ceiling_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The ceiling over the calls as a stream, some triggers one after another; equal to the batch form."""
+    base = scratch(spark, "stream")
+    calls = A.table(spark, d, "events").select(
+        F.col("event_id").alias("call_id"), F.col("event_type").alias("bucket"), F.col("user_id").cast("string").alias("visitor"), F.col("ts").cast("timestamp").alias("at")
+    )
+    weeks = calls.withColumn("week", F.date_trunc("week", "at")).select("week").distinct().orderBy("week").collect()
+    for k, row in enumerate(weeks):  # a folder a week, which a trigger reads whole
+        calls.filter(F.date_trunc("week", "at") == row["week"]).coalesce(1).write.parquet(f"{base}/in/{k:03d}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    read = spark.readStream.schema("call_id long, bucket string, visitor string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    limited = limit_stream.ceiling_limit(read, LIMIT, WINDOW_MS, CEILING, "7 days")
+    running = limited.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.parquet(f"{base}/out").select("call_id", "allowed")
+
+
 @query
 def cache_lookup_exempt(spark: SparkSession, d: str) -> DataFrame:
     """Requests by customers' numbers; the sample document, that of customer 1, is never answered from the cache."""

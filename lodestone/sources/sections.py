@@ -8,9 +8,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lodestone.functions.text import stripped
+from lodestone.functions.text import indexed_text, stripped
 from lodestone.functions.vectors import norm
+from lodestone.operators.dense import int8_index
+from lodestone.operators.lexical import TextIndex, read_text_index, write_text_index
 
 SECTION = "framework string, citation string, heading string, source string, source_url string, text string"
 
@@ -25,22 +28,35 @@ def write_sections(sections: DataFrame, path: str) -> None:
     sections.write.mode("overwrite").partitionBy("framework").json(path)
 
 
-def write_index(chunks: DataFrame, vectors: DataFrame, meta: DataFrame, path: str) -> None:
-    """chunks, vectors and meta as Parquet below path."""
-    for name, table in (("chunks", chunks), ("vectors", vectors), ("meta", meta)):
+def write_index(chunks: DataFrame, vectors: DataFrame, meta: DataFrame, path: str, quantised: bool = False, searched: bool = False) -> None:
+    """chunks, vectors and meta as Parquet below path.
+
+    quantised: the vectors as int8 steps with their scale. searched: with the postings of
+    chunks (chunk_idx, framework, citation, heading, text), so that a search reads them and builds nothing.
+    """
+    for name, table in (("chunks", chunks), ("vectors", int8_index(vectors) if quantised else vectors), ("meta", meta)):
         table.write.mode("overwrite").parquet(f"{path}/{name}")
+    if searched:
+        text = indexed_text(F.col("citation"), F.col("heading"), F.col("text"))
+        write_text_index(chunks.withColumn("text", text), f"{path}/text", "framework")
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of an index. A vector of another size than meta says, or of no length, fails the query."""
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "meta")}
     size = tables["vectors"].crossJoin(F.broadcast(tables["meta"].select("dimensions")))  # meta is one row
-    good = (F.size("embedding") == F.col("dimensions")) & (norm(F.col("embedding")) > 0)
+    numbers = F.col("embedding.q") if isinstance(tables["vectors"].schema["embedding"].dataType, StructType) else F.col("embedding")
+    good = (F.size(numbers) == F.col("dimensions")) & (norm(numbers) > 0)
     fault = F.assert_true(good, F.lit("a vector of the index has the wrong size or no length")).isNull()
     tables["vectors"] = size.filter(fault).drop("dimensions")
     return tables
 
 
+def read_postings(spark: SparkSession, path: str) -> TextIndex:
+    """The postings of an index that was written with searched."""
+    return read_text_index(spark, f"{path}/text")
+
+
 class _Outline(HTMLParser):
     """Markup as a flat list of starts (tag, attributes), ends (tag, None) and texts; names in lower case, references decoded."""
 
@@ -161,14 +177,10 @@ def article_sections(files: DataFrame, prefix: str, least: int = 120) -> DataFra
 
 
 def page_sections(pages: DataFrame, least: int = 80) -> DataFrame:
-    """page_id, para, text of the paragraphs of pages (page_id, html) with enough text, scripts and styles dropped."""
+    """page_id, para, text of the paragraphs of pages (page_id, html) with enough text, scripts and styles dropped.
+
+    A paragraph may have attributes; it ends at its end tag or where the next one begins.
+    """
     html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<(script|style)\b[^>]*>.*?</(script|style)>", " ")
-    listed = pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))).alias("para", "raw"))
+    listed = pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|(?=<p[\s>])|$)"), F.lit(1))).alias("para", "raw"))
     return listed.select("page_id", "para", stripped(F.col("raw")).alias("text")).filter(F.char_length("text") >= least)
-
-
-def with_cached(texts: DataFrame, cache: DataFrame, model: str, dimensions: int) -> tuple[DataFrame, DataFrame]:
-    """texts split by an embedding cache (key, embedding): those with their vector, and the misses."""
-    key = F.sha2(F.concat_ws("\n", F.lit(model), F.lit(str(dimensions)), "text"), 256)
-    keyed = texts.withColumn("key", key)
-    return keyed.join(cache, "key"), keyed.join(cache.select("key"), "key", "left_anti")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 DAY_MS = 86_400_000
 
@@ -50,7 +51,66 @@ def anchored_limit(calls: DataFrame, limit: int, window_ms: int, late: str = "1
     )
 
 
-def daily_ceiling(calls: DataFrame, daily: int) -> DataFrame:
-    """bucket, day, n_calls, full: whether a bucket has reached its ceiling over all visitors."""
-    counted = calls.withWatermark("at", "1 day").groupBy("bucket", F.window("at", "1 day").alias("day")).agg(F.count("*").alias("n_calls"))
-    return counted.withColumn("full", F.col("n_calls") >= daily)
+def _ceiling(limit: int, window_ms: int, daily: int) -> StatefulProcessor:
+    """A class of its own for each call: the process that reads the state schema has no package to find it in."""
+
+    class Ceiling(StatefulProcessor):
+        """Calls of a bucket: the count of its day, and count and start of the window of each visitor."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.day = handle.getValueState("day", "total long, opened long")
+            self.visitors = handle.getMapState("visitors", "visitor string", "count long, opened long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            calls = pd.concat(list(rows)).sort_values(["at_ms", "call_id"])  # a bucket's calls of one trigger
+            total, opened = self.day.get() if self.day.exists() else (0, int(calls["at_ms"].iloc[0]))
+            met: dict[str, tuple[int, int]] = {}
+            allowed = []
+            for visitor, at in zip(calls["visitor"], calls["at_ms"].tolist(), strict=True):
+                if at - opened > DAY_MS:
+                    total, opened = 0, at
+                if visitor not in met:
+                    met[visitor] = tuple(self.visitors.getValue((visitor,))) if self.visitors.containsKey((visitor,)) else (0, at)
+                count, start = met[visitor]
+                if total >= daily:
+                    ok = False
+                elif count == 0 or at - start > window_ms:
+                    met[visitor], ok = (1, at), True
+                else:
+                    ok = count < limit
+                    met[visitor] = (count + ok, start)
+                total += ok
+                allowed.append(ok)
+            for visitor, (count, start) in met.items():
+                if count:
+                    self.visitors.updateValue((visitor,), (count, start))
+            self.day.update((total, opened))
+            self.handle.registerTimer(int(calls["at_ms"].iloc[-1]) + window_ms + 1)
+            yield calls.assign(bucket=key[0], allowed=allowed)[["call_id", "bucket", "visitor", "at_ms", "allowed"]]
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            """Visitors whose window is over are forgotten: any later call opens a new one."""
+            now = timerValues.getCurrentWatermarkInMs()
+            for visitor in [v for v, (_, start) in self.visitors.iterator() if now - start > window_ms]:
+                self.visitors.removeKey(visitor)
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    return Ceiling()
+
+
+def ceiling_limit(calls: DataFrame, limit: int, window_ms: int, daily: int, late: str = "1 hour") -> DataFrame:
+    """call_id, bucket, visitor, at_ms, allowed: the anchored limit with a ceiling over all visitors, as anchored_ceiling() has it.
+
+    calls: call_id long, bucket, visitor string, at timestamp, in order of time from trigger to
+    trigger. Any call may fill the day of its bucket, so a bucket is one key; its visitors are
+    entries of a map in the state store, which only those who call are read from, and a timer drops
+    those whose window is over. Needs the RocksDB state store.
+    """
+    timed = calls.withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    return timed.groupBy("bucket").transformWithStateInPandas(
+        _ceiling(limit, window_ms, daily), "call_id long, bucket string, visitor string, at_ms long, allowed boolean", "Append", "EventTime"
+    )
