@@ -7,11 +7,17 @@ page where the path holds less than half of the text that counts in the page's o
 container, such as a page of another template, falls back on that container.
 
 What is left out: elements that never hold an article (navigation, footers, asides, scripts and
-so on), and elements whose class, id or role says that they are something else. A name counts
-only as a whole: "sidebar" and "left-sidebar" do, "no-sidebar" and "side-by-side" don't. Where
-such an element holds nearly all of the page's text, or more than the rest and an article, a
-main element or a first heading, its name is wrong and it stays. Beside a chosen container that
-is no article or main element, its siblings of running text and a first heading before it stay.
+so on), and elements whose class, id or role says that they are something else. A name that is
+made of such words alone ("sidebar", "left-sidebar") is enough. Where such an element holds
+nearly all of the page's text, or more than the rest and an article, a main element or a first
+heading, its name is wrong and it stays. A name that only ends or begins so ("post-comments",
+"disqus_thread", "article-ad", "has-sidebar") is a suspicion that the block itself decides: it
+stays if it holds a first heading, an article or a main element, or most of the page's text with
+nothing before it, and menus and share bars go only if they are links or a few words.
+
+A chosen container that is no article or main element grows to the element around it as long as
+what else stands there reads on as the article: paragraphs, headings, lists and blocks of them
+with few links. Where something else stands there, only what reads so is added.
 
 Pages are read in one pass and every later step is linear in the page, whatever it holds.
 """
@@ -45,6 +51,18 @@ _INLINE = frozenset(
 _DROP = frozenset(
     "nav footer aside script style noscript template svg iframe button select option textarea input dialog menu object canvas audio video head title noembed noframes xmp annotation annotation-xml".split()
 )
+#: Last words of a name that make it suspicious, and first ones.
+_LAST = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo banner breadcrumb breadcrumbs pagination pager toc sidebar widget widgets
+    footer comment comments commentlist disqus replies responses reactions discussion discussions cookie cookies consent notice notices newsletter subscribe signup
+    related recommended recommendations feedback bio nav navigation navbar menu submenu share sharing social""".split()
+)
+_FIRST = frozenset("disqus comment comments commentlist breadcrumb breadcrumbs adsbygoogle advert advertisement newsletter cookie cookies sidebar".split())
+#: Those of them that may be read as something else: they go only if they are links or a few words.
+_BARS = frozenset("nav navigation navbar menu submenu share sharing social pagination pager toc breadcrumb breadcrumbs".split())
+_TALK = frozenset("comment comments commentlist disqus replies responses reactions discussion discussions".split())
+#: What reads on as an article beside a container.
+_PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 #: Words in a class or id that mark what isn't the article.
 _MARKS = frozenset(
@@ -52,7 +70,7 @@ _MARKS = frozenset(
     nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc sidebar side aside rail widget widgets
     footer foot masthead topbar comment comments commentlist disqus respond reply replies reactions cookie cookies consent
     gdpr notice notices notification notifications alert modal popup overlay newsletter subscribe subscription signup login share sharing social
-    related recommended recommendations search form feedback skip hidden""".split()
+    related recommended recommendations search form feedback skip hidden responses discussion discussions bio""".split()
 )
 #: What else can stand in such a name: share-buttons and left-sidebar go, share-price and comments-open stay.
 _PARTS = frozenset(
@@ -91,14 +109,16 @@ def host_of(url: str | None) -> str:
 
 class _Node:
     """An element. drop: whether it stays, goes by its name, or never holds an article; step and digest:
-    its own part of a path and the whole path; para, bound: the nearest open p, and what an item may close."""
+    its own part of a path and the whole path; doubt: the word that makes its name suspicious; prose: whether a
+    paragraph or a lower heading is in it; para, bound: the nearest open p, and what an item may close."""
 
-    __slots__ = ("bound", "box", "children", "digest", "drop", "links", "para", "parent", "score", "step", "tag", "text")
+    __slots__ = ("bound", "box", "children", "digest", "doubt", "drop", "links", "para", "parent", "prose", "score", "step", "tag", "text")
 
     def __init__(self, tag: str, parent: _Node | None, drop: int, step: str):
         self.tag, self.parent, self.drop, self.step = tag, parent, drop, step
         self.children: list[_Node | str] = []
-        self.score, self.text, self.links = 0.0, 0, 0
+        self.score, self.text, self.links, self.prose = 0.0, 0, 0, False
+        self.doubt: str | None = None
         self.para = self if tag == "p" else parent.para if parent and tag in _INLINE else None
         self.bound = self if tag in _BOUNDS else parent.bound if parent else None
         self.box = parent if parent is None or parent.tag in _CONTAINERS else parent.box
@@ -119,6 +139,15 @@ def _named(names: list[str], inside: bool) -> bool:
     return False
 
 
+def _doubted(names: list[str]) -> str | None:
+    """The word for which a class or id is suspicious, if one is."""
+    for name in names:
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and (words[-1] in _LAST or words[0] in _FIRST):
+            return words[-1] if words[-1] in _LAST else words[0]
+    return None
+
+
 def _drop(tag: str, attributes: dict[str, str], names: list[str], inside: bool) -> int:
     if tag in _DROP or tag == "header" and not inside:
         return _NEVER
@@ -176,7 +205,10 @@ def parse(page: str) -> _Node:
             step = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in classes} - {""})])
             if step == tag and attributes.get("id"):
                 step += "#" + re.sub(r"\d+", "", attributes["id"])
-        child = _Node(tag, node, _drop(tag, attributes, [*classes, *attributes.get("id", "").split()], inside), step)
+        names = [*classes, *attributes.get("id", "").split()]
+        child = _Node(tag, node, _drop(tag, attributes, names, inside), step)
+        if child.drop == _KEPT and names and tag not in ("html", "body", "main"):
+            child.doubt = _doubted(names)
         node.children.append(child)
         if tag in _RAW:
             closing = _CLOSE[tag].search(page, at)
@@ -208,7 +240,7 @@ def _measure(root: _Node) -> None:
 
     def add() -> None:
         for node in nodes:
-            node.text, node.links, node.score = 0, 0, 0.0
+            node.text, node.links, node.score, node.prose = 0, 0, 0.0, False
         for node in reversed(nodes):
             size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
             node.text += size
@@ -220,18 +252,29 @@ def _measure(root: _Node) -> None:
             if up is not None and node.drop == _KEPT:
                 up.text += node.text
                 up.links += node.links
+                up.prose = up.prose or node.prose or node.tag in ("p", "h2", "h3", "h4", "h5", "h6") and node.text > 0
                 up.score += node.score * (1.0 if node.tag not in _CONTAINERS else 0.85 if node.tag == "section" else 0.6)
 
     add()
     named = [n for n in nodes if n.drop == _NAMED]
-    if named:
+    doubted = [n for n in nodes if n.doubt]
+    if named or doubted:
         heads = set()  # elements around an article, a main element or a first heading
         for node in nodes:
-            if node.tag in ("article", "main", "h1") and node.drop == _KEPT:
+            if node.tag in ("article", "main", "h1") and node.drop == _KEPT and not node.doubt:
                 up = node.parent
                 while up is not None and up not in heads:
                     heads.add(up)
                     up = up.parent
+    if doubted:
+        before = _text_before(root)
+        for node in doubted:
+            bar = node.doubt in _BARS and node.links < node.text and node.text >= PROSE
+            small = 2 * node.text <= root.text or before.get(node, 0) >= LEAST or node.doubt in _TALK and _repeats(node)
+            if node not in heads and not bar and small:
+                node.drop = _NAMED
+        add()
+    if named:
         best = max(named, key=lambda n: n.text)
         if best.text >= LEAST and best.text > (1 if best in heads else 4) * root.text:
             while best is not None:
@@ -240,6 +283,30 @@ def _measure(root: _Node) -> None:
             add()
 
 
+def _text_before(root: _Node) -> dict[_Node, int]:
+    """Characters outside links that stand before each suspicious element, those in suspicious ones not counted."""
+    out, seen, stack = {}, 0, [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        if isinstance(node, str):
+            seen += 0 if linked else len(node.strip())
+            continue
+        if node.doubt:
+            out[node] = seen
+            stack.extend((n, True) for n in reversed(node.children) if isinstance(n, str) or n.drop == _KEPT)
+        else:
+            stack.extend((n, linked or node.tag == "a") for n in reversed(node.children) if isinstance(n, str) or n.drop == _KEPT)
+    return out
+
+
+def _repeats(node: _Node) -> bool:
+    """Whether an element is a list of items of one kind, or holds a form."""
+    while len(inner := [n for n in node.children if not isinstance(n, str) and n.tag in ("ol", "ul", "div", "section")]) == 1:
+        node = inner[0]
+    items = [(n.tag, n.step) for n in node.children if not isinstance(n, str) and n.tag in ("li", "div", "article", "section", "form")]
+    return len(items) > len(set(items)) or any(tag == "form" for tag, _ in items)
+
+
 def text_of(nodes: list[_Node]) -> str:
     """The texts of nodes in page order, blocks joined by one space."""
     out: list[str] = []
@@ -328,21 +395,42 @@ def _outermost(nodes: list[_Node]) -> list[_Node]:
     return list(out)
 
 
+def _reads_on(node: _Node, beside: _Node) -> bool:
+    """Whether an element reads on as the article that stands beside it."""
+    if 3 * node.links > node.text or not node.text:
+        return False
+    if node.tag in _PROSE_TAGS or node.tag in _INLINE:
+        return True
+    alike = node.tag == beside.tag and node.step == beside.step
+    return node.tag in _CONTAINERS and node.prose and (alike or not node.links) or node.text >= PROSE
+
+
+def _grown(node: _Node) -> _Node:
+    """The widest element around a container where everything reads on as the article."""
+    while node.parent is not None and node.tag not in ("article", "main") and node.parent.tag not in ("", "html", "body", "main", "article"):
+        others = [n for n in node.parent.children if not isinstance(n, str) and n is not node and n.drop == _KEPT and n.text + n.links]
+        if not all(_reads_on(n, node) for n in others):
+            break
+        node = node.parent
+    return node
+
+
 def _with_siblings(nodes: list[_Node]) -> list[_Node]:
-    """nodes and, beside each that is no article or main element, running text and a first heading before it."""
-    wanted, out, done = set(nodes), [], set()
-    for node in nodes:
+    """nodes as wide as they read on and, beside each that is no article or main element, what reads on; in the body itself, running text and a first heading before it."""
+    grown = _outermost(list(dict.fromkeys(map(_grown, nodes))))
+    wanted, out, done = set(grown), [], set()
+    for node in grown:
         if node.tag in ("article", "main") or node.parent is None:
             out.append(node)
         elif node.parent not in done:
             done.add(node.parent)
-            before = True
+            before, bare = True, node.parent.tag in ("", "html", "body")
             for n in node.parent.children:
                 if isinstance(n, str) or n.drop != _KEPT:
                     continue
                 before = before and n not in wanted
                 prose = n.text >= PROSE and n.text > 3 * n.links and n.tag not in ("ul", "ol", "table")
-                if n in wanted or prose or n.tag == "h1" and before:
+                if n in wanted or prose or n.tag == "h1" and before or not bare and _reads_on(n, node):
                     out.append(n)
     return list(dict.fromkeys(out))
 
