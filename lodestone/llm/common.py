@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -77,26 +78,40 @@ def task_number() -> int:
     return TaskContext.get().partitionId()
 
 
-def tree_sum(parts: DataFrame, kind: str, most: int | None = None, fan: int = 32) -> DataFrame:
-    """One row (part 0, tile, numbers) for each tile: the sums of the arrays of parts (part, tile, numbers as bytes of kind).
+def combined(parts: DataFrame, combine: Callable[[list[bytes]], bytes], fan: int = 32) -> DataFrame:
+    """One row (part 0, tile, numbers) for each tile of parts (part, tile, numbers), whose numbers are combined in a tree.
 
-    part is the number of the task that made the array. fan tasks are added up in one group at a
-    time, round by round, so no group holds more arrays. With most, sums stay at it.
+    part is the number of the task that made the numbers. Those of fan tasks meet in one group at
+    a time, round by round, so no group holds more of them.
     """
 
-    def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, kind).astype(np.float64 if kind == "float64" else np.int64) for x in table.column("numbers").to_pylist())
-        total = (total if most is None else np.minimum(total, most)).astype(kind)
-        return pa.table({"part": table.column("part")[:1], "tile": table.column("tile")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
+    def together(table: pa.Table) -> pa.Table:
+        numbers = combine(table.column("numbers").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "tile": table.column("tile")[:1], "numbers": pa.array([numbers], pa.binary())})
 
     parts = stage(parts, "parts")
     width = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while width > 1:
-        parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("part", "tile").applyInArrow(added, "part int, tile int, numbers binary")
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("part", "tile").applyInArrow(together, "part int, tile int, numbers binary")
         width = -(-width // fan)
     return parts
 
 
+def tree_sum(parts: DataFrame, kind: str, most: int | None = None, fan: int = 32) -> DataFrame:
+    """combined() where numbers are arrays of kind that are added up; with most, sums stay at it."""
+
+    def added(arrays: list[bytes]) -> bytes:
+        total = sum(np.frombuffer(x, kind).astype(np.float64 if kind == "float64" else np.int64) for x in arrays)
+        return (total if most is None else np.minimum(total, most)).astype(kind).tobytes()
+
+    return combined(parts, added, fan)
+
+
+def tree_union(parts: DataFrame, fan: int = 32) -> DataFrame:
+    """combined() where numbers are sets of 64-bit integers that are united."""
+    return combined(parts, lambda sets: np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in sets])).tobytes(), fan)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (src, dst); root is the smallest node reachable.
 
