@@ -4,19 +4,19 @@ Equal vectors are one vertex with a number. A graph gives each vertex its neares
 the same label. It starts from vectors that lie next to each other on several random orders (signs
 of random projections) and is refined by joining the neighbours of each vertex with one another,
 until a round adds hardly any link. A list all of whose entries are links is saturated and is
-enlarged; one that is still saturated then is enlarged to all links of its vertex, by comparing the vertex
-with its whole label. Edges at or over the threshold are links.
+enlarged. Edges at or over the threshold are links, and what they connect is closed: the vertices
+of each component are compared with one another, so that a component has all links inside it.
 
-The audit compares some vertices of each label with the whole label. A label passes if no link
-of these vertices is missing and they had enough links to tell, or were all there are; all
+The audit compares saturated vertices and some others of each label with the whole label. A label
+passes if no link of these is missing and they had enough links to tell, or were all there are; all
 vertices of the other labels are compared with one another. So no round is the last by number
 alone, and each row says what the audit found and whether its label was compared in full.
 
-Comparisons with a whole label are cut into chunks of a bounded size; each chunk travels to all
-vertices once, and each task compares its own vertices with the chunk's. What a task gives back
-grows with its vertices and not with the links: the number of links of each vertex, and edges that
-join what is linked, a spanning forest of what the task has seen. Pairs are looked for in single
-precision, with a margin for its error, and decided in double precision.
+Comparisons are made by pairs of blocks of a bounded size, each in a task that gets the two
+blocks by a shuffle. What a task gives back grows with its vertices and not with the links: the
+number of links of each vertex, and edges that join what is linked, a spanning forest of what the
+task has seen. Pairs are looked for in single precision, with a margin for its error, and decided
+in double precision.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from lodestone.llm.common import connected_components, looked_up, scratch, stage
+from lodestone.llm.common import connected_components, looked_up, stage
 
 THRESHOLD = 0.93
 #: Neighbours in a list, and in one that is saturated.
@@ -41,12 +41,10 @@ ROUNDS = 8
 #: Audited vertices of a label, expected, and links that they must have had to speak for the others.
 AUDITED, EVIDENCE = 2048, 200
 SEED = 20240229
-#: Numbers in the vectors of one chunk, about.
+#: Numbers in the vectors of one block, about.
 VALUES = 1 << 21
-#: Vectors of a task and of the chunk that are compared at once.
+#: Vectors of two blocks that are compared at once.
 TILE = (512, 4096)
-#: Up to this many labels of a chunk are a filter on what is read.
-FILTERED = 64
 
 
 def usable(vector: Column) -> Column:
@@ -192,15 +190,10 @@ def neighbour_graph(vertices: DataFrame, threshold: float = THRESHOLD) -> DataFr
     return lists
 
 
-def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(grp, places of its rows, their unit vectors) of rows with grp and v."""
-    if not batch.num_rows:
-        return
-    codes = batch.column("grp").dictionary_encode()
-    at, vectors = codes.indices.to_numpy(), _unit(batch.column("v"))
-    for k, g in enumerate(codes.dictionary.to_pylist()):
-        rows = np.flatnonzero(at == k)
-        yield g, rows, np.stack([vectors[r] for r in rows])
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, numbers and unit vectors of a block."""
+    batch = table.combine_chunks().to_batches()[0]
+    return batch.column("node").to_numpy(), batch.column("n").to_numpy(), np.stack(_unit(batch.column("v")))
 
 
 def _joined(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -225,16 +218,16 @@ def _joined(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 
 class _Group:
-    """The vertices of a chunk in one grp, and what a task has found of them."""
+    """The vertices of a block, and what has been found of them."""
 
     def __init__(self, node: np.ndarray, n: np.ndarray, table: np.ndarray):
         self.node, self.n, self.table, self.single = node, n, table, table.astype(np.float32)
         self.root, self.links = np.arange(len(node)), np.zeros(len(node), np.int64)
 
-    def meet(self, node: np.ndarray, n: np.ndarray, table: np.ndarray, later: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def meet(self, node: np.ndarray, n: np.ndarray, table: np.ndarray, later: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Links of the vertices (node, n, table), and places of an edge of each that has links: (links, from, to).
 
-        later: whether they come after the whole chunk; the others are of the chunk and meet what has a smaller node.
+        later: whether they are another block; those of the block itself meet what has a smaller node.
         """
         links, tied, margin = np.zeros(len(node), np.int64), np.full(len(node), -1), max(1e-3, 2e-7 * table.shape[1])
         single = table.astype(np.float32)
@@ -246,7 +239,8 @@ class _Group:
                 if not len(rows):
                     continue
                 hit = table[rows] @ self.table[cols].T >= threshold
-                hit &= later[rows][:, None] | (node[rows][:, None] > self.node[cols][None, :])
+                if not later:
+                    hit &= node[rows][:, None] > self.node[cols][None, :]
                 links[rows] += hit @ self.n[cols]
                 self.links[cols] += hit.T @ n[rows]
                 some = hit.any(axis=1)
@@ -278,99 +272,59 @@ def _found(src: list[np.ndarray], dst: list[np.ndarray | None], links: list[np.n
     return pa.RecordBatch.from_arrays([column(src, src), column(dst, src), column(links, src)], names=["src", "dst", "links"])
 
 
-def _compared(shared, chunk: int, threshold: float):
-    """Rows (chunk, grp, node, n, v) against a chunk: rows (src, null, links) to be summed and (src, dst, null), edges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[str, _Group] = {}
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for g, rows, table in _by_group(batch):
-                if g not in shared.value:
-                    continue
-                if g not in groups:
-                    groups[g] = _Group(*shared.value[g])
-                own, group = batch.take(pa.array(rows)), groups[g]
-                node, n = own.column("node").to_numpy(), own.column("n").to_numpy()
-                links, at, to = group.meet(node, n, table, own.column("chunk").to_numpy() > chunk, threshold)
-                some = np.flatnonzero(links)
-                for into, parts in zip(out, ((node[some], node[at]), (None, group.node[to]), (links[some], None)), strict=True):
-                    into.extend(parts)
-            if out[0]:
-                yield _found(*out)
-        for group in groups.values():
-            some, moved = np.flatnonzero(group.links), np.flatnonzero(group.root != np.arange(len(group.root)))
-            yield _found([group.node[some], group.node[moved]], [None, group.node[group.root[moved]]], [group.links[some], None])
-
-    return run
-
-
 def compared(vertices: DataFrame, threshold: float, values: int = VALUES) -> DataFrame:
     """(src, null, links) and (src, dst, null) for vertices (node, grp, n, v, hot): links to be summed, and edges that join what is linked.
 
-    Each pair of a grp with a hot vertex is compared once: a hot vertex gets all of its links, any other those to hot ones.
+    Each pair of a grp with a hot vertex is compared once: a hot vertex gets all of its links, any
+    other those to hot ones. The hot vertices of a grp are dealt over blocks of some values
+    numbers, the others over blocks that follow; a block of hot ones meets itself and all that follow.
     """
-    spark, base = vertices.sparkSession, scratch(vertices.sparkSession, "compared")
-    schema = "src long, dst long, links long"
-    hot = vertices.filter("hot")
-    sizes = hot.groupBy("grp").agg(F.sum(F.size("v")).alias("numbers"))
-    chunks = max(1, -(-(hot.agg(F.sum(F.size("v"))).first()[0] or 0) // values))
-    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("numbers") / values))
-    # what isn't hot comes after all chunks
-    chunk = F.when(F.col("hot"), F.pmod(F.xxhash64("grp") + own, F.lit(chunks)).cast("int")).otherwise(F.lit(chunks))
-    placed = looked_up(vertices, stage(sizes, "sizes"), "grp", "node").select(chunk.alias("chunk"), "grp", "node", "n", "v")
-    # dealt by node, so that each task has its share of each label
-    placed = stage(placed.repartition("node").sortWithinPartitions("grp", "chunk"), "placed")
-    written = False
-    for chunk in range(chunks):
-        table = placed.filter(F.col("chunk") == chunk).select("grp", "node", "n", "v").toArrow().combine_chunks()
-        if not table.num_rows:
-            continue
-        batch = table.to_batches()[0]
-        node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-        groups = {g: (node[rows], n[rows], unit) for g, rows, unit in _by_group(batch)}
-        shared = spark.sparkContext.broadcast(groups)
-        rows = placed.filter(F.col("chunk") >= chunk)
-        if len(groups) <= FILTERED:
-            rows = rows.filter(F.col("grp").isin(*groups))
-        rows.mapInArrow(_compared(shared, chunk, threshold), schema).write.option("compression", "zstd").mode("append").parquet(base)
-        shared.destroy()
-        written = True
-    return spark.read.schema(schema).parquet(base) if written else spark.createDataFrame([], schema)
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("src", "dst", "links")})
+        group, (node, n, table) = _Group(*_block(left)), _block(right)
+        links, at, to = group.meet(node, n, table, left.column("block")[0] != right.column("block")[0], threshold)
+        some, own, moved = np.flatnonzero(links), np.flatnonzero(group.links), np.flatnonzero(group.root != np.arange(len(group.root)))
+        src = [node[some], node[at], group.node[own], group.node[moved]]
+        return pa.Table.from_batches([_found(src, [None, group.node[to], None, group.node[group.root[moved]]], [links[some], None, group.links[own], None])])
+
+    numbers = [F.sum(F.when(F.col("hot") == hot, F.size("v")).otherwise(0)) for hot in (True, False)]
+    sizes = vertices.groupBy("grp").agg(*[F.ceil(n / values).alias(c) for n, c in zip(numbers, ("hot_blocks", "cold_blocks"), strict=True)]).filter("hot_blocks > 0")
+    known = looked_up(vertices, stage(sizes, "sizes"), "grp", "node")
+    block = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.col("hot_blocks"))).otherwise(F.col("hot_blocks") + F.try_mod(F.xxhash64("node").bitwiseAND(F.lit((1 << 62) - 1)), F.col("cold_blocks")))
+    placed = stage(known.withColumn("block", block), "placed")
+    last, zero = F.col("hot_blocks") + F.col("cold_blocks") - 1, F.lit(0).cast("long")
+    left = placed.filter("hot").select("grp", "block", F.col("block").alias("a"), F.explode(F.sequence("block", last)).alias("b"), "node", "n", "v")
+    right = placed.select("grp", "block", F.explode(F.sequence(zero, F.least("block", F.col("hot_blocks") - 1))).alias("a"), F.col("block").alias("b"), "node", "n", "v")
+    left, right = (side.toDF(*side.columns) for side in (left, right))  # cogroup takes columns of one origin for the same
+    return left.groupBy("grp", "a", "b").cogroup(right.groupBy("grp", "a", "b")).applyInArrow(met, "src long, dst long, links long")
 
 
 def _counts(found: DataFrame, name: str) -> DataFrame:
     return found.filter("links IS NOT NULL").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias(name))
 
 
-def audited(vertices: DataFrame, lists: DataFrame, threshold: float, values: int, sample: int, evidence: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the lists and the comparison of saturated and audited vertices give.
-
-    (grp, recall, passed) of each label; (src, dst, null) and (src, null, links) of the
-    comparison; (node, dst, n) links in the lists between vertices that weren't compared.
-    """
+def audited(vertices: DataFrame, lists: DataFrame, threshold: float, values: int, sample: int, evidence: int) -> tuple[DataFrame, DataFrame]:
+    """(grp, recall, passed) of each label, and (src, dst, null) and (src, null, links) of the closed components."""
+    arcs = _arcs(lists).filter(F.col("sim") >= threshold).select("src", "dst")
+    inside = connected_components(arcs).join(vertices, "node").select("node", F.col("root").cast("string").alias("grp"), "n", "v", F.lit(True).alias("hot"))
+    closed = stage(compared(inside, threshold, values), "closed")
     sizes = stage(vertices.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
     share = F.lit(float(1 << 30) * sample) / F.col("size")
     picked = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < share
     full = lists.filter("full").select("node", F.lit(True).alias("full"))
-    marked = looked_up(vertices, sizes, "grp", "node").join(full, "node", "left").select("node", "grp", "n", "v", F.coalesce("full", F.lit(False)).alias("full"), picked.alias("picked"))
-    marked = stage(marked.withColumn("hot", F.col("full") | F.col("picked")), "marked")
-    found = compared(marked, threshold, values)
-    arcs = _arcs(lists).filter(F.col("sim") >= threshold).select("src", "dst")
-    arcs = arcs.union(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    ends = marked.select(F.col("node").alias("dst"), "n", F.col("hot").alias("dst_hot"))
-    arcs = stage(arcs.join(ends, "dst").join(marked.select(F.col("node").alias("src"), "hot", "picked"), "src"), "arcs")
-    have = arcs.filter("picked").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("have"))
-    judged = marked.select("node", "grp", "full", "picked").join(_counts(found, "links"), "node", "left").join(have, "node", "left")
-    true, known = F.coalesce("links", F.lit(0)), F.coalesce("have", F.lit(0))
-    asked = F.col("picked") & ~F.col("full")  # a saturated vertex has all of its links by now
+    hot = F.coalesce("full", F.lit(False)) | picked
+    marked = stage(looked_up(vertices, sizes, "grp", "node").join(full, "node", "left").select("node", "grp", "n", "v", hot.alias("hot")), "marked")
+    true, known = _counts(compared(marked, threshold, values), "links"), _counts(closed, "have")
+    judged = marked.select("node", "grp", "hot").join(true, "node", "left").join(known, "node", "left")
+    links, have = F.coalesce("links", F.lit(0)), F.coalesce("have", F.lit(0))
     said = judged.groupBy("grp").agg(
-        F.sum(F.when(asked, true).otherwise(0)).alias("of"), F.sum(F.when(asked, F.least(true, known)).otherwise(0)).alias("have"), F.count_if(~F.col("full") & ~F.col("picked")).alias("unseen")
+        F.sum(F.when(F.col("hot"), links).otherwise(0)).alias("of"), F.sum(F.when(F.col("hot"), F.least(links, have)).otherwise(0)).alias("have"), F.count_if(~F.col("hot")).alias("unseen")
     )
     recall = F.when(F.col("of") > 0, F.col("have") / F.col("of")).otherwise(F.lit(1.0))
     audit = said.select("grp", recall.alias("recall"), ((F.col("have") == F.col("of")) & ((F.col("unseen") == 0) | (F.col("of") >= evidence))).alias("passed"))
-    cold = arcs.filter("not hot and not dst_hot").select(F.col("src").alias("node"), "dst", "n")
-    return stage(audit, "audit"), found, cold
+    return stage(audit, "audit"), closed
 
 
 def embedding_links(
@@ -398,14 +352,12 @@ def embedding_links(
         "vertices",
     )
     plain = vertices.select("node", "grp", "n", "v")
-    audit, found, cold = audited(plain, neighbour_graph(plain, threshold), threshold, values, sample, evidence)
+    audit, closed = audited(plain, neighbour_graph(plain, threshold), threshold, values, sample, evidence)
     graded = looked_up(vertices, audit, "grp", "node").select("grp", "node", "label", "v", "vec_id", "n", "recall", "passed")
     again = compared(graded.filter("not passed").select("node", "grp", "n", "v", F.lit(True).alias("hot")), threshold, values)
     good_nodes = graded.filter("passed").select("node")
-    found = found.join(good_nodes.withColumnRenamed("node", "src"), "src", "left_semi").union(again)
-    cold = cold.join(good_nodes, "node", "left_semi")
-    edges = found.filter("dst IS NOT NULL").select("src", "dst").union(cold.select(F.col("node").alias("src"), "dst"))
-    counts = _counts(found.union(cold.select("node", F.lit(None).cast("long"), "n")), "links")
+    found = stage(closed.join(good_nodes.withColumnRenamed("node", "src"), "src", "left_semi").union(again), "found")
+    edges, counts = found.filter("dst IS NOT NULL").select("src", "dst"), _counts(found, "links")
     roots = connected_components(edges)
     named = stage(roots.join(vertices.select("node", "vec_id"), "node").groupBy("root").agg(F.min("vec_id").alias("component_id")), "named")
     linked = looked_up(roots, named, "root", "node").join(counts, "node").select("node", "component_id", "links")
