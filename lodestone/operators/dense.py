@@ -112,6 +112,12 @@ def index_errors(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("norm", F.when(F.isnan(size) | (size == float("inf")), size).otherwise(rounded(size))).filter(size.isNull() | F.isnan(size) | (size == 0) | (size == float("inf"))).select("chunk_idx", "norm")
 
 
+def self_probe(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: n_asked, n_found of queries (query_id, embedding) that are vectors of the index: whether each finds itself, or one equal to it, first."""
+    best = dense_topk(vectors, queries, 1)
+    return queries.select("query_id").join(best, "query_id", "left").agg(F.count("*").alias("n_asked"), F.count_if((F.col("chunk_idx") == F.col("query_id")) | (F.col("score") >= 1 - 1e-6)).alias("n_found"))
+
+
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row that compares two rankings (query_id, chunk_idx, score, rank) of the same queries."""
     lists = [

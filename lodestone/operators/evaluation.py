@@ -7,12 +7,13 @@ configurations and slices at once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import rounded
+from lodestone.functions.text import fixed, percent, rounded
 
 # The depths of recall, and the cutoff of the other metrics.
 DEPTHS, CUTOFF = (1, 3, 5, 10), 10
@@ -119,3 +120,50 @@ def recall_curve(means: DataFrame, configs: Sequence[str]) -> DataFrame:
     """k, and recall in percent to one place, one column for each configuration: the rows of a line chart."""
     long = means.select("config", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"recall_{k}").alias("recall")) for k in DEPTHS])))
     return long.groupBy("k").agg(*[F.max(F.when(F.col("config") == c, rounded(F.col("recall") * 100, 1))).alias(c) for c in configs])
+
+
+def read_gold(spark: SparkSession, path: str, wanted: Sequence[str] = ("direct", "paraphrased")) -> DataFrame:
+    """query_id, framework, query, gold (list of citations), slice of the JSON lines in path; without a wanted slice, or with a query without gold, an error."""
+    rows = spark.read.schema("id string, framework string, query string, gold array<string>, difficulty string").option("mode", "FAILFAST").json(path)
+    gold = rows.select(F.col("id").alias("query_id"), "framework", "query", "gold", F.col("difficulty").alias("slice"))
+    if missing := [r["slice"] for r in missing_slices(gold, wanted).collect()]:  # of wanted
+        raise ValueError(f"the gold set has no queries of {', '.join(sorted(missing))}")
+    named = F.assert_true(F.size("gold") > 0, F.concat(F.lit("no gold for "), F.col("query_id"))).isNull()
+    return gold.filter(named)
+
+
+def latency_points(means: DataFrame, latencies: DataFrame, floor_ms: float = 1.0) -> DataFrame:
+    """config, x, y: the median latency of each configuration, floor_ms at least, and its nDCG in percent to one place.
+
+    latencies: config, ms. Of an even number the upper median counts.
+    """
+    listed = latencies.groupBy("config").agg(F.sort_array(F.collect_list("ms")).alias("ms"))  # a row a query and configuration
+    median = F.get("ms", F.floor(F.size("ms") / 2).cast("int"))
+    return means.join(listed, "config").select("config", F.greatest(median, F.lit(floor_ms)).alias("x"), rounded(F.col("ndcg") * 100, 1).alias("y"))
+
+
+def report_rows(per_query: DataFrame, queries: DataFrame) -> DataFrame:
+    """slice, config, line: the rows of the report's tables, recalls in percent, then MRR and nDCG."""
+    means = metrics_by_slice(per_query, queries)
+    shown = [percent(rounded(F.col(f"recall_{k}"), 3)) for k in DEPTHS] + [fixed(rounded(F.col(m), 3), 3) for m in ("mrr", "ndcg")]
+    return means.select("slice", "config", F.concat(F.lit("| "), F.concat_ws(" | ", "config", *shown), F.lit(" |")).alias("line"))
+
+
+def write_results(path: str, label: str, totals: DataFrame, means: DataFrame, sweep: DataFrame, chosen: DataFrame) -> None:
+    """results.json and report.md below path, of small tables: gold_totals(), metrics_by_slice(), weight and ndcg of a sweep, chosen_weight().
+
+    What each query had isn't kept. The report has a table for each slice and marks the chosen weight.
+    """
+    spark, rows = totals.sparkSession, [r.asDict() for r in means.orderBy("slice", "config").collect()]
+    weights, best = [r.asDict() for r in sweep.orderBy("weight").collect()], chosen.first()
+    gold = {r["slice"]: {"n_queries": r["n_queries"], "n_labels": r["n_labels"]} for r in totals.collect()}
+    results = {"label": label, "gold": gold, "sweep": weights, "chosen_weight": best["weight"], "configs": rows}
+    lines = [f"# Retrieval evaluation{f' — {label}' if label else ''}", "", f"{gold.get('all', {}).get('n_queries', 0)} queries with {gold.get('all', {}).get('n_labels', 0)} labels."]
+    for name in sorted({r["slice"] for r in rows}):
+        lines += ["", f"## {name}", "", "| Configuration | " + " | ".join(f"R@{k}" for k in DEPTHS) + " | MRR | nDCG |", "| --- " * (len(DEPTHS) + 3) + "|"]
+        for r in (r for r in rows if r["slice"] == name):
+            lines.append(f"| {r['config']} | " + " | ".join(f"{100 * r[f'recall_{k}']:.1f}%" for k in DEPTHS) + f" | {r['mrr']:.3f} | {r['ndcg']:.3f} |")
+    lines += ["", "## Weight of the lexical arm", "", "| Weight | nDCG |", "| --- | --- |"]
+    lines += [f"| {w['weight']:.2f}{' (chosen)' if w['weight'] == best['weight'] else ''} | {w['ndcg']:.4f} |" for w in weights]
+    for name, text in (("results.json", json.dumps(results, indent=2)), ("report.md", "\n".join(lines))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")

@@ -29,6 +29,8 @@ _SAID = {
 STATUSES, SEVERITIES, MOST_FINDINGS = ("met", "partial", "missing", "unclear"), ("critical", "high", "medium", "low"), 12
 # Least characters of the texts of a finding.
 LEAST_CHARS = {"requirement": 8, "explanation": 20, "regulation_quote": 10, "citation": 3}
+#: Characters of a passage that a judge is shown.
+RERANK_CHARS = 700
 # How a severity is shown.
 TONES = {"critical": "unsupported", "high": "unsupported", "medium": "near", "low": "neutral"}
 
@@ -109,6 +111,14 @@ def passage_blocks(found: DataFrame) -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("all", lambda p: p["said"]), "\n\n").alias("block"))
 
 
+def rerank_prompts(found: DataFrame) -> DataFrame:
+    """query_id, prompt of the judge: the question, and each passage by its position, cut at RERANK_CHARS; found: query_id, query, position, heading, text."""
+    one = F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.col("heading"), F.lit("\n"), F.substring("text", 1, RERANK_CHARS))
+    listed = found.groupBy("query_id", "query").agg(F.array_sort(F.collect_list(F.struct("position", one.alias("said")))).alias("all"))
+    asked = F.concat(F.lit("Answer with a relevance of 0 to 3 for each of the "), F.size("all").cast("string"), F.lit(" passages."))
+    return listed.select("query_id", F.concat_ws("\n\n", F.concat(F.lit("Question: "), F.col("query")), F.array_join(F.transform("all", lambda p: p["said"]), "\n\n"), asked).alias("prompt"))
+
+
 def parsed_blocks(blocks: DataFrame) -> DataFrame:
     """query_id, rank, citation, heading, text of the passages in blocks (query_id, block); the inverse of passage_blocks
     for texts without a line that looks like the head of a passage."""

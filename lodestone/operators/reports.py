@@ -75,10 +75,62 @@ def score_tone(score: Column) -> Column:
     return F.when(score >= 85, "good").when(score >= 60, "fair").otherwise("poor")
 
 
-def to_markdown(findings: DataFrame) -> DataFrame:
-    """report_id, markdown: findings (report_id, framework, score, requirement, severity, status, verdict) as text."""
-    line = F.concat(F.lit("- **"), F.col("severity"), F.lit("** ("), F.col("status"), F.lit(", "), F.col("verdict"), F.lit(") "), F.col("requirement"))
-    parts = findings.groupBy("report_id", "framework", "score").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    head = F.concat(F.lit("## "), F.col("framework"), F.lit(" — "), F.coalesce(F.col("score").cast("string"), F.lit("not assessed")), F.lit("\n\n"), F.col("lines"))
-    return parts.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_list(head)), "\n\n").alias("markdown"))
+def saved(reports: DataFrame, new: DataFrame, now: Column, days: int = KEPT_DAYS) -> tuple[DataFrame, DataFrame]:
+    """The reports with new ones (report_id, document and columns of reports) and without those past their time, and
+    report_id, expires_at of the new ones. A column of reports that new lacks is null."""
+    made = {"document_hash": document_hash(F.col("document")), "created_at": now, "expires_at": now + F.expr(f"interval {days} days"), "pinned": F.lit(False)}
+    kinds = dict(reports.dtypes)
+    rows = new.select([(made[c] if c in made else F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in reports.columns])
+    return purged(reports.unionByName(rows), now), rows.select("report_id", "expires_at")
 
+
+def group_counts(rows: DataFrame, group: str) -> DataFrame:
+    """group, n of each, and n of all under null: what was pushed."""
+    return rows.rollup(group).agg(F.count("*").alias("n"))
+
+
+def _share(value: Column) -> Column:
+    return F.concat(F.floor(value * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def to_markdown(heads: DataFrame, frameworks: DataFrame, findings: DataFrame) -> DataFrame:
+    """report_id, markdown of whole reports.
+
+    heads: report_id, summary, assessed_at (text or null), n_sections, n_chunks, dimensions, model,
+    seconds, input_tokens, output_tokens, cost (null if unknown). frameworks: report_id, place,
+    framework, score, confidence, rationale, has_corpus, n_passages. findings: report_id,
+    framework, place, requirement, severity, status, supported, explanation, document_quote,
+    document_verdict, regulation_quote, citation, verdict. The verdicts go along with the findings.
+    """
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    quoted = F.when(~blank("document_quote"), text("\n\n> ", F.col("document_quote"), "\n> — the document (", F.coalesce("document_verdict", F.lit("not checked")), ")")).otherwise("")
+    one = text(
+        "### ", F.col("requirement"), "\n\n**", F.col("severity"), " · ", F.col("status"), "** · quote ", F.col("verdict"),
+        F.when(F.col("supported"), "").otherwise(" — unsupported, not in the score"), "\n\n", F.col("explanation"), quoted,
+        "\n\n> ", F.col("regulation_quote"), "\n> — ", F.col("citation"), " (", F.col("verdict"), ")",
+    )
+    listed = findings.groupBy("report_id", "framework").agg(F.array_sort(F.collect_list(F.struct("place", one.alias("said")))).alias("all"))
+    listed = listed.select("report_id", "framework", F.array_join(F.transform("all", lambda f: f["said"]), "\n\n").alias("said"))
+    body = (
+        F.when(~F.col("has_corpus"), "> There is no text of it to cite, so it has no findings and no score.")
+        .when(F.col("said").isNull(), text("No findings in the ", F.col("n_passages").cast("string"), " passages found."))
+        .otherwise(F.col("said"))
+    )
+    head = text("## ", F.col("framework"), F.when(F.col("score").isNotNull(), text(" — ", F.col("score").cast("string"), "/100")).otherwise(""), "\n\n_Confidence ", _share(F.col("confidence")), "._ ", F.col("rationale"))
+    parts = frameworks.join(listed, ["report_id", "framework"], "left").select("report_id", "place", text(head, "\n\n", body).alias("said"))
+    parts = parts.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("place", "said"))).alias("all"))
+    parts = parts.select("report_id", F.array_join(F.transform("all", lambda f: f["said"]), "\n\n").alias("frameworks"))
+    totals = findings.groupBy("report_id").agg(F.count("*").alias("n"), F.count_if("supported").alias("n_supported"))
+    n, good = F.coalesce("n", F.lit(0)), F.coalesce("n_supported", F.lit(0))
+    grounding = F.when(n == 0, "There were no findings to verify.").otherwise(text(
+        good.cast("string"), " of ", n.cast("string"), " findings quote text that stands in the passages (", _share(good / n), ").",
+        F.when(good < n, text("\n\n", (n - good).cast("string"), " quote text that was not found; they are marked and count for no score.")).otherwise(""),
+    ))
+    corpus = text("- **Corpus:** ", F.col("n_sections").cast("string"), " sections, ", F.col("n_chunks").cast("string"), " passages, ", F.col("dimensions").cast("string"), "d `", F.col("model"), "`")
+    made = text(F.format_string("%.1fs, %,d input and %,d output tokens", F.col("seconds").cast("double"), F.col("input_tokens").cast("long"), F.col("output_tokens").cast("long")), F.when(F.col("cost").isNull(), ".").otherwise(F.format_string(", about $%.4f.", F.col("cost").cast("double"))))
+    whole = text(
+        "# Assessment\n\n", F.when(F.col("assessed_at").isNull(), "").otherwise(text("- **Assessed:** ", F.col("assessed_at"), "\n")), corpus,
+        "\n\n## What was read\n\n", F.col("summary"), "\n\n## Grounding\n\n", grounding, "\n\n", F.coalesce("frameworks", F.lit("")), "\n\n## How it was made\n\n", made, "\n",
+    )
+    return heads.join(parts, "report_id", "left").join(totals, "report_id", "left").select("report_id", whole.alias("markdown"))

@@ -88,6 +88,23 @@ def search(
     return named.select("query_id", "chunk_idx", "score", "rank", "dense_rank", "bm25_rank", *FIELDS)
 
 
+# Least and most characters of a query, most of a framework's name, most results, most characters of a document and a description.
+QUERY_CHARS, FRAMEWORK_CHARS, MOST_RESULTS, DESCRIPTION_CHARS = (2, 500), 64, 20, 2000
+
+
+def request_problems(requests: DataFrame) -> DataFrame:
+    """requests with problems: what is wrong with a search (query, framework, k) or an assessment (document, description); columns that aren't there are not asked for.
+
+    query must be there; the others may be null.
+    """
+    rules = {
+        "query": lambda c: c.isNotNull() & F.char_length(c).between(*QUERY_CHARS), "framework": lambda c: F.char_length(c) <= FRAMEWORK_CHARS, "k": lambda c: c.between(1, MOST_RESULTS),
+        "document": lambda c: F.char_length(c) <= DOCUMENT_CHARS, "description": lambda c: F.char_length(c) <= DESCRIPTION_CHARS,
+    }
+    wrong = [F.when(~F.coalesce(rule(F.col(name)), F.lit(name != "query")), name) for name, rule in rules.items() if name in requests.columns]
+    return requests.withColumn("problems", F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>"))
+
+
 def quote_from(text: Column) -> Column:
     """The first sentence of 40 characters or more, else the whole text; 300 characters at most."""
     sentences = F.transform(F.split(text, r"(?<=\.)(?U:\s+)"), trimmed)

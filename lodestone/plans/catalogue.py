@@ -743,3 +743,52 @@ def number_formats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def severity_tones(spark: SparkSession, d: str) -> DataFrame:
     return A.findings(spark, d).groupBy("severity", outcomes.severity_tone(F.col("severity")).alias("tone")).agg(F.count("*").alias("n"))
+
+
+@query
+def report_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth customer's document is saved now; what is past its time goes."""
+    new = A.table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("report_id"), F.col("c_custkey").cast("string").alias("document"))
+    left, receipts = reports.saved(A.reports(spark, d), new, A.latest(spark, d))
+    told = left.groupBy("pinned").agg(F.count("*").alias("n"), F.count_if(F.col("report_id").startswith("n")).alias("n_new"))
+    return told.crossJoin(F.broadcast(receipts.agg(F.count("*").alias("n_receipts"), F.datediff(F.min("expires_at"), A.latest(spark, d)).alias("days"))))  # one row
+
+
+@query
+def pushed_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Documents pushed twice over those of odd id, the second time with another source, and counted by it."""
+    docs = A.corpus(spark, d).select("chunk_idx", "source", "framework")
+    again = docs.filter("chunk_idx % 3 = 0").select("chunk_idx", "framework", F.inline(F.array(*[F.struct(F.lit(n).alias("at"), F.lit(name).alias("source")) for n, name in ((1, "first"), (2, "second"))])))
+    return reports.group_counts(reports.upsert(docs.filter("chunk_idx % 2 = 1"), again, "chunk_idx", ["source", "framework"], "at"), "source")
+
+
+@query
+def self_probe(spark: SparkSession, d: str) -> DataFrame:
+    return dense.self_probe(dense.int8_index(A.vectors(spark, d)), _asked(spark, d))
+
+
+@query
+def request_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of all lengths from the documents' texts."""
+    docs, n = A.table(spark, d, "documents"), F.col("doc_id")
+    asked = docs.select("doc_id", F.when(n % 13 > 0, F.substring("text", F.lit(1), (n % 7 * 100 + n % 3).cast("int"))).alias("query"), F.when(n % 5 > 0, F.repeat(F.lit("f"), (n % 70).cast("int"))).alias("framework"), F.when(n % 4 > 0, n % 23).alias("k"), F.col("text").alias("document"))
+    return search.request_problems(asked).select("doc_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query
+def rerank_prompts(spark: SparkSession, d: str) -> DataFrame:
+    found = lexical.bm25_topk(_index(spark, d), A.queries(spark, d), 3).join(A.corpus(spark, d).select("chunk_idx", "heading", "text"), "chunk_idx").join(A.queries(spark, d).select("query_id", "query"), "query_id")
+    return outcomes.rerank_prompts(found.withColumn("position", F.col("rank") - 1)).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.char_length("prompt").cast("long").alias("n_chars"))
+
+
+@query
+def latency_points(spark: SparkSession, d: str) -> DataFrame:
+    """The values of events as milliseconds of the configurations, a type of event each."""
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in zip(("view", "click", "signup", "purchase"), CONFIGS, strict=True) for x in pair]), F.col("event_type"))
+    ms = A.table(spark, d, "events").select(name.alias("config"), T.rounded(F.col("value") / 50, 3).alias("ms")).filter("config is not null")
+    return evaluation.latency_points(eval_metrics(spark, d), ms)
+
+
+@query
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.report_rows(_per_query(spark, d), A.queries(spark, d))

@@ -7,7 +7,8 @@ from lodestone.operators.evaluation import CUTOFF, DEPTHS
 from lodestone.operators.fusion import RRF_K, WEIGHTS
 from lodestone.operators.grounding import SEVERITY, STATUS
 from lodestone.operators.metering import PRICES
-from lodestone.operators.outcomes import FAILURES, SEVERITIES, STATUSES, TONES
+from lodestone.operators.outcomes import FAILURES, RERANK_CHARS, SEVERITIES, STATUSES, TONES
+from lodestone.operators.search import DOCUMENT_CHARS, FRAMEWORK_CHARS, MOST_RESULTS, QUERY_CHARS
 from lodestone.plans.catalogue import CEILING, CONFIGS, DAILY, FILES, LIMIT, MARKERS, MESSAGES, WINDOW_MS
 
 
@@ -335,6 +336,25 @@ SQL: dict[str, str] = {
     "recorded_trace": f"""WITH t AS (SELECT doc_id, ceil(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 0.75)::BIGINT AS n FROM documents)
         SELECT 'run' AS run_id, sum(n)::BIGINT AS input_tokens, 3 * count(*) AS output_tokens, {_r('sum(n) * 0.3::DOUBLE / 1e6 + 3 * count(*) * 2.5::DOUBLE / 1e6')} AS cost, 0 AS n_cached, 1 AS n_unpriced,
             (2 * count(*) + count(CASE WHEN doc_id % 2 = 0 THEN 1 END)) AS n_rows, 0 AS n_failed FROM t""",
+    "report_insert": f"""{_end(_REPORTS)}, n AS (SELECT now FROM r LIMIT 1), new AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0),
+        k AS (SELECT pinned, false AS fresh FROM r WHERE expires_at >= now OR pinned UNION ALL SELECT false, true FROM new)
+        SELECT pinned, count(*) AS n, count(*) FILTER (fresh) AS n_new, (SELECT count(*) FROM new) AS n_receipts, 30 AS days FROM k GROUP BY pinned""",
+    "pushed_groups": """SELECT source, count(*) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE source END AS source FROM documents WHERE doc_id % 2 = 1 OR doc_id % 3 = 0) GROUP BY ROLLUP (source)""",
+    "self_probe": "SELECT count(*) AS n_asked, count(*) AS n_found FROM embeddings WHERE vec_id % 20 = 0",
+    "request_problems": f"""SELECT doc_id, array_to_string(list_filter([
+            CASE WHEN q IS NULL OR length(q) NOT BETWEEN {QUERY_CHARS[0]} AND {QUERY_CHARS[1]} THEN 'query' END, CASE WHEN doc_id % 5 > 0 AND doc_id % 70 > {FRAMEWORK_CHARS} THEN 'framework' END,
+            CASE WHEN doc_id % 4 > 0 AND doc_id % 23 NOT BETWEEN 1 AND {MOST_RESULTS} THEN 'k' END, CASE WHEN length(text) > {DOCUMENT_CHARS} THEN 'document' END], lambda x: x IS NOT NULL), ',') AS problems
+        FROM (SELECT doc_id, text, CASE WHEN doc_id % 13 > 0 THEN left(text, doc_id % 7 * 100 + doc_id % 3) END AS q FROM documents)""",
+    "rerank_prompts": f"""{_end(_BM25)}, f AS (SELECT query_id, 'Question: ' || any_value(b.text) || chr(10) || chr(10)
+            || string_agg('[' || (rank - 1) || '] ' || heading || chr(10) || left(c.text, {RERANK_CHARS}), chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Answer with a relevance of 0 to 3 for each of the ' || count(*) || ' passages.' AS prompt
+        FROM ({_top('SELECT query_id, chunk_idx, score FROM bm25', 3)}) JOIN corpus c USING (chunk_idx) JOIN benchmark b ON item_id = query_id GROUP BY query_id)
+        SELECT query_id, sha256(prompt) AS prompt_sha256, length(prompt) AS n_chars FROM f""",
+    "latency_points": f"""{_end(_EVAL)}, m AS (SELECT config, {_MEANS} FROM per GROUP BY config),
+        e AS (SELECT CASE event_type WHEN 'view' THEN 'bm25' WHEN 'click' THEN 'dense' WHEN 'signup' THEN 'rrf_equal' WHEN 'purchase' THEN 'rrf_weighted' END AS config, {_r('value / 50', 3)} AS ms FROM events),
+        l AS (SELECT config, list(ms ORDER BY ms) AS ms FROM e WHERE config IS NOT NULL GROUP BY config)
+        SELECT config, greatest(ms[len(ms) // 2 + 1], 1.0::DOUBLE) AS x, {_r('ndcg * 100', 1)} AS y FROM m JOIN l USING (config)""",
+    "report_rows": f"""{_end(_EVAL)}, m AS (SELECT config, slice, {_MEANS} FROM (SELECT *, unnest(['all', CASE query_id % 4 WHEN 2 THEN 'paraphrased' WHEN 3 THEN 'lookup' ELSE 'direct' END]) AS slice FROM per) GROUP BY config, slice)
+        SELECT slice, config, '| ' || config || ' | ' || {" || ' | ' || ".join(f"printf('%.1f%%', {_r(f'recall_{k}', 3)} * 100)" for k in DEPTHS)} || ' | ' || printf('%.3f', {_r('mrr', 3)}) || ' | ' || printf('%.3f', {_r('ndcg', 3)}) || ' |' AS line FROM m""",
     "rate_limit_ceiling": _CEILED,
     "rate_limit_ceiling_stream": f"SELECT call_id, allowed FROM ({_CEILED})",
     "cache_lookup_exempt": f"""{_end(_REPORTS)} SELECT c_custkey AS request_id, report_id FROM customer JOIN r ON document_hash = sha256(c_custkey::VARCHAR) WHERE c_custkey <> 1 AND expires_at > now
