@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.functions.text import FAILURE_RULES, STOPWORDS, SUFFIXES, TERM
+from lodestone.operators.chunking import OVERLAP, SWEEP, TARGET
 from lodestone.operators.evaluation import CUTOFF, DEPTHS
 from lodestone.operators.fusion import RRF_K, WEIGHTS
 from lodestone.operators.grounding import SEVERITY, STATUS
@@ -111,6 +112,52 @@ lexical AS ({_top(f"SELECT query_id, chunk_idx, score FROM bm25 d WHERE {where}"
 arms AS (SELECT query_id, chunk_idx, d.rank AS dense_rank, l.rank AS bm25_rank FROM dense d FULL JOIN lexical l USING (query_id, chunk_idx)),"""
 
 
+_BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _size(words: str) -> str:
+    return f"ceil({words} * 1.3::DOUBLE)::INT"
+
+
+def _slugged(x: str) -> str:
+    return f"left(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60)"
+
+
+def _chunks(target: int, overlap: int, name: str = "chunks", citation: str = "source || ':' || doc_id") -> str:
+    """Common table expressions, for WITH RECURSIVE, that end with name: id, chunk_idx, citation, text, tokens, ordinal, ordinal_of."""
+    p = name
+    return f"""
+{p}_para AS (SELECT doc_id, k AS para, trim_ AS text FROM (SELECT doc_id, k, regexp_replace(regexp_replace(x, '^[{_BLANK}]+', ''), '[{_BLANK}]+$', '') AS trim_
+    FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))) WHERE trim_ <> ''),
+{p}_sized AS (SELECT *, len(regexp_extract_all(text, '[^{_BLANK}]+')) AS n FROM {p}_para),
+{p}_said AS (SELECT doc_id, para, k, x, len(regexp_extract_all(x, '[^{_BLANK}]+')) AS n FROM (SELECT doc_id, para, unnest(l) AS x, generate_subscripts(l, 1) AS k
+    FROM (SELECT doc_id, para, string_split(regexp_replace(text, '([.;:])[{_BLANK}]+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM {p}_sized WHERE {_size('n')} > {target}))),
+{p}_run AS (SELECT doc_id, para, k, 1 AS run, n AS words FROM {p}_said WHERE k = 1
+    UNION ALL SELECT s.doc_id, s.para, s.k, r.run + (w > {target})::INT, CASE WHEN w > {target} THEN s.n ELSE r.words + s.n END
+    FROM (SELECT r.*, s.n, s.k AS next, {_size('(r.words + s.n)')} AS w FROM {p}_run r JOIN {p}_said s ON s.doc_id = r.doc_id AND s.para = r.para AND s.k = r.k + 1) r
+    JOIN {p}_said s ON s.doc_id = r.doc_id AND s.para = r.para AND s.k = r.next),
+{p}_unit AS (SELECT doc_id, para, 0 AS run, text FROM {p}_sized WHERE {_size('n')} <= {target}
+    UNION ALL SELECT doc_id, para, run, string_agg(x, ' ' ORDER BY k) FROM {p}_run JOIN {p}_said USING (doc_id, para, k) GROUP BY doc_id, para, run),
+{p}_list AS (SELECT doc_id, list(text ORDER BY para, run) AS texts, list({_size(f"len(regexp_extract_all(text, '[^{_BLANK}]+'))")} ORDER BY para, run) AS sizes FROM {p}_unit GROUP BY doc_id),
+{p}_walk AS (SELECT doc_id, 0 AS i, 0 AS first, sizes[1] AS used, NULL::INT AS was FROM {p}_list
+    UNION ALL SELECT doc_id, i, CASE WHEN full_ THEN i - carried ELSE first END, CASE WHEN full_ THEN coalesce(list_sum(sizes[i - carried + 1 : i]), 0)::INT ELSE used END + sizes[i + 1], CASE WHEN full_ THEN first END
+    FROM (SELECT w.doc_id, w.i + 1 AS i, w.first, w.used, l.sizes, w.used + l.sizes[w.i + 2] > {target} AS full_,
+        len(list_filter(generate_series(1, w.i + 1 - w.first), lambda j: list_sum(l.sizes[w.i + 2 - j : w.i + 1]) <= {overlap})) AS carried
+        FROM {p}_walk w JOIN {p}_list l ON l.doc_id = w.doc_id AND w.i + 1 < len(l.sizes))),
+{p}_body AS (SELECT doc_id, was AS a, i AS b FROM {p}_walk WHERE was IS NOT NULL UNION ALL SELECT doc_id, first, i + 1 FROM {p}_walk QUALIFY i = max(i) OVER (PARTITION BY doc_id)),
+{p}_made AS (SELECT doc_id, b, array_to_string(texts[a + 1 : b], chr(10)) AS text FROM {p}_body JOIN {p}_list USING (doc_id)),
+{p}_told AS (SELECT *, {_size(f"len(regexp_extract_all(text, '[^{_BLANK}]+'))")} AS tokens FROM {p}_made),
+{p}_kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS ordinal, count(*) OVER (PARTITION BY doc_id) AS ordinal_of
+    FROM (SELECT * FROM {p}_told QUALIFY tokens >= 32 OR max(tokens) OVER (PARTITION BY doc_id) < 32 AND b = min(b) OVER (PARTITION BY doc_id))),
+{p} AS (SELECT {_slugged('lang')} || ':' || {_slugged(citation)} || ':' || ordinal AS id, doc_id AS chunk_idx, {citation} AS citation, k.text, tokens, ordinal::INT AS ordinal, ordinal_of::INT AS ordinal_of
+    FROM {p}_kept k JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)),
+"""
+
+
+def _recursive(ctes: str) -> str:
+    return "WITH RECURSIVE " + ctes.strip().rstrip(",")
+
+
 def _covered(query: str, k: int) -> str:
     """Chunks with all terms of a query by cover density: each smallest span from its last entry, by the latest entry of every term."""
     return f"""WITH asked AS (SELECT item_id AS query_id, unnest(list_distinct({_terms(query)})) AS term FROM benchmark),
@@ -355,6 +402,12 @@ SQL: dict[str, str] = {
         SELECT config, greatest(ms[len(ms) // 2 + 1], 1.0::DOUBLE) AS x, {_r('ndcg * 100', 1)} AS y FROM m JOIN l USING (config)""",
     "report_rows": f"""{_end(_EVAL)}, m AS (SELECT config, slice, {_MEANS} FROM (SELECT *, unnest(['all', CASE query_id % 4 WHEN 2 THEN 'paraphrased' WHEN 3 THEN 'lookup' ELSE 'direct' END]) AS slice FROM per) GROUP BY config, slice)
         SELECT slice, config, '| ' || config || ' | ' || {" || ' | ' || ".join(f"printf('%.1f%%', {_r(f'recall_{k}', 3)} * 100)" for k in DEPTHS)} || ' | ' || printf('%.3f', {_r('mrr', 3)}) || ' | ' || printf('%.3f', {_r('ndcg', 3)}) || ' |' AS line FROM m""",
+    "chunk_sections": f"{_recursive(_chunks(TARGET, OVERLAP))} SELECT id, chunk_idx, tokens, ordinal, ordinal_of, sha256(text) AS text_sha256 FROM chunks",
+    "chunk_stats": f"""{_recursive(_chunks(TARGET, OVERLAP))}, l AS (SELECT list(tokens ORDER BY tokens) AS t, count(*) AS n FROM chunks)
+        SELECT n AS n_chunks, t[1] AS min_tokens, t[n // 2 + 1] AS median_tokens, t[least(n - 1, floor(n * 0.95::DOUBLE)::INT) + 1] AS p95_tokens, t[n] AS max_tokens FROM l""",
+    "chunk_size_sweep": f"""{_recursive("".join(_chunks(t, o, f"c{k}") for k, (t, o) in enumerate(SWEEP)))} """
+        + " UNION ALL ".join(f"SELECT {t} AS target, {o} AS overlap, count(*) AS n_chunks, {_r('avg(tokens)')} AS avg_tokens FROM c{k}" for k, (t, o) in enumerate(SWEEP)),
+    "duplicate_chunk_ids": f"{_recursive(_chunks(TARGET, OVERLAP, citation='source'))} SELECT id, count(*) AS n FROM chunks GROUP BY id HAVING count(*) > 1",
     "rate_limit_ceiling": _CEILED,
     "rate_limit_ceiling_stream": f"SELECT call_id, allowed FROM ({_CEILED})",
     "cache_lookup_exempt": f"""{_end(_REPORTS)} SELECT c_custkey AS request_id, report_id FROM customer JOIN r ON document_hash = sha256(c_custkey::VARCHAR) WHERE c_custkey <> 1 AND expires_at > now
