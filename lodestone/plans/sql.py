@@ -154,6 +154,22 @@ def _chunks(target: int, overlap: int, name: str = "chunks", citation: str = "so
 """
 
 
+def _swept(k: int, target: int, overlap: int) -> tuple[str, str]:
+    """Common table expressions of BM25 over the chunks of a configuration, and the row of its metrics on the paraphrased queries."""
+    ctes = f"""{_chunks(target, overlap, f"c{k}")}
+t{k} AS (SELECT (chunk_idx::BIGINT << 20) + ordinal AS c, citation, {_terms('text')} AS terms FROM c{k}),
+p{k} AS (SELECT c, citation, len(terms) AS n_terms, term, count(*) AS tf FROM (SELECT c, citation, terms, unnest(terms) AS term FROM t{k}) GROUP BY ALL),
+n{k} AS (SELECT count(*) AS n, avg(len(terms)) AS a FROM t{k}),
+f{k} AS (SELECT term, count(*) AS df FROM p{k} GROUP BY term),
+b{k} AS (SELECT query_id, c, citation, {_r("sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_terms / a)))")} AS score
+    FROM asked JOIN p{k} USING (term) JOIN f{k} USING (term), n{k} WHERE query_id % 4 = 2 GROUP BY ALL),
+r{k} AS (SELECT query_id, citation, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS rank FROM ({_top(f"SELECT * FROM b{k}", 40, "score DESC, c")}) GROUP BY query_id, citation),
+h{k} AS (SELECT query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 10) AS h10, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM r{k} JOIN gold USING (query_id, citation) WHERE rank <= {CUTOFF} GROUP BY query_id),
+m{k} AS (SELECT {_r('avg(coalesce(h1, 0) / n_gold)')} AS recall_1, {_r('avg(coalesce(h10, 0) / n_gold)')} AS recall_10, {_r('avg(coalesce(1 / first, 0))')} AS mrr,
+    {_r(f'avg(coalesce(gain, 0) / list_sum(list_transform(generate_series(1, least(n_gold, {CUTOFF})), lambda i: 1 / log2(i + 1))))')} AS ndcg FROM sizes LEFT JOIN h{k} USING (query_id) WHERE query_id % 4 = 2),"""
+    return ctes, f"SELECT {target} AS target, {overlap} AS overlap, (SELECT n FROM n{k}) AS n_chunks, * FROM m{k}"
+
+
 def _recursive(ctes: str) -> str:
     return "WITH RECURSIVE " + ctes.strip().rstrip(",")
 
@@ -407,6 +423,8 @@ SQL: dict[str, str] = {
         SELECT n AS n_chunks, t[1] AS min_tokens, t[n // 2 + 1] AS median_tokens, t[least(n - 1, floor(n * 0.95::DOUBLE)::INT) + 1] AS p95_tokens, t[n] AS max_tokens FROM l""",
     "chunk_size_sweep": f"""{_recursive("".join(_chunks(t, o, f"c{k}") for k, (t, o) in enumerate(SWEEP)))} """
         + " UNION ALL ".join(f"SELECT {t} AS target, {o} AS overlap, count(*) AS n_chunks, {_r('avg(tokens)')} AS avg_tokens FROM c{k}" for k, (t, o) in enumerate(SWEEP)),
+    "chunk_sweep_metrics": _recursive(_CORPUS + _GOLD + "sizes AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY query_id)," + "".join(_swept(k, t, o)[0] for k, (t, o) in enumerate(SWEEP)))
+        + " " + " UNION ALL ".join(_swept(k, t, o)[1] for k, (t, o) in enumerate(SWEEP)),
     "duplicate_chunk_ids": f"{_recursive(_chunks(TARGET, OVERLAP, citation='source'))} SELECT id, count(*) AS n FROM chunks GROUP BY id HAVING count(*) > 1",
     "rate_limit_ceiling": _CEILED,
     "rate_limit_ceiling_stream": f"SELECT call_id, allowed FROM ({_CEILED})",
