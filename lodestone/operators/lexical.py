@@ -28,8 +28,8 @@ from lodestone.session import scratch
 K1, B = 1.2, 0.75
 #: Weight of an occurrence in the rank by cover density.
 COVER_WEIGHT = 0.1
-#: Chunks for which a block of terms is added, between these numbers of blocks; files that a block is dealt over.
-BLOCK_CHUNKS, FEWEST_BLOCKS, MOST_BLOCKS, BLOCK_FILES = 256, 16, 4096, 4
+#: Chunks for which a block of terms is added, between these numbers of blocks; beyond, chunks for which a file is added to each block.
+BLOCK_CHUNKS, FEWEST_BLOCKS, MOST_BLOCKS, FILE_CHUNKS = 512, 16, 4096, 1 << 21
 _TERM = re.compile(TERM)
 
 
@@ -63,21 +63,23 @@ def _tallied(names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            row, length, term, places = [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                found: dict[str, list[int]] = {}
-                for at, raw in enumerate(_TERM.findall((text or "").lower()), 1):
-                    if (t := term_of(raw)) is not None:
-                        found.setdefault(t, []).append(at)
-                row += [k] * len(found)
-                length += [sum(map(len, found.values()))] * len(found)
-                term += found
-                places += found.values()
-            tf = np.fromiter(map(len, places), np.int64, len(places))
-            flat = np.fromiter((p for own in places for p in own), np.int32, int(tf.sum()))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(flat))
-            base = batch.select(names).take(pa.array(row, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(length, pa.int64()), pa.array(term, pa.string()), pa.array(tf), lists], names=[*names, "n_terms", "term", "tf", "positions"])
+            found = [_TERM.findall((text or "").lower()) for text in batch.column("text").to_pylist()]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            words = pa.array([w for own in found for w in own], pa.string()).dictionary_encode()
+            number: dict[str, int] = {}
+            of = np.array([-1 if (t := term_of(w)) is None else number.setdefault(t, len(number)) for w in words.dictionary.to_pylist()], dtype=np.int64)
+            term, row = of[words.indices.to_numpy()] if len(of) else of, np.repeat(np.arange(len(found)), counts)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+            kept = term >= 0
+            order = np.lexsort((term[kept], row[kept]))  # places stay in order
+            term, row, place = term[kept][order], row[kept][order], place[kept][order]
+            starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (row[1:] != row[:-1]))) if len(term) else term
+            offsets = np.append(starts, len(term))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(place.astype(np.int32)))
+            length = np.bincount(row, minlength=len(found))[row[starts]]
+            base = batch.select(names).take(pa.array(row[starts]))
+            made = [pa.array(length), pa.array(list(number), pa.string()).take(pa.array(term[starts])), pa.array(np.diff(offsets)), lists]
+            yield pa.RecordBatch.from_arrays([*base.columns, *made], names=[*names, "n_terms", "term", "tf", "positions"])
 
     return run
 
@@ -85,19 +87,19 @@ def _tallied(names: list[str]):
 def write_text_index(corpus: DataFrame, path: str, *kept: str) -> None:
     """The index of corpus (chunk_idx, text, and columns that filters name) below path; each row is a chunk of its own.
 
-    A block of terms is a folder, dealt over a few files by chunk and sorted by term in each.
+    A block of terms is a folder, dealt over files by chunk where there are very many, and sorted by term in each.
     """
     rows = corpus.select("chunk_idx", *kept, F.col("text").cast("string").alias("text"))
     more = [StructField("n_terms", LongType()), StructField("term", StringType()), StructField("tf", LongType()), StructField("positions", ArrayType(IntegerType()))]
     n_chunks = corpus.count()
     blocks = min(MOST_BLOCKS, max(FEWEST_BLOCKS, 1 << (n_chunks // BLOCK_CHUNKS).bit_length()))
     tallied = rows.mapInArrow(_tallied(["chunk_idx", *kept]), StructType([*rows.drop("text").schema.fields, *more]))
-    dealt = tallied.withColumn("block", block_of(F.col("term"), blocks)).repartition("block", F.pmod(F.xxhash64("chunk_idx"), F.lit(BLOCK_FILES)))
+    dealt = tallied.withColumn("block", block_of(F.col("term"), blocks)).repartition("block", F.pmod(F.xxhash64("chunk_idx"), F.lit(1 + n_chunks // FILE_CHUNKS)))
     dealt.sortWithinPartitions("block", "term", "chunk_idx").write.mode("overwrite").partitionBy("block").parquet(f"{path}/postings")
     spark = corpus.sparkSession
     postings = spark.read.schema(dealt.schema).parquet(f"{path}/postings")
     own = postings.groupBy("block", "term").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("n_terms").alias("least_terms"), F.sum("tf").alias("tf"))
-    own.write.mode("overwrite").partitionBy("block").parquet(f"{path}/vocabulary")
+    own.repartition("block").sortWithinPartitions("block", "term").write.mode("overwrite").partitionBy("block").parquet(f"{path}/vocabulary")
     total = spark.read.schema(own.schema).parquet(f"{path}/vocabulary").agg(F.sum("tf")).first()[0] or 0
     meta = spark.createDataFrame([(n_chunks, total / n_chunks if n_chunks else 0.0, blocks, dealt.schema.json())], "n_chunks long, avg_terms double, blocks int, schema string")
     meta.write.mode("overwrite").parquet(f"{path}/counts")

@@ -37,7 +37,7 @@ def _kept(spark: SparkSession, d: str, name: str, make: Callable):
     return _INDEXES[key]
 
 
-def _index(spark: SparkSession, d: str) -> lexical.TextIndex:
+def document_index(spark: SparkSession, d: str) -> lexical.TextIndex:
     """Of the texts alone."""
     return _kept(spark, d, "text", lambda: lexical.text_index(A.corpus(spark, d), "framework"))
 
@@ -74,17 +74,17 @@ def vocabulary_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_topk(_index(spark, d), A.queries(spark, d), 10)
+    return lexical.bm25_topk(document_index(spark, d), A.queries(spark, d), 10)
 
 
 @query
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_topk(_index(spark, d), A.queries(spark, d), 5, search.Options(framework="en").allowed())
+    return lexical.bm25_topk(document_index(spark, d), A.queries(spark, d), 5, search.Options(framework="en").allowed())
 
 
 @query
 def fulltext_and_match(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.and_match(_index(spark, d), A.queries(spark, d)).drop("n_hits")
+    return lexical.and_match(document_index(spark, d), A.queries(spark, d)).drop("n_hits")
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +144,7 @@ def index_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def _arms(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     wide = fusion.candidates(k)
-    return dense.dense_topk(A.vectors(spark, d), A.query_vectors(spark, d), wide), lexical.bm25_topk(_index(spark, d), A.queries(spark, d), wide)
+    return dense.dense_topk(A.vectors(spark, d), A.query_vectors(spark, d), wide), lexical.bm25_topk(document_index(spark, d), A.queries(spark, d), wide)
 
 
 @query
@@ -168,7 +168,7 @@ def rerank_listwise(spark: SparkSession, d: str) -> DataFrame:
     found = fusion.fused(*_arms(spark, d), 30)
     asked = lexical.query_terms(A.queries(spark, d))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    listed = _index(spark, d).postings.select("chunk_idx", "term")
+    listed = document_index(spark, d).postings.select("chunk_idx", "term")
     shared = found.select("query_id", "chunk_idx").join(asked, "query_id").join(listed, ["chunk_idx", "term"]).groupBy("query_id", "chunk_idx").agg(F.count("*").alias("n"))
     judged = shared.filter("chunk_idx % 2 = 1").join(sizes, "query_id").select("query_id", "chunk_idx", F.least(F.lit(3), F.floor(4 * F.col("n") / F.col("n_terms"))).cast("int").alias("relevance"))
     return fusion.reranked(found, judged).select("query_id", "chunk_idx", "relevance", "fused_rank", "rank")
@@ -177,7 +177,7 @@ def rerank_listwise(spark: SparkSession, d: str) -> DataFrame:
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a query word for word: those with all its terms, then looked at."""
     corpus, asked = A.corpus(spark, d), A.queries(spark, d)
-    found = lexical.and_match(_index(spark, d), asked).join(asked, "query_id").join(corpus, "chunk_idx").filter(F.contains("text", "query"))
+    found = lexical.and_match(document_index(spark, d), asked).join(asked, "query_id").join(corpus, "chunk_idx").filter(F.contains("text", "query"))
     return found.select("query_id", "citation")
 
 
@@ -571,14 +571,14 @@ def search_hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.fulltext_topk(_index(spark, d), A.queries(spark, d), 3)
+    return lexical.fulltext_topk(document_index(spark, d), A.queries(spark, d), 3)
 
 
 @query
 def fulltext_short(spark: SparkSession, d: str) -> DataFrame:
     """The first three words of each query, as a user would type them."""
     asked = A.queries(spark, d).withColumn("query", F.substring_index("query", " ", 3))
-    return lexical.fulltext_topk(_index(spark, d), asked, 10)
+    return lexical.fulltext_topk(document_index(spark, d), asked, 10)
 
 
 @query
@@ -673,7 +673,7 @@ def attack_tallies(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def passage_blocks(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.bm25_topk(_index(spark, d), A.queries(spark, d), 3).join(A.corpus(spark, d).select("chunk_idx", "citation", "heading", "text"), "chunk_idx")
+    found = lexical.bm25_topk(document_index(spark, d), A.queries(spark, d), 3).join(A.corpus(spark, d).select("chunk_idx", "citation", "heading", "text"), "chunk_idx")
     return outcomes.passage_blocks(found).select("query_id", F.sha2("block", 256).alias("block_sha256"))
 
 
@@ -777,7 +777,7 @@ def request_problems(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rerank_prompts(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.bm25_topk(_index(spark, d), A.queries(spark, d), 3).join(A.corpus(spark, d).select("chunk_idx", "heading", "text"), "chunk_idx").join(A.queries(spark, d).select("query_id", "query"), "query_id")
+    found = lexical.bm25_topk(document_index(spark, d), A.queries(spark, d), 3).join(A.corpus(spark, d).select("chunk_idx", "heading", "text"), "chunk_idx").join(A.queries(spark, d).select("query_id", "query"), "query_id")
     return outcomes.rerank_prompts(found.withColumn("position", F.col("rank") - 1)).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.char_length("prompt").cast("long").alias("n_chars"))
 
 

@@ -81,14 +81,14 @@ def test_indexes_are_made_again(spark, tmp_path):
     """After scratch is cleared, and when the files of the tables change."""
     for name in ("documents", "embeddings", "benchmark"):
         shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
-    first = catalogue._index(spark, str(tmp_path))
-    assert catalogue._index(spark, str(tmp_path)) is first
+    first = catalogue.document_index(spark, str(tmp_path))
+    assert catalogue.document_index(spark, str(tmp_path)) is first
     session.cleared()
-    again = catalogue._index(spark, str(tmp_path))
+    again = catalogue.document_index(spark, str(tmp_path))
     assert again is not first and again.postings.count() > 0
     time.sleep(0.05)
     spark.read.parquet(f"{tmp_path}/documents.parquet").limit(3).toPandas().to_parquet(tmp_path / "documents.parquet")
-    assert catalogue._index(spark, str(tmp_path)).n_chunks == 3
+    assert catalogue.document_index(spark, str(tmp_path)).n_chunks == 3
 
 
 def test_int8_products(spark):
