@@ -167,7 +167,7 @@ r{k} AS (SELECT query_id, citation, row_number() OVER (PARTITION BY query_id ORD
 h{k} AS (SELECT query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 10) AS h10, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM r{k} JOIN gold USING (query_id, citation) WHERE rank <= {CUTOFF} GROUP BY query_id),
 m{k} AS (SELECT {_r('avg(coalesce(h1, 0) / n_gold)')} AS recall_1, {_r('avg(coalesce(h10, 0) / n_gold)')} AS recall_10, {_r('avg(coalesce(1 / first, 0))')} AS mrr,
     {_r(f'avg(coalesce(gain, 0) / list_sum(list_transform(generate_series(1, least(n_gold, {CUTOFF})), lambda i: 1 / log2(i + 1))))')} AS ndcg FROM sizes LEFT JOIN h{k} USING (query_id) WHERE query_id % 4 = 2),"""
-    return ctes, f"SELECT {target} AS target, {overlap} AS overlap, (SELECT n FROM n{k}) AS n_chunks, * FROM m{k}"
+    return ctes, f"SELECT {target} AS target, {overlap} AS overlap, (SELECT n FROM n{k}) AS n_chunks, * FROM m{k} WHERE recall_1 IS NOT NULL"
 
 
 def _recursive(ctes: str) -> str:
