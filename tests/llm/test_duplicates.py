@@ -250,3 +250,26 @@ def test_lookup_of_few_and_many_keys(spark):
     for how, number in (("inner", 334 + 333), ("left", 1000)):
         few, many = (sorted(map(tuple, looked_up(rows, table, "key", "id", how, most).select("key", "id", "twice").collect()), key=str) for most in (10_000, 3))
         assert few == many and len(few) == number
+
+
+@pytest.mark.parametrize(("groups", "size"), [(60, 20), (12, 100)])
+def test_embedding_links_of_groups_come_from_the_graph(spark, tmp_path, groups, size):
+    """Groups larger than a list and isolated pairs: the closed components have all links, so the label isn't compared in full."""
+    rng = np.random.default_rng(groups)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    vectors = unit(rng.normal(size=(4000, 64)))
+    for g in range(groups):
+        centre = unit(rng.normal(size=64))
+        around = rng.normal(size=(size, 64))
+        around = unit(around - (around @ centre)[:, None] * centre)
+        vectors[g * size : (g + 1) * size] = np.sqrt(0.975) * centre + np.sqrt(0.025) * around
+    for k in range(3000, 3100, 2):
+        vectors[k + 1] = unit(vectors[k] + 0.3 * unit(rng.normal(size=64)))
+    vectors = vectors[rng.permutation(4000)].astype(np.float32)
+    exact = unit(vectors.astype(np.float64))
+    close = exact @ exact.T >= 0.93
+    np.fill_diagonal(close, False)
+    roots = components(range(4000), np.argwhere(close).tolist())
+    rows = embedding_links(spark.read.parquet(written(tmp_path, vectors)), sample=400).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in rows} == {(k, int(n), roots[k]) for k, n in enumerate(close.sum(axis=1))}
+    assert {(r["audit_recall"], r["compared_all"]) for r in rows} == {(1.0, False)}
