@@ -718,12 +718,16 @@ def rate_limit_ceiling_stream(spark: SparkSession, d: str) -> DataFrame:
     weeks = calls.withColumn("week", F.date_trunc("week", "at")).select("week").distinct().orderBy("week").collect()
     for k, row in enumerate(weeks):  # a folder a week, which a trigger reads whole
         calls.filter(F.date_trunc("week", "at") == row["week"]).coalesce(1).write.parquet(f"{base}/in/{k:03d}")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     read = spark.readStream.schema("call_id long, bucket string, visitor string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
     limited = limit_stream.ceiling_limit(read, LIMIT, WINDOW_MS, CEILING, "7 days")
-    running = limited.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    running.awaitTermination()
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, limit_stream.STATE_STORE)
+    try:
+        running = limited.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
     return spark.read.parquet(f"{base}/out").select("call_id", "allowed")
 
 

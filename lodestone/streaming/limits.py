@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 DAY_MS = 86_400_000
+#: The state store that ceiling_limit() needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def fixed_window_counts(calls: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
