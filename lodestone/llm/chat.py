@@ -8,7 +8,7 @@ conversations are folded into one, and what is left is rendered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stage
@@ -32,25 +32,22 @@ def rendered(turns: Column) -> Column:
     )
 
 
-def snapshots(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, prefixes (the hash of each turn prefix, in order), rendered."""
-    turns = (
-        conversations.select(
-            F.col("conv_id").cast("long").alias("conv_id"),
-            F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"),
-        )
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    )
-    rolled = F.aggregate(
-        F.col("turns"),
-        F.array(F.lit("")),
-        lambda done, t: F.concat(
-            done, F.array(F.sha2(F.concat_ws("|", F.element_at(done, F.lit(-1)), _field(t["role"]), _field(t["text"])), 256))
-        ),
-        lambda done: F.slice(done, F.lit(2), F.size(done) - 1),
-    )
-    return turns.select("conv_id", F.size("turns").alias("n_turns"), rolled.alias("prefixes"), rendered(F.col("turns")).alias("rendered"))
+def turn_prefixes(conversations: DataFrame) -> DataFrame:
+    """conv_id, at (from 1), role, text, prefix, last of every turn: prefix is the hash of all turns up to it.
+
+    A turn's hash is the SHA-256 of its place, role and text, as four numbers of 64 bits. These
+    are added up along the conversation, so the work grows with the number of turns.
+    """
+    turns = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
+    )
+    along = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = turns.withColumn("at", F.row_number().over(along)).withColumn("last", F.lead(F.lit(1)).over(along).isNull())
+    hashed = placed.withColumn("hash", F.sha2(F.concat_ws("|", "at", _field(F.col("role")), _field(F.col("text"))), 256))
+    lanes = [F.conv(F.substring("hash", k, 16), 16, 10).cast("decimal(20,0)") for k in (1, 17, 33, 49)]
+    so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolled = F.concat_ws("-", *[F.sum(lane).over(so_far) for lane in lanes])
+    return hashed.select("conv_id", "at", "role", "text", rolled.alias("prefix"), "last")
 
 
 def maximal_conversations(conversations: DataFrame) -> DataFrame:
@@ -64,11 +61,13 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
     into a row, as its rendering does. Repeated rows are repeated turns, other columns are
     ignored, an empty table gives an empty result.
     """
-    logged = stage(snapshots(conversations), "snapshots")
-    last = F.element_at("prefixes", F.lit(-1))
-    ends = logged.groupBy(last.alias("prefix")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    inner = logged.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("prefix")).distinct()
+    logged = stage(turn_prefixes(conversations), "turn-prefixes")
+    ends = logged.filter("last").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    inner = logged.filter("not last").select("prefix").distinct()
     kept = ends.join(inner, "prefix", "left_anti").select("conv_id", "n_copies")
-    return kept.alias("k").join(logged.alias("l"), F.col("k.conv_id").eqNullSafe(F.col("l.conv_id"))).select(
-        "k.conv_id", F.col("l.n_turns").cast("long").alias("n_turns"), "k.n_copies", "l.rendered"
+    turns = kept.alias("k").join(logged.alias("l"), F.col("k.conv_id").eqNullSafe(F.col("l.conv_id")))
+    return (
+        turns.groupBy("k.conv_id", "k.n_copies")
+        .agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("l.at", "l.role", "l.text"))).alias("turns"))
+        .select("conv_id", "n_turns", "n_copies", rendered(F.col("turns")).alias("rendered"))
     )

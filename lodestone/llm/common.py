@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 
 #: Rows of a small table that are broadcast, some hundred bytes each; keys that a hot one is dealt over.
 BROADCAST_ROWS, SALTS = 50_000, 32
+#: A key is hot if it holds more than one row in so many; so there are at most that many hot keys.
+HOT = 1000
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where the setting is unset."""
+    """The folder of spark.checkpoint.dir. Where the setting is unset, a local session gets one of this machine and any other an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -73,6 +77,21 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str
     return dealt.join(salted, [key, "_salt"], how).drop("_salt")
 
 
+def joined(rows: DataFrame, table: DataFrame, on: list[str], count: str = "n") -> DataFrame:
+    """rows joined with table, which has one row for each value of on; count tells how many of rows have it.
+
+    Values of more than one row in HOT, at most HOT values, meet their rows by a broadcast; all
+    others by a shuffle in which none of them is much. Both tables are read twice, so they
+    should be staged. Rows with a null in on are left out.
+    """
+    most = (table.agg(F.sum(count)).first()[0] or 0) // HOT
+    often = table.filter(F.col(count) > max(most, 1))
+    if often.isEmpty():
+        return rows.join(table, on)
+    rare = rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(table.filter(F.col(count) <= max(most, 1)), on)
+    return rows.join(F.broadcast(often), on).unionByName(rare)
+
+
 def task_number() -> int:
     """The number of the partition that the running task works on."""
     return TaskContext.get().partitionId()
@@ -117,21 +136,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Minimum labels spread over the edges and pointers are doubled in every round, so the
     rounds grow with the logarithm of the diameter. Nothing is gathered by component: the
-    aggregates are minima, which combine before they are shuffled. Self loops and null ends
+    aggregates are minima, which combine before they are shuffled; nodes of very many edges and
+    roots of very many nodes are joined apart from the rest. Self loops and null ends
     are left out.
     """
     pairs = edges.filter("src <> dst")
     both = stage(pairs.select("src", "dst").union(pairs.select("dst", "src")).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")), "labels")
+    first = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root"), F.count("*").alias("degree"))
+    labels = stage(first, "labels")
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "dst"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("root").alias("near"))
-        )
-        moved = labels.join(near, "node").select("node", F.least("root", "near").alias("up"), F.col("root").alias("old"))
+        ends = labels.select(F.col("node").alias("dst"), "root", "degree")  # as many edges end in a node as begin there
+        near = joined(both, ends, ["dst"], "degree").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
+        moved = stage(labels.join(near, "node").select("node", "degree", F.least("root", "near").alias("up"), F.col("root").alias("old")), "moved")
         above = labels.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        labels = stage(moved.join(above, "up").select("node", F.least("up", "top").alias("root"), "old"), "labels")
+        tops = stage(moved.groupBy("up").agg(F.count("*").alias("below")).join(above, "up"), "tops")
+        labels = stage(joined(moved, tops, ["up"], "below").select("node", "degree", F.least("up", "top").alias("root"), "old"), "labels")
         if labels.filter("root <> old").isEmpty():
             return labels.select("node", "root")
-        labels = labels.select("node", "root")
+        labels = labels.drop("old")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import connected_components, looked_up, stage
+from lodestone.llm.common import connected_components, joined, stage
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -221,11 +221,11 @@ def simhash_groups(documents: DataFrame) -> DataFrame:
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = stage(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    distinct = stage(with_distances(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))), "distinct")
+    distinct = stage(with_distances(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))), "distinct")
     links = candidate_lists(distinct.select("fp", "far0", "far1"), parts_for(distinct.count())).mapInArrow(_linked, "src long, dst long").distinct()
     roots = connected_components(links)
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     linked = stage(linked, "linked")
-    least = stage(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = stage(looked_up(linked, least, "root", "fp").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = stage(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "least")
+    named = stage(joined(linked, least, ["root"], "members").select("fp", "n", "component_id"), "named")
+    return joined(prints, named, ["fp"]).select("doc_id", "fp", "component_id")

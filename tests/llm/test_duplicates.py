@@ -10,9 +10,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import queries
-from lodestone.llm.common import looked_up
+from lodestone.llm.common import connected_components, joined, looked_up
 from lodestone.llm.embedding_dedup import embedding_links
 from lodestone.llm.exact_dedup import _named, exact_dedup
 from lodestone.llm.simhash import _linked, candidate_lists, parts, parts_for, simhash_groups, with_distances
@@ -34,8 +35,8 @@ def components(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_exact_copies(spark, tables, block):
+@pytest.mark.parametrize(("block", "most_repeated"), [(3, 1 << 20), (3, 0), (4096, 1 << 20), (4096, 0)])
+def test_exact_copies(spark, tables, block, most_repeated):
     texts = [None, "", "A", "a", "É", "é", "ab" * 5000, "AB" * 5000, "ab" * 4999 + "aa", "abc", "abcabc", "abcabcabc", "x", " x", "abd"]
     rows = [(k, t, "clash") for k, t in enumerate(texts)]
     if block > 3:
@@ -45,9 +46,9 @@ def test_exact_copies(spark, tables, block):
         groups[(text or "").translate(UPPER)].append(doc_id)
     expected = sorted((d, max(g), len(g), d == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g)
     table = spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(4)
-    found = exact_dedup(table, block).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact_dedup(table, block, most_repeated).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert sorted(map(tuple, found.collect())) == expected
-    assert exact_dedup(table.limit(0), block).count() == 0
+    assert exact_dedup(table.limit(0), block, most_repeated).count() == 0
 
 
 def test_block_names_are_places_in_one_order(spark):
@@ -60,10 +61,11 @@ def test_block_names_are_places_in_one_order(spark):
     assert _named(table.limit(0), ["block"], "names").count() == 0
 
 
-def test_exact_copies_without_ids_and_repeated(spark):
+@pytest.mark.parametrize("most_repeated", [1 << 20, 0])
+def test_exact_copies_without_ids_and_repeated(spark, most_repeated):
     rows = [(None, "A"), (None, "a"), (3, "a"), (3, "a"), (7, None), (None, ""), (None, "alone"), (8, "B"), (9, "b")]
     table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, size int")
-    found = sorted(((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in exact_dedup(table).collect()))
+    found = sorted(((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in exact_dedup(table, most_repeated=most_repeated).collect()))
     assert found == [(-1, -1, 1, True), (-1, 3, 4, False), (-1, 3, 4, False), (-1, 7, 2, False), (3, 3, 4, True), (3, 3, 4, True), (7, 7, 2, True), (8, 9, 2, False), (9, 9, 2, True)]
 
 
@@ -252,6 +254,23 @@ def test_lookup_of_few_and_many_keys(spark):
         assert few == many and len(few) == number
 
 
+def test_join_with_hot_keys_and_without(spark):
+    for share in (3, 10**9):  # a third of all rows has key 0, or none more than another
+        rows = spark.range(6000).selectExpr(f"if(id % {share} = 0, 0, id) AS key", "id").union(spark.sql("SELECT CAST(NULL AS long), -1L"))
+        table = rows.filter("key is not null").groupBy("key").count().withColumnRenamed("count", "n").withColumn("twice", F.col("key") * 2)
+        found = joined(rows, table, ["key"])
+        assert sorted((r["key"], r["id"], r["twice"]) for r in found.collect()) == sorted((r["key"], r["id"], 2 * r["key"]) for r in rows.filter("key is not null").collect())
+        assert ("Union" in found._jdf.queryExecution().optimizedPlan().toString()) == (share == 3)
+    assert joined(rows.limit(0), table.limit(0), ["key"]).count() == 0
+
+
+def test_components_of_hubs_and_chains(spark):
+    links = [(0, k) for k in range(1, 2500)] + [(k, k + 1) for k in range(3000, 3040)] + [(2499, 5000), (6000, 6000), (7001, 7000)]
+    found = connected_components(spark.createDataFrame([*links, (None, 1)], "src long, dst long").repartition(4))
+    expected = components({n for pair in links[:-2] + links[-1:] for n in pair}, links[:-2] + links[-1:])
+    assert {r["node"]: r["root"] for r in found.collect()} == expected
+
+
 @pytest.mark.parametrize(("groups", "size"), [(60, 20), (12, 100)])
 def test_embedding_links_of_groups_come_from_the_graph(spark, tmp_path, groups, size):
     """Groups larger than a list and isolated pairs: the closed components have all links, so the label isn't compared in full."""

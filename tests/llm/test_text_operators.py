@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -173,6 +174,17 @@ def test_conversations_that_none_prolongs(spark, tables):
         assert sorted(map(tuple, found)) == brute_force_conversations(given)
 
 
+def test_long_conversations(spark):
+    """20,000 turns and its snapshots after 19,999 and 5 turns; another order of the same turns is another conversation."""
+    turns = spark.range(20_000).selectExpr("id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    logs = [turns.selectExpr("1L AS conv_id", "*"), turns.filter("turn < 19999").selectExpr("2L", "*"), turns.filter("turn < 5").selectExpr("3L", "*")]
+    logs.append(turns.filter("turn < 6").selectExpr("4L", "5 - turn", "role", "text"))
+    table = reduce(lambda a, b: a.union(b), logs)
+    found = maximal_conversations(table).select("conv_id", "n_turns", "n_copies", "rendered").collect()
+    assert sorted(tuple(r)[:3] for r in found) == [(1, 20_000, 1), (4, 6, 1)]
+    assert next(r["rendered"] for r in found if r["conv_id"] == 4) == "".join(f"<|{'user' if k % 2 == 0 else 'assistant'}|>\nt{k}<|end|>\n" for k in (5, 4, 3, 2, 1, 0))
+
+
 def test_conversations_with_nulls_and_none_at_all(spark):
     schema = "conv_id long, turn long, role string, text string, prefix string"
     rows = [(None, None, None, None, "x"), (1, None, None, None, "x"), (2, 0, None, "", "x")]
