@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructType
 
@@ -13,7 +13,7 @@ from lodestone.functions.vectors import quantized
 from lodestone.operators import answers, approximate, chunking, dense, evaluation, fusion, grounding, lexical, metering, outcomes, reports, search, tracing
 from lodestone.plans import adapters as A
 from lodestone.session import ON_CLEARED, fingerprint, scratch
-from lodestone.sources import embeddings, sections
+from lodestone.sources import embeddings, sections, uploads
 from lodestone.streaming import events as event_stream
 from lodestone.streaming import limits as limit_stream
 from lodestone.streaming.cache import by_cache
@@ -297,6 +297,71 @@ def html_sections(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", F.col("para").cast("long").alias("para"), "text")
 
 
+def _markup(text: Column) -> Column:
+    """text as the content of an element."""
+    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _files(spark: SparkSession, d: str, column: str, form: str) -> DataFrame:
+    """Each document as a file of marked-up text, whose form names its id (%1), source (%2), text (%3) and first 150 characters (%4)."""
+    docs = A.table(spark, d, "documents")
+    said = F.format_string(form, F.col("doc_id").cast("string"), _markup(F.col("source")), _markup(F.col("text")), _markup(F.substring("text", 1, 150)))
+    return docs.select(F.col("lang").alias("title"), said.alias(column))
+
+
+@query
+def jsonl_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines, a folder for each framework, and read again."""
+    path = scratch(spark, "sections")
+    sections.write_sections(A.corpus(spark, d).select("framework", "citation", "heading", "source", F.lit(None).cast("string").alias("source_url"), "text"), path)
+    return sections.read_sections(spark, path).select("framework", "citation", "heading", "source", "source_url", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def regulation_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as XML: a section with a heading and, in its own division, one without."""
+    form = """<DIV5 N="%1$s"><DIV8 N="%1$s.1" TYPE="SECTION"><HEAD>%2$s</HEAD>\n<P>%3$s</P></DIV8>\n<DIV8 N="%1$s.2"><P>%4$s</P><P></P><P>%2$s</P></DIV8></DIV5>"""
+    found = sections.xml_sections(_files(spark, d, "xml", form))
+    return found.select("title", "number", "heading", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def regulation_appendices(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as XML appendices that are cut before their headings; what stands under a table of contents is left out."""
+    form = """<DIV9 N="App. %1$s"><P>%3$s</P><HD1>Table of Contents</HD1><P>%3$s</P><HD1>%2$s</HD1><FP>%4$s</FP></DIV9>"""
+    found = sections.xml_appendices(_files(spark, d, "xml", form))
+    return found.select("title", "number", "heading", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def legal_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as legal HTML: an article with a heading, what stands before it left out, and one without."""
+    form = """<div id="x.art_%1$s1"><p class="oj-normal">%4$s</p><p class="oj-sti-art">%2$s</p><p class="oj-normal">%3$s</p></div><div id="x.art_%1$s2"><p class="note">%3$s</p><p class="oj-normal">%4$s</p></div>"""
+    found = sections.article_sections(_files(spark, d, "html", form), "x")
+    return found.select("article", "heading", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def uploaded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as uploads: by extension, by type, of a kind that can't be read, damaged, empty or too large."""
+    docs, kind = A.table(spark, d, "documents"), F.col("doc_id") % 7
+    name = F.when(kind == 0, ".TXT").when(kind == 1, ".pdf").when(kind == 2, ".exe").when(kind == 3, ".bin").otherwise(".md")
+    mime = F.when(kind == 2, "application/x-dosexec").when(kind == 3, "text/plain").when(kind == 1, "application/pdf")
+    damaged = F.when(kind == 4, F.replace("text", F.lit("e"), F.lit("\ufffd"))).when(kind == 5, "").when((kind == 6) & (F.col("doc_id") % 5 == 0), F.repeat("text", 16)).otherwise(F.col("text"))
+    files = docs.select(F.concat("doc_id", name).alias("path"), mime.alias("mime"), F.coalesce(damaged, F.lit("")).cast("binary").alias("content"))
+    return uploads.extract_uploads(files).select("path", "kind", "error", F.sha2("text", 256).alias("text_sha256"), "truncated")
+
+
+@query
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """framework, n_vectors, n_steps of vectors written to an index as int8 steps and read again with its check; vectors without length are no part of it."""
+    path, vectors = scratch(spark, "index"), A.vectors(spark, d).filter("embedding is not null and exists(embedding, x -> x <> 0)")
+    meta = vectors.agg(F.max(F.size("embedding")).alias("dimensions"))
+    sections.write_index(A.corpus(spark, d), vectors, meta, path, quantised=True)
+    steps = sections.read_index(spark, path)["vectors"].withColumn("steps", F.size("embedding.q"))
+    return steps.groupBy("framework").agg(F.count("*").alias("n_vectors"), F.sum("steps").alias("n_steps"))
+
+
 @query
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "pages").select("page_id", F.sha2(T.stripped(F.col("html")), 256).alias("text_sha256"))

@@ -197,6 +197,9 @@ def _end(ctes: str) -> str:
 
 _STRIP = "trim(regexp_replace(" + "replace(" * 6 + "regexp_replace({x}, '<[^>]+>', ' ', 'g')" + ", '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')" + r", '\s+', ' ', 'g'))"
 _TRIM = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
+_TIDY = _TRIM.replace("{x}", r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '[ ' || chr(9) || ']{{2,}}', ' ', 'g')")
+_SPACED = r"trim(regexp_replace({x}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g'))"
+_FILES = f"f AS (SELECT doc_id, lang AS title, source AS s, {_SPACED.format(x='coalesce(text, chr(32))')} AS t, {_SPACED.format(x='coalesce(text[:150], chr(32))')} AS u FROM documents)"
 _FOLD = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
 _QTOKENS = "list_filter(regexp_split_to_array(" + _FOLD + ", '[^a-z0-9]+'), lambda t: t <> '')"
 _CLAIMS = f"{_CORPUS} {_GOLD} claims AS (SELECT item_id || '-' || chunk_idx AS claim_id, b.text AS quote, c.text AS source FROM gold g JOIN benchmark b ON item_id = query_id JOIN corpus c USING (citation)),"
@@ -314,9 +317,22 @@ SQL: dict[str, str] = {
     "html_sections": f"""SELECT page_id, para, text FROM (SELECT page_id, para, {_STRIP.format(x='raw')} AS text FROM (
         SELECT page_id, unnest(p) AS raw, unnest(generate_series(0, len(p) - 1)) AS para FROM (
         SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)<p(\\s[^>]*)?>', '</p><p>', 'g') || '</p>', '(?is)<p>(.*?)</p>', 1) AS p FROM pages))) WHERE length(text) >= 80""",
+    "jsonl_sections": "SELECT lang AS framework, concat_ws(':', source, doc_id) AS citation, split_part(text, chr(10), 1) AS heading, source, NULL::VARCHAR AS source_url, sha256(text) AS text_sha256 FROM documents",
+    "regulation_sections": f"""WITH {_FILES} SELECT title, doc_id || '.1' AS number, s AS heading, sha256(t) AS text_sha256 FROM f WHERE length(t) >= 80
+        UNION ALL SELECT title, doc_id || '.2', 'Section ' || doc_id || '.2', sha256(concat_ws(chr(10), nullif(u, ''), s)) FROM f WHERE length(concat_ws(chr(10), nullif(u, ''), s)) >= 80""",
+    "regulation_appendices": f"""WITH {_FILES} SELECT title, 'App. ' || doc_id AS number, 'App. ' || doc_id AS heading, sha256(t) AS text_sha256 FROM f WHERE length(t) >= 120
+        UNION ALL SELECT title, 'App. ' || doc_id, s, sha256(u) FROM f WHERE length(u) >= 120""",
+    "legal_articles": f"""WITH {_FILES} SELECT doc_id || '1' AS article, s AS heading, sha256(t) AS text_sha256 FROM f WHERE length(t) >= 120
+        UNION ALL SELECT doc_id || '2', 'Article ' || doc_id || '2', sha256(u) FROM f WHERE length(u) >= 120""",
+    "uploaded_texts": f"""WITH f AS (SELECT doc_id, doc_id % 7 AS k, coalesce(CASE WHEN doc_id % 7 = 4 THEN replace(text, 'e', chr(65533)) WHEN doc_id % 7 = 5 THEN '' WHEN doc_id % 7 = 6 AND doc_id % 5 = 0 THEN repeat(text, 16) ELSE text END, '') AS raw FROM documents),
+        t AS (SELECT doc_id || CASE k WHEN 0 THEN '.TXT' WHEN 1 THEN '.pdf' WHEN 2 THEN '.exe' WHEN 3 THEN '.bin' ELSE '.md' END AS path, CASE k WHEN 1 THEN 'pdf' WHEN 2 THEN NULL ELSE 'text' END AS kind, strlen(raw) AS size, {_TIDY.format(x='raw')} AS t FROM f),
+        e AS (SELECT *, CASE WHEN size = 0 THEN 'empty' WHEN size > 5000000 THEN 'too large' WHEN kind IS NULL OR kind = 'pdf' THEN 'unsupported' END AS bad,
+            CASE WHEN (length(t) - length(replace(t, chr(65533), ''))) / greatest(length(t), 1) > 0.02 THEN 'not text' WHEN length(t) < 200 THEN 'too short' END AS fault FROM t)
+        SELECT path, kind, coalesce(bad, fault) AS error, CASE WHEN bad IS NULL AND fault IS NULL THEN sha256(t[:24000]) END AS text_sha256, bad IS NULL AND length(t) > 24000 AS truncated FROM e""",
+    "stored_index": "SELECT label AS framework, count(*) AS n_vectors, sum(len(embedding))::BIGINT AS n_steps FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY label",
     "html_text": f"SELECT page_id, sha256({_STRIP.format(x='html')}) AS text_sha256 FROM pages",
     "tidy_and_validate": f"""SELECT doc_id, sha256(t) AS text_sha256, length(t) AS n_chars, length(t) < 200 AS too_short, {_r("(length(t) - length(replace(t, chr(65533), ''))) / greatest(length(t), 1)")} AS replaced, length(t) > 24000 AS truncated
-        FROM (SELECT doc_id, {_TRIM.format(x="regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '[ ' || chr(9) || ']{{2,}}', ' ', 'g')").replace('{{', '{').replace('}}', '}')} AS t FROM documents)""",
+        FROM (SELECT doc_id, {_TIDY.format(x='text')} AS t FROM documents)""",
     "document_hashes": f"SELECT sha256({_TRIM.format(x='text')}) AS document_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1",
     "cache_lookup": f"{_end(_REPORTS)} SELECT document_hash, report_id, created_at FROM r WHERE expires_at > now QUALIFY row_number() OVER (PARTITION BY document_hash ORDER BY created_at DESC, report_id DESC) = 1",
     "purge_expired": f"{_end(_REPORTS)} SELECT pinned, count(*) AS n_left, min(created_at) AS oldest FROM r WHERE expires_at >= now OR pinned GROUP BY pinned",
