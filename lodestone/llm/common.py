@@ -126,11 +126,6 @@ def tree_sum(parts: DataFrame, kind: str, most: int | None = None, fan: int = 32
     return combined(parts, added, fan)
 
 
-def tree_union(parts: DataFrame, fan: int = 32) -> DataFrame:
-    """combined() where numbers are sets of 64-bit integers that are united."""
-    return combined(parts, lambda sets: np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in sets])).tobytes(), fan)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (src, dst); root is the smallest node reachable.
 

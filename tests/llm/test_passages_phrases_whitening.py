@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import queries
-from lodestone.llm.collocations import Slots, collocations, shuffled_collocations
+from lodestone.llm.collocations import Slots, _frequent, collocations, shuffled_collocations
 from lodestone.llm.common import tree_sum
 from lodestone.llm.decontamination import contaminated
 from lodestone.llm.whitening import _squares, whitened
@@ -109,6 +109,30 @@ def test_phrases(spark):
     assert collocations(table.limit(0)).count() == 0
 
 
+def test_rare_phrases_do_not_count_as_frequent_ones(spark, monkeypatch):
+    """More different phrases of frequent words than a task may hold frequent ones, and few of them frequent: nothing goes by the plain shuffle."""
+    rng = np.random.default_rng(6)
+    rows = [("en", " ".join(f"w{k}" for k in rng.integers(0, 150, 300)) + " one two three four") for _ in range(200)]
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+
+    def shuffled(*_):
+        raise AssertionError("phrases were counted by the plain shuffle")
+
+    monkeypatch.setattr("lodestone.llm.collocations.shuffled_collocations", shuffled)
+    found = collocations(table, 20, 4, 40, most=1000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(map(tuple, found.collect())) == brute_phrases(rows, 20, 4, 40)
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 21])
+def test_phrases_are_added_up_over_what_tasks_send(spark, held):
+    rng = np.random.default_rng(7)
+    lists = [[*rng.integers(-1, 12, 40).tolist(), -1] for _ in range(2000)]
+    table = spark.createDataFrame([(x,) for x in lists], "words array<int>").repartition(3)
+    counts = Counter(x[k] << 32 | x[k + 1] for x in lists for k in range(40) if x[k] >= 0 and x[k + 1] >= 0)
+    pairs = [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in _frequent(table, 2, 450, 5, held).collect()]
+    assert sorted((int(k), int(n)) for keys, ns in pairs for k, n in zip(keys, ns, strict=True)) == sorted((k, n) for k, n in counts.items() if n >= 450)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_slots_are_minimal_and_perfect(n):
     rng = np.random.default_rng(n)
