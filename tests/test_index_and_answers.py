@@ -231,6 +231,27 @@ def test_answers_are_checked(spark):
     assert found[json.dumps(GOOD)]["value"].asDict(recursive=True) == GOOD
 
 
+def test_a_reply_is_parsed_once_for_all_fields(spark):
+    """The plan of the check does not grow with the schema."""
+    table = spark.createDataFrame([("{}",)], "reply string")
+
+    def variants(schema):
+        return answers.checked(table, schema)._jdf.queryExecution().optimizedPlan().toString().count("variant")
+
+    assert variants(SCHEMA) == variants(StructType(SCHEMA[:1]))
+
+
+def test_odd_replies(spark):
+    schema = StructType([answers.field("a", LongType(), optional=True, least=0), answers.field("b", ArrayType(ArrayType(StringType())), optional=True)])
+    cases = {
+        '{"a": 1} and {"a": "x"}': [], '[1] {"a": 1}': ["(root): an object is asked for"], '``` {"a": 1}': [], '``````{"a": 1}': ["(root): no JSON"], '{"a": "x"}\n```\n{"a": 2}\n```': [],
+        '{"a": 1, "a": 2}': ["(root): no JSON"], '{"a": NaN}': ["(root): no JSON"], '{"a": 1e3}': [], '{"a": 1e30}': ["a: a whole number is asked for"], '{"a": 10000000000000000000000}': ["a: a whole number is asked for"],
+        '{"a": true}': ["a: a whole number is asked for"], '{"b": [["x", null], null, ["y", 1]]}': ["b.0.1: a text is asked for", "b.1: a list is asked for", "b.2.1: a text is asked for"], "{}": [], "": ["(root): no JSON"],
+    }
+    found = answers.checked(spark.createDataFrame([(k,) for k in cases], "reply string"), schema).collect()
+    assert {r["reply"]: r["issues"] for r in found} == cases
+
+
 def test_schema_of_a_call():
     said = answers.json_schema(SCHEMA)
     assert said["required"] == ["name", "kind", "share", "ok", "tags"] and said["properties"]["kind"] == {"type": "string", "enum": ["x", "y"]}
